@@ -1,0 +1,40 @@
+"""Connected components of a table of links, by minimum labels with pointer jumping; nothing reaches the driver but counts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import drop_staged, stage
+
+#: Label tables up to this many rows (16 bytes each) are broadcast; larger ones are joined by shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def components(links: DataFrame) -> DataFrame:
+    """links(a, b) -> (id, label): label is the smallest id reachable; only ids that occur in links have a row."""
+    links = stage(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    state = stage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")), "labels")
+    while True:
+        rows = state.count()
+        here = sized(state.select(F.col("id").alias("a"), F.col("label").alias("la")), rows)
+        there = sized(state.select(F.col("id").alias("b"), F.col("label").alias("lb")), rows)
+        # A link makes the labels of both ends' label nodes meet, so that whole trees move at once.
+        meet = links.join(here, "a").join(there, "b").where("la <> lb")
+        low, high = F.least("la", "lb"), F.greatest("la", "lb")
+        moved = meet.select(high.alias("id"), low.alias("label")).groupBy("id").agg(F.min("label").alias("to"))
+        new = state.join(sized(moved.withColumnRenamed("id", "label"), rows), "label", "left")
+        new = stage(new.select("id", F.coalesce("to", "label").alias("label"), F.col("to").isNotNull().alias("changed")), "labels")
+        jumped = new.join(sized(new.select(F.col("id").alias("label"), F.col("label").alias("up")), rows), "label", "left")
+        jumped = stage(jumped.select("id", F.coalesce("up", "label").alias("label"), (F.col("changed") | (F.col("up") < F.col("label"))).alias("changed")), "labels")
+        drop_staged(state)
+        drop_staged(new)
+        state = jumped
+        if not state.where("changed").limit(1).count():
+            drop_staged(links)
+            return state.select("id", "label")

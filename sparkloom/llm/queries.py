@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding, winnowing
+from . import minhash, mixing, sharding, winnowing
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
     "op3_winnowing": winnowing.op3_winnowing,
     "op6_mixing": mixing.op6_mixing,
+    "op9_minhash": minhash.op9_minhash,
 }
 
 #: None of these is expressible in SQL to the bit; tests/llm holds them against brute force.
