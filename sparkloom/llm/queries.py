@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, sharding, winnowing
+from . import langid, minhash, mixing, sharding, toxicity, winnowing
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
     "op3_winnowing": winnowing.op3_winnowing,
+    "op4_language": langid.op4_language,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_mixing": mixing.op6_mixing,
     "op9_minhash": minhash.op9_minhash,
 }
