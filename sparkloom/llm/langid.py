@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import unit
-from .shingles import text_bytes
+from .shingles import bounded, text_bytes
 
 #: Training texts a language, drawn by their ids' hash (expected number), and n-grams a language, the most frequent.
 TRAIN_TEXTS = 2000
@@ -151,8 +151,7 @@ def predict(docs: DataFrame, model: Filter) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in bounded(batch, 2):
                 langs, score = shared.value.decide(part.column(2))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(langs, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import drop_staged, stage
 from .components import components, sized
-from .shingles import shingle_sets
+from .shingles import bounded, shingle_sets
 
 #: 40 bands of 5 minima: a pair of similarity 0.8 shares no band once in 7 million pairs, one of 0.85 once in 15 billion.
 BANDS, ROWS = 40, 5
@@ -88,8 +88,7 @@ def lowest_estimate(limit: float) -> float:
 def _described(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in bounded(batch, 1):
                 n, digests, signatures, bands = [], [], [], []
                 for x in shingle_sets(part.column(1), k):
                     n.append(len(x))
@@ -108,8 +107,7 @@ def _described(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 def _sets(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in bounded(batch, 1):
                 sets = [x.tobytes() for x in shingle_sets(part.column(1), k)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sets, pa.binary())], ["id", "grp", "shingles"])
 

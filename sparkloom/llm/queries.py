@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import langid, minhash, mixing, sharding, toxicity, winnowing
+from . import langid, minhash, mixing, sharding, token_files, toxicity, winnowing
 
 QUERIES = {
+    "op1_token_files": token_files.op1_token_files,
     "op2_sharding": sharding.op2_sharding,
     "op3_winnowing": winnowing.op3_winnowing,
     "op4_language": langid.op4_language,

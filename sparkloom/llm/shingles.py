@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _RNG = np.random.Generator(np.random.PCG64(0x51A9))
 #: A random 64-bit value for each byte (upper case ASCII has its lower case's) and the odd base of the prefix sums.
@@ -53,17 +54,43 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, starts
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words (runs of anything but ASCII white space, A-Z as a-z) and the number of each text's first word (one more entry for the end)."""
-    data, starts = text_bytes(column)
+def bounded(batch: pa.RecordBatch, text: int, limit: int = 1 << 21):
+    """Slices of a batch whose texts have about `limit` bytes at most (one longer text is a slice)."""
+    column = batch.column(text)
+    sizes = np.nan_to_num(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.float64)) + 64
+    slot = (np.cumsum(sizes) // limit).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(slot)) + 1
+    for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+        if end > begin:
+            yield batch.slice(begin, end - begin)
+
+
+def spans(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte ranges [begin, end)."""
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(BYTE_VALUE[data] * powers(BASE, len(data)), out=sums[1:])
+    codes = (sums[ends] - sums[begins]) * powers(BASE_INVERSE, len(data) + 1)[begins]
+    return mixed(codes + (ends - begins).astype(np.uint64))
+
+
+def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     gap = SPACE[data]
     inside = ~gap
     begins = np.flatnonzero(inside & np.concatenate([[True], gap[:-1]]))
-    ends = np.flatnonzero(inside & np.concatenate([gap[1:], [True]])) + 1
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(BYTE_VALUE[data] * powers(BASE, len(data)), out=sums[1:])
-    words = (sums[ends] - sums[begins]) * powers(BASE_INVERSE, len(data) + 1)[begins]
-    words = mixed(words + (ends - begins).astype(np.uint64))
+    return begins, np.flatnonzero(inside & np.concatenate([gap[1:], [True]])) + 1
+
+
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All indices start, start + 1, ... of ranges, one range after another."""
+    total = int(lengths.sum())
+    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(total)
+
+
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words (runs of anything but ASCII white space, A-Z as a-z) and the number of each text's first word (one more entry for the end)."""
+    data, starts = text_bytes(column)
+    begins, ends = word_spans(data)
+    words = spans(data, begins, ends)
     return words, np.searchsorted(begins, starts)
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import unit
 from .langid import fold
-from .shingles import BASE, BASE_INVERSE, BYTE_VALUE, powers, text_bytes
+from .shingles import BASE, BASE_INVERSE, BYTE_VALUE, bounded, powers, text_bytes
 
 #: Labelled rows of each label that training reads (expected number, by the hash of doc_id).
 TRAIN_ROWS = 4000
@@ -264,8 +264,7 @@ def scored(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in bounded(batch, batch.num_columns - 1):
                 score = shared.value.score(part.column(part.num_columns - 1))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(score)], [*part.schema.names[:-1], "score"])
 
