@@ -7,8 +7,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _RNG = np.random.Generator(np.random.PCG64(0x51A9))
-#: A random 64-bit value for each byte (upper case ASCII has its lower case's) and the odd base of the prefix sums.
-BYTE_VALUE = _RNG.integers(1, 1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: A random 64-bit value for each byte, the same with ASCII capitals as small letters, and the odd base of the prefix sums.
+EXACT_VALUE = _RNG.integers(1, 1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BYTE_VALUE = EXACT_VALUE.copy()
 BYTE_VALUE[65:91] = BYTE_VALUE[97:123]
 BASE = int(_RNG.integers(1 << 62, 1 << 63)) | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
@@ -65,10 +66,10 @@ def bounded(batch: pa.RecordBatch, text: int, limit: int = 1 << 21):
             yield batch.slice(begin, end - begin)
 
 
-def spans(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte ranges [begin, end)."""
+def spans(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, values: np.ndarray = BYTE_VALUE) -> np.ndarray:
+    """64-bit hashes of the byte ranges [begin, end); ASCII capitals as small letters, unless values are EXACT_VALUE."""
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(BYTE_VALUE[data] * powers(BASE, len(data)), out=sums[1:])
+    np.cumsum(values[data] * powers(BASE, len(data)), out=sums[1:])
     codes = (sums[ends] - sums[begins]) * powers(BASE_INVERSE, len(data) + 1)[begins]
     return mixed(codes + (ends - begins).astype(np.uint64))
 
