@@ -145,17 +145,19 @@ def learn(docs: DataFrame, seed: int = 4_001) -> Filter:
     return Filter(list(sizes), {lang: values[langs == lang] for lang in sizes})
 
 
-def predict(docs: DataFrame, model: Filter) -> DataFrame:
-    """docs(doc_id, held_out, text) -> doc_id, held_out, lang_pred, score."""
+def predict(docs: DataFrame, model: Filter, columns: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The given columns of docs(..., text), and each text's language and score under `names`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    kept = docs.select(*[F.col(f"`{c}`") for c in columns], F.col("text").alias("__sl_text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[:-1]) + f", {names[0]} string, {names[1]} double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in bounded(batch, 2):
-                langs, score = shared.value.decide(part.column(2))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(langs, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
+            for part in bounded(batch, batch.num_columns - 1):
+                langs, score = shared.value.decide(part.column(part.num_columns - 1))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(langs, pa.string()), pa.array(score)], [*part.schema.names[:-1], *names])
 
-    return docs.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
+    return kept.mapInArrow(run, schema)
 
 
 def fold(modulus: int) -> "F.Column":
@@ -173,4 +175,4 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     Null texts and texts without a letter are `und` with score 0; a null doc_id is in no fold and teaches.
     """
     docs = held_out(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
-    return predict(docs, learn(docs.where("not held_out")))
+    return predict(docs, learn(docs.where("not held_out")), ["doc_id", "held_out"])

@@ -146,36 +146,53 @@ def _threshold(eligible: DataFrame, need: DataFrame, n_sources: int) -> DataFram
     return out.select("source", (F.col("tau") + F.when(nearer, F.lit(width * BINS)).otherwise(0.0)).alias("tau"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: int = 3, seed: int = 60_461) -> DataFrame:
-    """df(id_col, source, size) -> + source_size, target, rate, copies, taken (copies * size).
+class Plan:
+    """What the sources' rows are rounded by: one row a source (source_size, n_docs, target, dual, tau)."""
 
-    A null source is a source, the last by order; a null size counts as 0 and
-    is in the result as 0.  Documents without words have rate 1 and take
-    nothing.  Rows of equal id, source and size are rounded alike, so reruns
-    agree whatever the partitioning.  No rows give none.
+    def __init__(self, by_source: DataFrame, n_sources: int, cap: int, seed: int):
+        self.by_source, self.n_sources, self.cap, self.seed = by_source, n_sources, cap, seed
+
+    def rates(self, df: DataFrame, id_col: str) -> DataFrame:
+        """df(id_col, source, size, ...) -> + the source's columns, rate, __sl_base, __sl_key, without duals and means."""
+        mean = F.greatest(F.col("source_size") / F.col("n_docs"), F.lit(1.0))
+        out = _joined(df, self.by_source, self.n_sources).withColumn("rate", _rate(F.col("dual"), F.col("size").cast("double"), mean, float(self.cap)))
+        out = out.withColumn("__sl_base", F.floor("rate"))
+        return out.withColumn("__sl_key", unit(self.seed, F.col(id_col), F.col("size")) - (F.col("rate") - F.col("__sl_base"))).drop("dual", "n_docs")
+
+    def may_rise(self) -> Column:
+        return (F.col("__sl_base") < self.cap) & (F.col("size") > 0)
+
+    def copies(self, df: DataFrame, id_col: str) -> DataFrame:
+        """df(id_col, source, size, ...) -> + source_size, target, rate, copies."""
+        more = F.when(self.may_rise() & (F.col("__sl_key") < F.col("tau")), 1).otherwise(0)
+        out = self.rates(df, id_col).withColumn("copies", (F.col("__sl_base") + more).cast("int"))
+        return out.drop("tau", "__sl_base", "__sl_key")
+
+
+def plan(docs: DataFrame, id_col: str = "doc_id", weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: int = 3, seed: int = 60_461) -> Plan:
+    """docs(id_col, source, size), staged -> the mix: duals that meet the targets and thresholds that round them.
+
+    A null source is a source, the last by order.  Documents without words have
+    rate 1 and take nothing.  Rows of equal id and size are rounded alike, so
+    reruns agree whatever the partitioning.
     """
-    docs = df.select(id_col, "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"))
-    docs = stage(docs.withColumn("__sl_u", unit(seed, F.col(id_col), F.col("size"))), "sizes")
     counts = stage(docs.groupBy("source", "size").agg(F.count("*").alias("n")), "counts")
     sources = counts.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("n_docs"))
     targets = source_targets(sources, weights, cap)
     n_sources = targets.count()
-    solved = stage(solve_duals(counts, targets, n_sources, cap), "duals")
-    mean = F.greatest(F.col("source_size") / F.col("n_docs"), F.lit(1.0))
-    rated = _joined(docs, solved, n_sources).withColumn("rate", _rate(F.col("dual"), F.col("size").cast("double"), mean, float(cap)))
-    rated = rated.withColumn("__sl_base", F.floor("rate")).withColumn("__sl_key", F.col("__sl_u") - (F.col("rate") - F.floor("rate")))
+    solved = Plan(stage(solve_duals(counts, targets, n_sources, cap), "duals"), n_sources, cap, seed)
+    rated = solved.rates(docs, id_col)
     base = rated.groupBy("source").agg(F.sum(F.col("__sl_base") * F.col("size")).alias("base"))
-    need = _joined(solved.select("source", "target"), base, n_sources).select("source", (F.col("target") - F.col("base")).alias("need"))
-    may = (F.col("__sl_base") < cap) & (F.col("size") > 0)
-    tau = _threshold(rated.where(may).select("source", F.col("__sl_key").alias("key"), "size"), stage(need, "need"), n_sources)
-    more = F.when(may & (F.col("__sl_key") < F.col("tau")), 1).otherwise(0)
-    copies = (F.col("__sl_base") + more).cast("int")
-    return _joined(rated, tau, n_sources).select(
-        id_col, "source", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken")
-    )
+    need = _joined(solved.by_source.select("source", "target"), base, n_sources).select("source", (F.col("target") - F.col("base")).alias("need"))
+    open_rows = rated.where(solved.may_rise()).select("source", F.col("__sl_key").alias("key"), "size")
+    tau = _threshold(open_rows, stage(need, "need"), n_sources)
+    solved.by_source = stage(_joined(solved.by_source, tau, n_sources), "mix")
+    return solved
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents mixed: weights 5, 2, 1 over sources in order, at most three copies."""
+    """All documents mixed: weights 5, 2, 1 over sources in order, at most three copies.  A null text counts as size 0; no rows give none."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", n_words().alias("size"))
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
+    docs = stage(docs, "sizes")
+    mixed = plan(docs).copies(docs, "doc_id")
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "rate", "copies")

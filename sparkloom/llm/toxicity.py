@@ -256,17 +256,17 @@ def learn(docs: DataFrame, labels: DataFrame, seed: int = 5_003) -> Model:
     return Model(entries, logistic(x, q, weight))
 
 
-def scored(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
-    """The given columns of docs and a score for each text."""
+def scored(docs: DataFrame, model: Model, columns: list[str], name: str = "score") -> DataFrame:
+    """The given columns of docs(..., text), and each text's score under `name`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(*[F.col(f"`{c}`") for c in columns], F.col("text").alias("__sl_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[:-1]) + ", score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[:-1]) + f", {name} double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in bounded(batch, batch.num_columns - 1):
                 score = shared.value.score(part.column(part.num_columns - 1))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(score)], [*part.schema.names[:-1], "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(score)], [*part.schema.names[:-1], name])
 
     return kept.mapInArrow(run, schema)
 
