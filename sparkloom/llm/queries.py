@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, minhash, mixing, sharding, token_files, toxicity, winnowing
+from . import langid, minhash, mixing, pieces, quality, sharding, token_files, topk, toxicity, winnowing
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -11,8 +11,11 @@ QUERIES = {
     "op4_language": langid.op4_language,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_mixing": mixing.op6_mixing,
+    "op7_quality": quality.op7_quality,
+    "op8_pieces": pieces.op8_pieces,
     "op9_minhash": minhash.op9_minhash,
+    "op10_topk": topk.op10_topk,
 }
 
-#: None of these is expressible in SQL to the bit; tests/llm holds them against brute force.
-ORACLE_SQL: dict[str, str] = {}
+#: The others are not expressible in SQL to the bit, or too slow on whole tables; tests/llm hold them against brute force.
+ORACLE_SQL: dict[str, str] = {"op10_topk": topk.ORACLE}
