@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import itertools
 import json
-import string
 import struct
 import zlib
 from collections.abc import Iterator
@@ -33,9 +32,17 @@ from .shingles import bounded, ragged, spans, text_bytes, word_spans
 SHARD_TOKENS = 1 << 20
 #: Rounds of replacement, new symbols a round, and how often a pair must occur.
 ROUNDS, RULES_A_ROUND, LEAST_PAIRS = 8, 2000, 16
-#: Words whose ids a worker keeps.
-CACHED_WORDS = 200_000
+#: Units whose ids a worker keeps (about 150 bytes each).
+KNOWN_UNITS = 300_000
 MAGIC = b"RPSH"
+#: Bytes as ASCII small letters, and their kinds: 0 white space, 1 letters and all beyond ASCII, 2 digits, 3 others.
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] = np.arange(97, 123)
+_KIND = np.full(256, 3, dtype=np.int8)
+_KIND[[9, 10, 11, 12, 13, 32]] = 0
+_KIND[65:91] = _KIND[97:123] = _KIND[128:] = 1
+_KIND[48:58] = 2
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def default_tokenizer() -> str:
@@ -45,11 +52,14 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Ids of whole texts, equal to the library's, with each distinct word of a batch encoded once.
-
-    The tokenizer file must drop white space, split words from other characters
-    and lower the case; then ASCII white space parts a text into chunks that can
-    be encoded alone, and ASCII capitals can be folded first.
+    """Ids of whole texts, equal to the library's, with each distinct unit encoded once.
+
+    The tokenizer file must drop white space, keep runs of letters apart from
+    digits and from other characters, and lower the case.  Then texts fall into
+    units that can be encoded alone: runs of letters, of digits, of other
+    characters.  Around an apostrophe before a letter, and where a character
+    beyond ASCII is no letter, everything between white space is one unit.
+    Units are told apart by 64-bit hashes.
     """
 
     def __init__(self, path: str):
@@ -58,56 +68,69 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t["content"] for t in json.loads(self.tokenizer.to_str())["added_tokens"]]
         if any(any(c.isspace() or c.isupper() for c in t) for t in self.special):
-            raise ValueError("special tokens with white space or capitals don't allow encoding by chunks")
+            raise ValueError("special tokens with white space or capitals don't allow encoding by units")
         self.model = self.tokenizer.model
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.known: dict[int, bytes] = {}
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.alphabet = {**{b: chr(b) for b in shown}, **{b: chr(256 + i) for i, b in enumerate(hidden)}}
 
-    def _whole(self, chunk: str) -> tuple[int, ...]:
-        return tuple(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
-
-    def _word(self, word: str) -> tuple[int, ...]:
-        """A word of letters only, lower case: the model alone, on the bytes' letters."""
-        if not word.isascii():
-            word = "".join([self.alphabet[b] for b in word.encode()])
-        return tuple([t.id for t in self.model.tokenize(word)])
-
-    def _known(self, text: str, make) -> tuple[int, ...]:
-        found = self.words.get(text)
-        if found is None:
-            found = make(text)
-            if len(self.words) < CACHED_WORDS:
-                self.words[text] = found
-        return found
-
-    def chunk(self, raw: bytes) -> tuple[int, ...]:
+    def _unit(self, raw: bytes, letters: bool) -> bytes:
+        """A unit's ids as bytes (uint32).  Lower-case letters up to Latin-1 go to the model at once, as the bytes' letters."""
         text = raw.decode()
-        base = text.rstrip(string.punctuation)
-        if base.isalpha():
-            tail = text[len(base) :]
-            if not base.isascii():
-                if max(base) > "ÿ":
-                    return self._known(text, self._whole)
-                base = base.lower()
-            ids = self._known(base, self._word)
-            return ids + self._known(tail, self._whole) if tail else ids
-        return self._known(text, self._whole)
+        if letters and raw.isascii():
+            return np.array([t.id for t in self.model.tokenize(text)], dtype="<u4").tobytes()
+        if letters and max(text) <= "ÿ":
+            mapped = "".join([self.alphabet[b] for b in text.lower().encode()])
+            return np.array([t.id for t in self.model.tokenize(mapped)], dtype="<u4").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _units(self, data: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begins, ends and kinds of units; whole: numbers of stretches between white space that are one unit each."""
+        kind = _KIND[data]
+        if len(whole):
+            begins, ends = word_spans(data)
+            kind[ragged(begins[whole], (ends - begins)[whole])] = 4
+        change = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]])) if len(data) else np.empty(0, np.int64)
+        ends = np.concatenate([change[1:], [len(data)]]) if len(data) else change
+        used = kind[change] > 0
+        return change[used], ends[used], kind[change[used]]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids (uint32), and where each text's begin (one more entry for the end)."""
         data, starts = text_bytes(column)
-        begins, ends = word_spans(data)
-        codes, _ = pd.factorize(spans(data, begins, ends))
-        first = np.full(codes.max() + 1 if len(codes) else 0, -1, dtype=np.int64)
-        first[codes[::-1]] = np.arange(len(codes))[::-1]
-        lowered = data.tobytes().lower()
-        if any(t.encode() in lowered for t in self.special):
+        data = _LOWER[data]
+        plain = data.tobytes()
+        if any(t.encode() in plain for t in self.special):
             return self._texts(column)
-        distinct = [self.chunk(lowered[b:e]) for b, e in zip(begins[first].tolist(), ends[first].tolist())]
-        lengths = np.fromiter(map(len, distinct), dtype=np.int64, count=len(distinct))
-        flat = np.fromiter(itertools.chain.from_iterable(distinct), dtype=np.uint32, count=int(lengths.sum()))
+        stretches = word_spans(data)[0]
+        quotes = np.flatnonzero(data == 39)
+        quotes = quotes[_KIND[data[quotes + 1]] == 1] if len(quotes) else quotes
+        whole = np.unique(np.searchsorted(stretches, quotes, side="right") - 1)
+        while True:
+            begins, ends, kind = self._units(data, whole)
+            codes, values = pd.factorize(spans(data, begins, ends))
+            first = np.zeros(len(values), dtype=np.int64)
+            first[codes[::-1]] = np.arange(len(codes))[::-1]
+            keys = values.tolist()
+            distinct = [self.known.get(k) for k in keys]
+            odd = []
+            for i in [i for i, x in enumerate(distinct) if x is None]:
+                f = first[i]
+                raw = plain[begins[f] : ends[f]]
+                letters = kind[f] == 1
+                if letters and not raw.isascii() and not raw.decode().isalpha():
+                    odd.append(i)
+                    continue
+                distinct[i] = made = self._unit(raw, letters)
+                if len(self.known) < KNOWN_UNITS:
+                    self.known[keys[i]] = made
+            if not odd:
+                break
+            found = begins[np.isin(codes, odd) & (kind == 1)]
+            whole = np.union1d(whole, np.searchsorted(stretches, found, side="right") - 1)
+        lengths = np.fromiter(map(len, distinct), dtype=np.int64, count=len(distinct)) // 4
+        flat = np.frombuffer(b"".join(distinct), dtype="<u4")
         at = np.cumsum(lengths) - lengths
         sizes = lengths[codes]
         bounds = np.concatenate([[0], np.cumsum(sizes)])
@@ -146,14 +169,19 @@ def repair(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         if not len(often):
             break
         chosen = ordered[cut[often]]
-        at = np.searchsorted(chosen, pairs)
+        # A table of bits sorts out most places before the search.
+        table = np.zeros(1 << 20, dtype=bool)
+        table[(chosen * _SPREAD) >> np.uint64(44)] = True
+        place = np.flatnonzero(table[(pairs * _SPREAD) >> np.uint64(44)] & inner)
+        at = np.searchsorted(chosen, pairs[place])
         at[at == len(chosen)] = 0
-        hit = (chosen[at] == pairs) & inner
-        place = np.flatnonzero(hit)
+        hit = chosen[at] == pairs[place]
+        place, at = place[hit], at[hit]
         run = np.concatenate([[True], np.diff(place) > 1])
         number = np.arange(len(place))
-        place = place[(number - np.maximum.accumulate(np.where(run, number, 0))) % 2 == 0]
-        seq[place] = symbol + at[place].astype(np.uint64)
+        even = (number - np.maximum.accumulate(np.where(run, number, 0))) % 2 == 0
+        place, at = place[even], at[even]
+        seq[place] = symbol + at.astype(np.uint64)
         keep = np.ones(len(seq), dtype=bool)
         keep[place + 1] = False
         left = np.concatenate([[0], np.cumsum(keep)])
