@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import tempfile
 import uuid
 
@@ -43,6 +44,19 @@ def drop_staged(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of one Arrow batch at most: texts travel whole, and both sides of the pipe hold a batch or two.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Lowers the session's limit for Arrow batches to BATCH_BYTES, for operators whose Python side reads texts; gives df back."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    found = re.match(r"\d+", conf.get(key))
+    if not found or not 0 < int(found[0]) <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def small_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     """A DataFrame of a few driver-side rows, made by JSON parsing in the plan: no RDD, no Python worker."""
     if not rows:

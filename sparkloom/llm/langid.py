@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import unit
+from .common import small_batches, unit
 from .shingles import bounded, text_bytes
 
 #: Training texts a language, drawn by their ids' hash (expected number), and n-grams a language, the most frequent.
@@ -126,7 +126,7 @@ def learn(docs: DataFrame, seed: int = 4_001) -> Filter:
                 found, times = np.unique(grams(texts)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found)), pa.array(found.view(np.int64)), pa.array(times)], ["lang", "gram", "n"])
 
-    counted = sample.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
+    counted = small_batches(sample).mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
     levels: dict[str, list[tuple[int, int]]] = {}
     for r in counted.groupBy("lang", F.least(F.col("n"), F.lit(5000)).alias("times")).agg(F.count("*").alias("c")).collect():
         levels.setdefault(r.lang, []).append((r.times, r.c))
@@ -157,7 +157,7 @@ def predict(docs: DataFrame, model: Filter, columns: list[str], names: tuple[str
                 langs, score = shared.value.decide(part.column(part.num_columns - 1))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(langs, pa.string()), pa.array(score)], [*part.schema.names[:-1], *names])
 
-    return kept.mapInArrow(run, schema)
+    return small_batches(kept).mapInArrow(run, schema)
 
 
 def fold(modulus: int) -> "F.Column":

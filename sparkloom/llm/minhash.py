@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_staged, stage
+from .common import drop_staged, small_batches, stage
 from .components import components, sized
 from .shingles import bounded, shingle_sets
 
@@ -263,7 +263,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     if not 50 <= percent <= 100:
         raise ValueError("bands are laid out for similarities from 0.5 to 1")
     base = docs.select("doc_id", "text")
-    told = stage(base.mapInArrow(_described(k), "id bigint, n bigint, digest binary, sig binary, bands array<bigint>"), "described")
+    told = stage(small_batches(base).mapInArrow(_described(k), "id bigint, n bigint, digest binary, sig binary, bands array<bigint>"), "described")
     linkable = told.where("digest is not null and id is not null")
     classes = stage(linkable.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
     known = stage(
@@ -282,7 +282,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     near = near.select("id", F.col("label").alias("grp"))
     n_near = near.count()
     texts = base.withColumnRenamed("doc_id", "id").join(sized(near, n_near), "id")
-    sets = texts.select("id", "text", "grp").mapInArrow(_sets(k), "id bigint, grp bigint, shingles binary")
+    sets = small_batches(texts.select("id", "text", "grp")).mapInArrow(_sets(k), "id bigint, grp bigint, shingles binary")
     full = stage(sets.join(sized(near.select("id"), n_near).join(reps.select("id", "n", "sig"), "id"), "id"), "sets")
     links = grouped_links(full, CLUSTER_BLOCK, 2, percent, with_sets=True)
     # Rows of one id are one document: an id that stands in two classes links them.

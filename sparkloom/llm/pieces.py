@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .shingles import BASE, BASE_INVERSE, EXACT_VALUE, bounded, mixed, powers, ragged, spans, text_bytes
 
 #: Stretches of more bytes are encoded as streams; backpointers are followed every so many bytes.
@@ -279,7 +280,7 @@ def encoded(docs: DataFrame, columns: list[str], with_ids: bool, path: str | Non
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(out, names)
 
-    return kept.mapInArrow(run, schema)
+    return small_batches(kept).mapInArrow(run, schema)
 
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, unit
+from .common import small_batches, stage, unit
 from .mixing import BROADCAST_SOURCES
 from .shingles import bounded, spans, text_bytes, word_spans
 from .toxicity import logistic
@@ -82,7 +82,7 @@ def learn(docs: DataFrame, labels: DataFrame, seed: int = 7_001) -> Evidence:
             for part in bounded(batch, 1):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(features(part.column(1))), pa.list_(pa.float64()))], ["label", "x"])
 
-    table = sample.mapInArrow(described, "label int, x array<double>").toArrow()
+    table = small_batches(sample).mapInArrow(described, "label int, x array<double>").toArrow()
     y = table.column("label").to_numpy()
     if not len(y) or y.min() == y.max():
         return Evidence(np.zeros(width), np.ones(width), np.zeros(width + 1), 0.5)
@@ -127,7 +127,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(shared.value.ratio(part.column(3)))], ["doc_id", "host", "path", "evidence"])
 
     sites = docs.select("doc_id", host.cast("string").alias("host"), path.cast("string").alias("path"), "text")
-    told = stage(sites.mapInArrow(score, "doc_id bigint, host string, path string, evidence double"), "evidence")
+    told = stage(small_batches(sites).mapInArrow(score, "doc_id bigint, host string, path string, evidence double"), "evidence")
     seen = told.join(labels, "doc_id", "left")
     p = 1 / (1 + F.exp(-F.col("evidence") - F.lit(float(np.log(model.base / (1 - model.base))))))
     weight = F.when(F.col("label").isNotNull(), 1.0).otherwise(SOFT)

@@ -55,7 +55,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, starts
 
 
-def bounded(batch: pa.RecordBatch, text: int, limit: int = 1 << 21):
+def bounded(batch: pa.RecordBatch, text: int, limit: int = 1 << 20):
     """Slices of a batch whose texts have about `limit` bytes at most (one longer text is a slice)."""
     column = batch.column(text)
     sizes = np.nan_to_num(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.float64)) + 64

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, small_table, stage
+from .common import shuffle_partitions, small_batches, small_table, stage
 from .shingles import bounded, ragged, spans, text_bytes, word_spans
 
 SHARD_TOKENS = 1 << 20
@@ -321,7 +321,7 @@ def write_token_files(docs: DataFrame, path: str | None = None, end_id: int = 2)
 
     n = 2 * shuffle_partitions(docs.sparkSession)
     ordered = docs.select("doc_id", "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    shards = ordered.mapInArrow(run, "part int, place int, before bigint, n_docs bigint, n_tokens bigint, shard binary")
+    shards = small_batches(ordered).mapInArrow(run, "part int, place int, before bigint, n_docs bigint, n_tokens bigint, shard binary")
     return stage(shards, "token-shards")
 
 
@@ -350,7 +350,7 @@ def read_token_files(shards: DataFrame) -> DataFrame:
                     [doc_ids, pa.array(start + shard.starts[:-1]), pa.array(np.diff(shard.starts)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"]
                 )
 
-    return placed.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return small_batches(placed).mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

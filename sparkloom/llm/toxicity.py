@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import unit
+from .common import small_batches, unit
 from .langid import fold
 from .shingles import BASE, BASE_INVERSE, BYTE_VALUE, bounded, powers, text_bytes
 
@@ -114,7 +114,7 @@ def find_lexicon(sample: DataFrame) -> list[str]:
     n1, n0 = float(totals.get(1, 0)), float(totals.get(0, 0))
     if not n1 or not n0:
         return []
-    table = sample.mapInArrow(count, "entry string, bad bigint, good bigint").groupBy("entry").agg(F.sum("bad").cast("double").alias("a"), F.sum("good").cast("double").alias("b"))
+    table = small_batches(sample).mapInArrow(count, "entry string, bad bigint, good bigint").groupBy("entry").agg(F.sum("bad").cast("double").alias("a"), F.sum("good").cast("double").alias("b"))
     table = table.where((F.col("a") >= LEAST_ROWS) & (F.col("a") * n0 > 3 * F.col("b") * n1))
 
     def part(x: "F.Column", of: "F.Column") -> "F.Column":
@@ -241,7 +241,7 @@ def learn(docs: DataFrame, labels: DataFrame, seed: int = 5_003) -> Model:
             x = features(lexicon, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(list(x), pa.list_(pa.float64()))], ["label", "x"])
 
-    table = sample.mapInArrow(described, "label int, x array<double>").toArrow()
+    table = small_batches(sample).mapInArrow(described, "label int, x array<double>").toArrow()
     sample.unpersist()
     label = table.column("label").to_numpy()
     if not len(label):
@@ -268,7 +268,7 @@ def scored(docs: DataFrame, model: Model, columns: list[str], name: str = "score
                 score = shared.value.score(part.column(part.num_columns - 1))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(score)], [*part.schema.names[:-1], name])
 
-    return kept.mapInArrow(run, schema)
+    return small_batches(kept).mapInArrow(run, schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
