@@ -124,7 +124,7 @@ def learn(docs: DataFrame, seed: int = 4_001) -> Filter:
             for lang in batch.column("lang").unique().to_pylist():
                 texts = batch.filter(pc.equal(batch.column("lang"), lang)).column("text")
                 found, times = np.unique(grams(texts)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found)), pa.array(found.view(np.int64)), pa.array(times)], ["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found.view(np.int64)), pa.array(times, pa.int64())], ["lang", "gram", "n"])
 
     counted = small_batches(sample).mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
     levels: dict[str, list[tuple[int, int]]] = {}

@@ -34,7 +34,7 @@ def _run_hashes(df: DataFrame, tokens: str, k: int, out: str) -> DataFrame:
         df = df.withColumn(out, F.expr(f"zip_with(slice({out}, 1, greatest(size({out}) - {have}, 0)), {shifted(out, have)}, (a, b) -> (a * {power}L + b) % {MODULUS}L)"))
         have *= 2
         if bit == "1":
-            df = df.withColumn(out, F.expr(f"zip_with({out}, slice({tokens}, {have + 1}, greatest(size({tokens}) - {have}, 0)), (a, b) -> (a * {BASE}L + b) % {MODULUS}L)"))
+            df = df.withColumn(out, F.expr(f"zip_with(slice({out}, 1, greatest(size({out}) - 1, 0)), slice({tokens}, {have + 1}, greatest(size({tokens}) - {have}, 0)), (a, b) -> (a * {BASE}L + b) % {MODULUS}L)"))
             have += 1
     return df
 
