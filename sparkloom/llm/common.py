@@ -11,6 +11,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folders of staged tables that this process has made.
+_STAGED: list[str] = []
+
 #: A word of the size and shingle contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -27,7 +30,9 @@ def shared_folder(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write df as Parquet below the shared folder and read it back: lineage ends, and a lost executor costs only its own tasks."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/sparkloom/{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_folder(spark)}/sparkloom/{uuid.uuid4().hex}"
+    path = f"{folder}/{name}"
+    _STAGED.append(folder)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -35,6 +40,14 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> None:
+    """Delete all tables that this process has staged; results that still read them must have been written."""
+    jvm = spark.sparkContext._jvm
+    while _STAGED:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_staged(df: DataFrame) -> None:
     """Delete the files of a staged table that nothing will read again."""
     spark = df.sparkSession

@@ -35,6 +35,16 @@ TABLE_BITS = 18
 FAR = np.int64(1) << 60
 
 
+_VOCABULARIES: dict[str, "Vocabulary"] = {}
+
+
+def vocabulary(path: str) -> "Vocabulary":
+    """The process's vocabulary of a file, loaded once a worker."""
+    if path not in _VOCABULARIES:
+        _VOCABULARIES[path] = Vocabulary.load(path)
+    return _VOCABULARIES[path]
+
+
 def default_model() -> str:
     import public_tokenizers
 
@@ -258,7 +268,7 @@ def encoded(docs: DataFrame, columns: list[str], with_ids: bool, path: str | Non
     schema += ", n_ids bigint, ids_crc32 bigint, n_bytes bigint, round_trip boolean" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary.load(path)
+        v = vocabulary(path)
         single = np.zeros(v.n, dtype=bool)
         for raw, i in v.by_bytes.items():
             single[i] = len(raw) == 1 and v.cost[i] == v.cost[v.cost < FAR].max()

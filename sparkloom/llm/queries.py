@@ -18,4 +18,4 @@ QUERIES = {
 }
 
 #: The others are not expressible in SQL to the bit, or too slow on whole tables; tests/llm hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op10_topk": topk.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op9_minhash": minhash.ORACLE, "op10_topk": topk.ORACLE}

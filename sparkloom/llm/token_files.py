@@ -30,10 +30,10 @@ from .common import shuffle_partitions, small_batches, small_table, stage
 from .shingles import bounded, ragged, spans, text_bytes, word_spans
 
 SHARD_TOKENS = 1 << 20
-#: Rounds of replacement, new symbols a round, and how often a pair must occur.
-ROUNDS, RULES_A_ROUND, LEAST_PAIRS = 8, 2000, 16
-#: Units whose ids a worker keeps (about 150 bytes each).
-KNOWN_UNITS = 300_000
+#: Rounds of replacement at most, new symbols a round, how often a pair must occur, and the share of the sequence that a round must save for another one.
+ROUNDS, RULES_A_ROUND, LEAST_PAIRS, LEAST_SAVED = 8, 4000, 16, 0.01
+#: Units whose ids a worker keeps (about 50 bytes each).
+KNOWN_UNITS = 1_000_000
 MAGIC = b"RPSH"
 #: Bytes as ASCII small letters, and their kinds: 0 white space, 1 letters and all beyond ASCII, 2 digits, 3 others.
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -45,12 +45,81 @@ _KIND[48:58] = 2
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
+_ENCODERS: dict[str, "Encoder"] = {}
+
+
+def encoder(path: str) -> "Encoder":
+    """The process's encoder of a tokenizer file: tasks of one worker share what it knows."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+class Known:
+    """Ids of units by their hash, in arrays: hashes sorted but for the latest, and the ids one after another."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self._empty()
+
+    def _empty(self) -> None:
+        self.codes, self.entries = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.late, self.late_entries = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.start, self.length, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+        self.n, self.used = 0, 0
+
+    @staticmethod
+    def _look(codes: np.ndarray, entries: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        if not len(codes):
+            return np.full(len(wanted), -1, dtype=np.int64)
+        at = np.searchsorted(codes, wanted)
+        at[at == len(codes)] = 0
+        return np.where(codes[at] == wanted, entries[at], -1)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Entry of each hash; -1 where there is none."""
+        out = self._look(self.codes, self.entries, wanted)
+        rest = np.flatnonzero(out < 0)
+        out[rest] = self._look(self.late, self.late_entries, wanted[rest])
+        return out
+
+    def add(self, codes: np.ndarray, ids: list[list[int]]) -> np.ndarray:
+        """Entries of new units."""
+        if not ids:
+            return np.empty(0, np.int64)
+        lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        flat = np.fromiter(itertools.chain.from_iterable(ids), dtype=np.uint32, count=int(lengths.sum()))
+        for name, n in (("start", self.n + len(ids)), ("length", self.n + len(ids)), ("flat", self.used + len(flat))):
+            have = getattr(self, name)
+            if len(have) < n:
+                setattr(self, name, np.concatenate([have, np.zeros(max(n, 1024) + len(have) // 2 - len(have), have.dtype)]))
+        made = np.arange(self.n, self.n + len(ids))
+        self.start[made], self.length[made] = self.used + np.cumsum(lengths) - lengths, lengths
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.n, self.used = self.n + len(ids), self.used + len(flat)
+        self.late, self.late_entries = np.concatenate([self.late, codes]), np.concatenate([self.late_entries, made])
+        if len(self.late) > 1 << 16:
+            self.late, self.late_entries = np.concatenate([self.codes, self.late]), np.concatenate([self.entries, self.late_entries])
+            order = np.argsort(self.late, kind="stable")
+            self.codes, self.entries = self.late[order], self.late_entries[order]
+            self.late, self.late_entries = self.late[:0], self.late_entries[:0]
+        else:
+            order = np.argsort(self.late, kind="stable")
+            self.late, self.late_entries = self.late[order], self.late_entries[order]
+        return made
+
+    def trim(self) -> None:
+        """Forgets all once there are too many; frequent units come back with the next texts."""
+        if self.n > self.most:
+            self._empty()
+
+
 class Encoder:
     """Ids of whole texts, equal to the library's, with each distinct unit encoded once.
 
@@ -70,20 +139,20 @@ class Encoder:
         if any(any(c.isspace() or c.isupper() for c in t) for t in self.special):
             raise ValueError("special tokens with white space or capitals don't allow encoding by units")
         self.model = self.tokenizer.model
-        self.known: dict[int, bytes] = {}
+        self.known = Known(KNOWN_UNITS)
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.alphabet = {**{b: chr(b) for b in shown}, **{b: chr(256 + i) for i, b in enumerate(hidden)}}
 
-    def _unit(self, raw: bytes, letters: bool) -> bytes:
-        """A unit's ids as bytes (uint32).  Lower-case letters up to Latin-1 go to the model at once, as the bytes' letters."""
+    def _unit(self, raw: bytes, letters: bool) -> list[int]:
+        """A unit's ids.  Lower-case letters up to Latin-1 go to the model at once, as the bytes' letters."""
         text = raw.decode()
         if letters and raw.isascii():
-            return np.array([t.id for t in self.model.tokenize(text)], dtype="<u4").tobytes()
+            return [t.id for t in self.model.tokenize(text)]
         if letters and max(text) <= "ÿ":
             mapped = "".join([self.alphabet[b] for b in text.lower().encode()])
-            return np.array([t.id for t in self.model.tokenize(mapped)], dtype="<u4").tobytes()
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return [t.id for t in self.model.tokenize(mapped)]
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _units(self, data: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Begins, ends and kinds of units; whole: numbers of stretches between white space that are one unit each."""
@@ -112,29 +181,28 @@ class Encoder:
             codes, values = pd.factorize(spans(data, begins, ends))
             first = np.zeros(len(values), dtype=np.int64)
             first[codes[::-1]] = np.arange(len(codes))[::-1]
-            keys = values.tolist()
-            distinct = [self.known.get(k) for k in keys]
-            odd = []
-            for i in [i for i, x in enumerate(distinct) if x is None]:
-                f = first[i]
-                raw = plain[begins[f] : ends[f]]
-                letters = kind[f] == 1
+            entry = self.known.find(values)
+            odd, new, made = [], [], []
+            fresh = np.flatnonzero(entry < 0)
+            at = first[fresh]
+            for i, b, e, letters in zip(fresh.tolist(), begins[at].tolist(), ends[at].tolist(), (kind[at] == 1).tolist()):
+                raw = plain[b:e]
                 if letters and not raw.isascii() and not raw.decode().isalpha():
                     odd.append(i)
                     continue
-                distinct[i] = made = self._unit(raw, letters)
-                if len(self.known) < KNOWN_UNITS:
-                    self.known[keys[i]] = made
+                new.append(i)
+                made.append(self._unit(raw, letters))
+            entry[new] = self.known.add(values[new], made)
             if not odd:
                 break
             found = begins[np.isin(codes, odd) & (kind == 1)]
             whole = np.union1d(whole, np.searchsorted(stretches, found, side="right") - 1)
-        lengths = np.fromiter(map(len, distinct), dtype=np.int64, count=len(distinct)) // 4
-        flat = np.frombuffer(b"".join(distinct), dtype="<u4")
-        at = np.cumsum(lengths) - lengths
+        at, lengths = self.known.start[entry], self.known.length[entry]
         sizes = lengths[codes]
         bounds = np.concatenate([[0], np.cumsum(sizes)])
-        return flat[ragged(at[codes], sizes)], bounds[np.searchsorted(begins, starts)]
+        out = self.known.flat[ragged(at[codes], sizes)]
+        self.known.trim()
+        return out, bounds[np.searchsorted(begins, starts)]
 
     def _texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Text by text, as the library does it: for batches with special tokens' strings in any case."""
@@ -188,6 +256,8 @@ def repair(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         seq, starts = seq[keep], left[starts]
         rules.append(np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
         symbol += len(chosen)
+        if len(place) < LEAST_SAVED * len(keep):
+            break
     return seq.astype(np.uint32), starts, np.concatenate(rules) if rules else np.empty((0, 2), np.uint32), base
 
 
@@ -285,7 +355,6 @@ def write_token_files(docs: DataFrame, path: str | None = None, end_id: int = 2)
     path = path or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
         part = TaskContext.get().partitionId()
         place, before = 0, 0
         ids, sizes, names, has = [], [], [], []
@@ -304,7 +373,7 @@ def write_token_files(docs: DataFrame, path: str | None = None, end_id: int = 2)
         held = 0
         for batch in batches:
             for piece in bounded(batch, 1):
-                flat, starts = encoder.encode(piece.column(1))
+                flat, starts = encoder(path).encode(piece.column(1))
                 n = np.diff(starts)
                 ended = np.full(len(flat) + len(n), end_id, dtype=np.uint32)
                 ended[ragged(starts[:-1] + np.arange(len(n)), n)] = flat
@@ -320,7 +389,9 @@ def write_token_files(docs: DataFrame, path: str | None = None, end_id: int = 2)
             yield shard()
 
     n = 2 * shuffle_partitions(docs.sparkSession)
-    ordered = docs.select("doc_id", "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    # Rows of one doc_id may be many: their places in the input part them among tasks.
+    ranged = docs.select("doc_id", "text").withColumn("__sl_row", F.monotonically_increasing_id()).repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "__sl_row")
+    ordered = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "__sl_row").select("doc_id", "text")
     shards = small_batches(ordered).mapInArrow(run, "part int, place int, before bigint, n_docs bigint, n_tokens bigint, shard binary")
     return stage(shards, "token-shards")
 
