@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import graph, raster, signal, spatial
-from .inputs import rounded, table, traces, vectors
+from .inputs import TRACES, rounded, table, traces, vectors
 from .series_queries import DT, THRESHOLD
 
 
@@ -103,7 +104,31 @@ QUERIES = {
 }
 
 _TILE = "px AS (SELECT CAST(o_orderkey AS INTEGER) AS frame, CASE WHEN (i % 48 BETWEEN 8 AND 10 OR i % 48 BETWEEN 24 AND 26) AND i // 48 > o_orderkey THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.05 AS DOUBLE) END AS v FROM orders, range(0, 2304) r(i) WHERE o_orderkey < 12)"
+
+
+def _smoothing_weights(window: int, order: int) -> str:
+    """VALUES (place in the window, sample, weight) of the least-squares polynomial."""
+    basis = np.vander(np.arange(window) - window // 2, order + 1, increasing=True).astype(float)
+    hat = basis @ np.linalg.pinv(basis)
+    return ", ".join(f"({r}, {j}, CAST({hat[r, j]!r} AS DOUBLE))" for r in range(window) for j in range(window)).replace("np.float64(", "(")
+
+
+_SCALES = ", ".join(f"(CAST({float(x)!r} AS DOUBLE))" for x in np.geomspace(2.0, 20.0, 20))
+# The transform as a sum over pairs of frames within reach of the wavelet.
+_SPECTRUM = (
+    f"{TRACES}, m AS (SELECT series, frame, y - avg(y) OVER (PARTITION BY series) AS d, y > {THRESHOLD} AS st FROM t), sc(scale) AS (VALUES {_SCALES}), "
+    "c AS (SELECT a.series, scale, a.frame, abs(sum(b.d * exp(-pow((a.frame - b.frame) / scale, 2) / 2) * cos(5 * (a.frame - b.frame) / scale) / sqrt(scale))) AS mag "
+    "FROM m a JOIN m b ON a.series = b.series CROSS JOIN sc WHERE a.st AND abs(a.frame - b.frame) <= ceil(4 * scale) GROUP BY ALL), "
+    f"f AS (SELECT series, scale, 5 / (2 * pi() * scale * {DT}) AS frequency, avg(mag) AS magnitude FROM c GROUP BY ALL), "
+    "z AS (SELECT u.series, sc.scale, "
+    f"5 / (2 * pi() * sc.scale * {DT}) AS frequency, magnitude FROM (SELECT DISTINCT series FROM t) u CROSS JOIN sc LEFT JOIN f ON f.series = u.series AND f.scale = sc.scale)"
+)
 ORACLE_SQL = {
+    "savgol_velocity": f"WITH {TRACES}, w(r, j, w) AS (VALUES {_smoothing_weights(13, 5)}), n AS (SELECT *, count(*) OVER (PARTITION BY series) AS n FROM t), p AS (SELECT *, CASE WHEN frame < 6 THEN 0 WHEN frame >= n - 6 THEN n - 13 ELSE frame - 6 END AS a FROM n) "
+    "SELECT p.series, p.frame, round(CASE WHEN any_value(p.n) < 13 THEN any_value(p.y) ELSE sum(w.w * q.y) END, 6) AS smooth FROM p LEFT JOIN t q ON q.series = p.series AND p.n >= 13 AND q.frame BETWEEN p.a AND p.a + 12 LEFT JOIN w ON w.r = p.frame - p.a AND w.j = q.frame - p.a GROUP BY p.series, p.frame",
+    "cwt_spectrum": f"WITH {_SPECTRUM} SELECT series, round(scale, 6) AS scale, round(frequency, 6) AS frequency, round(magnitude, 6) AS magnitude FROM z",
+    "spectrum_peaks": f"WITH {_SPECTRUM}, e AS (SELECT series, arg_max(frequency, magnitude) FILTER (frequency < 0.2) AS f1, max(magnitude) FILTER (frequency < 0.2) AS m1, arg_max(frequency, magnitude) FILTER (frequency >= 0.2) AS f2, max(magnitude) FILTER (frequency >= 0.2) AS m2, min(frequency) FILTER (frequency >= 0.2) AS edge FROM z WHERE magnitude IS NOT NULL GROUP BY series) "
+    "SELECT series, round(f1, 6) AS frequency_1, round(m1, 6) AS magnitude_1, round(CASE WHEN f2 > edge THEN f2 END, 6) AS frequency_2, round(CASE WHEN f2 > edge THEN m2 END, 6) AS magnitude_2 FROM e",
     "cell_mask": f"WITH {_TILE} SELECT frame, round(count(*) FILTER (v > 0.1) * CAST(0.1 AS DOUBLE) * CAST(0.1 AS DOUBLE), 6) AS area, round(count(*) FILTER (v > 0.1) / count(*), 6) AS area_ratio, round(avg(v) FILTER (v > 0.1), 6) AS intensity FROM px GROUP BY frame",
     "clip_normalization": f"WITH {_TILE}, p AS (SELECT frame, min(v) AS a, quantile_cont(v, 0.9998) AS b FROM px GROUP BY frame) SELECT frame, round(avg(least(greatest((v - a) / (b - a), 0), 1)), 6) AS mean, round(max(least(greatest((v - a) / (b - a), 0), 1)), 6) AS high FROM px JOIN p USING (frame) GROUP BY frame",
 }
