@@ -4,8 +4,10 @@ A text is lower-cased and cut into tokens (words of letters, digits and marks,
 in pieces of eight at most; other visible characters one by one).  Each run of
 `k` tokens has a Karp-Rabin hash; four empty tokens precede the first, so that
 short texts have runs too.  From each window of `w` successive hashes the
-smallest is kept, of equal ones the rightmost.  Any passage of w + k - 1 tokens
-that two texts share leaves a common hash in both fingerprints.
+smallest is kept, of equal ones the rightmost; the first windows are those that
+end at the first, second ... hash, so a text's beginning always leaves a mark.
+Any passage of w + k - 1 tokens that two texts share leaves a common hash in
+both fingerprints.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ TOKEN = r"[\p{L}\p{N}\p{M}]{1,8}|[^\s\p{L}\p{N}\p{M}]"
 MODULUS = 2147483647
 BASE = 1103515245
 PLACE = 2147483648
+_NEVER = (1 << 63) - 1
 
 
 def _run_hashes(df: DataFrame, tokens: str, k: int, out: str) -> DataFrame:
@@ -51,7 +54,7 @@ def winnow(df: DataFrame, text: str, out: str, k: int = 5, w: int = 8) -> DataFr
     df = df.withColumn(t, F.expr(f"if(size({t}) = 0, cast(array() as array<bigint>), concat(array_repeat(0L, {k - 1}), transform({t}, x -> pmod(xxhash64(x), {MODULUS}L))))"))
     df = _run_hashes(df, t, k, h)
     df = df.withColumn(h, F.expr(f"transform({h}, (x, i) -> x * {PLACE}L + ({PLACE - 1}L - i))"))
-    df = df.withColumn(t, F.expr(f"greatest(size({h}) - {w - 1}, least(size({h}), 1))"))
+    df = df.withColumn(t, F.expr(f"size({h})")).withColumn(h, F.expr(f"concat(array_repeat({_NEVER}L, {w - 1}), {h})"))
     n = 1
     while n < w:
         df = df.withColumn(h, F.expr(f"zip_with({h}, slice({h}, {n + 1}, greatest(size({h}) - {n}, 0)), (a, b) -> if(b < a, b, a))"))

@@ -123,9 +123,9 @@ def _winnow(text, k=5, w=8):
             h = (h * winnowing.BASE + x) % winnowing.MODULUS
         runs.append(h)
     kept = []
-    for i in range(max(1, len(runs) - w + 1)):
-        window = runs[i : i + w]
-        best = i + max(j for j, h in enumerate(window) if h == min(window))
+    for end in range(1, len(runs) + 1):
+        window = runs[max(0, end - w) : end]
+        best = end - len(window) + max(j for j, h in enumerate(window) if h == min(window))
         if best not in kept:
             kept.append(best)
     return [(runs[i], i) for i in kept]
