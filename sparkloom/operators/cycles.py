@@ -40,22 +40,33 @@ def periods(contr: DataFrame, quiet: DataFrame, keys: list[str]) -> DataFrame:
     return contr.join(q, [*keys, "run"]).select(*keys, F.col("run").alias("cycle"), (F.col("duration") + F.col("quiet_duration")).alias("period"))
 
 
-def in_cycles(traj: DataFrame, state: DataFrame) -> DataFrame:
-    """Rows of traj inside runs of contr, with the cycle and the place in it (from 0)."""
-    marked = series.runs(state, ["loi"], "frame", "contr", "cycle").where("cycle is not null").select("loi", "frame", "cycle")
-    df = traj.join(marked, ["loi", "frame"])
-    return df.withColumn("place", F.col("frame") - F.min("frame").over(Window.partitionBy("loi", "cycle")))
+def with_cycles(state: DataFrame) -> DataFrame:
+    """state(loi, frame, contr, ...) -> + cycle: the number of the frame's run of contr, NULL outside."""
+    return series.runs(state, ["loi"], "frame", "contr", "cycle")
 
 
 def trajectories(traj: DataFrame, state: DataFrame, dt: float, low: float, high: float, dilate: int = 0) -> DataFrame:
-    """Velocity, resting value (median where the state, dilated by `dilate` frames, is 0; NULL outside [low, high]) and delta of each band."""
+    """Velocity, resting value (median where the state, dilated by `dilate` frames, is 0; NULL outside [low, high]) and delta of each band.
+
+    A state table with cycles gives its rows' cycles along; the state is joined once.
+    """
     w = Window.partitionBy("loi", "band").orderBy("frame")
+    rest_state = F.col("contr")
     if dilate > 1:
-        state = state.withColumn("contr", series.dilated(F.col("contr"), series.over(["loi"], ["frame"]), dilate))
-    df = traj.withColumn("vel", series.central_difference("y", w, dt)).join(state.select("loi", "frame", "contr"), ["loi", "frame"])
-    rest = df.where("contr = 0").groupBy("loi", "band").agg(F.median("y").alias("rest"))
-    rest = rest.withColumn("rest", F.when(F.col("rest").between(low, high), F.col("rest")))
-    return df.join(rest, ["loi", "band"], "left").withColumn("delta", F.col("y") - F.col("rest"))
+        state = state.withColumn("__wide", series.dilated(F.col("contr"), series.over(["loi"], ["frame"]), dilate))
+        rest_state = F.col("__wide")
+    own = [c for c in ("loi", "frame", "contr", "cycle", "__wide") if c in state.columns]
+    df = traj.join(state.select(*own), ["loi", "frame"]).withColumn("vel", series.central_difference("y", w, dt))
+    # The velocity's shuffle serves the median too.
+    df = df.withColumn("rest", F.median(F.when(rest_state == 0, F.col("y"))).over(Window.partitionBy("loi", "band")))
+    df = df.withColumn("rest", F.when(F.col("rest").between(low, high), F.col("rest"))).drop("__wide")
+    return df.withColumn("delta", F.col("y") - F.col("rest"))
+
+
+def in_cycles(traj: DataFrame) -> DataFrame:
+    """Rows of traj that have a cycle, with their place in it (from 0)."""
+    df = traj.where("cycle is not null")
+    return df.withColumn("place", F.col("frame") - F.min("frame").over(Window.partitionBy("loi", "cycle")))
 
 
 def cycle_features(inside: DataFrame, dt: float) -> DataFrame:
@@ -111,9 +122,17 @@ def popping(features: DataFrame, threshold: float) -> DataFrame:
 def popping_gaps(marked: DataFrame) -> DataFrame:
     """Distances between popping bands in a cycle (kind dist) and between popping cycles of a band (kind tau)."""
     only = marked.where("pops = 1")
-    across = only.withColumn("gap", F.col("band") - F.lag("band").over(Window.partitionBy("loi", "cycle").orderBy("band"))).withColumn("kind", F.lit("dist"))
-    along = only.withColumn("gap", F.col("cycle") - F.lag("cycle").over(Window.partitionBy("loi", "band").orderBy("cycle"))).withColumn("kind", F.lit("tau"))
-    return across.unionByName(along).where("gap is not null").select("loi", "kind", "band", "cycle", "gap")
+    only = only.withColumn("dist", F.col("band") - F.lag("band").over(Window.partitionBy("loi", "cycle").orderBy("band")))
+    only = only.withColumn("tau", F.col("cycle") - F.lag("cycle").over(Window.partitionBy("loi", "band").orderBy("cycle")))
+    both = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("gap")) for k in ("dist", "tau")])
+    return only.withColumn("g", F.explode(both)).select("loi", "g.kind", "band", "cycle", "g.gap").where("gap is not null")
+
+
+def popping_rates(marked: DataFrame) -> DataFrame:
+    """Mean of pops for each line (kind all), each of its bands and each of its cycles; one pass over the rows."""
+    sets = marked.groupingSets([["loi"], ["loi", "band"], ["loi", "cycle"]], "loi", "band", "cycle").agg(F.grouping("band").alias("gb"), F.grouping("cycle").alias("gc"), F.avg("pops").alias("rate"))
+    kind = F.when(F.col("gb") == 0, "band").when(F.col("gc") == 0, "cycle").otherwise("all")
+    return sets.select("loi", kind.alias("kind"), F.coalesce("band", "cycle").alias("item"), "rate")
 
 
 def correlations(traj: DataFrame, cycles: DataFrame, length: int, value: str = "delta") -> DataFrame:
@@ -124,7 +143,7 @@ def correlations(traj: DataFrame, cycles: DataFrame, length: int, value: str = "
     last = F.max("run").over(Window.partitionBy("loi"))
     c = cycles.withColumn("__last", last).where(F.col("run") < F.col("__last")).select("loi", F.col("run").alias("cycle"), "start_frame")
     spread = c.select("loi", "cycle", F.explode(F.sequence(F.col("start_frame"), F.col("start_frame") + length - 1)).alias("frame"), "start_frame")
-    seg = traj.join(spread, ["loi", "frame"]).groupBy("loi", "band", "cycle").agg(F.sort_array(F.collect_list(F.struct("frame", F.col(value).alias("v")))).alias("s"))
+    seg = traj.select("loi", "band", "frame", value).join(spread, ["loi", "frame"]).groupBy("loi", "band", "cycle").agg(F.sort_array(F.collect_list(F.struct("frame", F.col(value).alias("v")))).alias("s"))
     seg = seg.select("loi", "band", "cycle", F.transform("s", lambda x: x["v"]).alias("v")).where((F.size("v") == length) & ~F.exists("v", lambda x: x.isNull()))
     n = F.lit(float(length))
     mean = F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / n

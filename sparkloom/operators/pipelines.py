@@ -150,9 +150,9 @@ def motion(kymograph: DataFrame, dt: float, states: DataFrame | None = None, mer
     slen = spacings_of(band_tracks(kymograph, dt))
     state = cycles.cleaned_state(states if states is not None else contraction_states(slen), max(1, int(merge / dt)), max(1, int(shortest / dt)), buffer)
     smooth = signal.smoothed(slen, ["loi", "band"], "frame", "y", "s", 13, 5).select("loi", "band", "frame", F.col("s").alias("y"))
-    traj = cycles.trajectories(smooth, state, dt, *rest)
+    traj = cycles.trajectories(smooth, cycles.with_cycles(state), dt, *rest)
     contr, quiet = (series.run_table(state, ["loi"], "frame", c, dt) for c in ("contr", "quiet"))
-    features = cycles.cycle_features(cycles.in_cycles(traj.drop("contr"), state), dt)
+    features = cycles.cycle_features(cycles.in_cycles(traj), dt)
     return {"traj": traj, "state": state, "cycles": contr, "quiet": quiet, "rates": cycles.rate_and_variability(contr, ["loi"]), "features": features, "popping": cycles.popping(features, pop)}
 
 

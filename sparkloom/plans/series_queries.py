@@ -29,11 +29,11 @@ def _line_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _moving(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cycles.trajectories(bands(spark, sf_dir), _line_states(spark, sf_dir), DT, 0.0, 1000.0)
+    return cycles.trajectories(bands(spark, sf_dir), cycles.with_cycles(_line_states(spark, sf_dir)), DT, 0.0, 1000.0)
 
 
 def _inside(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cycles.in_cycles(_moving(spark, sf_dir).drop("contr"), _line_states(spark, sf_dir))
+    return cycles.in_cycles(_moving(spark, sf_dir))
 
 
 def traj_diff(spark, sf):
@@ -149,10 +149,7 @@ def _popping(spark, sf):
 
 
 def popping_rates(spark, sf):
-    m = _popping(spark, sf)
-    by = [m.groupBy("loi").agg(F.lit("all").alias("kind"), F.lit(None).cast("long").alias("item"), F.avg("pops").alias("rate"))]
-    by += [m.groupBy("loi", F.col(c).alias("item")).agg(F.avg("pops").alias("rate")).select("loi", F.lit(c).alias("kind"), "item", "rate") for c in ("band", "cycle")]
-    return rounded(by[0].unionByName(by[1]).unionByName(by[2]), "rate")
+    return rounded(cycles.popping_rates(_popping(spark, sf)), "rate")
 
 
 def popping_gaps(spark, sf):
