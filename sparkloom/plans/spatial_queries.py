@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import angles
-from ..operators import graph, spatial, stats
+from ..operators import graph, pipelines, spatial, stats
 from .inputs import VECTORS, rounded, table, vectors
 
 REACH, NEAR, COSINE = 0.1, 0.03, 0.65
@@ -97,10 +99,41 @@ def sampled_profiles(spark, sf):
     return rounded(out.select("line", F.col("pos").cast("long").alias("pos"), "v"), "v")
 
 
+def _frames(spark, sf):
+    v = vectors(spark, sf)
+    return v.select(F.lit("f").alias("file_id"), F.col("grp").cast("int").alias("frame"), F.col("id").alias("vec_id"), "y", "x", "angle", "len", (F.col("id") % 7).cast("int").alias("midline_id"), F.lit(1.0).alias("midline_len"))
+
+
+def vector_frame_features(spark, sf):
+    f = pipelines.vector_features(_frames(spark, sf)).drop("file_id").withColumn("frame", F.col("frame").cast("long"))
+    return rounded(f, *[c for c in f.columns if c.startswith("sarcomere")])
+
+
+def vector_ends(spark, sf):
+    e = spatial.ends_of(_frames(spark, sf))
+    return rounded(e.select(F.col("frame").cast("long").alias("frame"), "vec_id", F.col("end").cast("long").alias("side"), "y", "x"), "y", "x")
+
+
+def band_lateral_links(spark, sf):
+    e = spatial.ends_of(_frames(spark, sf)).withColumnRenamed("vec_id", "band")
+    e = e.withColumn("dir", F.when(F.col("end") == 1, F.col("angle")).otherwise(F.col("angle") + math.pi))
+    return rounded(pipelines.band_links(e.select("file_id", "frame", "band", "end", "y", "x", "dir"), 0.1).drop("file_id"), "dist", "alignment")
+
+
+def vector_domains(spark, sf):
+    return pipelines.domains(_frames(spark, sf), 0.1, resolution=0.5).drop("file_id")
+
+
+def lines_of_interest(spark, sf):
+    v = vectors(spark, sf).withColumn("midline_len", F.lit(1.0))
+    out = pipelines.lines_of_interest(v, "grp", "longest_in_cluster", 4, {"n": (3, 50)}, 0.2, share=0.5, persistence=3, reach=0.1, n_min=3)
+    return rounded(out.select("grp", "line", "n", "length"), "length")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        order_parameter, axial_mean, circular_stats, max_orientation_change, range_pairs, cosine_edges, nearest_neighbor, hausdorff, alignment_index, line_fit, straightness, bending, line_features, linked_components, group_features, single_linkage, sampled_profiles,
+        order_parameter, axial_mean, circular_stats, max_orientation_change, range_pairs, cosine_edges, nearest_neighbor, hausdorff, alignment_index, line_fit, straightness, bending, line_features, linked_components, group_features, single_linkage, sampled_profiles, vector_frame_features, vector_ends, band_lateral_links, vector_domains, lines_of_interest,
     )
 }
 
@@ -129,4 +162,7 @@ ORACLE_SQL = {
     "group_features": f"WITH RECURSIVE {_COMP}, s AS (SELECT grp, component, count(*) AS size, sum(len) AS length FROM c JOIN v USING (grp, id) GROUP BY ALL), d AS (SELECT p.grp, component, sum(dist) AS dist, sum(0.5) AS al FROM p JOIN c ON p.grp = c.grp AND p.a = c.id WHERE dist <= {NEAR} GROUP BY ALL) SELECT s.grp, s.component, size, round(length + coalesce(dist, 0), 6) AS length, round(2 * coalesce(CAST(al AS DOUBLE), 0) / size, 6) AS alignment FROM s LEFT JOIN d USING (grp, component)",
     "single_linkage": f"WITH RECURSIVE {VECTORS}, {_HAUS}, e AS (SELECT grp, a, b FROM h WHERE hausdorff < 0.25 UNION SELECT grp, b, a FROM h WHERE hausdorff < 0.25), r AS (SELECT DISTINCT grp, line AS id, line AS r FROM q UNION SELECT r.grp, e.b, r.r FROM r JOIN e ON r.grp = e.grp AND r.id = e.a) SELECT grp, id, min(r) AS component FROM r GROUP BY grp, id",
     "sampled_profiles": "WITH px AS (SELECT l_orderkey % 32 AS y, l_partkey % 32 AS x, avg(l_quantity) AS v FROM lineitem GROUP BY ALL) SELECT CAST(n_nationkey AS BIGINT) AS line, pos, round(avg(v), 6) AS v FROM nation, range(0, 11) r(pos), range(-1, 2) o(off) LEFT JOIN px ON px.y = 2 + pos AND px.x = n_nationkey - off GROUP BY ALL",
+    "vector_frame_features": f"WITH {VECTORS}, c AS (SELECT grp, count(*) AS n, count(DISTINCT id % 7) AS m, avg(len) AS lm, stddev_pop(len) AS ls, sum(cos(2 * angle)) AS c2, sum(sin(2 * angle)) AS s2, sum(cos(angle)) AS c, sum(sin(angle)) AS s FROM v GROUP BY grp) "
+    "SELECT CAST(grp AS BIGINT) AS frame, n AS n_vectors, m AS n_mbands, round(lm, 6) AS sarcomere_length_mean, round(ls, 6) AS sarcomere_length_std, round(sqrt(c2 * c2 + s2 * s2) / n, 6) AS sarcomere_oop, round(CASE WHEN atan2(s, c) < 0 THEN atan2(s, c) + 2 * pi() ELSE atan2(s, c) END, 6) AS sarcomere_orientation_mean, round(sqrt(-2 * ln(least(sqrt(s * s + c * c) / n, 1.0))), 6) AS sarcomere_orientation_std, round(atan2(s2, c2) / 2, 6) AS sarcomere_axis FROM c",
+    "vector_ends": f"WITH {VECTORS} SELECT CAST(grp AS BIGINT) AS frame, id AS vec_id, side, round(y + (side - 0.5) * len * sin(angle), 6) AS y, round(x + (side - 0.5) * len * cos(angle), 6) AS x FROM v, (VALUES (0::BIGINT), (1::BIGINT)) e(side)",
 }
