@@ -100,7 +100,7 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.nda
     total = np.zeros(len(words), dtype=np.uint64)
     for j in range(k):
         factor = np.uint64(pow(0x9E3779B97F4A7C15, j + 1, 1 << 64) | 1)
-        total[: len(words) - j] += words[j:] * factor
+        total[: max(len(words) - j, 0)] += words[j:] * factor
     return mixed(total), np.maximum(first[1:] - (k - 1), first[:-1])
 
 
