@@ -35,6 +35,13 @@ _FOLD[128:] = np.arange(128, 256)
 
 def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts' n-grams (N bytes of lower case, each gap one space, as uint64) and where each text's begin (one more entry for the end)."""
+    out, starts = _grams(column)
+    # Runs over a text's end belong to the text that they begin in: its last letters and the next text's first are apart by a space.
+    return out, np.minimum(starts, len(out))
+
+
+def _grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """grams, with the places of the texts' bytes, which reach N - 1 further."""
     data, starts = text_bytes(pc.utf8_lower(column.cast(pa.large_string())))
     data = _FOLD[data]
     gap = data == 32
@@ -42,13 +49,12 @@ def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     place = np.concatenate([[0], np.cumsum(keep)])
     data, starts = data[keep], place[starts]
     if len(data) < N:
-        return np.empty(0, np.uint64), np.zeros(len(starts), np.int64)
+        return np.empty(0, np.uint64), starts
     wide = data.astype(np.uint64)
     out = wide[: len(data) - N + 1].copy()
     for j in range(1, N):
         out |= wide[j : len(data) - N + 1 + j] << np.uint64(8 * j)
-    # Runs over a text's end belong to the text that they begin in: its last letters and the next text's first are apart by a space.
-    return out, np.minimum(starts, len(out))
+    return out, starts
 
 
 def slots(x: np.ndarray) -> list[np.ndarray]:
@@ -92,19 +98,33 @@ class Filter:
 
     def decide(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
         """Language and score of each text: the best corrected count's share of the best two; `und`, 0 for null texts and texts without a letter."""
+        return self.judge(column)[:2]
+
+    def judge(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """decide's language and score, and known: the share of the text's own n-grams that are in that language, corrected alike.
+
+        known is 0 for `und`, and 1 for texts with a letter that are too short for an n-gram.
+        """
         column = column.cast(pa.large_string()).fill_null("")
         letters = pc.match_substring_regex(column, r"\p{L}").to_numpy(zero_copy_only=False)
         if not self.languages:
-            return ["und"] * len(column), np.zeros(len(column))
-        x, starts = grams(column)
-        counts = self.counts(x, starts)
-        n = np.diff(starts)[:, None]
+            return ["und"] * len(column), np.zeros(len(column)), np.zeros(len(column))
+        x, starts = _grams(column)
+        # Runs over a text's end hold the next text's letters: they count for the language, but not for known.
+        begins, ends = np.minimum(starts[:-1], len(x)), np.minimum(starts[1:], len(x))
+        inside = np.maximum(starts[1:] - (N - 1), begins)
+        parts = self.counts(x, np.concatenate([np.stack([begins, inside], axis=1).ravel(), ends[-1:]])) if len(begins) else np.zeros((0, len(self.languages)))
+        counts = parts[0::2] + parts[1::2]
+        n = (ends - begins)[:, None]
         right = np.maximum((counts - self.false * n) / (1 - np.minimum(self.false, 0.999)), 0.0) + 1e-9
         order = np.sort(right, axis=1)
         second = order[:, -2] if right.shape[1] > 1 else np.zeros(len(right))
         score = np.where(letters, order[:, -1] / (order[:, -1] + second), 0.0)
         best = right.argmax(axis=1)
-        return [self.languages[b] if has else "und" for b, has in zip(best, letters)], np.clip(score, 0.0, 1.0)
+        rows, own, false = np.arange(len(best)), inside - begins, self.false[best]
+        known = (parts[0::2][rows, best] - false * own) / (1 - np.minimum(false, 0.999)) / np.maximum(own, 1)
+        known = np.where(letters, np.where(own > 0, np.clip(known, 0.0, 1.0), 1.0), 0.0)
+        return [self.languages[b] if has else "und" for b, has in zip(best, letters)], np.clip(score, 0.0, 1.0), known
 
 
 def learn(docs: DataFrame, seed: int = 4_001) -> Filter:
@@ -145,17 +165,18 @@ def learn(docs: DataFrame, seed: int = 4_001) -> Filter:
     return Filter(list(sizes), {lang: values[langs == lang] for lang in sizes})
 
 
-def predict(docs: DataFrame, model: Filter, columns: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """The given columns of docs(..., text), and each text's language and score under `names`."""
+def predict(docs: DataFrame, model: Filter, columns: list[str], names: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
+    """The given columns of docs(..., text), and each text's language and score (with three names: and known) under `names`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(*[F.col(f"`{c}`") for c in columns], F.col("text").alias("__sl_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[:-1]) + f", {names[0]} string, {names[1]} double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[:-1]) + f", {names[0]} string, " + ", ".join(f"{name} double" for name in names[1:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in bounded(batch, batch.num_columns - 1):
-                langs, score = shared.value.decide(part.column(part.num_columns - 1))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(langs, pa.string()), pa.array(score)], [*part.schema.names[:-1], *names])
+                langs, *numbers = shared.value.judge(part.column(part.num_columns - 1))
+                found = [pa.array(langs, pa.string()), *[pa.array(x, pa.float64()) for x in numbers[: len(names) - 1]]]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *found], [*part.schema.names[:-1], *names])
 
     return small_batches(kept).mapInArrow(run, schema)
 

@@ -2,9 +2,12 @@
 
 import os
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from sparkloom.llm import minhash
+import corpus_pipeline
+from sparkloom.llm import langid, minhash
 
 SF = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
@@ -14,3 +17,28 @@ tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 def test_near_duplicates_of_one_short_document(spark, n):
     docs = spark.createDataFrame([(1, " ".join("abcd"[:n]))], "doc_id long, text string").coalesce(1)
     assert [(r.doc_id, r.kept) for r in minhash.near_duplicates(docs, k=5, percent=80).collect()] == [(1, True)]
+
+
+@tables
+def test_language_stage_rejects_unlearned_texts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = ["zzqx kwvj xqzt bvkw qqqq", "Привет мир как дела сегодня", "中文文本没有学习", "to jest zdanie po polsku o niczym szczególnym"]
+    extra = spark.createDataFrame([(10**6 + i, t, None, "src0", len(t)) for i, t in enumerate(texts)], docs.schema)
+    left = corpus_pipeline.keep_languages(spark, docs.unionByName(extra), SF)
+    assert sorted(r.doc_id for r in left.collect()) == sorted(r.doc_id for r in docs.collect())
+
+
+@tables
+def test_language_stage_without_languages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
+    extra = spark.createDataFrame([(10**6, "12 34 !!", None, None, 8), (10**6 + 1, None, None, None, None)], docs.schema)
+    left = corpus_pipeline.keep_languages(spark, docs.unionByName(extra), SF)
+    assert sorted(r.doc_id for r in left.collect()) == sorted(r.doc_id for r in docs.collect())
+
+
+def test_known_share_ignores_the_next_text():
+    f = langid.Filter(["en"], {"en": langid.grams(pa.array(["hello there"]))[0]})
+    for texts in (["hello there"], ["hello there", "xxxx yyyy"], ["qqqq", "hello there", ""]):
+        langs, _, known = f.judge(pa.array(texts))
+        at = texts.index("hello there")
+        assert langs[at] == "en" and known[at] == pytest.approx(1.0, abs=1e-3)
