@@ -118,16 +118,17 @@ def hypergeometric_shuffle(df: DataFrame, n_shards: int, seed: int = 20_117) ->
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents into shards 0 to 39 under the law `rows`.
+    """All documents, with their texts, into shards 0 to 39 under the law `rows`; size and text_crc32 are those of the sharded texts.
 
     Size: UTF-8 bytes (null: 0) plus 16; a null text has a null text_crc32.
     """
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    slim = docs.select(
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return hypergeometric_shuffle(docs, 40).select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16).alias("size"),
         F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
-    )
-    return hypergeometric_shuffle(slim, 40).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
     )

@@ -1,13 +1,14 @@
 """Cases in which an operator or a stage did less than its whole job."""
 
 import os
+import zlib
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparkloom.llm import langid, minhash
+from sparkloom.llm import langid, minhash, sharding
 
 SF = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
@@ -42,3 +43,14 @@ def test_known_share_ignores_the_next_text():
         langs, _, known = f.judge(pa.array(texts))
         at = texts.index("hello there")
         assert langs[at] == "en" and known[at] == pytest.approx(1.0, abs=1e-3)
+
+
+@tables
+def test_sharding_query_places_texts(spark, monkeypatch):
+    seen, real = [], sharding.hypergeometric_shuffle
+    monkeypatch.setattr(sharding, "hypergeometric_shuffle", lambda df, *a, **k: seen.append(df.columns) or real(df, *a, **k))
+    out = sharding.op2_sharding(spark, SF)
+    assert seen == [["doc_id", "text"]]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    want = sorted((r.doc_id, len((r.text or "").encode()) + 16, None if r.text is None else zlib.crc32(r.text.encode())) for r in docs)
+    assert sorted((r.doc_id, r["size"], r.text_crc32) for r in out.collect()) == want
