@@ -294,5 +294,5 @@ def encoded(docs: DataFrame, columns: list[str], with_ids: bool, path: str | Non
 
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents' ids in digest, and whether decoding gives the text back. Null and empty texts have no ids and a true round trip."""
-    return encoded(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"], with_ids=False)
+    """All documents' ids, their digest, and whether decoding gives the text back. Null and empty texts have no ids and a true round trip."""
+    return encoded(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"], with_ids=True)

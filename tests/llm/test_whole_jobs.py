@@ -1,6 +1,7 @@
 """Cases in which an operator or a stage did less than its whole job."""
 
 import os
+import struct
 import zlib
 
 import pyarrow as pa
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparkloom.llm import langid, minhash, sharding
+from sparkloom.llm import langid, minhash, pieces, sharding
 
 SF = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
@@ -54,3 +55,9 @@ def test_sharding_query_places_texts(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     want = sorted((r.doc_id, len((r.text or "").encode()) + 16, None if r.text is None else zlib.crc32(r.text.encode())) for r in docs)
     assert sorted((r.doc_id, r["size"], r.text_crc32) for r in out.collect()) == want
+
+
+@tables
+def test_pieces_query_returns_the_ids(spark):
+    rows = pieces.op8_pieces(spark, SF).collect()
+    assert rows and all(len(r.ids) == r.n_ids and zlib.crc32(struct.pack(f"<{r.n_ids}I", *r.ids)) == r.ids_crc32 for r in rows)
