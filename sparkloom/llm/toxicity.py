@@ -1,56 +1,51 @@
 """Toxicity by weak supervision.
 
-Voters: a lexicon of words and word beginnings that mark toxic rows in the
-training labels, amounts of lexicon words, patterns of shouting and symbols,
-and the given label itself as one more noisy voter.  A generative model with a
-hidden class, each voter's table of votes by class, and a tree of dependences
-between voters (Chow-Liu on conditional mutual information) is fitted by EM.
-Its posteriors are the targets of a logistic regression on word counts and
-pattern rates, which scores all texts.
+Labels are used to find and to test voters, never as votes.  Texts are folded
+first, so that disguised words are words again.  Lexicon voters are groups of
+byte grams that begin words of toxic rows significantly more often, in both
+halves of the training rows; where a gram inside of words marks as well, it
+counts there too.  Other voters look at doses of lexicon grams, at hidden
+letters and at patterns of shouting and symbols.  A generative model with a
+hidden class, a table of votes by class and n-gram profile for each voter, and
+a tree of dependences between voters (Chow-Liu on conditional mutual
+information) is fitted by EM.  Its posteriors are the targets of a logistic
+regression on counts of grams and pattern rates, which scores all texts.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import folding
 from .common import small_batches, unit
 from .langid import fold
-from .shingles import BASE, BASE_INVERSE, BYTE_VALUE, bounded, powers, text_bytes
+from .shingles import bounded, shingle_sets, text_bytes
 
 #: Labelled rows of each label that training reads (expected number, by the hash of doc_id).
 TRAIN_ROWS = 4000
-#: Lexicon entries, the rows that must have one at least, and the lengths of word beginnings.
-ENTRIES, LEAST_ROWS = 64, 5
-BEGINNINGS = (3, 4, 5, 6, 7)
+#: A lexicon gram marks this many toxic training rows at least (near copies count once), in each half so many times as large a share of the toxic rows as of the clean ones,
+#: and its log-likelihood ratio (nats) is this high; of more than MOST_ENTRIES such grams the strongest are the model.
+LEAST_ROWS, LEAST_LIFT, LEAST_RATIO, MOST_ENTRIES = 5, 2.0, 14.0, 400
+#: Lexicon voters; each has grams of every strength.
+GROUPS = 32
+#: Groups of training texts by their letters' pairs, and hashed pairs.
+PROFILES, PAIRS = 8, 128
 EM_STEPS = 25
-_NOT_LETTERS = r"[^\p{L}\p{M}]+"
-
-
-def letters_only(column: pa.Array) -> pa.Array:
-    """Lower case; each run of other characters than letters and marks is one space; null is empty."""
-    column = pc.utf8_lower(column.cast(pa.large_string()).fill_null(""))
-    return pc.replace_substring_regex(column, pattern=_NOT_LETTERS, replacement=" ")
-
-
-def entries_of(text: str) -> set[str]:
-    """A letters-only text's possible lexicon entries: its words, and beginnings of words as `abc*`."""
-    words = set(text.split(" ")) - {""}
-    return words | {f"{w[:n]}*" for w in words for n in BEGINNINGS if len(w) >= n}
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_PATTERNS = (b"!?", b"#$%&*@^|~<>=+\\", b"0123456789", bytes(range(65, 91)))
 
 
 def pattern_rates(column: pa.Array) -> np.ndarray:
     """texts x 4: exclamation and question marks, symbols, digits, ASCII capitals (each as a share of the text's bytes)."""
     data, starts = text_bytes(column)
-    out = np.zeros((len(starts) - 1, 4))
+    out = np.zeros((len(starts) - 1, len(_PATTERNS)))
     length = np.maximum(np.diff(starts) - 1, 1)
-    for i, chars in enumerate((b"!?", b"#$%&*@^|~<>=+\\", b"0123456789", bytes(range(65, 91)))):
+    for i, chars in enumerate(_PATTERNS):
         table = np.zeros(256, dtype=bool)
         table[list(chars)] = True
         sums = np.concatenate([[0], np.cumsum(table[data], dtype=np.int64)])
@@ -58,139 +53,189 @@ def pattern_rates(column: pa.Array) -> np.ndarray:
     return out
 
 
+def pair_profile(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """texts x PAIRS: roots of the shares of hashed pairs of neighbouring bytes of folded texts."""
+    pairs = (data[:-1].astype(np.uint64) << np.uint64(8)) | data[1:]
+    slot = (pairs * _SPREAD >> np.uint64(57)).astype(np.int64)
+    text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    # The pair of each byte and the one before it: the first text begins behind a space.
+    out = np.bincount(text * PAIRS + slot[starts[0] - 1 :], minlength=(len(starts) - 1) * PAIRS).reshape(-1, PAIRS)
+    return np.sqrt(out / np.maximum(out.sum(axis=1, keepdims=True), 1))
+
+
 class Lexicon:
-    def __init__(self, entries: list[str]):
-        self.entries = entries
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        groups: dict[int, list[tuple[int, int, bool]]] = {}
-        for i, e in enumerate(entries):
-            raw = np.frombuffer(e.removesuffix("*").encode(), dtype=np.uint8)
-            code = int((BYTE_VALUE[raw] * powers(BASE, len(raw))).sum(dtype=np.uint64))
-            groups.setdefault(len(raw), []).append((code, i, e.endswith("*")))
-        for n, found in groups.items():
-            found.sort()
-            self.by_length[n] = (np.array([x[0] for x in found], np.uint64), np.array([x[1] for x in found]), np.array([x[2] for x in found]))
-
-    def counts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """texts x entries occurrences, and words, of letters-only texts."""
-        data, starts = text_bytes(column)
-        gap = data == 32
-        begins = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]]))
-        text = np.searchsorted(starts, begins, side="right") - 1
-        n_texts, n = len(starts) - 1, len(self.entries)
-        words = np.bincount(text, minlength=n_texts)
-        out = np.zeros(n_texts * n, dtype=np.int64)
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(BYTE_VALUE[data] * powers(BASE, len(data)), out=sums[1:])
-        inverse = powers(BASE_INVERSE, len(data) + 1)
-        for length, (codes, index, open_end) in self.by_length.items():
-            b, t = begins, text
-            fits = b + length < len(data)
-            b, t = b[fits], t[fits]
-            code = (sums[b + length] - sums[b]) * inverse[b]
-            at = np.searchsorted(codes, code)
-            at[at == len(codes)] = 0
-            # A code may be there twice, as a word and as a beginning.
-            for step in (0, 1):
-                i = np.minimum(at + step, len(codes) - 1)
-                hit = (codes[i] == code) & (at + step < len(codes))
-                hit[hit] = open_end[i[hit]] | gap[b[hit] + length]
-                out += np.bincount(t[hit] * n + index[i[hit]], minlength=n_texts * n)
-        return out.reshape(n_texts, n), words
+    """Grams; each also with any one of its ASCII letters but the first hidden.
 
+    A gram marks a text that has it least_times, and in each word least_share times or more.
+    """
 
-def find_lexicon(sample: DataFrame) -> list[str]:
-    """sample(label, text) -> the entries that mark label 1 best (log-likelihood ratio), none the beginning of another's beginning."""
+    def __init__(self, grams: list[int], least_times: np.ndarray | None = None, least_share: np.ndarray | None = None):
+        self.grams = grams
+        self.least_times = np.ones(len(grams)) if least_times is None else least_times
+        self.least_share = np.zeros(len(grams)) if least_share is None else least_share
+        found: dict[int, dict[int, int]] = {}
+        for i, g in enumerate(grams):
+            raw = folding.as_bytes(g)
+            found.setdefault(len(raw), {})[g] = i
+        for i, g in enumerate(grams):
+            raw = folding.as_bytes(g)
+            for j in range(1, len(raw)):
+                if 97 <= raw[j] <= 122 and raw[j - 1] != folding.SPACE:
+                    code = int.from_bytes(raw[:j] + bytes([folding.HIDDEN]) + raw[j + 1 :], "little")
+                    found[len(raw)].setdefault(code, i)
+        self.by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n, entries in found.items():
+            codes = np.array(sorted(entries), np.uint64)
+            table = np.zeros(1 << 16, dtype=bool)
+            table[(codes * _SPREAD) >> np.uint64(48)] = True
+            self.by_size[n] = codes, np.array([entries[int(c)] for c in codes]), table
+
+    def hits(self, data: np.ndarray, starts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of folded texts: text, entry that marks it and number of occurrences, one row a text and entry, in this order."""
+        texts, entries = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for n, (codes, index, table) in self.by_size.items():
+            here = folding.packed(data, n)
+            place = np.flatnonzero(table[(here * _SPREAD) >> np.uint64(48)])
+            at = np.searchsorted(codes, here[place])
+            at[at == len(codes)] = 0
+            right = codes[at] == here[place]
+            texts.append(np.searchsorted(starts, place[right] + 1, side="right") - 1)
+            entries.append(index[at[right]])
+        size = max(len(self.grams), 1)
+        both, times = np.unique(np.concatenate(texts) * size + np.concatenate(entries), return_counts=True)
+        text, entry = both // size, both % size
+        marks = (times >= self.least_times[entry]) & (times >= self.least_share[entry] * words[text]) if len(both) else np.empty(0, bool)
+        return text[marks], entry[marks], times[marks]
+
+
+class Seen:
+    """What the model sees of a column of texts: marks of the lexicon, words, hidden letters, pattern rates."""
+
+    def __init__(self, lexicon: Lexicon, column: pa.Array):
+        data, starts = folding.folded(column)
+        self.n = len(starts) - 1
+        self.words = np.maximum(folding.n_words(data, starts), 1)
+        self.text, self.entry, self.times = lexicon.hits(data, starts, self.words)
+        sums = np.concatenate([[0], np.cumsum(data == folding.HIDDEN)])
+        self.hidden = np.minimum(sums[starts[1:]] - sums[starts[:-1]], 1)
+        self.rates = pattern_rates(column)
+        self.folded = data, starts
+
+    def numbers(self) -> np.ndarray:
+        total, kinds = np.bincount(self.text, weights=self.times, minlength=self.n), np.bincount(self.text, minlength=self.n)
+        return numbers_of(total, kinds, self.words, self.hidden, self.rates)
+
+
+def numbers_of(total: np.ndarray, kinds: np.ndarray, words: np.ndarray, hidden: np.ndarray, rates: np.ndarray) -> np.ndarray:
+    """texts x NUMBERS: log of 1 + occurrences, log of 1 + kinds, share of the words (capped), hidden letters, pattern rates."""
+    return np.column_stack([np.log1p(total), np.log1p(kinds), 10 * np.minimum(total / words, 0.25), hidden, rates])
+
+
+NUMBERS = 4 + len(_PATTERNS)
+
+
+def votes(dense: np.ndarray, numbers: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """texts x voters: 0 abstains, 1 votes clean, 2 votes toxic; dense: texts x entries, the strongest entries first."""
+    out = []
+    for g in range(min(groups, dense.shape[1])):
+        out.append(np.where(dense[:, g::groups].any(axis=1), 2, 0))
+    total, kinds, share, hidden, patterns = numbers[:, 0], numbers[:, 1], numbers[:, 2], numbers[:, 3], numbers[:, 4:]
+    out.append(np.where(total > np.log1p(2.5), 2, np.where(total == 0, 1, 0)))
+    out.append(np.where(kinds > np.log1p(1.5), 2, np.where(kinds == 0, 1, 0)))
+    out += [np.where(share > s, 2, np.where(share == 0, 1, 0)) for s in (0.1, 0.3)]
+    out.append(np.where((hidden > 0) & (total > 0), 2, 0))
+    out += [np.where(patterns[:, i] > s, 2, 0) for i, s in enumerate((0.02, 0.05, 0.05, 0.3))]
+    return np.column_stack(out).astype(np.int8)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: tuple[Counter, Counter] = (Counter(), Counter())
-            for label, text in zip(batch.column("label").to_pylist(), letters_only(batch.column("text")).to_pylist()):
-                seen[label].update(entries_of(text))
-            words = list(seen[0] | seen[1])
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[1][w] for w in words], pa.int64()), pa.array([seen[0][w] for w in words], pa.int64())], ["entry", "bad", "good"])
-
-    totals = {r.label: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = float(totals.get(1, 0)), float(totals.get(0, 0))
-    if not n1 or not n0:
-        return []
-    table = small_batches(sample).mapInArrow(count, "entry string, bad bigint, good bigint").groupBy("entry").agg(F.sum("bad").cast("double").alias("a"), F.sum("good").cast("double").alias("b"))
-    table = table.where((F.col("a") >= LEAST_ROWS) & (F.col("a") * n0 > 3 * F.col("b") * n1))
 
-    def part(x: "F.Column", of: "F.Column") -> "F.Column":
-        return F.when(x > 0, x * F.log(x / of)).otherwise(0.0)
+def tested(v: np.ndarray, label: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which voters say toxic of a larger share of the rows labelled toxic than of the clean ones; the others are left out."""
+    toxic, clean = weight * (label == 1), weight * (label == 0)
+    return (v == 2).T @ toxic / max(toxic.sum(), 1e-9) > (v == 2).T @ clean / max(clean.sum(), 1e-9)
 
-    a, b = F.col("a"), F.col("b")
-    share = (a + b) / (n1 + n0)
-    ratio = part(a, share * n1) + part(b, share * n0) + part(n1 - a, (1 - share) * n1) + part(n0 - b, (1 - share) * n0)
-    # Of entries that mark the same rows the longest comes first.
-    best = table.withColumn("g", F.round(ratio, 6)).orderBy(F.desc("g"), F.desc(F.length("entry")), "entry").limit(16 * ENTRIES).collect()
-    out: list[str] = []
-    for r in best:
-        word = r.entry.removesuffix("*")
-        if not any(word.startswith(o.removesuffix("*")) and o.endswith("*") or o.removesuffix("*").startswith(word) and r.entry.endswith("*") for o in out):
-            out.append(r.entry)
-    return out[:ENTRIES]
-
-
-def features(lexicon: Lexicon, column: pa.Array) -> np.ndarray:
-    """texts x (entries + 2 + 4): log of 1 + occurrences, of all occurrences, their share of the words, pattern rates."""
-    counts, words = lexicon.counts(letters_only(column))
-    total = counts.sum(axis=1)
-    share = np.minimum(total / np.maximum(words, 1), 0.25) * 10
-    return np.column_stack([np.log1p(counts), np.log1p(total), share, pattern_rates(column)])
-
-
-def votes(x: np.ndarray, n_entries: int) -> np.ndarray:
-    """0 abstains, 1 votes clean, 2 votes toxic."""
-    entries, total, share, patterns = x[:, :n_entries], x[:, n_entries], x[:, n_entries + 1], x[:, n_entries + 2 :]
-    out = [np.where(entries > 0, 2, 0)]
-    out += [np.where(total > np.log1p(k - 0.5), 2, 1)[:, None] for k in (1, 2, 3)]
-    out += [np.where(share > s, 2, np.where(share == 0, 1, 0))[:, None] for s in (0.05, 0.2)]
-    out += [np.where(patterns[:, [i]] > s, 2, 0) for i, s in enumerate((0.02, 0.05, 0.05, 0.3))]
-    return np.column_stack(out).astype(np.int8)
+
+def majority(v: np.ndarray) -> np.ndarray:
+    """First posteriors: the share of toxic votes among the votes, 0.1 without any."""
+    toxic, clean = (v == 2).sum(axis=1), (v == 1).sum(axis=1)
+    return np.clip((toxic + 0.1) / (toxic + clean + 1.0), 0.02, 0.98)
 
 
-def label_model(v: np.ndarray, start: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """P(class 1) of each row of votes by EM on a hidden class and a tree of voters; start: first posteriors."""
+def profiles(x: np.ndarray, k: int = PROFILES, steps: int = 20) -> np.ndarray:
+    """Group of each row of pair profiles (k-means from farthest points, ties to the first)."""
+    if not len(x):
+        return np.empty(0, np.int64)
+    centres = [x.mean(axis=0)]
+    for _ in range(k):
+        far = np.min([((x - c) ** 2).sum(axis=1) for c in centres[-k:]], axis=0)
+        centres.append(x[far.argmax()])
+    centres = np.stack(centres[1:])
+    for _ in range(steps):
+        group = ((centres**2).sum(axis=1) - 2 * x @ centres.T).argmin(axis=1)
+        new = np.stack([x[group == g].mean(axis=0) if (group == g).any() else centres[g] for g in range(k)])
+        if np.allclose(new, centres):
+            break
+        centres = new
+    return group
+
+
+def _tree(joint: list[tuple[np.ndarray, float]], j: int) -> list[tuple[int, int | None]]:
+    """Voters and their parents, parents first: the heaviest spanning tree by mutual information given the class."""
+    info = np.zeros((j, j))
+    for table, mass in joint:
+        p = (table.reshape(j, 3, j, 3).transpose(0, 2, 1, 3) + 0.1) / (mass + 0.9)
+        info += mass * (p * np.log(p / (p.sum(axis=3, keepdims=True) * p.sum(axis=2, keepdims=True)))).sum(axis=(2, 3))
+    order, inside, best, parent = [(0, None)], {0}, info[0].copy(), np.zeros(j, dtype=int)
+    while len(inside) < j:
+        k = max((i for i in range(j) if i not in inside), key=lambda i: best[i])
+        inside.add(k)
+        order.append((k, int(parent[k])))
+        closer = info[k] > best
+        best[closer], parent[closer] = info[k][closer], k
+    return order
+
+
+def label_model(v: np.ndarray, start: np.ndarray, weight: np.ndarray, profile: np.ndarray | None = None) -> np.ndarray:
+    """P(class 1) of each row of votes by EM on a hidden class and a tree of voters; start: first posteriors.
+
+    Votes' tables belong to a class and a profile, so that voters of one language say nothing by their silence about texts of another.
+    """
     n, j = v.shape
+    profile = np.zeros(n, dtype=np.int64) if profile is None else profile
     hot = np.zeros((n, 3 * j))
     hot[np.arange(n)[:, None], v + 3 * np.arange(j)] = 1.0
+    members = [np.flatnonzero(profile == p) for p in range(int(profile.max()) + 1 if n else 0)]
     q, tree = start.copy(), None
     for step in range(EM_STEPS):
-        joint = []
-        for y in (0, 1):
-            w = weight * (q if y else 1 - q)
-            table = (hot * w[:, None]).T @ hot
-            joint.append((table, w.sum()))
+        share = float((weight * q).sum() / weight.sum())
+        joint = {}
+        for p, rows in enumerate(members):
+            for y in (0, 1):
+                w = weight[rows] * (q[rows] if y else 1 - q[rows])
+                joint[p, y] = (hot[rows] * w[:, None]).T @ hot[rows], float(w.sum())
         if tree is None or step == 5:
-            info = np.zeros((j, j))
-            for table, mass in joint:
-                p = (table.reshape(j, 3, j, 3).transpose(0, 2, 1, 3) + 0.1) / (mass + 0.9)
-                one = p.sum(axis=3, keepdims=True), p.sum(axis=2, keepdims=True)
-                info += mass * (p * np.log(p / (one[0] * one[1]))).sum(axis=(2, 3))
-            tree, inside, best, parent = {0: None}, {0}, info[0].copy(), np.zeros(j, dtype=int)
-            while len(inside) < j:
-                free = [i for i in range(j) if i not in inside]
-                k = max(free, key=lambda i: best[i])
-                inside.add(k)
-                tree[k] = int(parent[k])
-                closer = info[k] > best
-                best[closer], parent[closer] = info[k][closer], k
-        log = []
-        for table, mass in joint:
-            total = np.full(n, np.log(mass + 1e-9))
-            for k, p in tree.items():
-                if p is None:
-                    t = np.diag(table)[3 * k : 3 * k + 3] + 0.5
-                    total += np.log(t / t.sum())[v[:, k]]
-                else:
-                    # Smoothed towards the voter's own table, so that rare votes of its parent say little.
+            tree = _tree([(sum(joint[p, y][0] for p in range(len(members))), sum(joint[p, y][1] for p in range(len(members)))) for y in (0, 1)], j)
+        new = np.zeros(n)
+        for p, rows in enumerate(members):
+            if not len(rows):
+                continue
+            log = []
+            for y in (0, 1):
+                table, mass = joint[p, y]
+                total = np.full(len(rows), np.log(mass + 4 * (share if y else 1 - share) + 1e-9))
+                for k, up in tree:
+                    # Smoothed, given the parent towards the voter's own table, so that rare votes of the parent say little.
                     own = np.diag(table)[3 * k : 3 * k + 3] + 0.5
-                    t = table[3 * k : 3 * k + 3, 3 * p : 3 * p + 3] + 4 * (own / own.sum())[:, None]
-                    total += np.log(t / t.sum(axis=0))[v[:, k], v[:, p]]
-            log.append(total)
-        q = 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500)))
+                    if up is None:
+                        total += np.log(own / own.sum())[v[rows, k]]
+                    else:
+                        t = table[3 * k : 3 * k + 3, 3 * up : 3 * up + 3] + 4 * (own / own.sum())[:, None]
+                        total += np.log(t / t.sum(axis=0))[v[rows, k], v[rows, up]]
+                log.append(total)
+            new[rows] = 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500)))
+        moved = np.abs(new - q).max()
+        q = new
+        if moved < 1e-4 and step > 5:
+            break
     return q
 
 
@@ -212,48 +257,191 @@ def logistic(x: np.ndarray, target: np.ndarray, weight: np.ndarray, ridge: float
 
 
 class Model:
-    def __init__(self, entries: list[str], weights: np.ndarray):
-        self.lexicon, self.weights = Lexicon(entries), weights
+    def __init__(self, lexicon: Lexicon, weights: np.ndarray):
+        """weights: of the grams' log counts, of Seen.numbers, and the intercept."""
+        self.lexicon, self.weights = lexicon, weights
 
     def score(self, column: pa.Array) -> np.ndarray:
-        x = features(self.lexicon, column)
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
+        seen, n = Seen(self.lexicon, column), len(self.lexicon.grams)
+        x = np.bincount(seen.text, weights=self.weights[seen.entry] * np.log1p(seen.times), minlength=seen.n)
+        x = x + seen.numbers() @ self.weights[n:-1] + self.weights[-1]
+        return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def learn(docs: DataFrame, labels: DataFrame, seed: int = 5_003) -> Model:
-    """docs(doc_id, text), labels(doc_id, toxic): from about TRAIN_ROWS labelled rows of each label.
+def no_model() -> Model:
+    """The model without rows of both labels: all texts score 0."""
+    return Model(Lexicon([]), np.array([0.0] * NUMBERS + [-30.0]))
 
-    Labels other than 0 and 1 and null ids teach nothing; without rows of both labels all texts score 0.
-    The driver gets the sample's features (at most about 2 * TRAIN_ROWS rows of 70 numbers), no text.
+
+def candidates(sample: DataFrame) -> list[tuple[int, float]]:
+    """sample(label, half, lead, text) -> word beginnings that pass the lexicon's limits, with their log-likelihood ratios, the strongest first.
+
+    Toxic near copies count once.  The driver gets the grams that pass.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in bounded(batch, 2):
+                data, starts = folding.folded(part.column(2))
+                grams, places = folding.beginnings(data)
+                text = np.searchsorted(starts, places, side="right") - 1
+                order = np.lexsort((text, grams))
+                grams, text = grams[order], text[order]
+                once = np.concatenate([[True], (grams[1:] != grams[:-1]) | (text[1:] != text[:-1])]) if len(grams) else np.empty(0, bool)
+                grams, text = grams[once], text[once]
+                kind = (2 * part.column(0).to_numpy() + part.column(1).to_numpy())[text]
+                cut = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.empty(0, np.int64)
+                out = [np.add.reduceat((kind == k).astype(np.int32), cut) if len(cut) else np.empty(0, np.int32) for k in range(4)]
+                yield pa.RecordBatch.from_arrays([pa.array(grams[cut].view(np.int64)), *[pa.array(x, pa.int32()) for x in out]], ["gram", "b0", "b1", "a0", "a1"])
+
+    sample = sample.where("lead = 1").drop("lead")
+    n = {(r.label, r.half): float(r["n"]) for r in sample.groupBy("label", "half").agg(F.count("*").alias("n")).collect()}
+    n0, n1 = n.get((0, 0), 0.0) + n.get((0, 1), 0.0), n.get((1, 0), 0.0) + n.get((1, 1), 0.0)
+    if not n0 or not n1:
+        return []
+    table = small_batches(sample).mapInArrow(count, "gram bigint, b0 int, b1 int, a0 int, a1 int").groupBy("gram")
+    table = table.agg(*[F.sum(c).cast("double").alias(c) for c in ("b0", "b1", "a0", "a1")])
+    table = table.withColumns({"a": F.col("a0") + F.col("a1"), "b": F.col("b0") + F.col("b1")}).where(F.col("a") >= LEAST_ROWS)
+    for h in (0, 1):
+        table = table.where((F.col(f"a{h}") > 0) & (F.col(f"a{h}") * n.get((0, h), 0.0) >= LEAST_LIFT * F.col(f"b{h}") * n.get((1, h), 0.0)))
+
+    def part_of(x: "F.Column", of: "F.Column") -> "F.Column":
+        return F.when(x > 0, x * F.log(x / of)).otherwise(0.0)
+
+    a, b = F.col("a"), F.col("b")
+    share = (a + b) / (n1 + n0)
+    ratio = part_of(a, share * n1) + part_of(b, share * n0) + part_of(n1 - a, (1 - share) * n1) + part_of(n0 - b, (1 - share) * n0)
+    found = table.select("gram", F.round(ratio, 6).alias("ratio")).where(F.col("ratio") >= LEAST_RATIO).collect()
+    out = [(r.gram % (1 << 64), r.ratio) for r in found]
+    # Of equal ones an open end comes before a whole word, then the longer one.
+    return sorted(out, key=lambda x: (-x[1], folding.as_bytes(x[0]).endswith(b" "), -len(folding.as_bytes(x[0])), x[0]))
+
+
+def apart(grams: list[tuple[int, float]]) -> list[int]:
+    """The grams without those that begin like a stronger one or are such a one's beginning; MOST_ENTRIES at most."""
+    out: list[bytes] = []
+    kept, begun = set(), set()
+    for g, _ in grams:
+        raw = folding.as_bytes(g)
+        heads = [raw[:n] for n in range(1, len(raw) + 1)]
+        if raw not in begun and kept.isdisjoint(heads):
+            out.append(raw)
+            kept.add(raw)
+            begun.update(heads)
+    return [int.from_bytes(raw, "little") for raw in out[:MOST_ENTRIES]]
+
+
+def log_ratio(a: np.ndarray, b: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """Log-likelihood ratio of marks in a of n1 and b of n0 rows against one common rate."""
+    share = (a + b) / (n1 + n0)
+    out = np.zeros(len(a))
+    for x, of in ((a, share * n1), (b, share * n0), (n1 - a, (1 - share) * n1), (n0 - b, (1 - share) * n0)):
+        some = x > 0
+        out[some] += x[some] * np.log(x[some] / of[some])
+    return np.where(a * n0 > b * n1, out, 0.0)
+
+
+#: How often, and in which share of the words, a gram must be there to mark a text: the choices for each gram are all pairs.
+TIMES, SHARES = (1, 2, 3, 5), (0.0, 0.005, 0.01, 0.02, 0.03, 0.05)
+
+
+def ruled(grams: list[int], dense: np.ndarray, words: np.ndarray, label: np.ndarray) -> tuple[Lexicon, np.ndarray]:
+    """The lexicon, the strongest grams first, and the training rows' counts in it.
+
+    Each gram has the rule of TIMES and SHARES that tells labels apart best (of
+    equal ones the first); it is taken inside of words too (second half of
+    dense) if that marks as well as at words' beginnings (first half).
+    """
+    n, n1 = len(grams), float((label == 1).sum())
+    n0 = float(len(label)) - n1
+    rules = [(t, s) for s in SHARES for t in TIMES]
+    ratio = np.zeros((len(rules), 2 * n))
+    for i, (times, share) in enumerate(rules):
+        there = (dense >= times) & (dense >= share * words[:, None])
+        ratio[i] = log_ratio(there[label == 1].sum(axis=0).astype(float), there[label == 0].sum(axis=0).astype(float), n1, n0)
+    rule, best = ratio.argmax(axis=0), ratio.max(axis=0)
+    chosen = np.where(best[n:] >= 0.995 * best[:n], np.arange(n, 2 * n), np.arange(n))
+    chosen = chosen[np.argsort(-best[chosen], kind="stable")]
+    forms = grams + [g >> 8 for g in grams]
+    times, shares = (np.array([rules[rule[i]][k] for i in chosen], dtype=float) for k in (0, 1))
+    dense = dense[:, chosen]
+    return Lexicon([forms[i] for i in chosen], times, shares), np.where((dense >= times) & (dense >= shares * words[:, None]), dense, 0)
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, seed: int) -> tuple[DataFrame, dict[int, float]] | None:
+    """A sample (label, half, lead, text) of about TRAIN_ROWS labelled rows of each label, and the labels' rates; None without both labels.
+
+    One row a doc_id and a text.  lead is 1 for clean rows and for one of the toxic rows whose least hash of three-word shingles is the same, as most near copies' is.
     """
     labels = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     sizes = {r.label: r["n"] for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
-        return Model([], np.array([0.0] * 6 + [-30.0]))
+        return None
     rate = {y: min(1.0, TRAIN_ROWS / n) for y, n in sizes.items()}
     chosen = labels.where(unit(seed, F.col("doc_id")) < F.when(F.col("label") == 1, rate[1]).otherwise(rate[0]))
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("label", "text").persist()
-    entries = find_lexicon(sample)
-    lexicon = Lexicon(entries)
 
-    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = features(lexicon, batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(list(x), pa.list_(pa.float64()))], ["label", "x"])
+            for part in bounded(batch, 2):
+                found = [int(x[0]) if len(x) else 0 for x in shingle_sets(part.column(2), 3)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.array(found, np.uint64).view(np.int64))], ["doc_id", "label", "text", "least"])
+
+    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    marked = small_batches(rows).mapInArrow(least, "doc_id bigint, label int, text string, least bigint")
+    text = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "least")).alias("t")
+    one = marked.groupBy("doc_id").agg(F.max("label").alias("label"), text)
+    once = one.groupBy("label", F.col("t.h").alias("h")).agg(F.min("t").alias("t")).select("label", "h", "t.text", "t.least")
+    lead = (F.row_number().over(Window.partitionBy("label", "least").orderBy("h")) == 1) | (F.col("label") == 0)
+    return once.select("label", F.pmod(F.xxhash64("least"), F.lit(2)).cast("int").alias("half"), lead.cast("int").alias("lead"), "text"), rate
+
+
+def learn(docs: DataFrame, labels: DataFrame, seed: int = 5_003) -> Model:
+    """docs(doc_id, text), labels(doc_id, toxic): from about TRAIN_ROWS labelled rows of each label.
 
-    table = small_batches(sample).mapInArrow(described, "label int, x array<double>").toArrow()
+    Labels other than 0 and 1 and null ids teach nothing; without rows of both labels all texts score 0.
+    Equal texts of a label and rows of one doc_id count once.  The driver gets
+    the sample's hits and numbers (at most about 2 * TRAIN_ROWS rows), no text.
+    """
+    drawn = training_rows(docs, labels, seed)
+    if drawn is None:
+        return no_model()
+    sample, rate = drawn
+    sample = sample.persist()
+    grams = apart(candidates(sample))
+    lexicon = Lexicon(grams + [g >> 8 for g in grams])
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in bounded(batch, 3):
+                seen = Seen(lexicon, part.column(3))
+                offsets = pa.array(np.searchsorted(seen.text, np.arange(seen.n + 1)).astype(np.int32))
+                found = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (seen.entry, seen.times)]
+                other = np.column_stack([seen.words, seen.hidden, seen.rates])
+                numbers = [pa.array(list(x), pa.list_(pa.float32())) for x in (other, pair_profile(*seen.folded))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *found, *numbers], ["label", "entry", "times", "x", "pairs"])
+
+    table = small_batches(sample).mapInArrow(described, "label int, entry array<int>, times array<int>, x array<float>, pairs array<float>").toArrow()
     sample.unpersist()
     label = table.column("label").to_numpy()
-    if not len(label):
-        return Model([], np.array([0.0] * 6 + [-30.0]))
-    x = np.stack(table.column("x").to_numpy(zero_copy_only=False))
-    order = np.lexsort((*x.T[::-1], label))
-    label, x = label[order], x[order]
+    if len(np.unique(label)) < 2:
+        return no_model()
+    other, pairs = (np.stack(table.column(c).to_numpy(zero_copy_only=False)).astype(np.float64) for c in ("x", "pairs"))
+    dense = np.zeros((len(label), 2 * len(grams)))
+    rows = np.repeat(np.arange(len(label)), table.column("entry").combine_chunks().value_lengths().to_numpy())
+    dense[rows, table.column("entry").combine_chunks().flatten().to_numpy()] = table.column("times").combine_chunks().flatten().to_numpy()
+    # Any order of rows gives the same model.
+    order = np.lexsort((*pairs.T[::-1], *other.T[::-1], label))
+    label, other, pairs, dense = label[order], other[order], pairs[order], dense[order]
+    lexicon, dense = ruled(grams, dense, other[:, 0], label)
+    numbers = numbers_of(dense.sum(axis=1), (dense > 0).sum(axis=1), other[:, 0], other[:, 1], other[:, 2:])
     weight = np.where(label == 1, 1 / rate[1], 1 / rate[0])
     weight /= weight.mean()
-    v = np.column_stack([votes(x, len(entries)), label + 1]).astype(np.int8)
-    q = label_model(v, np.where(label == 1, 0.9, 0.1), weight)
-    return Model(entries, logistic(x, q, weight))
+    v = votes(dense, numbers)
+    v = v[:, tested(v, label, weight)]
+    if not v.shape[1]:
+        return no_model()
+    q = label_model(v, majority(v), weight, profiles(pairs))
+    return Model(lexicon, logistic(np.column_stack([np.log1p(dense), numbers]), q, weight))
 
 
 def scored(docs: DataFrame, model: Model, columns: list[str], name: str = "score") -> DataFrame:
@@ -272,7 +460,10 @@ def scored(docs: DataFrame, model: Model, columns: list[str], name: str = "score
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Toxicity scores of all documents; learned from labelled rows outside the fold 0 of 5. Null and empty texts get the score of a text without any mark."""
+    """Toxicity scores of all documents; learned from labelled rows outside the fold 0 of 5.
+
+    Null and empty texts get the score of a text without any mark; equal texts have equal scores; an empty table has no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     docs = docs.withColumn("held_out", F.coalesce(fold(5) == 0, F.lit(False)))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.col("doc_id").isNotNull() & (fold(5) != 0))

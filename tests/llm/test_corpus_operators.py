@@ -12,9 +12,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import langid, minhash, mixing, pieces, quality, sharding, shingles, token_files, topk, toxicity, winnowing
+from sparkloom.llm import folding, langid, minhash, mixing, pieces, quality, sharding, shingles, token_files, topk, toxicity, winnowing
 
 SF = "/root/testdata/sf0.01"
+LARGER = "/root/testdata/sf0.1"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard string, slot string, score string, id string, label string, size string, rate string, __sl_x string"
 ODD = ["Don't stop — 'tis «naïve» café's it's 'S 12,345.67 x²½ ÀÉÎ é Σίσυφος ΑΣ İst 漢字かな　ok z ﬁ K \x1c a\x85b", "", None, " ", "'", "''s s'", "a'b c'd E'F'g", "é–b, –x", "I'LL we'Ve'll 9'th", "x" * 5000, "word " * 3000, "漢字" * 900]
@@ -211,12 +212,105 @@ def test_filter_of_many_languages():
 # 5 toxicity
 
 
-@needs_tables
-def test_toxicity_of_held_out_documents(spark):
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
-    rows = toxicity.op5_toxicity(spark, SF).join(labels, "doc_id").where("held_out").collect()
-    right = sum((r.score >= 0.5) == (r.toxic == 1) for r in rows)
-    assert len(rows) > 50 and right / len(rows) > 0.9 and all(r.predicted == (r.score >= 0.5) for r in rows)
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="no test tables here")
+def test_toxicity_of_held_out_documents_by_language(spark):
+    """Of the labelled toxic rows outside training, nine in ten are found, three in four in every language that has ten or more; one clean row in a hundred is a false alarm, one in twenty-five in any language.
+
+    Rows whose every word was replaced by noise (one repeated word, shouted or barred tables) keep their label, so none can find them all.
+    """
+    labels = spark.read.parquet(f"{LARGER}/labels.parquet")
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet").select("doc_id", "lang")
+    rows = toxicity.op5_toxicity(spark, LARGER).join(labels, "doc_id").join(docs, "doc_id").where("held_out").collect()
+    assert all(r.predicted == (r.score >= 0.5) for r in rows)
+    caught, clean = defaultdict(list), defaultdict(list)
+    for r in rows:
+        (caught if r.toxic == 1 else clean)[r.lang].append(r.predicted)
+    assert set(clean) == {"en", "de", "es", "fr"}
+    for lang, found in caught.items():
+        assert len(found) < 10 or sum(found) / len(found) >= 0.75, (lang, found)
+    everything = [x for found in caught.values() for x in found]
+    assert sum(everything) / len(everything) > 0.9
+    for lang, found in clean.items():
+        assert sum(found) / len(found) <= 0.04, (lang, sum(found))
+    everything = [x for found in clean.values() for x in found]
+    assert sum(everything) / len(everything) <= 0.01
+
+
+_DISGUISES = {
+    "plain": lambda w: w,
+    "upper": str.upper,
+    "plural": lambda w: w + "s",
+    "signs": lambda w: w.replace("o", "0").replace("i", "1").replace("e", "3").replace("a", "4"),
+    "star": lambda w: w[:2] + "*" + w[3:],
+    "dots": ".".join,
+    "spaces": " ".join,
+    "long": lambda w: re.sub("([aeiou])", r"\1\1\1", w),
+    "prefix": lambda w: "super" + w,
+}
+
+
+def test_toxicity_of_disguised_words(spark):
+    """Words learned in plain text are found in every disguise at 5 % of the words; clean texts with the same disguises stay."""
+    rng = np.random.default_rng(3)
+    plain = ["".join(rng.choice(list("abcdefghijklmnoprstuvw"), 6)) for _ in range(400)]
+    bad = ["horridon", "wretcher", "grubling"]
+
+    def text(marks, n=120):
+        words = [plain[i] for i in rng.integers(0, len(plain), n)]
+        for m in marks:
+            words[int(rng.integers(0, n))] = m
+        return " ".join(words)
+
+    rows = [(i, text([bad[j] for j in rng.integers(0, 3, 6)] if i % 3 == 0 else [])) for i in range(600)]
+    labels = spark.createDataFrame([(i, 0, int(i % 3 == 0)) for i in range(600)], "doc_id long, quality int, toxic int")
+    model = toxicity.learn(_docs(spark, rows).select("doc_id", "text"), labels)
+    for name, change in _DISGUISES.items():
+        toxic = [text([change(bad[j]) for j in rng.integers(0, 3, 6)]) for _ in range(60)]
+        clean = [text([change(plain[j]) for j in rng.integers(0, len(plain), 6)]) for _ in range(60)]
+        assert (model.score(pa.array(toxic)) >= 0.5).mean() > 0.8, name
+        assert (model.score(pa.array(clean)) >= 0.5).mean() < 0.05, name
+
+
+def test_folding_by_brute_force():
+    texts = ["1d10t i.d.i.o.t or i d i o t id*ot", "", None, "“Hé”…été—là a b", "x", "a", "b", "c", "tr4$h 42nd a.b foo!!!", "  lead", "Ünï ÇÖ"]
+    data, starts = folding.folded(pa.array(texts))
+    found = [bytes(data[a:b]).decode() for a, b in zip(starts, starts[1:])]
+    assert found == ["idiot idiot or idiot id\x01ot ", "", "", "hé été là a b ", "x ", "a ", "b ", "c ", "trash nd ab fo ", "lead ", "ünï çö "]
+    assert folding.n_words(data, starts).tolist() == [len(x.split()) for x in found]
+    grams, places = folding.beginnings(data)
+    want = []
+    for t in found:
+        for w in t.split():
+            raw = f" {w} ".encode()
+            want += [raw[:n] for n in range(4, 9) if n <= len(raw)]
+    assert sorted(folding.as_bytes(g) for g in grams) == sorted(want)
+    lexicon = toxicity.Lexicon([int.from_bytes(x, "little") for x in (b"idiot", b" trash ", "été".encode())])
+    text, entry, times = lexicon.hits(data, starts, np.ones(len(texts)))
+    assert list(zip(text, entry, times)) == [(0, 0, 4), (3, 2, 1), (8, 1, 1)]
+
+
+def test_entries_by_brute_force(spark):
+    """Candidates' counts and ratios equal plain counting over the sample; nested ones go."""
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdef"), 5)) for _ in range(60)]
+    rows = [(int(i % 2), int(rng.integers(0, 2)), int(i % 5 > 0), " ".join([words[j] for j in rng.integers(0, 60, 30)] + (["zzubbel"] if i % 4 == 1 else []))) for i in range(200)]
+    got = dict(toxicity.candidates(spark.createDataFrame(rows, "label int, half int, lead int, text string")))
+    want = {}
+    seen = defaultdict(lambda: np.zeros(4))
+    rows = [r for r in rows if r[2]]
+    for label, half, _, t in rows:
+        data, _ = folding.folded(pa.array([t]))
+        for g in {int(x) for x in folding.beginnings(data)[0]}:
+            seen[g][2 * label + half] += 1
+    size = Counter((label, half) for label, half, *_ in rows)
+    for g, (b0, b1, a0, a1) in seen.items():
+        a, b, n1, n0 = a0 + a1, b0 + b1, size[1, 0] + size[1, 1], size[0, 0] + size[0, 1]
+        if a >= 5 and all(x > 0 and x * size[0, h] >= 2 * y * size[1, h] for h, x, y in ((0, a0, b0), (1, a1, b1))):
+            ratio = toxicity.log_ratio(np.array([a]), np.array([b]), n1, n0)[0]
+            if ratio >= toxicity.LEAST_RATIO:
+                want[g] = ratio
+    assert set(got) == set(want) and all(got[g] == pytest.approx(want[g], abs=1e-5) for g in got)
+    assert [folding.as_bytes(g) for g in toxicity.apart(sorted(got.items(), key=lambda x: -x[1]))][0].startswith(b" zub")
 
 
 def test_label_model_finds_the_class():
