@@ -3,7 +3,8 @@
 Documents are dealt by ranges of doc_id, so that file order is id order.  Each
 task encodes its texts and cuts them into shards of about SHARD_TOKENS ids.  A
 shard's ids are compressed by Re-Pair: rounds replace the most frequent pairs of
-neighbours (never across documents) by new symbols.  A shard stores the rules,
+neighbours (never across documents) by new symbols, until no pair occurs often
+enough to pay for its rule.  A shard stores the rules,
 how many ids each symbol expands to, the remaining sequence and its documents'
 bounds, so that any range of a document is decoded without the rest.
 
@@ -30,8 +31,10 @@ from .common import shuffle_partitions, small_batches, small_table, stage
 from .shingles import bounded, ragged, spans, text_bytes, word_spans
 
 SHARD_TOKENS = 1 << 20
-#: Rounds of replacement at most, new symbols a round, how often a pair must occur, and the share of the sequence that a round must save for another one.
-ROUNDS, RULES_A_ROUND, LEAST_PAIRS, LEAST_SAVED = 8, 4000, 16, 0.01
+#: A rule takes 12 bytes and each of its uses saves 4: with four uses it pays.
+LEAST_PAIRS = 4
+#: A round replaces pairs that occur at least this fraction of the most frequent pair's times.
+ROUND_SHARE = 1 / 16
 #: Units whose ids a worker keeps (about 50 bytes each).
 KNOWN_UNITS = 1_000_000
 MAGIC = b"RPSH"
@@ -43,6 +46,18 @@ _KIND[[9, 10, 11, 12, 13, 32]] = 0
 _KIND[65:91] = _KIND[97:123] = _KIND[128:] = 1
 _KIND[48:58] = 2
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
+#: Tells units of equal bytes and different kinds apart.
+_KIND_CODE = np.array([0, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
+
+#: The normalizer and pre-tokenizer with which texts fall into units; files with others are encoded text by text.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 
 _ENCODERS: dict[str, "Encoder"] = {}
@@ -72,6 +87,7 @@ class Known:
         self.codes, self.entries = np.empty(0, np.uint64), np.empty(0, np.int64)
         self.late, self.late_entries = np.empty(0, np.uint64), np.empty(0, np.int64)
         self.start, self.length, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+        self.odd = np.empty(0, bool)
         self.n, self.used = 0, 0
 
     @staticmethod
@@ -89,18 +105,18 @@ class Known:
         out[rest] = self._look(self.late, self.late_entries, wanted[rest])
         return out
 
-    def add(self, codes: np.ndarray, ids: list[list[int]]) -> np.ndarray:
-        """Entries of new units."""
+    def add(self, codes: np.ndarray, ids: list[list[int]], odd: list[bool]) -> np.ndarray:
+        """Entries of new units; odd: whether the unit can't be encoded alone."""
         if not ids:
             return np.empty(0, np.int64)
         lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
         flat = np.fromiter(itertools.chain.from_iterable(ids), dtype=np.uint32, count=int(lengths.sum()))
-        for name, n in (("start", self.n + len(ids)), ("length", self.n + len(ids)), ("flat", self.used + len(flat))):
+        for name, n in (("start", self.n + len(ids)), ("length", self.n + len(ids)), ("odd", self.n + len(ids)), ("flat", self.used + len(flat))):
             have = getattr(self, name)
             if len(have) < n:
                 setattr(self, name, np.concatenate([have, np.zeros(max(n, 1024) + len(have) // 2 - len(have), have.dtype)]))
         made = np.arange(self.n, self.n + len(ids))
-        self.start[made], self.length[made] = self.used + np.cumsum(lengths) - lengths, lengths
+        self.start[made], self.length[made], self.odd[made] = self.used + np.cumsum(lengths) - lengths, lengths, odd
         self.flat[self.used : self.used + len(flat)] = flat
         self.n, self.used = self.n + len(ids), self.used + len(flat)
         self.late, self.late_entries = np.concatenate([self.late, codes]), np.concatenate([self.late_entries, made])
@@ -123,31 +139,38 @@ class Known:
 class Encoder:
     """Ids of whole texts, equal to the library's, with each distinct unit encoded once.
 
-    The tokenizer file must drop white space, keep runs of letters apart from
-    digits and from other characters, and lower the case.  Then texts fall into
-    units that can be encoded alone: runs of letters, of digits, of other
-    characters.  Around an apostrophe before a letter, and where a character
-    beyond ASCII is no letter, everything between white space is one unit.
-    Units are told apart by 64-bit hashes.
+    With the normalizer and pre-tokenizer above, texts fall into units that can
+    be encoded alone: runs of letters, of digits, of other characters.  Around
+    an apostrophe before a letter, and where a character beyond ASCII is no
+    letter or is none in lower case, everything between white space is one
+    unit.  Units are told apart by 64-bit hashes of their bytes and kind.  Other
+    tokenizer files are used text by text.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t["content"] for t in json.loads(self.tokenizer.to_str())["added_tokens"]]
-        if any(any(c.isspace() or c.isupper() for c in t) for t in self.special):
-            raise ValueError("special tokens with white space or capitals don't allow encoding by units")
+        made = json.loads(self.tokenizer.to_str())
+        self.special = [t["content"] for t in made["added_tokens"]]
+        usual = made["normalizer"] == _NORMALIZER and made["pre_tokenizer"] == _PRE_TOKENIZER and made["model"]["type"] == "BPE"
+        self.by_units = usual and not any(c.isspace() or c.isupper() for t in self.special for c in t)
         self.model = self.tokenizer.model
         self.known = Known(KNOWN_UNITS)
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.alphabet = {**{b: chr(b) for b in shown}, **{b: chr(256 + i) for i, b in enumerate(hidden)}}
 
-    def _unit(self, raw: bytes, letters: bool) -> list[int]:
+    def _is_odd(self, text: str) -> bool:
+        """Whether a run of letters and characters beyond ASCII has another than letters, as the library sees them after its normalizer."""
+        if not text.isalpha() or not text.lower().isalpha():
+            return True
+        # The library may know fewer letters than Python: between two letters they make one piece.
+        return max(text) > "ÿ" and len(self.tokenizer.pre_tokenizer.pre_tokenize_str("a" + self.tokenizer.normalizer.normalize_str(text) + "a")) != 1
+
+    def _unit(self, text: str, letters: bool) -> list[int]:
         """A unit's ids.  Lower-case letters up to Latin-1 go to the model at once, as the bytes' letters."""
-        text = raw.decode()
-        if letters and raw.isascii():
+        if letters and text.isascii():
             return [t.id for t in self.model.tokenize(text)]
         if letters and max(text) <= "ÿ":
             mapped = "".join([self.alphabet[b] for b in text.lower().encode()])
@@ -170,7 +193,7 @@ class Encoder:
         data, starts = text_bytes(column)
         data = _LOWER[data]
         plain = data.tobytes()
-        if any(t.encode() in plain for t in self.special):
+        if not self.by_units or any(t.encode() in plain for t in self.special):
             return self._texts(column)
         stretches = word_spans(data)[0]
         quotes = np.flatnonzero(data == 39)
@@ -178,24 +201,22 @@ class Encoder:
         whole = np.unique(np.searchsorted(stretches, quotes, side="right") - 1)
         while True:
             begins, ends, kind = self._units(data, whole)
-            codes, values = pd.factorize(spans(data, begins, ends))
+            codes, values = pd.factorize(spans(data, begins, ends) ^ _KIND_CODE[kind])
             first = np.zeros(len(values), dtype=np.int64)
             first[codes[::-1]] = np.arange(len(codes))[::-1]
             entry = self.known.find(values)
-            odd, new, made = [], [], []
             fresh = np.flatnonzero(entry < 0)
             at = first[fresh]
-            for i, b, e, letters in zip(fresh.tolist(), begins[at].tolist(), ends[at].tolist(), (kind[at] == 1).tolist()):
-                raw = plain[b:e]
-                if letters and not raw.isascii() and not raw.decode().isalpha():
-                    odd.append(i)
-                    continue
-                new.append(i)
-                made.append(self._unit(raw, letters))
-            entry[new] = self.known.add(values[new], made)
-            if not odd:
+            made, odd = [], []
+            for b, e, letters in zip(begins[at].tolist(), ends[at].tolist(), (kind[at] == 1).tolist()):
+                text = plain[b:e].decode()
+                odd.append(letters and not text.isascii() and self._is_odd(text))
+                made.append([] if odd[-1] else self._unit(text, letters))
+            entry[fresh] = self.known.add(values[fresh], made, odd)
+            alone = ~self.known.odd[entry] if len(entry) else np.empty(0, bool)
+            if alone.all():
                 break
-            found = begins[np.isin(codes, odd) & (kind == 1)]
+            found = begins[~alone[codes]]
             whole = np.union1d(whole, np.searchsorted(stretches, found, side="right") - 1)
         at, lengths = self.known.start[entry], self.known.length[entry]
         sizes = lengths[codes]
@@ -213,30 +234,36 @@ class Encoder:
 def repair(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """ids and documents' starts (with the end) -> sequence, its documents' starts, rules (n x 2), first new symbol.
 
-    A round counts all pairs by sorting, gives the most frequent ones a symbol
-    each, and replaces their occurrences from the left (of overlapping ones
-    every other).  Rules of a round use symbols of earlier rounds only.
+    A round counts all pairs of neighbours inside documents by sorting (of a run
+    of one symbol every other pair) and takes those of about the greatest counts.
+    Where two of their occurrences overlap the more frequent pair is replaced,
+    so the most frequent of all is replaced everywhere.  Pairs with too few
+    replacements wait for later rounds, which go on until no pair occurs
+    LEAST_PAIRS times.  Rules of a round use symbols of earlier rounds only.
     """
     base = int(ids.max()) + 1 if len(ids) else 0
     seq, rules, symbol = ids.astype(np.uint64), [], base
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
+    last = np.zeros(len(seq), dtype=bool)
+    last[starts[1:][starts[1:] > starts[:-1]] - 1] = True
+    while len(seq) > 1:
         pairs = (seq[:-1] << np.uint64(32)) | seq[1:]
-        inner = np.ones(len(pairs), dtype=bool)
-        edge = starts[(starts > 0) & (starts < len(seq))] - 1
-        inner[edge] = False
+        inner = ~last[:-1]
+        same = np.flatnonzero(inner & (seq[:-1] == seq[1:]))
+        if len(same):
+            run = np.concatenate([[True], np.diff(same) > 1])
+            number = np.arange(len(same))
+            inner[same[(number - np.maximum.accumulate(np.where(run, number, 0))) % 2 == 1]] = False
         ordered = np.sort(pairs[inner])
         if not len(ordered):
             break
         cut = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         times = np.diff(np.concatenate([cut, [len(ordered)]]))
-        often = np.flatnonzero(times >= LEAST_PAIRS)
-        if len(often) > RULES_A_ROUND:
-            often = np.sort(often[np.argpartition(-times[often], RULES_A_ROUND)[:RULES_A_ROUND]])
+        often = np.flatnonzero(times >= max(LEAST_PAIRS, times.max() * ROUND_SHARE))
         if not len(often):
             break
-        chosen = ordered[cut[often]]
+        chosen, times = ordered[cut[often]], times[often]
+        rank = np.empty(len(chosen), dtype=np.int64)
+        rank[np.argsort(times, kind="stable")] = np.arange(len(chosen))
         # A table of bits sorts out most places before the search.
         table = np.zeros(1 << 20, dtype=bool)
         table[(chosen * _SPREAD) >> np.uint64(44)] = True
@@ -245,19 +272,22 @@ def repair(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         at[at == len(chosen)] = 0
         hit = chosen[at] == pairs[place]
         place, at = place[hit], at[hit]
-        run = np.concatenate([[True], np.diff(place) > 1])
-        number = np.arange(len(place))
-        even = (number - np.maximum.accumulate(np.where(run, number, 0))) % 2 == 0
-        place, at = place[even], at[even]
+        apart = np.diff(place) > 1
+        won = np.ones(len(place), dtype=bool)
+        won[:-1] &= apart | (rank[at[:-1]] > rank[at[1:]])
+        won[1:] &= apart | (rank[at[1:]] > rank[at[:-1]])
+        kept = np.bincount(at[won], minlength=len(chosen)) >= LEAST_PAIRS
+        won &= kept[at]
+        place, at = place[won], (np.cumsum(kept) - 1)[at[won]]
         seq[place] = symbol + at.astype(np.uint64)
+        last[place] = last[place + 1]
         keep = np.ones(len(seq), dtype=bool)
         keep[place + 1] = False
         left = np.concatenate([[0], np.cumsum(keep)])
-        seq, starts = seq[keep], left[starts]
+        seq, last, starts = seq[keep], last[keep], left[starts]
+        chosen = chosen[kept]
         rules.append(np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
         symbol += len(chosen)
-        if len(place) < LEAST_SAVED * len(keep):
-            break
     return seq.astype(np.uint32), starts, np.concatenate(rules) if rules else np.empty((0, 2), np.uint32), base
 
 
@@ -427,7 +457,7 @@ def read_token_files(shards: DataFrame) -> DataFrame:
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids, each with end id 2, written to grammar-compressed files and read back.
 
-    Null texts count as empty (the end id alone); rows of a null doc_id come first; rows of equal ids are neighbours in any order.
+    Null texts count as empty (the end id alone); rows of a null doc_id come first; rows of equal ids are neighbours in any order; an empty table has no rows.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return read_token_files(write_token_files(docs))

@@ -1,6 +1,7 @@
 """Corpus operators against brute force, round trips and held-out rows; nulls, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import json
 import math
 import os
 import re
@@ -44,6 +45,66 @@ def test_encoder_equals_the_library():
             assert ids[starts[i] : starts[i + 1]].tolist() == e.tokenizer.encode(t or "", add_special_tokens=False).ids
 
 
+def test_one_encoder_over_many_batches_in_any_order():
+    """What an encoder has seen before doesn't change ids: whole stretches and letter runs of equal bytes are different units."""
+    e = token_files.Encoder(token_files.default_tokenizer())
+    assert e.by_units
+    rng = np.random.default_rng(11)
+    signs = [chr(c) for c in range(32, 127)] * 3 + list("“”‘’«»–—…€İıßẞſ\u212aÅéÉñÑüÜΣσςЖж漢字かなﬁ½²№\u0301\u0307\u00a0\u3000\x85\x1c\u200d\u200bꟑ🎉ʼ") * 2
+    words = ["“Yes”", "he", "said", "“Yes”.", "TÜRKİ.", "İstanbul", "don't", "l’été", "'s", "…", "«", "–", "€"]
+    texts = ["".join(rng.choice(signs, int(n))) for n in rng.integers(0, 40, 5000)]
+    texts += [" ".join(w + s for w, s in zip(rng.choice(words, int(n)), rng.choice(["", ".", "!", "…", "”"], int(n)))) for n in rng.integers(1, 8, 5000)]
+    texts += ["“Yes” he said"] * 20 + ["“Yes”. he said…! "] * 20
+    want = {t: e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts}
+    for _ in range(3):
+        rng.shuffle(texts)
+        for i in range(0, len(texts), 500):
+            ids, starts = e.encode(pa.array(texts[i : i + 500]))
+            for j, t in enumerate(texts[i : i + 500]):
+                assert ids[starts[j] : starts[j + 1]].tolist() == want[t], t
+
+
+def test_two_kinds_of_quotes_through_the_query(spark, tmp_path):
+    texts = ["“Yes” he said"] * 200 + ["“Yes”. he said…! "] * 200
+    e = token_files.Encoder(token_files.default_tokenizer())
+    for r in token_files.op1_token_files(spark, _write(_docs(spark, list(enumerate(texts))), tmp_path)).collect():
+        ids = e.tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids + [2]
+        assert r.n_tokens == len(ids) and r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+    assert token_files.op1_token_files(spark, _write(_docs(spark, []).limit(0), tmp_path / "empty")).count() == 0
+
+
+def test_other_tokenizer_files_are_used_text_by_text(tmp_path):
+    spec = json.loads(token_files.Encoder(token_files.default_tokenizer()).tokenizer.to_str())
+    spec["normalizer"] = None
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec))
+    e = token_files.Encoder(str(path))
+    ids, starts = e.encode(pa.array(["Some Words", None, "it's"]))
+    assert not e.by_units and ids[starts[0] : starts[1]].tolist() == e.tokenizer.encode("Some Words", add_special_tokens=False).ids
+
+
+def test_repair_goes_on_until_no_pair_pays():
+    rng = np.random.default_rng(4)
+    phrases = [rng.integers(0, 3000, int(n)) for n in rng.integers(2, 60, 300)]
+    docs = [np.concatenate([phrases[i] for i in rng.integers(0, 300, int(n))]).astype(np.uint32) for n in rng.integers(1, 20, 200)] + [np.full(5000, 9, np.uint32)]
+    ids, starts = np.concatenate(docs), np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    seq, at, rules, base = token_files.repair(ids, starts)
+    left, used = Counter(), Counter(seq[seq >= base].tolist())
+    for a, b in zip(at, at[1:]):
+        document, i = seq[a:b].tolist(), 0
+        runs = Counter()
+        for x, y in zip(document, document[1:]):
+            runs[x, y] += 1
+        for (x, y), n in runs.items():
+            left[x, y] += n if x != y else 0
+    assert max(left.values()) < token_files.LEAST_PAIRS
+    used.update(rules[rules >= base].tolist())
+    assert len(seq) + 3 * len(rules) < len(ids) / 2 and token_files.expansion_lengths(rules, base).max() > 256
+    assert all(used[base + i] >= 1 for i in range(len(rules)))
+    shard = token_files.Shard(token_files.write_shard(np.arange(len(docs)), np.ones(len(docs), bool), ids, starts))
+    assert np.array_equal(shard.all_ids(), ids) and all(np.array_equal(shard.tokens(d), docs[d]) for d in (0, 77, 200))
+
+
 def test_repair_round_trip_and_random_access():
     rng = np.random.default_rng(0)
     words = [rng.integers(0, 500, int(n)) for n in rng.integers(1, 9, 60)]
