@@ -12,10 +12,14 @@ both fingerprints.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import json
+import math
+from collections import Counter
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from .common import shuffle_partitions, small_table
 
 TOKEN = r"[\p{L}\p{N}\p{M}]{1,8}|[^\s\p{L}\p{N}\p{M}]"
 #: Modulus (2^31 - 1) and base of the rolling hash; a product stays below 2^62.
@@ -76,45 +80,79 @@ def likeness(a: str, b: str) -> Column:
     return F.expr(f"if(size({a}) + size({b}) = 0, 1D, 2D * size(array_intersect({a}, {b})) / greatest(size({a}) + size({b}), 1))")
 
 
-def with_next(df: DataFrame, key: str, tie: str, bucket: str, guest: str) -> DataFrame:
-    """Deals rows into buckets of successive keys (descending, null last), so that a window over a bucket sees each row's successor.
+def _bounds(df: DataFrame, place: Column, n: int) -> list[tuple[int, int]]:
+    """Quantiles of `place` that cut df into about n parts of equal rows, ascending, and how many of the quantiles each one is."""
+    probs = F.array(*[F.lit(i / n) for i in range(1, n)])
+    found = df.agg(F.percentile_approx(place, probs, F.lit(10 * n))).first()[0] or []
+    return sorted(Counter(found).items())
+
+
+def _literal(values: list, kind: str) -> Column:
+    """A constant array, as one literal in the plan."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
+def with_next(df: DataFrame, key: str, bucket: str, guest: str) -> DataFrame:
+    """Deals rows into buckets of successive keys (descending, null last), so that a window over a bucket (inside_bucket) sees each row's successor.
 
     The head of each bucket is also put, as guest, behind the rows of the
-    bucket before (the first one's behind the last).  Rows of equal keys are
-    in the order of `tie`.  Buckets follow quantiles: one number each reaches
-    the driver.
+    bucket before (the first one's behind the last).  Buckets follow quantiles
+    of the key: two numbers each reach the driver, and a table of one row each
+    (8 times the shuffle partitions at most) is broadcast.  Rows of one key are
+    in the order of a hash of their places in the input; a key that is several
+    quantiles, as one of many rows is, has so many buckets by that hash.  df
+    must have the same partitions each time it is computed, as a stored table has.
     """
     spark = df.sparkSession
-    n = 8 * shuffle_partitions(spark)
-    low = -(1 << 63)
-    place = F.coalesce(F.col(key), F.lit(low))
-    probs = F.array(*[F.lit(i / n) for i in range(1, n)])
-    bounds = df.agg(F.percentile_approx(place, probs, F.lit(10 * n))).first()[0] or []
-    bounds = sorted(set(bounds))
-    which = F.size(F.filter(F.lit(bounds) if bounds else F.array().cast("array<bigint>"), lambda x: x > place))
-    heads = dict(df.groupBy(which.alias("b")).agg(F.max(place)).collect())
-    order = sorted(heads)
-    before = {heads[b]: order[i - 1] for i, b in enumerate(order)}
-    also = F.create_map(*[F.lit(x) for pair in before.items() for x in pair]) if before else None
-    df = df.withColumn(bucket, which)
-    seats = F.array(F.struct(F.col(bucket).alias("b"), F.lit(False).alias("g")))
-    if also is not None:
-        there = F.try_element_at(also, place)
-        extra = F.array(F.struct(there.alias("b"), F.lit(True).alias("g")))
-        seats = F.when(there.isNull(), seats).otherwise(F.concat(seats, extra))
-    return df.withColumn("__sl_seat", F.explode(seats)).withColumn(bucket, F.col("__sl_seat.b")).withColumn(guest, F.col("__sl_seat.g")).drop("__sl_seat")
+    place = F.coalesce(F.col(key), F.lit(-(1 << 63)))
+    df = df.withColumn("__sl_row", F.monotonically_increasing_id()).withColumn("__sl_place", place)
+    df = df.withColumn("__sl_h", F.xxhash64(F.lit(3_001), "__sl_row"))
+    found = _bounds(df, F.col("__sl_place"), 8 * shuffle_partitions(spark))
+    if found:
+        width = math.isqrt(len(found)) + 1
+        values = [v for v, _ in found]
+        groups = _literal([values[i : i + width] for i in range(0, len(values), width)], "array<array<bigint>>")
+        tops = _literal(values[::width], "array<bigint>")
+        # Bounds up to the place: whole groups, then those of the last group.
+        group = F.size(F.filter(tops, lambda x: x <= F.col("__sl_place")))
+        inside = F.size(F.filter(F.element_at(groups, group), lambda x: x <= F.col("__sl_place")))
+        df = df.withColumn("__sl_at", F.when(group == 0, 0).otherwise((group - 1) * width + inside))
+        at = F.greatest("__sl_at", F.lit(1))
+        bound, times = F.element_at(_literal(values, "array<bigint>"), at), F.element_at(_literal([n for _, n in found], "array<int>"), at)
+        hot = (F.col("__sl_at") > 0) & (bound == F.col("__sl_place")) & (times > 1)
+        part = F.when(hot, 1 + F.floor((F.shiftrightunsigned("__sl_h", 11) * F.lit(2.0**-53)) * times)).otherwise(0)
+        # The hash orders rows as a signed number, its parts are those of the unsigned one: flipping the sign bit makes both the same.
+        df = df.withColumn(bucket, (F.lit(len(found)) - F.col("__sl_at")).cast("long") * (1 << 20) + part)
+        df = df.withColumn("__sl_h", F.col("__sl_h").bitwiseXOR(F.lit(-(1 << 63)))).drop("__sl_at")
+    else:
+        df = df.withColumn(bucket, F.lit(0).cast("long"))
+    first = F.max(F.struct("__sl_place", F.bitwise_not("__sl_h").alias("h"), (-F.col("__sl_row")).alias("row"))).alias("head")
+    heads = sorted(df.groupBy(bucket).agg(first).select(bucket, -F.col("head.row")).collect())
+    seats = [{bucket: b, "__sl_head": row, "__sl_before": heads[i - 1][0]} for i, (b, row) in enumerate(heads)]
+    seats = small_table(spark, seats, f"{bucket} bigint, __sl_head bigint, __sl_before bigint")
+    df = df.join(F.broadcast(seats), bucket, "left")
+    own = F.struct(F.col(bucket).alias("b"), F.lit(False).alias("g"))
+    also = F.struct(F.col("__sl_before").alias("b"), F.lit(True).alias("g"))
+    df = df.withColumn("__sl_seat", F.explode(F.when(F.col("__sl_row") == F.col("__sl_head"), F.array(own, also)).otherwise(F.array(own))))
+    return df.withColumn(bucket, F.col("__sl_seat.b")).withColumn(guest, F.col("__sl_seat.g")).drop("__sl_seat", "__sl_head", "__sl_before")
+
+
+def inside_bucket(bucket: str, guest: str) -> WindowSpec:
+    """The window in which each row of with_next's buckets is followed by its successor."""
+    return Window.partitionBy(bucket).orderBy(guest, F.desc("__sl_place"), "__sl_h", "__sl_row")
 
 
 def fingerprint_documents(docs: DataFrame, k: int = 5, w: int = 8) -> DataFrame:
     """Fingerprints of each text, of its edited text and their likenesses (see op3).
 
     Needs doc_id (integer) and text; other columns are left out.  Null texts
-    count as empty, rows of a null doc_id come last; repeated rows are each
-    other's next; a single row's next is itself; no rows give none.
+    count as empty, rows of a null doc_id come last; rows of one doc_id follow
+    each other in any order; a single row's next is itself; no rows give none.
+    docs is a stored table, or one that is computed alike each time.
     """
     df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    df = with_next(df, "doc_id", "text", "__sl_b", "__sl_g")
-    order = Window.partitionBy("__sl_b").orderBy("__sl_g", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
+    df = with_next(df, "doc_id", "__sl_b", "__sl_g")
+    order = inside_bucket("__sl_b", "__sl_g")
     df = df.withColumn("__sl_next", F.lead("text").over(order)).withColumn("n_chars", F.char_length("text").cast("long"))
     df = winnow(df, "text", "__sl_fp", k, w).withColumn("__sl_f", hashes("__sl_fp"))
     df = df.withColumn("__sl_fn", F.lead("__sl_f").over(order)).where(~F.col("__sl_g"))

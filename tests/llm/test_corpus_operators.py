@@ -225,6 +225,24 @@ def test_winnowing_query_equals_brute_force(spark, tmp_path):
     assert by[100][0].near_edited > 0.5
 
 
+def test_winnowing_of_many_rows_of_one_id(spark, tmp_path):
+    """A third of the rows without doc_id and a third of one doc_id spread over buckets, and each row's next is still its successor."""
+    rows = [(None if i % 3 == 0 else 700 if i % 3 == 1 else i, f"text number {i} of many") for i in range(3000)]
+    table = spark.read.parquet(f"{_write(_docs(spark, rows).repartition(6), tmp_path)}/documents.parquet")
+    df = winnowing.with_next(table.select("doc_id", "text"), "doc_id", "b", "g").persist()
+    assert df.where("not g").count() == 3000
+    per = [r["n"] for r in df.where("not g").groupBy("b").agg(F.count("*").alias("n")).collect()]
+    assert len(per) > 30 and max(per) < 250
+    seen = df.withColumn("next", F.lead(F.struct("doc_id", "text")).over(winnowing.inside_bucket("b", "g"))).where("not g").collect()
+    # One cycle through all rows, in descending order of ids.
+    step = {(r.doc_id, r.text): (r.next.doc_id, r.next.text) for r in seen}
+    at, ids = max(step, key=lambda x: (x[0] is not None, x[0] or 0)), []
+    for _ in range(3000):
+        ids.append(at[0])
+        at = step.pop(at)
+    assert not step and ids == sorted((r[0] for r in rows), key=lambda d: (d is None, -(d or 0)))
+
+
 def test_winnowing_guarantee_and_edges(spark, tmp_path):
     shared = " ".join(f"s{i}" for i in range(12))
     a, b = "p q r " + shared + " u v", "k " + shared + " w x y z"
