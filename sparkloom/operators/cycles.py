@@ -135,18 +135,18 @@ def popping_rates(marked: DataFrame) -> DataFrame:
     return sets.select("loi", kind.alias("kind"), F.coalesce("band", "cycle").alias("item"), "rate")
 
 
-def correlations(traj: DataFrame, cycles: DataFrame, length: int, value: str = "delta") -> DataFrame:
-    """Pearson's r of segments (band, cycle) of `length` frames from each cycle's start; the last cycle is left out.
+def correlations(traj: DataFrame, cycles: DataFrame, value: str = "delta") -> DataFrame:
+    """Pearson's r of segments (band, cycle) from each cycle's start; the last cycle is left out.
 
+    All segments of a line have the whole frames of its cycles' median duration.
     Pairs (i, k), (j, l) with i >= j, k >= l, not identical, inside one line.  Segments are arrays, so a pair is one row.
     """
-    last = F.max("run").over(Window.partitionBy("loi"))
-    c = cycles.withColumn("__last", last).where(F.col("run") < F.col("__last")).select("loi", F.col("run").alias("cycle"), "start_frame")
-    spread = c.select("loi", "cycle", F.explode(F.sequence(F.col("start_frame"), F.col("start_frame") + length - 1)).alias("frame"), "start_frame")
-    seg = traj.select("loi", "band", "frame", value).join(spread, ["loi", "frame"]).groupBy("loi", "band", "cycle").agg(F.sort_array(F.collect_list(F.struct("frame", F.col(value).alias("v")))).alias("s"))
-    seg = seg.select("loi", "band", "cycle", F.transform("s", lambda x: x["v"]).alias("v")).where((F.size("v") == length) & ~F.exists("v", lambda x: x.isNull()))
-    n = F.lit(float(length))
-    mean = F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / n
+    lines = cycles.groupBy("loi").agg(F.max("run").alias("__last"), F.floor(F.median("frames")).cast("int").alias("length"))
+    c = cycles.join(lines, "loi").where(F.col("run") < F.col("__last")).select("loi", F.col("run").alias("cycle"), "start_frame", "length")
+    spread = c.select("loi", "cycle", "length", F.explode(F.sequence(F.col("start_frame"), F.col("start_frame") + F.col("length") - 1)).alias("frame"))
+    seg = traj.select("loi", "band", "frame", value).join(spread, ["loi", "frame"]).groupBy("loi", "band", "cycle", "length").agg(F.sort_array(F.collect_list(F.struct("frame", F.col(value).alias("v")))).alias("s"))
+    seg = seg.select("loi", "band", "cycle", "length", F.transform("s", lambda x: x["v"]).alias("v")).where((F.size("v") == F.col("length")) & ~F.exists("v", lambda x: x.isNull()))
+    mean = F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / F.col("length")
     seg = seg.withColumn("v", F.transform("v", lambda x: x - mean))
     seg = seg.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
     a, b = seg.alias("a"), seg.alias("b")

@@ -71,31 +71,36 @@ def line_growth(spark, sf):
     return graph.grown_lines(vectors(spark, sf), "grp", 0.5, 3, 0.1, 3)
 
 
+SIDE = 48
+
+
 def _tiles(spark, sf):
-    """48 x 48 images: two bars a frame at places that orders give."""
-    o = table(spark, sf, "orders").where("o_orderkey < 12").select(F.lit("f").alias("file_id"), F.col("o_orderkey").cast("int").alias("frame"))
-    n = F.sequence(F.lit(0), F.lit(48 * 48 - 1))
-    value = lambda i: F.when(((i % 48).between(8, 10) | (i % 48).between(24, 26)) & (F.floor(i / 48) > F.col("frame")), 1.0).otherwise(0.05)
-    return o.select("file_id", "frame", F.lit(48).alias("h"), F.lit(48).alias("w"), F.transform(n, value).alias("data"))
+    """48 x 48 images of all orders: a file a priority, a frame a year; orders fall on two bars of three columns and light their pixels by their number."""
+    x = 8 + 16 * (F.col("o_orderkey") % 2) + F.col("o_custkey") % 3
+    i = (F.col("o_custkey") % SIDE * SIDE + x).cast("int")
+    o = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("file_id"), (F.year("o_orderdate") - 1990).alias("frame"), i.alias("i"))
+    tile = o.groupBy("file_id", "frame", "i").agg(F.count("*").alias("n")).groupBy("file_id", "frame").agg(F.map_from_entries(F.collect_list(F.struct("i", "n"))).alias("lit"), F.max("n").alias("most"))
+    value = lambda i: 0.05 + 0.95 * F.coalesce(F.try_element_at("lit", i), F.lit(0)) / F.col("most")
+    return tile.select("file_id", "frame", F.lit(SIDE).alias("h"), F.lit(SIDE).alias("w"), F.transform(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1)), value).alias("data"))
 
 
 def image_regions(spark, sf):
-    return rounded(raster.segmented(_tiles(spark, sf)).select("frame", "label", "area", "perimeter", "convex_area", "feret", "mean_intensity", "length"), "area", "perimeter", "convex_area", "feret", "mean_intensity")
+    return rounded(raster.segmented(_tiles(spark, sf)).select("file_id", "frame", "label", "area", "perimeter", "convex_area", "feret", "mean_intensity", "length"), "area", "perimeter", "convex_area", "feret", "mean_intensity")
 
 
 def cell_mask(spark, sf):
     px = raster.pixels(_tiles(spark, sf))
-    return rounded(raster.mask_features(px, px, 0.1, 0.1).select("frame", "area", "area_ratio", "intensity"), "area", "area_ratio", "intensity")
+    return rounded(raster.mask_features(px, px, 0.1, 0.1).select("file_id", "frame", "area", "area_ratio", "intensity"), "area", "area_ratio", "intensity")
 
 
 def clip_normalization(spark, sf):
     px = raster.clip_normalized(raster.pixels(_tiles(spark, sf)))
-    return rounded(px.groupBy("frame").agg(F.avg("v").alias("mean"), F.max("v").alias("high")), "mean", "high")
+    return rounded(px.groupBy("file_id", "frame").agg(F.avg("v").alias("mean"), F.max("v").alias("high")), "mean", "high")
 
 
 def wavelet_vectors(spark, sf):
     found = raster.wavelet_vectors(_tiles(spark, sf), 0.12, (1.6, 2.2, 0.1), 30.0)
-    return rounded(found.groupBy("frame", "len", "angle").agg(F.count("*").alias("n")), "len", "angle")
+    return rounded(found.groupBy("file_id", "frame", "len", "angle").agg(F.count("*").alias("n")), "len", "angle")
 
 
 QUERIES = {
@@ -103,7 +108,11 @@ QUERIES = {
     for f in (savgol_velocity, low_pass, gap_fill_cubic, peaks, tracking, cwt_spectrum, spectrum_peaks, assignment, communities, agglomeration, line_growth, image_regions, cell_mask, clip_normalization, wavelet_vectors)
 }
 
-_TILE = "px AS (SELECT CAST(o_orderkey AS INTEGER) AS frame, CASE WHEN (i % 48 BETWEEN 8 AND 10 OR i % 48 BETWEEN 24 AND 26) AND i // 48 > o_orderkey THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.05 AS DOUBLE) END AS v FROM orders, range(0, 2304) r(i) WHERE o_orderkey < 12)"
+_TILE = (
+    f"lit AS (SELECT o_orderpriority AS file_id, CAST(year(o_orderdate) - 1990 AS INTEGER) AS frame, o_custkey % {SIDE} * {SIDE} + 8 + 16 * (o_orderkey % 2) + o_custkey % 3 AS i, count(*) AS n FROM orders GROUP BY ALL), "
+    "tl AS (SELECT file_id, frame, max(n) AS most FROM lit GROUP BY ALL), "
+    f"px AS (SELECT file_id, frame, i, CAST(0.05 AS DOUBLE) + CAST(0.95 AS DOUBLE) * coalesce(n, 0) / most AS v FROM tl CROSS JOIN range(0, {SIDE * SIDE}) r(i) LEFT JOIN lit USING (file_id, frame, i))"
+)
 
 
 def _smoothing_weights(window: int, order: int) -> str:
@@ -129,6 +138,6 @@ ORACLE_SQL = {
     "cwt_spectrum": f"WITH {_SPECTRUM} SELECT series, round(scale, 6) AS scale, round(frequency, 6) AS frequency, round(magnitude, 6) AS magnitude FROM z",
     "spectrum_peaks": f"WITH {_SPECTRUM}, e AS (SELECT series, arg_max(frequency, magnitude) FILTER (frequency < 0.2) AS f1, max(magnitude) FILTER (frequency < 0.2) AS m1, arg_max(frequency, magnitude) FILTER (frequency >= 0.2) AS f2, max(magnitude) FILTER (frequency >= 0.2) AS m2, min(frequency) FILTER (frequency >= 0.2) AS edge FROM z WHERE magnitude IS NOT NULL GROUP BY series) "
     "SELECT series, round(f1, 6) AS frequency_1, round(m1, 6) AS magnitude_1, round(CASE WHEN f2 > edge THEN f2 END, 6) AS frequency_2, round(CASE WHEN f2 > edge THEN m2 END, 6) AS magnitude_2 FROM e",
-    "cell_mask": f"WITH {_TILE} SELECT frame, round(count(*) FILTER (v > 0.1) * CAST(0.1 AS DOUBLE) * CAST(0.1 AS DOUBLE), 6) AS area, round(count(*) FILTER (v > 0.1) / count(*), 6) AS area_ratio, round(avg(v) FILTER (v > 0.1), 6) AS intensity FROM px GROUP BY frame",
-    "clip_normalization": f"WITH {_TILE}, p AS (SELECT frame, min(v) AS a, quantile_cont(v, 0.9998) AS b FROM px GROUP BY frame) SELECT frame, round(avg(least(greatest((v - a) / (b - a), 0), 1)), 6) AS mean, round(max(least(greatest((v - a) / (b - a), 0), 1)), 6) AS high FROM px JOIN p USING (frame) GROUP BY frame",
+    "cell_mask": f"WITH {_TILE} SELECT file_id, frame, round(count(*) FILTER (v > CAST(0.1 AS DOUBLE)) * CAST(0.1 AS DOUBLE) * CAST(0.1 AS DOUBLE), 6) AS area, round(count(*) FILTER (v > CAST(0.1 AS DOUBLE)) / count(*), 6) AS area_ratio, round(avg(v) FILTER (v > CAST(0.1 AS DOUBLE)), 6) AS intensity FROM px GROUP BY file_id, frame",
+    "clip_normalization": f"WITH {_TILE}, p AS (SELECT file_id, frame, min(v) AS a, quantile_cont(v, 0.9998) AS b FROM px GROUP BY file_id, frame) SELECT file_id, frame, round(avg(least(greatest((v - a) / (b - a), 0), 1)), 6) AS mean, round(max(least(greatest((v - a) / (b - a), 0), 1)), 6) AS high FROM px JOIN p USING (file_id, frame) GROUP BY file_id, frame",
 }

@@ -12,7 +12,7 @@ from .inputs import BANDS, TRACES, bands, rounded, traces
 DT = 0.5
 THRESHOLD = 20.0
 CLOSE, OPEN, BUFFER = 3, 2, 3
-LEVEL, SEGMENT, POP = 56.0, 3, 120.0
+LEVEL, POP = 56.0, 120.0
 
 
 def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,24 +160,32 @@ def ks_geom_stat(spark, sf):
     return rounded(stats.geometric_ks(cycles.popping_gaps(_popping(spark, sf)), ["loi", "kind"], "gap"), "p", "ks")
 
 
-def _pairs(spark, sf):
+def _pairs(spark, sf, value="delta"):
     table = series.run_table(_line_states(spark, sf), ["loi"], "frame", "contr", DT)
-    return cycles.correlations(_moving(spark, sf), table, SEGMENT)
+    return cycles.correlations(_moving(spark, sf), table, value)
 
 
 def cycle_correlation(spark, sf):
     return rounded(_pairs(spark, sf), "r")
 
 
+def cycle_correlation_velocity(spark, sf):
+    return rounded(_pairs(spark, sf, "vel"), "r")
+
+
 def serial_mutual_ratio(spark, sf):
     return rounded(cycles.serial_and_mutual(_pairs(spark, sf)), "serial", "mutual", "ratio")
 
 
+def serial_mutual_ratio_velocity(spark, sf):
+    return rounded(cycles.serial_and_mutual(_pairs(spark, sf, "vel")), "serial", "mutual", "ratio")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         traj_diff, traj_central_diff, band_spacing, state_islands, state_open_close, state_clear_border, state_dilated, rising_edges, run_distance, filtered_intervals, fixed_chunks, gap_fill_linear, closest_value, missing_ratio,
-        cycle_summary, cycle_durations, quiet_periods, beating_rate, cycle_period, baseline_median_delta, cycle_extrema, time_to_peak, percent_time, percent_time_relax, smi, popping_rates, popping_gaps, ks_geom_stat, cycle_correlation, serial_mutual_ratio,
+        cycle_summary, cycle_durations, quiet_periods, beating_rate, cycle_period, baseline_median_delta, cycle_extrema, time_to_peak, percent_time, percent_time_relax, smi, popping_rates, popping_gaps, ks_geom_stat, cycle_correlation, cycle_correlation_velocity, serial_mutual_ratio, serial_mutual_ratio_velocity,
     )
 }
 
@@ -250,16 +258,22 @@ _GAPS = (
 _RATE = (
     "count(*) AS n_cycles, round(CASE WHEN avg(gap) <> 0 THEN 1.0 / avg(gap) END, 6) AS rate, round(stddev_pop(gap), 6) AS variability, round(avg(duration), 6) AS duration_mean, round(stddev_pop(duration), 6) AS duration_std"
 )
-_R = (
-    f"{_CYC}, mv AS (SELECT loi, band, frame, y FROM b), rs AS (SELECT loi, band, CASE WHEN median(y) BETWEEN 0 AND 1000 THEN median(y) END AS rest FROM mv JOIN k USING (loi, frame) WHERE s = 0 GROUP BY loi, band), "
-    "tr AS (SELECT mv.*, mv.y - rs.rest AS delta FROM mv JOIN k USING (loi, frame) LEFT JOIN rs USING (loi, band)), "
-    "ct AS (SELECT loi, run AS cycle, min(frame) - 1 AS start_frame, max(run) OVER (PARTITION BY loi) AS last FROM kr WHERE run IS NOT NULL GROUP BY loi, run), "
-    f"sg AS (SELECT tr.loi, band, cycle, frame - start_frame AS seg, delta, count(delta) OVER (PARTITION BY tr.loi, band, cycle) AS n FROM tr JOIN ct ON tr.loi = ct.loi AND frame BETWEEN start_frame AND start_frame + {SEGMENT - 1} WHERE cycle < last), "
-    f"ok AS (SELECT * FROM sg WHERE n = {SEGMENT}), "
-    "r AS (SELECT a.loi, a.band AS i, a.cycle AS k, b.band AS j, b.cycle AS l, CASE WHEN sum((a.delta - ma) * (a.delta - ma)) * sum((b.delta - mb) * (b.delta - mb)) > 0 THEN sum((a.delta - ma) * (b.delta - mb)) / sqrt(sum((a.delta - ma) * (a.delta - ma)) * sum((b.delta - mb) * (b.delta - mb))) END AS r "
-    "FROM (SELECT *, avg(delta) OVER (PARTITION BY loi, band, cycle) AS ma FROM ok) a JOIN (SELECT *, avg(delta) OVER (PARTITION BY loi, band, cycle) AS mb FROM ok) b "
-    "ON a.loi = b.loi AND a.seg = b.seg AND a.band >= b.band AND a.cycle >= b.cycle AND (a.band <> b.band OR a.cycle <> b.cycle) GROUP BY ALL)"
-)
+
+
+def _correlated(v: str) -> str:
+    """Pairs of segments of a line, each as long as the line's median cycle."""
+    return (
+        f"{_MOVE}, ct AS (SELECT loi, run AS cycle, min(frame) - 1 AS start_frame, count(*) AS frames FROM kr WHERE run IS NOT NULL GROUP BY loi, run), "
+        "ce AS (SELECT * FROM ct JOIN (SELECT loi, CAST(floor(median(frames)) AS BIGINT) AS len, max(cycle) AS last FROM ct GROUP BY loi) USING (loi)), "
+        f"sg AS (SELECT tr.loi, band, cycle, len, frame - start_frame AS seg, {v} AS v, count({v}) OVER (PARTITION BY tr.loi, band, cycle) AS n FROM tr JOIN ce ON tr.loi = ce.loi AND frame BETWEEN start_frame AND start_frame + len - 1 WHERE cycle < last), "
+        "ok AS (SELECT *, avg(v) OVER (PARTITION BY loi, band, cycle) AS m FROM sg WHERE n = len), "
+        "r AS (SELECT a.loi, a.band AS i, a.cycle AS k, b.band AS j, b.cycle AS l, CASE WHEN sum((a.v - a.m) * (a.v - a.m)) * sum((b.v - b.m) * (b.v - b.m)) > 0 THEN sum((a.v - a.m) * (b.v - b.m)) / sqrt(sum((a.v - a.m) * (a.v - a.m)) * sum((b.v - b.m) * (b.v - b.m))) END AS r "
+        "FROM ok a JOIN ok b ON a.loi = b.loi AND a.seg = b.seg AND a.band >= b.band AND a.cycle >= b.cycle AND (a.band <> b.band OR a.cycle <> b.cycle) GROUP BY ALL)"
+    )
+
+
+_R, _RV = _correlated("delta"), _correlated("vel")
+_AVERAGES = "SELECT loi, round(avg(r) FILTER (i = j), 6) AS serial, round(avg(r) FILTER (k = l AND i > j), 6) AS mutual, round(avg(r) FILTER (k = l AND i > j) / avg(r) FILTER (i = j), 6) AS ratio FROM r GROUP BY loi"
 
 
 def _percent(p0: float, p1: float) -> str:
@@ -306,5 +320,7 @@ ORACLE_SQL = {
     "popping_gaps": f"WITH {_GAPS} SELECT loi, kind, band, cycle, gap FROM g",
     "ks_geom_stat": f"WITH {_GAPS}, c AS (SELECT loi, kind, gap, count(*) AS n FROM g GROUP BY ALL), w AS (SELECT *, sum(n) OVER k AS al, sum(n) OVER k / sum(gap * n) OVER k AS p, sum(n) OVER (PARTITION BY loi, kind ORDER BY gap) AS cum FROM c WINDOW k AS (PARTITION BY loi, kind)) SELECT loi, kind, round(max(p), 6) AS p, round(max(greatest(abs(cum / al - (1 - pow(1 - p, gap))), abs((cum - n) / al - (1 - pow(1 - p, gap))))), 6) AS ks FROM w GROUP BY loi, kind",
     "cycle_correlation": f"WITH {_R} SELECT loi, i, k, j, l, round(r, 6) AS r FROM r",
-    "serial_mutual_ratio": f"WITH {_R} SELECT loi, round(avg(r) FILTER (i = j), 6) AS serial, round(avg(r) FILTER (k = l AND i > j), 6) AS mutual, round(avg(r) FILTER (k = l AND i > j) / avg(r) FILTER (i = j), 6) AS ratio FROM r GROUP BY loi",
+    "cycle_correlation_velocity": f"WITH {_RV} SELECT loi, i, k, j, l, round(r, 6) AS r FROM r",
+    "serial_mutual_ratio": f"WITH {_R} {_AVERAGES}",
+    "serial_mutual_ratio_velocity": f"WITH {_RV} {_AVERAGES}",
 }

@@ -116,7 +116,7 @@ def frames_subset(spark, sf):
 
 
 def sparse_codec(spark, sf):
-    cells = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("frame"), F.col("l_orderkey").cast("int").alias("row"), F.col("l_linenumber").cast("int").alias("col"), F.col("l_quantity").alias("data")).where("row % 50 = 0")
+    cells = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("frame"), F.col("l_orderkey").cast("int").alias("row"), F.col("l_linenumber").cast("int").alias("col"), F.col("l_quantity").alias("data"))
     back = files.sparse_from_json(files.sparse_to_json(cells, ["frame"]), ["frame"])
     return back.select("frame", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "data")
 
@@ -174,7 +174,7 @@ ORACLE_SQL = {
     "seed_sample": "SELECT CAST(c_nationkey AS BIGINT) AS c_nationkey, CAST(greatest(1, floor(count(*) * CAST(0.1 AS DOUBLE))) AS BIGINT) AS n FROM customer GROUP BY 1",
     "random_per_cluster": "SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS c_nationkey FROM customer",
     "frames_subset": "SELECT DISTINCT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 IN (0, 1))",
-    "sparse_codec": "SELECT l_suppkey AS frame, l_orderkey AS row, CAST(l_linenumber AS BIGINT) AS col, l_quantity AS data FROM lineitem WHERE l_orderkey % 50 = 0",
+    "sparse_codec": "SELECT l_suppkey AS frame, l_orderkey AS row, CAST(l_linenumber AS BIGINT) AS col, l_quantity AS data FROM lineitem",
     "key_value_export": "SELECT 'r_regionkey' AS key, CAST(r_regionkey AS VARCHAR) AS value FROM region UNION ALL SELECT 'r_name', r_name FROM region",
     "metadata_join_conditions": "SELECT n_name, c_mktsegment, count(*) AS n, round(avg(o_totalprice), 6) AS mean, round(stddev_pop(o_totalprice), 6) AS std FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL",
     "windowed_events": "SELECT event_type, CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS start, count(*) AS n, round(avg(value), 6) AS mean, round(min(value), 6) AS low, round(max(value), 6) AS high FROM events GROUP BY 1, 2",
