@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 import numpy as np
@@ -11,41 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import signals
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage: a table in spark.checkpoint.dir where that is set, else Spark's own checkpoint."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        import tempfile
-
-        folder = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/sparkloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from . import components as linked
 
 
 def components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """nodes(keys, id), edges(keys, a, b) -> (keys, id, component): the smallest id reachable; nodes without edges are their own.
-
-    Each round every edge lowers the label node of its higher end to the lower
-    label, then labels jump to their labels' labels; so long chains take few rounds.
-    """
+    """nodes(keys, id), edges(keys, a, b) -> (keys, id, component): the smallest id reachable; nodes without edges are their own."""
     k = list(keys)
-    edges = _cut(edges.where("a <> b").select(*k, "a", "b").distinct())
-    state = _cut(nodes.select(*k, "id").distinct().withColumn("label", F.col("id")))
-    while True:
-        ends = edges.join(state.select(*k, F.col("id").alias("a"), F.col("label").alias("la")), [*k, "a"]).join(state.select(*k, F.col("id").alias("b"), F.col("label").alias("lb")), [*k, "b"])
-        ends = ends.where("la <> lb").select(*k, F.greatest("la", "lb").alias("label"), F.least("la", "lb").alias("to"))
-        moved = _cut(ends.groupBy(*k, "label").agg(F.min("to").alias("to")))
-        if not moved.limit(1).count():
-            return state.select(*k, "id", F.col("label").alias("component"))
-        state = state.join(moved, [*k, "label"], "left").select(*k, "id", F.coalesce("to", "label").alias("label"))
-        state = _cut(state)
-        up = state.select(*k, F.col("id").alias("label"), F.col("label").alias("up"))
-        state = _cut(state.join(up, [*k, "label"], "left").select(*k, "id", F.coalesce("up", "label").alias("label")))
+    found = linked.components(edges.select(*k, "a", "b"), k)
+    return nodes.select(*k, "id").distinct().join(found, [*k, "id"], "left").select(*k, "id", F.coalesce("label", "id").alias("component"))
 
 
 def group_features(members: DataFrame, links: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -113,7 +85,13 @@ def matched(costs: DataFrame, key: str, forbidden: float = 1e6) -> DataFrame:
 
 
 def modularity_communities(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, resolution: float, seed: int) -> np.ndarray:
-    """Communities by local moves and contraction until modularity stops rising; order of moves by the seed."""
+    """Communities by local moves, refinement and contraction until modularity stops rising; order of moves by the seed.
+
+    Before each contraction every community is refined: its nodes start alone
+    and join, in that community only, the neighbour group that raises
+    modularity most.  Refined groups are contracted, and start the next round
+    in their community, so that each community stays connected.
+    """
     rng = np.random.default_rng(seed)
     member = np.arange(n)
     links: list[dict[int, float]] = [{} for _ in range(n)]
@@ -127,46 +105,77 @@ def modularity_communities(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray,
     total = 2 * (sum(sum(d.values()) for d in links) / 2 + loops.sum())
     if total <= 0:
         return member
+    first_links, group = links, np.arange(n)
     while True:
         size = len(links)
         strength = np.array([sum(d.values()) for d in links]) + 2 * loops
-        group, mass = np.arange(size), strength.copy()
-        moved_any = False
+
+        def best_group(i: int, groups: np.ndarray, mass: np.ndarray, inside: np.ndarray | None = None) -> int:
+            """The neighbouring group whose share of modularity with node i is highest; its own on ties."""
+            own = groups[i]
+            near: dict[int, float] = {own: 0.0}
+            for j, x in links[i].items():
+                if inside is None or inside[j] == inside[i]:
+                    near[groups[j]] = near.get(groups[j], 0.0) + x
+            gain = {g: x - resolution * strength[i] * (mass[g] - (strength[i] if g == own else 0.0)) / total for g, x in near.items()}
+            best = max(sorted(gain), key=lambda g: gain[g])
+            return best if gain[best] > gain[own] + 1e-12 else own
+
+        mass = np.bincount(group, weights=strength, minlength=size)
         moved = True
         while moved:
             moved = False
             for i in rng.permutation(size):
-                own = group[i]
-                near: dict[int, float] = {own: 0.0}
-                for j, x in links[i].items():
-                    near[group[j]] = near.get(group[j], 0.0) + x
-                mass[own] -= strength[i]
-                gain = {g: x - resolution * strength[i] * mass[g] / total for g, x in near.items()}
-                best = max(sorted(gain), key=lambda g: gain[g])
-                if gain[best] <= gain[own] + 1e-12:
-                    best = own
-                mass[best] += strength[i]
-                if best != own:
-                    group[i] = best
-                    moved = moved_any = True
-        if not moved_any:
-            return member
-        _, group = np.unique(group, return_inverse=True)
-        member = group[member]
-        count = group.max() + 1
+                best = best_group(i, group, mass)
+                if best != group[i]:
+                    mass[group[i]] -= strength[i]
+                    mass[best] += strength[i]
+                    group[i], moved = best, True
+        refined, mass = np.arange(size), strength.copy()
+        alone = np.ones(size, dtype=bool)
+        for i in rng.permutation(size):
+            if alone[i]:
+                best = best_group(i, refined, mass, group)
+                if best != refined[i]:
+                    mass[refined[i]] -= strength[i]
+                    mass[best] += strength[i]
+                    alone[[i, best]] = False
+                    refined[i] = best
+        _, refined = np.unique(refined, return_inverse=True)
+        count = int(refined.max()) + 1
+        if count == size:
+            return _connected(first_links, group[member])
+        member = refined[member]
+        new_group = np.zeros(count, dtype=np.int64)
+        new_group[refined] = group
+        _, new_group = np.unique(new_group, return_inverse=True)
         new_links: list[dict[int, float]] = [{} for _ in range(count)]
         new_loops = np.zeros(count)
         for i in range(size):
-            new_loops[group[i]] += loops[i]
+            p = int(refined[i])
+            new_loops[p] += loops[i]
             for j, x in links[i].items():
-                if i < j:
-                    if group[i] == group[j]:
-                        new_loops[group[i]] += x
-                    else:
-                        p, q = group[i], group[j]
-                        new_links[p][q] = new_links[p].get(q, 0.0) + x
-                        new_links[q][p] = new_links[q].get(p, 0.0) + x
-        links, loops = new_links, new_loops
+                q = int(refined[j])
+                if p != q:
+                    new_links[p][q] = new_links[p].get(q, 0.0) + x
+                elif i < j:
+                    new_loops[p] += x
+        links, loops, group = new_links, new_loops, new_group
+
+
+def _connected(links: list[dict[int, float]], group: np.ndarray) -> np.ndarray:
+    """Groups cut into their connected parts, which never lowers modularity."""
+    part = np.full(len(links), -1)
+    for start in range(len(links)):
+        if part[start] < 0:
+            part[start], waiting = start, [start]
+            while waiting:
+                i = waiting.pop()
+                for j in links[i]:
+                    if part[j] < 0 and group[j] == group[i]:
+                        part[j] = start
+                        waiting.append(j)
+    return np.unique(part, return_inverse=True)[1]
 
 
 def communities(edges: DataFrame, key: str, resolution: float = 0.06, seed: int = 42) -> DataFrame:
