@@ -16,7 +16,7 @@ def components(links: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     links = stage(links.where("a <> b").select(*k, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     both = links.select(*k, "a", "b").union(links.select(*k, F.col("b").alias("a"), F.col("a").alias("b")))
     state = stage(both.groupBy(*k, "a").agg(F.min("b").alias("m")).select(*k, F.col("a").alias("id"), F.least("a", "m").alias("label")), "labels")
-    row_bytes = 16 + 16 * len(k)
+    row_bytes = 32 + 16 * len(k)
     while True:
         rows = state.count()
         here = sized(state.select(*k, F.col("id").alias("a"), F.col("label").alias("la")), rows, row_bytes)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 _STAGED: list[str] = []
 
 #: Bytes of a table that is broadcast at most, by its rows and the bytes of a row; larger ones are joined by shuffle.
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -56,6 +56,6 @@ def drop_staged(df: DataFrame) -> None:
         _delete(df.sparkSession, folder)
 
 
-def sized(df: DataFrame, rows: int, row_bytes: int = 16) -> DataFrame:
+def sized(df: DataFrame, rows: int, row_bytes: int = 32) -> DataFrame:
     """df, broadcast if its rows take BROADCAST_BYTES at most."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
