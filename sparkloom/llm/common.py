@@ -5,58 +5,17 @@ from __future__ import annotations
 import json
 import math
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folders of staged tables that this process has made.
-_STAGED: list[str] = []
+from ..sources.staging import clean, drop_staged, shared_folder, sized, stage
+
+__all__ = ["clean", "drop_staged", "shared_folder", "sized", "stage"]
 
 #: A word of the size and shingle contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), a new local one becomes that setting."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write df as Parquet below the shared folder and read it back: lineage ends, and a lost executor costs only its own tasks."""
-    spark = df.sparkSession
-    folder = f"{shared_folder(spark)}/sparkloom/{uuid.uuid4().hex}"
-    path = f"{folder}/{name}"
-    _STAGED.append(folder)
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clean(spark: SparkSession) -> None:
-    """Delete all tables that this process has staged; results that still read them must have been written."""
-    jvm = spark.sparkContext._jvm
-    while _STAGED:
-        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def drop_staged(df: DataFrame) -> None:
-    """Delete the files of a staged table that nothing will read again."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 #: Bytes of one Arrow batch at most: texts travel whole, and both sides of the pipe hold a batch or two.
 BATCH_BYTES = 4 << 20
 

@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_staged, small_batches, stage
-from .components import components, sized
+from ..operators.components import components
+from .common import drop_staged, sized, small_batches, stage
 from .shingles import bounded, shingle_sets
 
 #: 40 bands of 5 minima: a pair of similarity 0.8 shares no band once in 7 million pairs, one of 0.85 once in 15 billion.
@@ -34,6 +34,8 @@ BANDS, ROWS = 40, 5
 BITS = 2
 #: Pairs are confirmed on full sets if their estimate is less than so many standard errors below the limit.
 MARGIN = 5.0
+#: Sets of fewer shingles, whose estimates spread a little wider, get a wider margin.
+SMALL_SET, SMALL_MARGIN = 64, 8.0
 #: Members of a bucket or a cluster that one block holds.
 BUCKET_BLOCK, CLUSTER_BLOCK = 1024, 128
 _RNG = np.random.Generator(np.random.PCG64(0xB17))
@@ -79,10 +81,10 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (equal - chance) / (1.0 - chance)
 
 
-def lowest_estimate(limit: float) -> float:
+def lowest_estimate(limit: float, margin: float = MARGIN) -> float:
     chance = 0.5**BITS
     p = chance + (1 - chance) * limit
-    return limit - MARGIN * math.sqrt(p * (1 - p) / (BANDS * ROWS)) / (1 - chance)
+    return limit - margin * math.sqrt(p * (1 - p) / (BANDS * ROWS)) / (1 - chance)
 
 
 def _described(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -128,7 +130,7 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def _join_block(ids: np.ndarray, n: np.ndarray, sig: np.ndarray, labels: np.ndarray, visits: np.ndarray, sets: list | None, percent: int) -> np.ndarray:
     """Labels (places) after all pairs of the block of which one is at home were compared; equal labels first are not."""
-    low = lowest_estimate(percent / 100)
+    low = np.where(n < SMALL_SET, lowest_estimate(percent / 100, SMALL_MARGIN), lowest_estimate(percent / 100))
     root = np.unique(labels, return_inverse=True)[1]
     home = ~visits
     for i in range(len(ids)):
@@ -143,7 +145,8 @@ def _join_block(ids: np.ndarray, n: np.ndarray, sig: np.ndarray, labels: np.ndar
         if not len(j):
             continue
         est = estimate(sig[j], sig[i][None])
-        j, est = j[est >= low], est[est >= low]
+        likely = est >= np.minimum(low[j], low[i])
+        j, est = j[likely], est[likely]
         for x in j[np.argsort(-est, kind="stable")]:
             if root[x] != root[i] and (sets is None or _linked(sets[i], sets[x], percent)):
                 root[root == root[x]] = root[i]

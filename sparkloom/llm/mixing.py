@@ -70,7 +70,8 @@ def solve_duals(counts: DataFrame, targets: DataFrame, n_sources: int, cap: floa
     Newton steps inside a bracket for all sources at once: a step is one
     aggregation over counts, and brings one (source, words, slope) row a source
     to the driver, which keeps the dual vector.  Stops when all sources are
-    within a quarter of a word or a ten-millionth of their target.
+    within a quarter of a word or a ten-millionth of their target; if some are
+    not after NEWTON_STEPS steps, that is an error.
     """
     spark = counts.sparkSession
     known = targets.select("source", "target", "source_size").collect()
@@ -104,6 +105,9 @@ def solve_duals(counts: DataFrame, targets: DataFrame, n_sources: int, cap: floa
             elif not math.isfinite(step) or abs(step - x) > 2 * abs(x) + 1:
                 step = x + (2 * abs(x) + 1) * (-1 if off > 0 else 1)
             state[s] = [step, low, high]
+    open_sources = [s for s in state if s not in duals]
+    if open_sources:
+        raise RuntimeError(f"{len(open_sources)} sources are off their targets after {NEWTON_STEPS} Newton steps, {open_sources[0]!r} among them")
     rows = [{"source": s, "dual": duals.get(s, state[s][0]), "full": duals.get(s) == math.inf} for s in state]
     rows = [r | {"dual": 0.0} if r["full"] else r for r in rows]
     table = small_table(spark, rows, "source string, dual double, full boolean")

@@ -26,7 +26,11 @@ ROWS_A_PIECE = 1 << 20
 
 
 def draw_hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """How many of n rows drawn without replacement come from the good ones; any size (numpy stops at 1e9)."""
+    """How many of n rows drawn without replacement come from the good ones; any size.
+
+    numpy draws up to 1e9 rows; beyond, the distribution is inverted over 12
+    standard deviations, outside of which lies less (1e-32) than a double can tell.
+    """
     low, high = max(0, n - bad), min(n, good)
     if low >= high:
         return low
