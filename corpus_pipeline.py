@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import langid, minhash, mixing, pieces, toxicity
-from sparkloom.llm.common import stage
-from sparkloom.llm.components import sized
+from sparkloom.llm.common import sized, stage
 
 #: No SQL: the classifiers, signatures and segmentations have none. tests/llm hold the stages against brute force.
 ORACLE_SQL = None
