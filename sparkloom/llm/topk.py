@@ -1,12 +1,13 @@
 """Exact top-k inner products: ball trees over shards, branch and bound.
 
-Candidates are dealt into shards by the hash of their id; a task builds a ball
-tree over its shard and streams the queries past it.  A ball of centre c and
-radius r holds no inner product with q above q.c + |q| r; balls below the
-query's current kth score are left out, the others visited from the highest
-bound down.  Each query searches one shard first; its kth score there bounds
-the search of all other shards.  Scores that equal the bound stay in, so ties
-are broken by id among all candidates.
+Candidates are dealt into shards by their nearest pivot (large ones by the hash
+of their id as well); a task builds a ball tree over its shard and streams the
+queries past it.  A ball of centre c and radius r holds no inner product with q
+above q.c + |q| r; balls below the query's current kth score are left out, the
+others visited from the highest bound down.  Shards are balls too: in rounds,
+each query goes to the shard of the highest bound, then to the next FAN, then to
+the rest, each time only where the bound reaches its kth score so far.  Scores
+that equal the bound stay in, so ties are broken by id among all candidates.
 """
 
 from __future__ import annotations
@@ -16,13 +17,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, stage
+from .common import drop_staged, shuffle_partitions, small_table, stage, unit
 
 #: Candidates of a shard at most (expected) and at least, where there are enough for all shuffle partitions; candidates of a leaf.
-SHARD_ROWS, LEAST_ROWS, LEAF = 16_384, 256, 128
+SHARD_ROWS, LEAST_ROWS, LEAF = 32_768, 512, 128
+#: Pivots of a dimension at most, and vectors of the sample (expected number) in which they are found; any sample gives the same results.
+PIVOTS, PIVOT_SAMPLE = 256, 4096
+#: Shards of a query's second round.
+FAN = 3
 QUERIES_AT_ONCE = 512
 NONE = np.iinfo(np.int64).max
 
@@ -107,14 +113,15 @@ class BallTree:
         return top, top_ids
 
 
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """The vectors of a list column, all of one length, as integers of 1/64."""
+    flat = column.flatten() if isinstance(column, pa.Array) else pa.chunked_array([c.flatten() for c in column.chunks], pa.float64())
+    return np.floor(64.0 * flat.to_numpy().astype(np.float64)).reshape(len(column), -1)
+
+
 def _search(k: int):
     """Rows (shard, kind, id, kth, v) sorted by shard and kind (0: candidates first) -> query_id, vec_id, score."""
 
-    def matrix(batches: list[pa.RecordBatch]) -> np.ndarray:
-        flat = pa.chunked_array([b.column("v").flatten() for b in batches]).to_numpy().astype(np.float64)
-        n = sum(b.num_rows for b in batches)
-        return np.floor(64.0 * flat).reshape(n, -1)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held, tree = None, [], None
         for batch in batches:
@@ -130,22 +137,103 @@ def _search(k: int):
                 if not held and tree is None:
                     continue
                 if tree is None:
-                    tree = BallTree(np.concatenate([x.column("id").to_numpy() for x in held]), matrix(held))
+                    tree = BallTree(np.concatenate([x.column("id").to_numpy() for x in held]), _matrix(pa.chunked_array([x.column("v") for x in held])))
                     held = []
                 for at in range(0, part.num_rows, QUERIES_AT_ONCE):
                     some = part.slice(at, QUERIES_AT_ONCE)
                     ids = some.column("id").to_numpy()
-                    score, found = tree.search(ids, matrix([some]), some.column("kth").to_numpy(), k)
+                    score, found = tree.search(ids, _matrix(some.column("v")), some.column("kth").to_numpy(), k)
                     there = found != NONE
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, there.sum(axis=1))), pa.array(found[there]), pa.array(score[there])], ["query_id", "vec_id", "score"])
 
     return run
 
 
-def _over_shards(candidates: DataFrame, queries: DataFrame, parts: int, k: int) -> DataFrame:
-    both = candidates.select("shard", F.lit(0).alias("kind"), "id", F.lit(0).cast("long").alias("kth"), "v")
-    both = both.unionByName(queries.select("shard", F.lit(1).alias("kind"), "id", "kth", "v"))
-    both = both.repartition(parts, "shard").sortWithinPartitions("shard", "kind")
+def _pivots(rows: DataFrame, sizes: dict[int, int], want: int) -> dict[int, np.ndarray]:
+    """Pivots of each dimension: means of a sample's groups (k-means from farthest points)."""
+    rates = F.create_map(*[F.lit(x) for d, n in sizes.items() for x in (d, min(1.0, PIVOT_SAMPLE / n))])
+    sample = rows.where(unit(10_007, F.col("id")) < F.element_at(rates, F.col("dim"))).select("dim", "id", "v").toArrow()
+    out = {}
+    dims = sample.column("dim").to_numpy()
+    for d, n in sizes.items():
+        part = sample.filter(pa.array(dims == d))
+        x = _matrix(part.column("v")) if part.num_rows else np.zeros((1, d))
+        x = x[np.lexsort(x.T[::-1])]
+        centres = [x.mean(axis=0)]
+        far = ((x - centres[0]) ** 2).sum(axis=1)
+        for _ in range(min(PIVOTS, max(1, n // LEAST_ROWS), want) - 1):
+            centres.append(x[far.argmax()])
+            far = np.minimum(far, ((x - centres[-1]) ** 2).sum(axis=1))
+        centres = np.stack(centres)
+        for _ in range(5):
+            near = ((centres**2).sum(axis=1) - 2 * x @ centres.T).argmin(axis=1)
+            centres = np.stack([x[near == i].mean(axis=0) if (near == i).any() else c for i, c in enumerate(centres)])
+        out[d] = centres
+    return out
+
+
+def _near_pivots(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """rows(id, v, dim, asks) + the nearest pivot's number and the distance from it."""
+    shared = rows.sparkSession.sparkContext.broadcast(pivots)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for d in batch.column("dim").unique().to_pylist():
+                part = batch.filter(pc.equal(batch.column("dim"), d))
+                x, centres = _matrix(part.column("v")), shared.value[d]
+                near = ((centres**2).sum(axis=1) - 2 * x @ centres.T).argmin(axis=1)
+                dist = np.sqrt(((x - centres[near]) ** 2).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(near.astype(np.int32)), pa.array(dist)], [*part.schema.names, "pivot", "dist"])
+
+    return rows.mapInArrow(run, "id bigint, v array<double>, dim int, asks boolean, pivot int, dist double")
+
+
+class Balls:
+    """The shards as balls, for routing: of each dimension their numbers, pivots and radii."""
+
+    def __init__(self, pivots: dict[int, np.ndarray], shards: list[tuple[int, int, int, float]]):
+        self.pivots, self.by_dim = pivots, {}
+        for d in pivots:
+            own = sorted((s, p, r) for s, dim, p, r in shards if dim == d)
+            self.by_dim[d] = tuple(np.array(c) for c in zip(*own))
+
+    def bounds(self, d: int, q: np.ndarray) -> np.ndarray:
+        """queries x shards: the highest inner product that the shard can hold."""
+        _, pivot, radius = self.by_dim[d]
+        length = np.sqrt((q * q).sum(axis=1))[:, None]
+        value = (q @ self.pivots[d].T)[:, pivot]
+        return value + length * radius + 1e-9 * (np.abs(value) + length * (radius + np.abs(self.pivots[d]).max(initial=0.0)) + 1)
+
+
+def _routed(queries: DataFrame, balls: Balls, first: int, last: int | None) -> DataFrame:
+    """queries(id, v, dim, kth) -> (shard, id, kth, v) for the shards from place `first` to before `last` in the order of bounds that reach kth."""
+    shared = queries.sparkSession.sparkContext.broadcast(balls)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for d in batch.column("dim").unique().to_pylist():
+                part = batch.filter(pc.equal(batch.column("dim"), d))
+                for at in range(0, part.num_rows, QUERIES_AT_ONCE):
+                    some = part.slice(at, QUERIES_AT_ONCE)
+                    upper = shared.value.bounds(d, _matrix(some.column("v")))
+                    order = np.argsort(-upper, axis=1, kind="stable")[:, first:last]
+                    reach = np.take_along_axis(upper, order, axis=1) >= some.column("kth").to_numpy().astype(np.float64)[:, None]
+                    query, place = np.nonzero(reach)
+                    for cut in range(0, len(query), 16 * QUERIES_AT_ONCE):
+                        rows = query[cut : cut + 16 * QUERIES_AT_ONCE]
+                        to = shared.value.by_dim[d][0][order[rows, place[cut : cut + 16 * QUERIES_AT_ONCE]]]
+                        sent = some.take(pa.array(rows))
+                        yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), sent.column("id"), sent.column("kth"), sent.column("v")], ["shard", "id", "kth", "v"])
+
+    return queries.select("id", "v", "dim", "kth").mapInArrow(run, "shard int, id bigint, kth bigint, v array<double>")
+
+
+def _over_shards(candidates: DataFrame, asked: DataFrame, shards: int, parts: int, k: int) -> DataFrame:
+    """Each shard is one partition's, of as few shards as there can be; shards that nothing asks stay away."""
+    there = F.broadcast(asked.select("shard").distinct()) if shards <= 1 << 18 else asked.select("shard").distinct()
+    both = candidates.join(there, "shard", "left_semi").select("shard", F.lit(0).alias("kind"), "id", F.lit(0).cast("long").alias("kth"), "v")
+    both = both.unionByName(asked.select("shard", F.lit(1).alias("kind"), "id", "kth", "v"))
+    both = both.repartitionById(parts, F.col("shard") % parts).sortWithinPartitions("shard", "kind")
     return both.mapInArrow(_search(k), "query_id bigint, vec_id bigint, score bigint")
 
 
@@ -171,23 +259,36 @@ def top_k(vectors: DataFrame, is_query: "F.Column", k: int = 20) -> DataFrame:
     if not sizes:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     want = shuffle_partitions(spark)
-    shards = {d: max(math.ceil(n / SHARD_ROWS), min(want, n // LEAST_ROWS), 1) for d, n in sizes.items()}
-    n_shards = F.element_at(F.create_map(*[F.lit(x) for pair in shards.items() for x in pair]), F.col("dim"))
-    code = F.col("dim").cast("long") * (1 << 32)
-    home = F.pmod(F.xxhash64("id"), n_shards)
-    candidates = rows.withColumn("shard", code + home)
-    queries = rows.where("asks").select("id", "v", "dim", home.alias("home")).dropDuplicates(["id", "v"])
-    parts = max(want, sum(shards.values()))
+    pivots = _pivots(rows, sizes, want)
+    rows = stage(_near_pivots(rows, pivots), "near")
+    # Shards: each pivot's vectors, cut by the hash of the id where they are too many for one task.
+    most = {d: max(LEAST_ROWS, min(SHARD_ROWS, math.ceil(n / want))) for d, n in sizes.items()}
+    homes, n_shards = [], 0
+    for dim, pivot, n in sorted(tuple(r) for r in rows.groupBy("dim", "pivot").agg(F.count("*")).collect()):
+        cuts = math.ceil(n / most[dim])
+        homes.append({"dim": dim, "pivot": pivot, "first": n_shards, "cuts": cuts})
+        n_shards += cuts
+    homes = small_table(spark, homes, "dim int, pivot int, first int, cuts int")
+    placed = rows.join(F.broadcast(homes), ["dim", "pivot"]).withColumn("shard", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("cuts"))).cast("int"))
+    candidates = placed.select("shard", "id", "v")
+    balls = Balls(pivots, [tuple(r) for r in placed.groupBy("shard", "dim", "pivot").agg(F.max("dist")).collect()])
+    queries = rows.where("asks").select("id", "v", "dim").dropDuplicates(["id", "v"])
+    parts = min(n_shards, 16 * want)
     none = F.lit(-(1 << 63)).cast("long")
-    # Ids at home are the queries' own: another shard is searched first, the next one.
-    first = F.pmod(F.col("home") + 1, n_shards)
-    near = stage(_over_shards(candidates, queries.select((code + first).alias("shard"), "id", none.alias("kth"), "v"), parts, k), "first")
-    bounds = _best(near, k).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
-    asked = queries.join(bounds, "id", "left").withColumn("kth", F.coalesce("kth", none))
-    others = F.filter(F.sequence(F.lit(0).cast("long"), n_shards.cast("long") - 1), lambda s: s != first)
-    asked = asked.withColumn("to", F.explode(others)).select((code + F.col("to")).alias("shard"), "id", "kth", "v")
-    found = near.unionByName(_over_shards(candidates, asked, parts, k))
-    return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found, cuts = None, [0, 1, 1 + FAN, None]
+    for first, last in zip(cuts, cuts[1:]):
+        if found is None:
+            asked = queries.withColumn("kth", none)
+        else:
+            bounds = found.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
+            asked = queries.join(bounds, "id", "left").withColumn("kth", F.coalesce("kth", none))
+        if first < n_shards:
+            asked = stage(_routed(asked, balls, first, last), "asked")
+            new = _over_shards(candidates, asked, n_shards, parts, k)
+            old = found.select("query_id", "vec_id", "score") if found is not None else None
+            found = stage(_best(new if old is None else old.unionByName(new), k), "found")
+            drop_staged(asked)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
