@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -35,6 +36,7 @@ SHARD_TOKENS = 1 << 20
 LEAST_PAIRS = 4
 #: A round replaces pairs that occur at least this fraction of the most frequent pair's times.
 ROUND_SHARE = 1 / 16
+HASH_BITS = 20
 #: Units whose ids a worker keeps (about 50 bytes each).
 KNOWN_UNITS = 1_000_000
 MAGIC = b"RPSH"
@@ -253,24 +255,28 @@ def repair(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
             run = np.concatenate([[True], np.diff(same) > 1])
             number = np.arange(len(same))
             inner[same[(number - np.maximum.accumulate(np.where(run, number, 0))) % 2 == 1]] = False
-        ordered = np.sort(pairs[inner])
-        if not len(ordered):
-            break
-        cut = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        times = np.diff(np.concatenate([cut, [len(ordered)]]))
-        often = np.flatnonzero(times >= max(LEAST_PAIRS, times.max() * ROUND_SHARE))
+        # Counts of hashed pairs are never too low: pairs of rare hashes are sorted out before the exact count.
+        inner = np.flatnonzero(inner)
+        hashed = ((pairs[inner] * _SPREAD) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+        rough = np.bincount(hashed, minlength=1)
+        rough_of = rough[hashed]
+        for least in (max(LEAST_PAIRS, math.ceil(rough.max() * ROUND_SHARE)), LEAST_PAIRS):
+            place = inner[rough_of >= least]
+            here = pairs[place]
+            ordered = np.sort(here)
+            cut = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.empty(0, np.int64)
+            times = np.diff(np.concatenate([cut, [len(ordered)]]))
+            often = np.flatnonzero(times >= least)
+            if len(often):
+                break
         if not len(often):
             break
         chosen, times = ordered[cut[often]], times[often]
         rank = np.empty(len(chosen), dtype=np.int64)
         rank[np.argsort(times, kind="stable")] = np.arange(len(chosen))
-        # A table of bits sorts out most places before the search.
-        table = np.zeros(1 << 20, dtype=bool)
-        table[(chosen * _SPREAD) >> np.uint64(44)] = True
-        place = np.flatnonzero(table[(pairs * _SPREAD) >> np.uint64(44)] & inner)
-        at = np.searchsorted(chosen, pairs[place])
+        at = np.searchsorted(chosen, here)
         at[at == len(chosen)] = 0
-        hit = chosen[at] == pairs[place]
+        hit = chosen[at] == here
         place, at = place[hit], at[hit]
         apart = np.diff(place) > 1
         won = np.ones(len(place), dtype=bool)
