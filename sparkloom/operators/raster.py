@@ -46,8 +46,8 @@ def clip_normalized(px: DataFrame, scope: str = "single", low: float = 0.0, high
     return px.join(p, keys).withColumn("v", F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))).drop("a", "b")
 
 
-def segmented(tiles: DataFrame, threshold: float = 0.15, min_area: float = 0.0) -> DataFrame:
-    """Regions of each tile above the threshold: one row a region with its features."""
+def segmented(tiles: DataFrame, threshold: float = 0.15, min_area: float = 0.0, image: DataFrame | None = None) -> DataFrame:
+    """Regions of each tile above the threshold: one row a region with its features; intensities are the tile's own, or those of image."""
     fields = "label int, area double, y0 int, x0 int, y1 int, x1 int, cy double, cx double, orientation double, perimeter double, convex_area double, feret double, mean_intensity double, length int, ends array<array<int>>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -55,8 +55,8 @@ def segmented(tiles: DataFrame, threshold: float = 0.15, min_area: float = 0.0)
         for pdf in batches:
             rows = []
             for r in pdf.itertuples():
-                img = _image(r.data, r.h, r.w)
-                labels = images.label(img > threshold)
+                img = _image(r.raw, r.h, r.w)
+                labels = images.label(_image(r.data, r.h, r.w) > threshold)
                 skel = images.skeleton(labels > 0)
                 ends = images.skeleton_ends(skel)
                 for region in images.regions(labels, img):
@@ -66,7 +66,8 @@ def segmented(tiles: DataFrame, threshold: float = 0.15, min_area: float = 0.0)
                         rows.append({"file_id": r.file_id, "frame": r.frame, **region, "length": int((skel & (labels == k)).sum()), "ends": own if len(own) == 2 else None})
             yield pd.DataFrame(rows, columns=names)
 
-    return tiles.select("file_id", "frame", "h", "w", "data").mapInPandas(run, f"{KEYS}, {fields}")
+    both = tiles.withColumn("raw", F.col("data")) if image is None else tiles.join(image.select("file_id", "frame", F.col("data").alias("raw")), ["file_id", "frame"])
+    return both.select("file_id", "frame", "h", "w", "data", "raw").mapInPandas(run, f"{KEYS}, {fields}")
 
 
 def mapped(tiles: DataFrame, kernel) -> DataFrame:

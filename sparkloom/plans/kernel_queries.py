@@ -71,12 +71,12 @@ def line_growth(spark, sf):
     return graph.grown_lines(vectors(spark, sf), "grp", 0.5, 3, 0.1, 3)
 
 
-SIDE = 48
+SIDE = 64
 
 
 def _tiles(spark, sf):
-    """48 x 48 images of all orders: a file a priority, a frame a year; orders fall on two bars of three columns and light their pixels by their number."""
-    x = 8 + 16 * (F.col("o_orderkey") % 2) + F.col("o_custkey") % 3
+    """64 x 64 images of all orders: a file a priority, a frame a year; orders fall on four bars of three columns and light their pixels by their number."""
+    x = 4 + 16 * (F.col("o_orderkey") % 4) + F.col("o_custkey") % 3
     i = (F.col("o_custkey") % SIDE * SIDE + x).cast("int")
     o = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("file_id"), (F.year("o_orderdate") - 1990).alias("frame"), i.alias("i"))
     tile = o.groupBy("file_id", "frame", "i").agg(F.count("*").alias("n")).groupBy("file_id", "frame").agg(F.map_from_entries(F.collect_list(F.struct("i", "n"))).alias("lit"), F.max("n").alias("most"))
@@ -109,7 +109,7 @@ QUERIES = {
 }
 
 _TILE = (
-    f"lit AS (SELECT o_orderpriority AS file_id, CAST(year(o_orderdate) - 1990 AS INTEGER) AS frame, o_custkey % {SIDE} * {SIDE} + 8 + 16 * (o_orderkey % 2) + o_custkey % 3 AS i, count(*) AS n FROM orders GROUP BY ALL), "
+    f"lit AS (SELECT o_orderpriority AS file_id, CAST(year(o_orderdate) - 1990 AS INTEGER) AS frame, o_custkey % {SIDE} * {SIDE} + 4 + 16 * (o_orderkey % 4) + o_custkey % 3 AS i, count(*) AS n FROM orders GROUP BY ALL), "
     "tl AS (SELECT file_id, frame, max(n) AS most FROM lit GROUP BY ALL), "
     f"px AS (SELECT file_id, frame, i, CAST(0.05 AS DOUBLE) + CAST(0.95 AS DOUBLE) * coalesce(n, 0) / most AS v FROM tl CROSS JOIN range(0, {SIDE * SIDE}) r(i) LEFT JOIN lit USING (file_id, frame, i))"
 )

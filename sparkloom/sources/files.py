@@ -158,7 +158,7 @@ def read_profiles(spark: SparkSession, path: str) -> DataFrame:
 def read_series(spark: SparkSession, path: str) -> DataFrame:
     """Text files of one number a line -> (path, frame, y); lines that are no number are missing."""
     lines = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
-    rows = lines.select("path", F.posexplode(F.split(F.rtrim("value"), r"\r?\n")).alias("frame", "t"))
+    rows = lines.select("path", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")).alias("frame", "t"))
     return rows.select("path", "frame", F.trim("t").try_cast("double").alias("y"))
 
 
