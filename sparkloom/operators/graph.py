@@ -85,15 +85,11 @@ def matched(costs: DataFrame, key: str, forbidden: float = 1e6) -> DataFrame:
 
 
 def modularity_communities(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, resolution: float, seed: int) -> np.ndarray:
-    """Communities by local moves, refinement and contraction until modularity stops rising; order of moves by the seed.
+    """Communities by passes of local moves, refinement and contraction until a pass changes nothing; order of moves by the seed.
 
-    Before each contraction every community is refined: its nodes start alone
-    and join, in that community only, the neighbour group that raises
-    modularity most.  Refined groups are contracted, and start the next round
-    in their community, so that each community stays connected.
+    At the end each community is connected and no node's move raises modularity.
     """
     rng = np.random.default_rng(seed)
-    member = np.arange(n)
     links: list[dict[int, float]] = [{} for _ in range(n)]
     loops = np.zeros(n)
     for i, j, x in zip(a.tolist(), b.tolist(), w.tolist()):
@@ -103,9 +99,24 @@ def modularity_communities(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray,
             links[i][j] = links[i].get(j, 0.0) + x
             links[j][i] = links[j].get(i, 0.0) + x
     total = 2 * (sum(sum(d.values()) for d in links) / 2 + loops.sum())
-    if total <= 0:
-        return member
-    first_links, group = links, np.arange(n)
+    group = np.arange(n)
+    while total > 0:
+        new = _pass(links, loops, group, resolution, total, rng)
+        if (new == group).all():
+            break
+        group = new
+    return group
+
+
+def _pass(links: list[dict[int, float]], loops: np.ndarray, start: np.ndarray, resolution: float, total: float, rng: np.random.Generator) -> np.ndarray:
+    """One pass from the groups of `start`; groups are numbered in the order of their first nodes.
+
+    Before each contraction every community is refined: its nodes start alone
+    and join, in that community only, the neighbour group that raises
+    modularity most.  Refined groups are contracted, and start the next round
+    in their community.
+    """
+    first_links, group, member = links, start.copy(), np.arange(len(links))
     while True:
         size = len(links)
         strength = np.array([sum(d.values()) for d in links]) + 2 * loops
