@@ -136,7 +136,8 @@ def _least_cost_matching(cost):
         b = min(free, key=best.get)
         while b is not None:
             a = come[b]
-            b, match[b] = undone.get(a), a
+            match[b] = a
+            b = undone.get(a)
 
 
 def _parts(nodes, pairs):
