@@ -1,28 +1,58 @@
-"""The feature catalog and the default parameters; names and numbers are fixed values."""
+"""The features of a frame and the default parameters; names and numbers are fixed values."""
 
 from __future__ import annotations
 
-_BY_PRODUCER = {
-    ("frame", "cell_mask"): "cell_mask_area cell_mask_area_ratio cell_mask_intensity",
-    ("frame", "z_bands"): "n_zbands z_avg_intensity z_intensity_mean z_intensity_std z_length_max z_length_mean z_length_std z_oop z_mask_area z_mask_area_ratio z_mask_intensity z_straightness_mean z_straightness_std "
-    "z_lat_alignment_mean z_lat_alignment_std z_lat_alignment_groups_mean z_lat_alignment_groups_std z_lat_dist_mean z_lat_dist_std z_lat_length_groups_mean z_lat_length_groups_std z_lat_neighbors_mean z_lat_neighbors_std "
-    "z_lat_size_groups_mean z_lat_size_groups_std",
-    ("entity", "z_bands"): "z_ends z_intensity z_labels z_lat_alignment z_lat_alignment_groups z_lat_dist z_lat_groups z_lat_length_groups z_lat_links z_lat_neighbors z_lat_size_groups z_length z_orientation z_straightness",
-    ("frame", "vectors"): "n_mbands n_vectors sarcomere_area sarcomere_area_ratio sarcomere_length_mean sarcomere_length_std sarcomere_oop sarcomere_orientation_mean sarcomere_orientation_std",
-    ("entity", "vectors"): "max_score_vectors midline_id_vectors midline_length_vectors pos_vectors sarcomere_length_vectors sarcomere_orientation_vectors",
-    ("frame", "lines"): "myof_length_max myof_length_mean myof_length_std myof_bending_mean myof_bending_std myof_straightness_mean myof_straightness_std",
-    ("entity", "lines"): "myof_length myof_lines myof_bending myof_straightness",
-    ("frame", "domains"): "n_domains domain_area_mean domain_area_std domain_oop_mean domain_oop_std",
-    ("entity", "domains"): "domain_area domain_mask domain_oop domain_orientation domain_slen domains",
-    ("tile", "wavelets"): "wavelet_bank wavelet_max_score wavelet_sarcomere_length wavelet_sarcomere_orientation",
-    ("line", "contractions"): "beating_rate beating_rate_variability time_contr_avg time_quiet_avg",
-    ("entity", "trajectories"): "contr_max contr_max_avg elong_max elong_max_avg vel_contr_max vel_contr_max_avg vel_elong_max vel_elong_max_avg equ time_contr time_quiet time_to_peak time_to_peak_avg time_to_relax time_to_relax_avg",
-    ("entity", "popping"): "popping_events popping_rate_sarcomeres popping_rate_contr",
-    ("line", "popping"): "popping_rate",
-    ("line", "correlations"): "ratio_delta_slen_mutual_serial ratio_vel_mutual_serial corr_delta_slen_serial corr_delta_slen_mutual corr_vel_serial corr_vel_mutual",
-    ("pair", "correlations"): "corr_delta_slen corr_vel",
-}
-FEATURES = [(name, level, producer) for (level, producer), names in _BY_PRODUCER.items() for name in names.split()]
+#: Features of a frame that the structure chain gives, with the stage that makes them; fixed values.
+FEATURES = [
+    ("cell_mask_area", "frame", "cell_mask"),
+    ("cell_mask_area_ratio", "frame", "cell_mask"),
+    ("cell_mask_intensity", "frame", "cell_mask"),
+    ("n_zbands", "frame", "z_bands"),
+    ("z_intensity_mean", "frame", "z_bands"),
+    ("z_intensity_std", "frame", "z_bands"),
+    ("z_length_max", "frame", "z_bands"),
+    ("z_length_mean", "frame", "z_bands"),
+    ("z_length_std", "frame", "z_bands"),
+    ("z_oop", "frame", "z_bands"),
+    ("z_mask_area", "frame", "z_bands"),
+    ("z_mask_area_ratio", "frame", "z_bands"),
+    ("z_mask_intensity", "frame", "z_bands"),
+    ("z_straightness_mean", "frame", "z_bands"),
+    ("z_straightness_std", "frame", "z_bands"),
+    ("z_lat_alignment_mean", "frame", "z_bands"),
+    ("z_lat_alignment_std", "frame", "z_bands"),
+    ("z_lat_alignment_groups_mean", "frame", "z_bands"),
+    ("z_lat_alignment_groups_std", "frame", "z_bands"),
+    ("z_lat_dist_mean", "frame", "z_bands"),
+    ("z_lat_dist_std", "frame", "z_bands"),
+    ("z_lat_length_groups_mean", "frame", "z_bands"),
+    ("z_lat_length_groups_std", "frame", "z_bands"),
+    ("z_lat_neighbors_mean", "frame", "z_bands"),
+    ("z_lat_neighbors_std", "frame", "z_bands"),
+    ("z_lat_size_groups_mean", "frame", "z_bands"),
+    ("z_lat_size_groups_std", "frame", "z_bands"),
+    ("n_mbands", "frame", "vectors"),
+    ("n_vectors", "frame", "vectors"),
+    ("sarcomere_area", "frame", "vectors"),
+    ("sarcomere_area_ratio", "frame", "vectors"),
+    ("sarcomere_length_mean", "frame", "vectors"),
+    ("sarcomere_length_std", "frame", "vectors"),
+    ("sarcomere_oop", "frame", "vectors"),
+    ("sarcomere_orientation_mean", "frame", "vectors"),
+    ("sarcomere_orientation_std", "frame", "vectors"),
+    ("myof_length_max", "frame", "lines"),
+    ("myof_length_mean", "frame", "lines"),
+    ("myof_length_std", "frame", "lines"),
+    ("myof_bending_mean", "frame", "lines"),
+    ("myof_bending_std", "frame", "lines"),
+    ("myof_straightness_mean", "frame", "lines"),
+    ("myof_straightness_std", "frame", "lines"),
+    ("n_domains", "frame", "domains"),
+    ("domain_area_mean", "frame", "domains"),
+    ("domain_area_std", "frame", "domains"),
+    ("domain_oop_mean", "frame", "domains"),
+    ("domain_oop_std", "frame", "domains"),
+]
 
 PARAMETERS: dict[str, object] = {
     "cell_mask.threshold": 0.1,

@@ -122,7 +122,7 @@ def missing_from(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFr
 
 
 def feature_catalog(spark: SparkSession) -> DataFrame:
-    """Features by name with their level (a frame, an entity, a line, a pair) and producer."""
+    """Features by name with their level and the stage that makes them."""
     from .catalog import FEATURES
 
     return spark.createDataFrame(FEATURES, "name string, level string, producer string")

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from sparkloom.operators import structure
+from sparkloom.operators import catalog, structure
 
 SHAPE, PIXEL = (64, 64), 0.125
 
@@ -23,6 +23,7 @@ def test_structure_of_drawn_bars(spark):
     tiles = {"image": _tile(spark, bars, empty), "zbands": _tile(spark, bars, empty), "midlines": _tile(spark, middle, empty), "cell_mask": _tile(spark, strip, empty), "sarcomere_mask": _tile(spark, strip, empty), "sine": _tile(spark, empty, empty), "cosine": _tile(spark, empty + 1, empty + 1)}
     rows = structure.structure(tiles, PIXEL, SHAPE, area_min=1.0, growth={"share": 0.3, "reach": 0.3, "n_min": 3}).orderBy("frame").collect()
     full, none = rows
+    assert {name for name, _, _ in catalog.FEATURES} <= set(full.asDict())
     cell = 48 * 51 * PIXEL**2
     assert full.cell_mask_area == pytest.approx(cell) and full.cell_mask_area_ratio == pytest.approx(48 * 51 / 64**2)
     assert full.cell_mask_intensity == pytest.approx(12 / 51) and full.sarcomere_area_ratio == pytest.approx(1.0)
