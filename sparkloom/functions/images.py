@@ -215,8 +215,21 @@ def phase_corrected(image: np.ndarray, most: int) -> np.ndarray:
     return out
 
 
-def double_wavelets(image: np.ndarray, lengths: np.ndarray, angles: np.ndarray, width: float, sigma: float) -> np.ndarray:
-    """lengths x angles x h x w: products of the responses of two Gaussian bars at +- half the length along each angle."""
+def bar(along: np.ndarray, across: np.ndarray, width: float, sigma: float, shape: str) -> np.ndarray:
+    """One bar of sum 1 around along = 0: Gaussian both ways; half_gaussian along, cut at half the width across; binary, sigma by width."""
+    if shape == "gaussian":
+        k = np.exp(-(along**2) / (2 * sigma**2) - across**2 / (2 * width**2))
+    elif shape == "half_gaussian":
+        k = np.exp(-(along**2) / (2 * sigma**2)) * (np.abs(across) <= width / 2)
+    elif shape == "binary":
+        k = ((np.abs(along) < sigma / 2) & (np.abs(across) <= width / 2)).astype(float)
+    else:
+        raise ValueError(f"unknown wavelet {shape!r}")
+    return k / max(k.sum(), 1e-300)
+
+
+def double_wavelets(image: np.ndarray, lengths: np.ndarray, angles: np.ndarray, width: float, sigma: float, shape: str = "gaussian", negative_centre: bool = False) -> np.ndarray:
+    """lengths x angles x h x w: products of the responses of two bars at +- half the length along each angle; on request each bar less one in the middle."""
     h, w = image.shape
     half = int(math.ceil(lengths.max() / 2 + 3 * max(width, sigma)))
     y, x = np.mgrid[-half : half + 1, -half : half + 1].astype(float)
@@ -228,8 +241,9 @@ def double_wavelets(image: np.ndarray, lengths: np.ndarray, angles: np.ndarray,
             along, across = x * math.cos(t) + y * math.sin(t), -x * math.sin(t) + y * math.cos(t)
             both = []
             for sign in (-0.5, 0.5):
-                k = np.exp(-((along - sign * n) ** 2) / (2 * sigma**2) - across**2 / (2 * width**2))
-                k /= k.sum()
+                k = bar(along - sign * n, across, width, sigma, shape)
+                if negative_centre:
+                    k = k - bar(along, across, width, sigma, shape)
                 both.append(np.fft.irfft2(spectrum * np.fft.rfft2(k[::-1, ::-1], size), size)[half : half + h, half : half + w])
             out[i, j] = np.maximum(both[0], 0) * np.maximum(both[1], 0)
     return out

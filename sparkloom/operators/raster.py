@@ -203,8 +203,8 @@ def domain_features(members: DataFrame, shape: tuple[int, int], pixelsize: float
     return members.groupBy("file_id", "frame", "community").applyInPandas(run, f"{KEYS}, community {kind}, n int, area double, oop double, orientation double, len_mean double, len_std double")
 
 
-def wavelet_vectors(tiles: DataFrame, pixelsize: float, lengths: tuple[float, float, float] = (1.45, 2.7, 0.05), angle_step: float = 10.0, score_threshold: float = 0.2, width: float = 0.3, sigma: float = 0.15) -> DataFrame:
-    """Double-wavelet scan: the best (length, angle) of each pixel whose score is at least a share of the image's highest; guard lengths at both ends are dropped."""
+def wavelet_vectors(tiles: DataFrame, pixelsize: float, lengths: tuple[float, float, float] = (1.45, 2.7, 0.05), angle_step: float = 10.0, score_threshold: float = 0.2, width: float = 0.3, sigma: float = 0.15, shape: str = "gaussian") -> DataFrame:
+    """Double-wavelet scan (shape: gaussian, half_gaussian or binary bars): the best (length, angle) of each pixel whose score is at least a share of the image's highest; guard lengths at both ends are dropped."""
     grid = np.arange(lengths[0] - lengths[2], lengths[1] + 1.5 * lengths[2], lengths[2])
     angles = np.deg2rad(np.arange(-90, 90, angle_step))
 
@@ -212,7 +212,7 @@ def wavelet_vectors(tiles: DataFrame, pixelsize: float, lengths: tuple[float, fl
         for pdf in batches:
             rows = []
             for r in pdf.itertuples():
-                score, n, t = images.best_wavelet(images.double_wavelets(_image(r.data, r.h, r.w), grid / pixelsize, angles, width / pixelsize, sigma / pixelsize))
+                score, n, t = images.best_wavelet(images.double_wavelets(_image(r.data, r.h, r.w), grid / pixelsize, angles, width / pixelsize, sigma / pixelsize, shape))
                 ok = (score >= score_threshold * score.max()) & (n > 0) & (n < len(grid) - 1) & (score > 0)
                 rows += [(r.file_id, r.frame, int(y), int(x), float(grid[n[y, x]]), float(np.mod(angles[t[y, x]], np.pi)), float(score[y, x])) for y, x in np.argwhere(ok)]
             yield pd.DataFrame(rows, columns=["file_id", "frame", "y", "x", "len", "angle", "score"])

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+
+from ..functions import distributions
 
 
 def summary(x: Column, prefix: str) -> list[Column]:
@@ -82,7 +86,27 @@ def geometric_ks(df: DataFrame, keys: Sequence[str], gap: str) -> DataFrame:
     upto = F.sum("n").over(order) / F.col("all")
     before = upto - F.col("n") / F.col("all")
     counts = counts.withColumn("d", F.greatest(F.abs(upto - model), F.abs(before - model)))
-    return counts.groupBy(*keys).agg(F.max("p").alias("p"), F.max("d").alias("ks"))
+    return counts.groupBy(*keys).agg(F.max("p").alias("p"), F.max("d").alias("ks"), F.max("all").alias("n"))
+
+
+def with_t_p(tests: DataFrame) -> DataFrame:
+    """tests(t, freedom, ...) + p_value: two-sided, of Student's distribution."""
+
+    @pandas_udf("double")
+    def p(t: pd.Series, freedom: pd.Series) -> pd.Series:
+        return pd.Series([distributions.t_two_sided(a, b) for a, b in zip(t.astype(float), freedom.astype(float))])
+
+    return tests.withColumn("p_value", F.nanvl(p("t", "freedom"), F.lit(None)))
+
+
+def with_ks_p(fits: DataFrame) -> DataFrame:
+    """fits(ks, n, ...) + p_value: of the limit distribution of the largest distance."""
+
+    @pandas_udf("double")
+    def p(ks: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([distributions.kolmogorov(a, b) for a, b in zip(ks.astype(float), n.astype(float))])
+
+    return fits.withColumn("p_value", F.nanvl(p("ks", "n"), F.lit(None)))
 
 
 def line_fit(df: DataFrame, keys: Sequence[str], x: str, y: str, extend: float = 0.0) -> DataFrame:

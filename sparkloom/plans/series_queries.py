@@ -157,7 +157,11 @@ def popping_gaps(spark, sf):
 
 
 def ks_geom_stat(spark, sf):
-    return rounded(stats.geometric_ks(cycles.popping_gaps(_popping(spark, sf)), ["loi", "kind"], "gap"), "p", "ks")
+    return rounded(stats.geometric_ks(cycles.popping_gaps(_popping(spark, sf)), ["loi", "kind"], "gap").drop("n"), "p", "ks")
+
+
+def ks_geom_p(spark, sf):
+    return rounded(stats.with_ks_p(stats.geometric_ks(cycles.popping_gaps(_popping(spark, sf)), ["loi", "kind"], "gap")), "p", "ks", "p_value")
 
 
 def _pairs(spark, sf, value="delta"):
@@ -185,7 +189,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         traj_diff, traj_central_diff, band_spacing, state_islands, state_open_close, state_clear_border, state_dilated, rising_edges, run_distance, filtered_intervals, fixed_chunks, gap_fill_linear, closest_value, missing_ratio,
-        cycle_summary, cycle_durations, quiet_periods, beating_rate, cycle_period, baseline_median_delta, cycle_extrema, time_to_peak, percent_time, percent_time_relax, smi, popping_rates, popping_gaps, ks_geom_stat, cycle_correlation, cycle_correlation_velocity, serial_mutual_ratio, serial_mutual_ratio_velocity,
+        cycle_summary, cycle_durations, quiet_periods, beating_rate, cycle_period, baseline_median_delta, cycle_extrema, time_to_peak, percent_time, percent_time_relax, smi, popping_rates, popping_gaps, ks_geom_stat, ks_geom_p, cycle_correlation, cycle_correlation_velocity, serial_mutual_ratio, serial_mutual_ratio_velocity,
     )
 }
 

@@ -40,6 +40,10 @@ def ttest_moments(spark, sf):
     return rounded(stats.pairwise_t(table(spark, sf, "orders"), "o_orderpriority", "o_totalprice"), "t", "freedom")
 
 
+def ttest_p(spark, sf):
+    return rounded(stats.with_t_p(stats.pairwise_t(table(spark, sf, "orders"), "o_orderpriority", "o_totalprice")), "t", "freedom", "p_value")
+
+
 def f1_score(spark, sf):
     df = table(spark, sf, "lineitem").select("l_returnflag", (F.col("l_quantity") > 25).cast("int").alias("truth"), (F.col("l_extendedprice") > 30_000).cast("int").alias("guess"))
     return rounded(stats.f1(df, ["l_returnflag"], "truth", "guess"), "precision", "recall", "f1")
@@ -146,7 +150,7 @@ def merged_events(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        weighted_mean_std, weighted_quantile, histogram20, most_freq_bin, median_by_group, group_summary, ttest_moments, f1_score, half_open_filter, key_projection_missing, conditions_regex, union_missing, drop_arrays, metadata_precedence, unit_conversion,
+        weighted_mean_std, weighted_quantile, histogram20, most_freq_bin, median_by_group, group_summary, ttest_moments, ttest_p, f1_score, half_open_filter, key_projection_missing, conditions_regex, union_missing, drop_arrays, metadata_precedence, unit_conversion,
         value_remap, topn_lines, longest_per_cluster, seed_sample, random_per_cluster, label_shuffle, frames_subset, sparse_codec, key_value_export, metadata_join_conditions, windowed_events, merged_events,
     )
 }

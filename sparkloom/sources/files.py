@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import zipfile
 from collections.abc import Iterator, Sequence
+from xml.sax.saxutils import escape
 
 import numpy as np
 import pandas as pd
@@ -166,10 +168,50 @@ def write_series(df: DataFrame, path: str, frame: str, y: str) -> None:
     df.orderBy(frame).select(F.col(y).cast("string").alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+#: Rows of one sheet at most, with the header; fixed value of the format.
+SHEET_ROWS = 1_048_576
+_SHEET_FILES = {
+    "[Content_Types].xml": '<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>',
+    "_rels/.rels": '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+    "xl/workbook.xml": '<?xml version="1.0" encoding="UTF-8"?><workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="data" sheetId="1" r:id="rId1"/></sheets></workbook>',
+    "xl/_rels/workbook.xml.rels": '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+}
+
+
+def _sheet_row(values: Sequence) -> str:
+    def cell(v) -> str:
+        if v is None or isinstance(v, float) and not np.isfinite(v):
+            return "<c/>"
+        if isinstance(v, (int, float)) and not isinstance(v, bool):
+            return f"<c><v>{v!r}</v></c>"
+        text = v if isinstance(v, str) else json.dumps(v, default=str)
+        return f'<c t="inlineStr"><is><t xml:space="preserve">{escape("".join(c for c in text if c.isprintable() or c in " \t\n"))}</t></is></c>'
+
+    return f"<row>{''.join(map(cell, values))}</row>"
+
+
+def write_sheet(df: DataFrame, path: str) -> None:
+    """Writes a result table as one XLSX sheet, row by row from the driver; more rows than a sheet holds raise before anything is read."""
+    if df.limit(SHEET_ROWS).count() >= SHEET_ROWS:
+        raise ValueError(f"a sheet holds {SHEET_ROWS - 1} rows; export as csv or parquet")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as book:
+        for name, text in _SHEET_FILES.items():
+            book.writestr(name, text)
+        with book.open("xl/worksheets/sheet1.xml", "w") as sheet:
+            sheet.write(b'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>')
+            sheet.write(_sheet_row(df.columns).encode())
+            for row in df.toLocalIterator():
+                sheet.write(_sheet_row(row).encode())
+            sheet.write(b"</sheetData></worksheet>")
+
+
 def export(df: DataFrame, path: str, fmt: str = "csv") -> None:
-    """Writes a result table as csv, json, xml or parquet; arrays become JSON text where the format has none. Unknown formats raise."""
-    if fmt not in ("csv", "json", "xml", "parquet"):
+    """Writes a result table as csv, json, xml, parquet or one xlsx file; arrays become JSON text where the format has none. Unknown formats raise."""
+    if fmt not in ("csv", "json", "xml", "parquet", "xlsx"):
         raise ValueError(f"unknown export format {fmt!r}")
+    if fmt == "xlsx":
+        write_sheet(df, path)
+        return
     writer = lambda d: d.write.mode("overwrite")
     if fmt == "csv":
         flat = df.select(*[F.to_json(F.col(f"`{f.name}`")).alias(f.name) if f.dataType.typeName() in ("array", "map", "struct") else F.col(f"`{f.name}`") for f in df.schema])

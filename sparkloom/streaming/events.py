@@ -32,18 +32,22 @@ def windowed(events: DataFrame, key: str, size: str, slide: str | None = None, v
     return out.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "n", "mean", "low", "high")
 
 
-def tracked(peaks: DataFrame, key: str, search_range: float = 2.0, memory: int = 10) -> DataFrame:
+def tracked(peaks: DataFrame, key: str, search_range: float = 2.0, memory: int = 10, idle_ms: int | None = None) -> DataFrame:
     """A stream peaks(key, frame, x) -> (key, frame, x, track): positions linked frame by frame across micro-batches.
 
     State of a key: its live tracks (number, position, last frame) and the next
     number.  Frames must reach a key in order; rows of frames that were linked
-    already are dropped.
+    already are dropped.  With idle_ms the state of a key without rows for so
+    many milliseconds is given up; rows that come later begin anew.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     kind = dict(peaks.dtypes)[key]
 
     def run(group: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         numbers, positions, frames, following, last = state.get if state.exists else ([], [], [], 0, -(1 << 62))
         pdf = pd.concat(list(pdfs)).sort_values(["frame", "x"])
         rows = []
@@ -70,8 +74,10 @@ def tracked(peaks: DataFrame, key: str, search_range: float = 2.0, memory: int =
                     following += 1
             last = int(frame)
         state.update((numbers, positions, frames, following, last))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(rows, columns=[key, "frame", "x", "track"])
 
     out = f"{key} {kind}, frame bigint, x double, track bigint"
     kept = "numbers array<bigint>, positions array<double>, frames array<bigint>, following bigint, last bigint"
-    return peaks.select(key, F.col("frame").cast("long").alias("frame"), F.col("x").cast("double").alias("x")).groupBy(key).applyInPandasWithState(run, out, kept, "append", GroupStateTimeout.NoTimeout)
+    return peaks.select(key, F.col("frame").cast("long").alias("frame"), F.col("x").cast("double").alias("x")).groupBy(key).applyInPandasWithState(run, out, kept, "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)

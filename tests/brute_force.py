@@ -345,10 +345,29 @@ def frame_structure(rows, sf):
         assert abs(r["sarcomere_area"] - 64 * 51 * 0.0144) < 1e-5
 
 
+def ttest_p(rows, sf):
+    """Tails of Student's density by Simpson's rule."""
+    assert rows
+    for r in rows:
+        n = r["freedom"]
+        scale = math.exp(math.lgamma((n + 1) / 2) - math.lgamma(n / 2)) / math.sqrt(n * math.pi)
+        x = np.linspace(0, abs(r["t"]), 20_001)
+        y = scale * (1 + x * x / n) ** (-(n + 1) / 2)
+        inside = (y[0] + y[-1] + 4 * y[1:-1:2].sum() + 2 * y[2:-1:2].sum()) * (x[1] - x[0]) / 3
+        assert abs(r["p_value"] - (1 - 2 * inside)) < 1e-5
+
+
+def ks_geom_p(rows, sf):
+    for r in rows:
+        x = (math.sqrt(r["n"]) + 0.12 + 0.11 / math.sqrt(r["n"])) * r["ks"]
+        want = 1.0 if x < 0.2 else 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 60))
+        assert abs(r["p_value"] - min(1.0, max(0.0, want))) < 1e-4
+
+
 CHECKS = {
     f.__name__: f
     for f in (
         low_pass, gap_fill_cubic, peaks, tracking, assignment, communities, agglomeration, line_growth, label_shuffle, image_regions, wavelet_vectors,
-        vector_domains, lines_of_interest, band_lateral_links, extracted_vectors, grown_line_shapes, lines_by_fit, frame_structure,
+        vector_domains, lines_of_interest, band_lateral_links, extracted_vectors, grown_line_shapes, lines_by_fit, frame_structure, ttest_p, ks_geom_p,
     )
 }
