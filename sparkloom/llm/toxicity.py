@@ -14,6 +14,7 @@ regression on counts of grams and pattern rates, which scores all texts.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +30,8 @@ from .shingles import bounded, shingle_sets, text_bytes
 #: Labelled rows of each label that training reads (expected number, by the hash of doc_id).
 TRAIN_ROWS = 4000
 #: A lexicon gram marks this many toxic training rows at least (near copies count once), in each half so many times as large a share of the toxic rows as of the clean ones,
-#: and its log-likelihood ratio (nats) is this high; of more than MOST_ENTRIES such grams the strongest are the model.
-LEAST_ROWS, LEAST_LIFT, LEAST_RATIO, MOST_ENTRIES = 5, 2.0, 14.0, 400
+#: and its log-likelihood ratio exceeds the log of the number of grams tested by OVER_CHANCE nats; of more than MOST_ENTRIES such grams the strongest are the model.
+LEAST_ROWS, LEAST_LIFT, OVER_CHANCE, MOST_ENTRIES = 5, 2.0, 3.0, 400
 #: Lexicon voters; each has grams of every strength.
 GROUPS = 32
 #: Groups of training texts by their letters' pairs, and hashed pairs.
@@ -301,7 +302,10 @@ def candidates(sample: DataFrame) -> list[tuple[int, float]]:
         return []
     table = small_batches(sample).mapInArrow(count, "gram bigint, b0 int, b1 int, a0 int, a1 int").groupBy("gram")
     table = table.agg(*[F.sum(c).cast("double").alias(c) for c in ("b0", "b1", "a0", "a1")])
-    table = table.withColumns({"a": F.col("a0") + F.col("a1"), "b": F.col("b0") + F.col("b1")}).where(F.col("a") >= LEAST_ROWS)
+    table = table.withColumns({"a": F.col("a0") + F.col("a1"), "b": F.col("b0") + F.col("b1")}).where(F.col("a") >= LEAST_ROWS).persist()
+    tested_grams = table.count()
+    least = OVER_CHANCE + math.log(max(tested_grams, 1))
+    counted = table
     for h in (0, 1):
         table = table.where((F.col(f"a{h}") > 0) & (F.col(f"a{h}") * n.get((0, h), 0.0) >= LEAST_LIFT * F.col(f"b{h}") * n.get((1, h), 0.0)))
 
@@ -311,7 +315,8 @@ def candidates(sample: DataFrame) -> list[tuple[int, float]]:
     a, b = F.col("a"), F.col("b")
     share = (a + b) / (n1 + n0)
     ratio = part_of(a, share * n1) + part_of(b, share * n0) + part_of(n1 - a, (1 - share) * n1) + part_of(n0 - b, (1 - share) * n0)
-    found = table.select("gram", F.round(ratio, 6).alias("ratio")).where(F.col("ratio") >= LEAST_RATIO).collect()
+    found = table.select("gram", F.round(ratio, 6).alias("ratio")).where(F.col("ratio") >= least).collect()
+    counted.unpersist()
     out = [(r.gram % (1 << 64), r.ratio) for r in found]
     # Of equal ones an open end comes before a whole word, then the longer one.
     return sorted(out, key=lambda x: (-x[1], folding.as_bytes(x[0]).endswith(b" "), -len(folding.as_bytes(x[0])), x[0]))
