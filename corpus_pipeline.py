@@ -20,7 +20,10 @@ LEAST_KNOWN = 0.1
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.5; the model learns from the labels of sf_dir."""
+    """Documents that score below 0.5; the model learns from the labels of sf_dir.
+
+    Null and empty texts have no mark and stay; equal texts have one score, whole texts of any length are read; without labels of both kinds all stay.
+    """
     model = toxicity.learn(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     kept = toxicity.scored(docs, model, docs.columns, "__sl_score").where("__sl_score < 0.5")
     return kept.drop("__sl_score")
@@ -30,6 +33,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents in a learned language: LEAST_KNOWN of their n-grams or more are that language's.
 
     Null texts and texts without a letter go. Texts too short for an n-gram stay; if no language can be learned, so do all with a letter.
+    Of tied languages the first by name counts; equal texts share their fate, whole texts of any length are read.
     """
     model = langid.learn(docs.select("doc_id", "text", "lang"))
     if not model.false.any():
@@ -40,7 +44,10 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each near-duplicate component (five-word shingles, similarity 0.8); rows of a null doc_id stay, of rows of one doc_id one."""
+    """The smallest doc_id of each near-duplicate component (five-word shingles, similarity 0.8); rows of a null doc_id stay, of rows of one doc_id one.
+
+    Texts without words and null texts are no duplicates; whole texts of any length are read; an empty table stays empty.
+    """
     found = stage(minhash.near_duplicates(docs, k=5, percent=80), "near")
     gone = found.where("not kept").select("doc_id").distinct()
     kept = docs.join(sized(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)
@@ -52,7 +59,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it, none to three."""
+    """Each document as many times as the mix takes it, none to three.
+
+    Null texts have size 0, a null source is a source; rows of one doc_id and size have the same number of copies; an empty table stays empty.
+    """
     slim = stage(docs.select("doc_id", "source", mixing.n_words().alias("size")), "sizes")
     made = mixing.plan(slim)
     payload = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__sl_row")
@@ -61,7 +71,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each row's text: doc_id, lang, source, n_ids, ids_crc32, n_bytes, round_trip, ids."""
+    """Ids of each row's text: doc_id, lang, source, n_ids, ids_crc32, n_bytes, round_trip, ids.
+
+    Null and empty texts have no ids; each copy of a document is a row; long texts are streamed.
+    """
     return pieces.encoded(docs, ["doc_id", "lang", "source"], with_ids=True)
 
 
