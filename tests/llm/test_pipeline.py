@@ -61,3 +61,27 @@ def test_run_and_empty_tables(spark, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_with_clashing_columns_and_long_texts(spark, tmp_path):
+    """Extra columns that operators use themselves travel along; a text of 300,000 words and nulls in every column pass."""
+    words = "the quick brown fox jumps over a lazy dog near some old river bank".split()
+    rows = [(i, " ".join(words[(i * k) % 13] for k in range(1, 40)), "en", "s", 1, "a", "b", "c", "d", 0.5) for i in range(1, 60)]
+    rows += [(100, "river " * 300_000, "en", None, 1, "a", None, "c", None, None), (101, None, None, None, None, None, None, None, None, None), (None, "the quick brown fox", "en", "s", 1, "a", "b", "c", "d", 0.1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, grp string, copies string, size string, id string, rate double"
+    docs = spark.createDataFrame(rows, schema)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, 0), (2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    before = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, before, str(tmp_path)).write.parquet(f"{tmp_path}/{i}")
+        after = spark.read.parquet(f"{tmp_path}/{i}")
+        if name == "toxicity":
+            assert after.count() == before.count()
+        if name == "language":
+            assert {r.doc_id for r in after.select("doc_id").collect()} == {r.doc_id for r in before.select("doc_id").collect()} - {101}
+        if name != "sentencepiece":
+            assert after.columns == before.columns and dict(after.dtypes) == dict(before.dtypes)
+            before = after
+        else:
+            assert after.where("not round_trip").count() == 0 and after.count() == before.count()
