@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, minhash, mixing, pieces, quality, sharding, token_files, topk, toxicity, winnowing
+from . import langid, minhash, mixing, periods, pieces, quality, resampling, sharding, token_files, topk, toxicity, winnowing
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_pieces": pieces.op8_pieces,
     "op9_minhash": minhash.op9_minhash,
     "op10_topk": topk.op10_topk,
+    "op11_resampling": resampling.op11_resampling,
+    "op13_periods": periods.op13_periods,
 }
 
 #: The others are not expressible in SQL to the bit, or too slow on whole tables; tests/llm hold them against brute force.
