@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, minhash, mixing, periods, pieces, quality, resampling, sharding, token_files, topk, toxicity, winnowing
+from . import langid, minhash, mixing, periods, pieces, quality, repeats, resampling, sharding, token_files, topk, toxicity, winnowing
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_minhash": minhash.op9_minhash,
     "op10_topk": topk.op10_topk,
     "op11_resampling": resampling.op11_resampling,
+    "op12_repeats": repeats.op12_repeats,
     "op13_periods": periods.op13_periods,
 }
 
