@@ -31,7 +31,7 @@ from .common import drop_staged, sized, small_batches, stage
 from .shingles import BASE, BASE_INVERSE, EXACT_VALUE, bounded, mixed, powers, text_bytes
 
 #: Distinct contexts of a gram that one task sorts at most; parts that a larger one's offsets are split into.
-GROUP, FAN = 1024, 8
+GROUP, FAN = 2048, 8
 #: Window begins that are looked at together.
 CHUNK = 1 << 20
 #: Bytes of contexts that are sorted together, besides those of one gram.
@@ -42,18 +42,53 @@ def seed_of(length: int) -> int:
     return max(length // 5, 1)
 
 
-def _anchors(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and gram hashes of the anchors of all texts (each followed by one byte that isn't its own)."""
+def _stretches(data: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """begin, end and period of all stretches of `seed` bytes or more that have a period of half a seed at most (of multiples of a period, each)."""
+    found = []
+    word = 8 if seed >= 30 else 1
+    kind = np.uint64 if word == 8 else np.uint8
+    for p in range(1, seed // 2 + 1):
+        n = (len(data) - p) // word
+        if n < 1:
+            break
+        # Aligned words that return p bytes later; what of a stretch is no whole word is looked at byte by byte.
+        hits = np.flatnonzero(data[: n * word].view(kind) == data[p : p + n * word].copy().view(kind))
+        if not len(hits):
+            continue
+        new = np.flatnonzero(np.diff(hits) > 1)
+        begin, end = hits[np.append(0, new + 1)] * word, (hits[np.append(new, len(hits) - 1)] + 1) * word
+        for _ in range(word - 1):
+            begin = begin - ((begin > 0) & (data[np.maximum(begin - 1, 0)] == data[np.maximum(begin - 1, 0) + p]))
+            here = np.minimum(end, len(data) - p - 1)
+            end = end + ((end < len(data) - p) & (data[here] == data[here + p]))
+        long = end + p - begin >= seed
+        found.append((begin[long], end[long] + p, np.full(int(long.sum()), p)))
+    none = [(np.empty(0, np.int64),) * 3]
+    return tuple(np.concatenate(x) for x in zip(*(found or none)))
+
+
+def _anchors(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places and gram hashes of the anchors of all texts (each followed by one byte that isn't its own); and begin and end of stretches that repeat themselves.
+
+    Grams with a period of half their size at most are anchors only where a window has no other.  In a stretch of such a period that is
+    longer than a window and a period, every window is also one of those at its first places; the others have no anchor.
+    """
     seed = seed_of(length)
     w = length - seed + 1
     places, hashes = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    begins_of, ends_of = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for at in range(0, max(len(data) - length, 0), CHUNK):
         chunk = data[at : at + CHUNK + length - 1]
         n = len(chunk) - seed + 1
         sums = np.zeros(len(chunk) + 1, dtype=np.uint64)
         np.cumsum(EXACT_VALUE[chunk] * powers(BASE, len(chunk)), out=sums[1:])
         gram = mixed((sums[seed:] - sums[:n]) * powers(BASE_INVERSE, n))
-        least = (gram >> np.uint64(32) << np.uint64(32)) | np.arange(n, dtype=np.uint64)
+        a, b, p = _stretches(chunk, seed)
+        change = np.zeros(len(chunk) + 2, dtype=np.int64)
+        np.add.at(change, a, 1)
+        np.subtract.at(change, b - seed + 1, 1)
+        last = (np.cumsum(change[:n]) > 0).astype(np.uint64) << np.uint64(63)
+        least = last | (gram >> np.uint64(33) << np.uint64(32)) | np.arange(n, dtype=np.uint64)
         have = 1
         while 2 * have <= w:
             least = np.minimum(least[:-have], least[have:])
@@ -61,12 +96,20 @@ def _anchors(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndar
         least = np.minimum(least[: len(least) - (w - have)], least[w - have :])
         begins = np.arange(len(least)) + at
         text = np.searchsorted(starts, begins, side="right") - 1
-        first = (least[begins + length < starts[text + 1]] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        first = np.unique(first)
+        wanted = begins + length < starts[text + 1]
+        own = np.searchsorted(starts, [a + at, b - 1 + at], side="right") - 1
+        for begin, end, period, first, final in zip((a + at).tolist(), (b + at).tolist(), p.tolist(), *own.tolist()):
+            for t in range(first, final + 1):
+                low, high = max(begin, int(starts[t])), min(end, int(starts[t + 1]) - 1)
+                if high - low >= length + period:
+                    wanted[low + period - at : high - length + 1 - at] = False
+                    begins_of.append(np.array([low]))
+                    ends_of.append(np.array([high]))
+        first = np.unique((least[wanted] & np.uint64(0xFFFFFFFF)).astype(np.int64))
         places.append(first + at)
         hashes.append(gram[first])
     places, kept = np.unique(np.concatenate(places), return_index=True)
-    return places, np.concatenate(hashes)[kept]
+    return places, np.concatenate(hashes)[kept], np.concatenate(begins_of), np.concatenate(ends_of)
 
 
 def _anchored(raw: bytes, place: int, length: int) -> bool:
@@ -105,25 +148,29 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def anchors(texts: DataFrame, length: int) -> DataFrame:
-    """(r1, r2, text) -> g, c1, c2, r1, r2, pos: each anchor's gram hash, context name, text name and place (in bytes)."""
+    """(r1, r2, text) -> g, c1, c2, r1, r2, pos, end: each anchor's gram hash, context name, text name and place (in bytes); and,
+    without a gram, begin and end of each stretch that repeats itself."""
     reach = length - seed_of(length)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in bounded(batch, 2):
                 data, starts = text_bytes(part.column(2))
-                places, grams = _anchors(data, starts, length)
+                places, grams, selfs, ends = _anchors(data, starts, length)
                 text = np.searchsorted(starts, places, side="right") - 1
                 begin = np.maximum(places - reach, starts[text])
                 end = np.minimum(places + length, starts[text + 1] - 1)
                 raw = memoryview(data)
                 contexts = [_name(_short(p - a), raw[a:b]) for p, a, b in zip(places.tolist(), begin.tolist(), end.tolist())]
-                rows = pa.array(text)
-                columns = [pa.array(grams.view(np.int64)), *_names(contexts), part.column(0).take(rows), part.column(1).take(rows), pa.array(places - starts[text])]
-                yield pa.record_batch(columns, names=["g", "c1", "c2", "r1", "r2", "pos"])
+                own = np.searchsorted(starts, selfs, side="right") - 1
+                rows, none = pa.array(np.concatenate([text, own])), pa.nulls(len(own), pa.int64())
+                both = [pa.concat_arrays([x, none]) for x in (pa.array(grams.view(np.int64)), *_names(contexts))]
+                pos = pa.array(np.concatenate([places - starts[text], selfs - starts[own]]))
+                end = pa.concat_arrays([pa.nulls(len(text), pa.int64()), pa.array(ends - starts[own])])
+                yield pa.record_batch([*both, part.column(0).take(rows), part.column(1).take(rows), pos, end], names=["g", "c1", "c2", "r1", "r2", "pos", "end"])
 
     slim = texts.where(F.octet_length("text") >= length).select("r1", "r2", "text")
-    return small_batches(slim).mapInArrow(find, "g bigint, c1 bigint, c2 bigint, r1 bigint, r2 bigint, pos bigint")
+    return small_batches(slim).mapInArrow(find, "g bigint, c1 bigint, c2 bigint, r1 bigint, r2 bigint, pos bigint, end bigint")
 
 
 def _cut(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -326,9 +373,12 @@ def _over_groups(contexts: DataFrame, length: int, solve: Callable[[DataFrame, i
 
 def _repeated(placed: DataFrame) -> DataFrame:
     """Anchors of grams that occur more than once, with `plain`: all contexts of the gram are equal."""
+    placed = placed.where("g is not null").drop("end")
     ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("c1", "c2") for f in (F.min, F.max)]
     grams = placed.groupBy("g").agg(F.count("*").alias("times"), *ends).where("times > 1")
-    return placed.join(grams.select("g", F.expr("min_c1 = max_c1 and min_c2 = max_c2").alias("plain")), "g")
+    # Stored, so that the join's sides are plain exchanges, whose large keys Spark can split.
+    grams = stage(grams.select("g", F.expr("min_c1 = max_c1 and min_c2 = max_c2").alias("plain")), "grams")
+    return placed.join(grams, "g")
 
 
 def _distinct_contexts(texts: DataFrame, repeated: DataFrame, length: int) -> DataFrame:
@@ -344,13 +394,13 @@ def spans(texts: DataFrame, length: int) -> DataFrame:
     reach = length - seed_of(length)
     placed = stage(anchors(texts, length), "anchors")
     repeated = stage(_repeated(placed), "repeated")
-    drop_staged(placed)
     covers = _over_groups(_distinct_contexts(texts, repeated, length), length, _solve)
     covers = covers.select(F.col("t1").alias("c1"), F.col("t2").alias("c2"), "before", "after")
     some = repeated.where("not plain").join(covers, ["c1", "c2"]).select("r1", "r2", "pos", "before", "after")
     every = repeated.where("plain").select("r1", "r2", "pos", F.lit(reach).alias("before"), F.lit(length).alias("after"))
     begin = F.greatest(F.col("pos") - F.col("before"), F.lit(0)).alias("begin")
-    listed = some.unionByName(every).groupBy("r1", "r2").agg(F.collect_set(F.struct(begin, (F.col("pos") + F.col("after")).alias("end"))).alias("spans"))
+    selfs = placed.where("g is null").select("r1", "r2", "pos", F.lit(0).alias("before"), (F.col("end") - F.col("pos")).cast("int").alias("after"))
+    listed = some.unionByName(every).unionByName(selfs).groupBy("r1", "r2").agg(F.collect_set(F.struct(begin, (F.col("pos") + F.col("after")).alias("end"))).alias("spans"))
     return listed.select("r1", "r2", _merged(F.array_sort("spans")).alias("spans"))
 
 
@@ -419,11 +469,11 @@ def without_repeats(docs: DataFrame, length: int = 400, with_text: bool = False)
 def repeat_groups(docs: DataFrame, length: int = 400) -> DataFrame:
     """docs(doc_id, text) -> g1, g2, length, doc_id, start: every maximal repeat of `length` bytes or more with all its occurrences.
 
-    A repeat longer than a context (length - length // 5 bytes before an anchor, length bytes from it on) is several, one at each anchor.
+    Of a stretch with a short period (see `_anchors`) the occurrences behind the first periods are left out.  A repeat longer than a context (length - length // 5 bytes before an anchor, length bytes from it on) is several, one at each anchor.
     Groups of more than GROUP contexts are reported by windows of `length` bytes.  Rows as in `without_repeats`.
     """
     texts = keyed(docs)
-    repeated = stage(_repeated(anchors(texts.select("r1", "r2", "text"), length)), "repeated")
+    repeated = stage(_repeated(stage(anchors(texts.select("r1", "r2", "text"), length), "anchors")), "repeated")
     contexts = _distinct_contexts(texts.select("r1", "r2", "text"), repeated, length)
     schema = "g1 bigint, g2 bigint, c1 bigint, c2 bigint, before int, length int"
 

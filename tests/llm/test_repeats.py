@@ -65,6 +65,47 @@ def test_grams_of_many_contexts_are_split(spark, monkeypatch, group):
     assert sorted(map(tuple, found.collect()), key=repr) == plain(rows, 16)
 
 
+@pytest.mark.parametrize("length,chunk", [(40, 64), (41, 1 << 20), (160, 300)])
+def test_periodic_stretches(spark, monkeypatch, length, chunk):
+    """Short periods of all lengths around the bounds, alone, beside each other and at the borders of texts and chunks; one length uses words of eight bytes."""
+    rng = np.random.default_rng(length)
+    seed = repeats.seed_of(length)
+    rows = []
+    for i in range(60):
+        p = int(rng.integers(1, seed))
+        unit = "".join(rng.choice(list("abcd"), p))
+        run = (unit * (4 * length))[: int(length + rng.integers(-p, 3 * p + 2))]
+        parts = ["".join(rng.choice(list("xyz"), int(rng.integers(0, 30)))) for _ in range(2)]
+        rows.append((i, parts[0] + run + parts[1] * (i % 3 > 0) + run[: length // 2] * (i % 5 == 0)))
+    rows += [(100, "ab" * length), (101, "ba" * length), (102, "a" * (length + 1)), (103, "a" * length), (104, "aab" * length + "aba" * length)]
+    found = repeats.without_repeats(_docs(spark, rows), length)
+    assert sorted(map(tuple, found.collect()), key=repr) == plain(rows, length)
+    monkeypatch.setattr(repeats, "CHUNK", chunk)
+    text = "".join(t + " " for _, t in rows).encode()
+    starts = np.concatenate([[0], np.cumsum([len(t) + 1 for _, t in rows])])
+    data = np.frombuffer(text, dtype=np.uint8)
+    # Anchors and stretches of chunks cover what one chunk's do.
+    gram = {bytes(data[p : p + seed]) for p in repeats._anchors(data, starts, length)[0]}
+    monkeypatch.setattr(repeats, "CHUNK", 1 << 20)
+    assert {bytes(data[p : p + seed]) for p in repeats._anchors(data, starts, length)[0]} <= gram
+
+
+def test_stretches_are_found():
+    rng = np.random.default_rng(0)
+    for seed in (6, 29, 30, 80):
+        data = rng.integers(97, 100, 3000).astype(np.uint8)
+        for _ in range(20):
+            p, n, at = int(rng.integers(1, seed // 2 + 1)), int(rng.integers(seed - 3, 3 * seed)), int(rng.integers(0, 2700))
+            data[at : at + n] = np.resize(rng.integers(97, 123, p).astype(np.uint8), n)
+        found = set(zip(*(x.tolist() for x in repeats._stretches(data, seed))))
+        want = set()
+        for p in range(1, seed // 2 + 1):
+            same = np.concatenate([[False], data[:-p] == data[p:], [False]])
+            edges = np.flatnonzero(np.diff(same.astype(int)))
+            want |= {(a, b + p, p) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()) if b + p - a >= seed}
+        assert found == want and want
+
+
 def test_kept_bytes_and_an_empty_table(spark):
     rows = [(1, "0123456789 one of them"), (2, "and 0123456789"), (3, None), (4, "0123456789"), (5, "alone")]
     found = {r.doc_id: r for r in repeats.without_repeats(_docs(spark, rows), 10, with_text=True).collect()}
