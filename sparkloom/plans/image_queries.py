@@ -5,10 +5,14 @@ A movie is a file of 300 customers and a frame of it a year; an order lights a p
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import splines, tiled
+from ..sources import tiff
+from ..sources.staging import shared_folder
 from .inputs import rounded, table
 
 ROWS, COLS, STEP, PIXEL = 40, 56, 16, 0.12
@@ -83,7 +87,17 @@ def vector_mask_area(spark, sf):
     return rounded(area.join(smooth, ["file_id", "frame"]), "s2")
 
 
-QUERIES = {f"kymograph_order_{n}": _kymograph(n) for n in range(6)} | {f.__name__: f for f in (tiled_convolution, tiled_medians, tiled_wavelets, vector_label_maps, vector_mask_area)}
+def tiff_pages(spark, sf):
+    """All movies written as TIFF files and read back: sums of the second to fourth page of each."""
+    path = f"{shared_folder(spark)}/sparkloom/{uuid.uuid4().hex}"
+    frames = tiled.whole(movies(spark, sf)[0]).withColumn("path", F.format_string("%d/movie.tif", "file_id"))
+    tiff.write_pages(frames, path)
+    pages = tiff.read_pages(spark, path).where("frame between 1 and 3")
+    found = pages.select(F.regexp_extract("path", r"(\d+)/movie", 1).cast("int").alias("file_id"), "frame", F.aggregate("data", F.lit(0.0), lambda a, v: a + v).alias("total"), F.array_max("data").alias("most"))
+    return rounded(found, "total", "most")
+
+
+QUERIES = {f"kymograph_order_{n}": _kymograph(n) for n in range(6)} | {f.__name__: f for f in (tiled_convolution, tiled_medians, tiled_wavelets, vector_label_maps, vector_mask_area, tiff_pages)}
 
 _MOVIE = (
     f"lit AS (SELECT CAST(o_custkey // 300 AS INTEGER) AS file_id, CAST(year(o_orderdate) - 1992 AS INTEGER) AS frame, o_custkey % {ROWS} AS y, o_orderkey % {COLS} AS x, sum(o_totalprice) / 1e3 AS v FROM orders GROUP BY ALL), "
@@ -110,6 +124,7 @@ _CORNERS = f"cs AS (SELECT *, CAST(floor(y) AS BIGINT) + a AS cy, CAST(floor(x)
 ORACLE_SQL = {
     "kymograph_order_0": f"WITH {_MOVIE}, {_SAMPLES}, nm AS (SELECT file_id, line, pos, {_mirror('CAST(floor(y + 0.5) AS BIGINT)', ROWS)} AS my, {_mirror('CAST(floor(x + 0.5) AS BIGINT)', COLS)} AS mx FROM sm) SELECT nm.file_id, line, frame, pos, round(avg(v), 6) AS v FROM nm JOIN px ON px.file_id = nm.file_id AND px.y = my AND px.x = mx GROUP BY ALL",
     "kymograph_order_1": f"WITH {_MOVIE}, {_SAMPLES}, {_CORNERS} SELECT cm.file_id, line, frame, pos, round(sum(w * v) / {WIDTH}, 6) AS v FROM cm JOIN px ON px.file_id = cm.file_id AND px.y = my AND px.x = mx GROUP BY ALL",
+    "tiff_pages": f"WITH {_MOVIE}, n AS (SELECT file_id, frame, CAST(row_number() OVER (PARTITION BY file_id ORDER BY frame) - 1 AS INTEGER) AS page FROM fr) SELECT file_id, page AS frame, round(sum(v), 6) AS total, round(max(v), 6) AS most FROM px JOIN n USING (file_id, frame) WHERE page BETWEEN 1 AND 3 GROUP BY ALL",
     "tiled_convolution": f"WITH {_MOVIE}, k(a, b, w) AS (VALUES {_WEIGHTS}), s AS (SELECT file_id, frame, y, x, w, {_mirror('y - a', ROWS)} AS my, {_mirror('x - b', COLS)} AS mx FROM px, k) SELECT s.file_id, s.frame, s.y, s.x, round(sum(w * px.v), 6) AS v FROM s JOIN px ON px.file_id = s.file_id AND px.frame = s.frame AND px.y = my AND px.x = mx GROUP BY ALL",
     "tiled_medians": f"WITH {_MOVIE}, s AS (SELECT file_id, frame, y, x, y + a AS my, x + b AS mx FROM px, range(-1, 2) p(a), range(-1, 2) q(b)) SELECT s.file_id, s.frame, s.y, s.x, round(median(px.v), 6) AS v FROM s JOIN px ON px.file_id = s.file_id AND px.frame = s.frame AND px.y = my AND px.x = mx GROUP BY ALL",
 }
