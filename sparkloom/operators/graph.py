@@ -203,30 +203,64 @@ def communities(edges: DataFrame, key: str, resolution: float = 0.06, seed: int
     return edges.groupBy(key).applyInPandas(run, f"{key} {kind[key]}, id {kind['a']}, community {kind['a']}")
 
 
-def grow_line(seed: int, y: np.ndarray, x: np.ndarray, angle: np.ndarray, length: np.ndarray, persistence: int, reach: float) -> list[int]:
+class Neighbourhood:
+    """Points by square cells of side `reach`; those used up are left out until they are freed."""
+
+    def __init__(self, y: np.ndarray, x: np.ndarray, reach: float):
+        self.y, self.x, self.reach = y, x, reach
+        self.free = np.ones(len(y), dtype=bool)
+        cells: dict[tuple[int, int], list[int]] = {}
+        for i, cell in enumerate(zip(np.floor(y / reach).astype(np.int64).tolist(), np.floor(x / reach).astype(np.int64).tolist())):
+            cells.setdefault(cell, []).append(i)
+        self.cells = {c: np.array(p) for c, p in cells.items()}
+
+    def nearest(self, y: float, x: float) -> int | None:
+        """The nearest free point within reach, of equally near ones the first; None if there is none."""
+        if not (np.isfinite(y) and np.isfinite(x)):
+            return None
+        a, b = int(np.floor(y / self.reach)), int(np.floor(x / self.reach))
+        found = [p for c in range(a - 1, a + 2) for d in range(b - 1, b + 2) if (p := self.cells.get((c, d))) is not None]
+        if not found:
+            return None
+        at = np.concatenate(found)
+        at = at[self.free[at]]
+        d = np.hypot(self.y[at] - y, self.x[at] - x)
+        if not len(at) or not d.min() <= self.reach:
+            return None
+        return int(at[d == d.min()].min())
+
+
+def axial_mean_toward(angle: np.ndarray, heading: float) -> float:
+    """Mean axis of angles, as the one of its two directions that is nearer to a heading: how a line goes on from its last vectors."""
+    t = np.angle(np.exp(2j * angle).mean()) / 2
+    return t + np.pi if np.cos(t - heading) < 0 else t
+
+
+def grow_line(seed: int, y: np.ndarray, x: np.ndarray, angle: np.ndarray, length: np.ndarray, persistence: int, reach: float, near: Neighbourhood | None = None) -> list[int]:
     """Places of the vectors on a line from the seed: both ends step by their mean length along their mean axis to the nearest unused vector within reach."""
-    line, used = [seed], {seed}
-    heading = [angle[seed], angle[seed] + np.pi]
-    open_ends = [True, True]
+    near = near or Neighbourhood(y, x, reach)
+    near.free[seed] = False
+    # The seed and what follows it, and what comes before it from the seed on.
+    back, front = [seed], []
+    heading, open_ends = [angle[seed], angle[seed] + np.pi], [True, True]
     while any(open_ends):
         for side in (0, 1):
             if not open_ends[side]:
                 continue
-            tail = line[-persistence:] if side == 0 else line[:persistence]
-            t = np.angle(np.exp(2j * angle[tail]).mean()) / 2
-            if np.cos(t - heading[side]) < 0:
-                t += np.pi
-            heading[side] = t
+            own, other = (back, front) if side == 0 else (front, back)
+            tail = own[-persistence:]
+            tail = tail + other[: persistence - len(tail)]
+            heading[side] = axial_mean_toward(angle[tail], heading[side])
             step = length[tail].mean()
-            end = line[-1] if side == 0 else line[0]
-            d = np.hypot(y - (y[end] + np.sin(t) * step), x - (x[end] + np.cos(t) * step))
-            d[list(used)] = np.inf
-            best = int(d.argmin())
-            if not d[best] <= reach:
+            end = own[-1] if own else seed
+            best = near.nearest(y[end] + np.sin(heading[side]) * step, x[end] + np.cos(heading[side]) * step)
+            if best is None:
                 open_ends[side] = False
                 continue
-            used.add(best)
-            line = [*line, best] if side == 0 else [best, *line]
+            near.free[best] = False
+            own.append(best)
+    line = front[::-1] + back
+    near.free[line] = True
     return line
 
 
@@ -242,9 +276,9 @@ def grown_lines(vectors: DataFrame, key: str, share: float = 0.1, persistence: i
         pdf = pdf.sort_values("id")
         ids, y, x, t, n = (pdf[c].to_numpy() for c in ("id", "y", "x", "angle", "len"))
         chosen = np.random.default_rng(seed).choice(len(ids), max(1, int(share * len(ids))), replace=False)
-        rows = []
+        rows, near = [], Neighbourhood(y, x, reach)
         for s in chosen:
-            line = grow_line(int(s), y, x, t, n, persistence, reach)
+            line = grow_line(int(s), y, x, t, n, persistence, reach, near)
             if len(line) >= n_min:
                 rows += [(group[0], ids[s], p, ids[i]) for p, i in enumerate(line)]
         return pd.DataFrame(rows, columns=[key, "line", "pos", "id"])

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import angles, nulls
-from . import cycles, graph, series, signal, spatial, stats, tables
+from ..sources import files
+from . import cycles, graph, series, signal, spatial, splines, stats, tables
 
 FRAME = ["file_id", "frame"]
 
@@ -135,6 +136,25 @@ def spacings_of(traj: DataFrame, low: float = 1.2, high: float = 3.0) -> DataFra
     return df.where("__next is not null").select("loi", "band", "frame", "y")
 
 
+def created_lines(tiles: DataFrame, lines: DataFrame, pixelsize: float, width: float = 0.65, order: int = 0) -> DataFrame:
+    """tiles of a movie, lines(file_id, line, pos, y, x) in pixels -> (file_id, line, name, length, frame, x_pos array, profile array).
+
+    A line may have any number of points; width in µm is cut to whole pixels (one at least); length is the polyline's in µm, x_pos runs
+    evenly from 0 to it; the name is that of the line's file.
+    """
+    at = Window.partitionBy("file_id", "line").orderBy("pos")
+    steps = lines.select("file_id", "line", "pos", "y", "x", F.sqrt(F.pow(F.lead("y").over(at) - F.col("y"), 2) + F.pow(F.lead("x").over(at) - F.col("x"), 2)).alias("step"))
+    first, last = (f(F.struct("y", "x"), "pos").alias(n) for f, n in ((F.min_by, "a"), (F.max_by, "b")))
+    shapes = steps.groupBy("file_id", "line").agg((F.coalesce(F.sum("step"), F.lit(0.0)) * pixelsize).alias("length"), first, last)
+    name = files.loi_name(F.col("a.y"), F.col("a.x"), F.col("b.y"), F.col("b.x"), F.lit(width))
+    samples = splines.kymograph(tiles, lines, max(int(width / pixelsize), 1), order)
+    rows = samples.groupBy("file_id", "line", "frame").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias("profile"))
+    found = rows.join(shapes.select("file_id", "line", "length", name.alias("name")), ["file_id", "line"])
+    n = F.size("profile")
+    x = F.transform(F.sequence(F.lit(0), n - 1), lambda i: i * F.coalesce(F.try_divide(F.col("length"), n - 1), F.lit(0.0)))
+    return found.select("file_id", "line", "name", "length", "frame", x.alias("x_pos"), "profile")
+
+
 def contraction_states(slen: DataFrame, below: float = 0.1, least: int = 4) -> DataFrame:
     """Default state of a frame: 1 where the bands' mean spacing is more than `below` under its median over the line's frames, and `least` are present.
 

@@ -103,6 +103,11 @@ def spectrum(df: DataFrame, keys: Sequence[str], order: str, y: str, state: str,
     return found.select(*keys, "p.scale", "p.frequency", "p.magnitude")
 
 
+def spectrum_summary(spec: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """spec(keys, ..., scale, frequency, magnitude) of many series -> (keys, scale, frequency, n, magnitude_mean, magnitude_std): over the series, missing magnitudes left out."""
+    return spec.groupBy(*keys, "scale", "frequency").agg(F.count("magnitude").alias("n"), F.avg("magnitude").alias("magnitude_mean"), F.stddev_pop("magnitude").alias("magnitude_std"))
+
+
 def spectrum_peaks(spec: DataFrame, keys: Sequence[str], split: float) -> DataFrame:
     """Frequency and magnitude of the highest value below and above the split frequency; the second is missing where it sits on the split's edge."""
     present = spec.where("magnitude is not null")

@@ -76,12 +76,17 @@ def remapped(df: DataFrame, column: str, table: DataFrame, source: str, target:
     return df.join(t, F.col(column) == F.col("__s"), "left").withColumn(column, F.coalesce("__t", column)).drop("__s", "__t")
 
 
+def drawn(seed: int, columns: Sequence[str]) -> Column:
+    """A text that orders rows at random: the md5 of seed and columns, the same in any engine."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]))
+
+
 def shuffled_labels(df: DataFrame, label: str, seed: int) -> DataFrame:
     """label -> new_label: a permutation of the distinct labels that keeps the smallest; the hash of seed and label decides."""
     labels = df.select(label).where(F.col(label).isNotNull()).distinct()
     first = labels.agg(F.min(label)).first()[0]
     rest = labels.where(F.col(label) != first)
-    by_value, by_hash = Window.orderBy(label), Window.orderBy(F.xxhash64(F.lit(seed), F.col(label)), label)
+    by_value, by_hash = Window.orderBy(label), Window.orderBy(drawn(seed, [label]), label)
     a = rest.withColumn("n", F.row_number().over(by_value)).select("n", label)
     b = rest.withColumn("n", F.row_number().over(by_hash)).select("n", F.col(label).alias("new_label"))
     return a.join(b, "n").drop("n").unionByName(labels.where(F.col(label) == first).select(label, F.col(label).alias("new_label")))
@@ -102,7 +107,7 @@ def longest_in_cluster(df: DataFrame, cluster: str, column: str, n: int | None,
 
 def random_in_cluster(df: DataFrame, cluster: str, n: int | None, seed: int, ties: Sequence[str]) -> DataFrame:
     """One row of each cluster and of those n, by the hash of seed and the ties columns."""
-    draw = F.xxhash64(F.lit(seed), *[F.col(t) for t in ties])
+    draw = drawn(seed, ties)
     w = Window.partitionBy(cluster).orderBy(draw, *ties)
     best = df.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r").orderBy(draw, *ties)
     return best if n is None else best.limit(n)
@@ -111,11 +116,35 @@ def random_in_cluster(df: DataFrame, cluster: str, n: int | None, seed: int, tie
 def seeds(df: DataFrame, keys: Sequence[str], ties: Sequence[str], share: float, seed: int) -> DataFrame:
     """max(1, int(share * n)) rows of each key, by the hash of seed and the ties columns."""
     w = Window.partitionBy(*keys)
-    draw = F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), *[F.col(t) for t in ties]), *ties))
+    draw = F.row_number().over(w.orderBy(drawn(seed, ties), *ties))
     size = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(w) * share))
     return df.withColumn("__r", draw).withColumn("__n", size).where("__r <= __n").drop("__r", "__n")
 
 
+def as_arrays(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Columns as arrays of doubles: arrays of numbers as they are, single numbers as arrays of one, JSON text of a list or number read, anything else NULL."""
+    kinds = {f.name: f.dataType.typeName() for f in df.schema}
+
+    def one(c: str) -> Column:
+        if kinds[c] == "array":
+            return F.col(c).cast("array<double>")
+        if kinds[c] == "string":
+            return F.coalesce(F.from_json(c, "array<double>"), F.when(F.col(c).try_cast("double").isNotNull(), F.array(F.col(c).try_cast("double"))))
+        return F.when(F.col(c).isNotNull(), F.array(F.col(c).cast("double")))
+
+    return df.withColumns({c: one(c) for c in columns})
+
+
+def required(column: Column, name: str) -> Column:
+    """The column; a row where it is missing is an error."""
+    return F.coalesce(column, F.raise_error(F.lit(f"{name} is missing")))
+
+
+def if_present(column: Column, then: Callable[[Column], Column]) -> Column:
+    """then(column) where it is present, NULL elsewhere."""
+    return F.when(column.isNotNull(), then(column))
+
+
 def missing_from(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys of df that other lacks; empty if df's are a subset."""
     return df.select(*keys).distinct().join(other.select(*keys).distinct(), list(keys), "left_anti")

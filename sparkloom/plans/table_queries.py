@@ -104,11 +104,11 @@ def longest_per_cluster(spark, sf):
 
 
 def seed_sample(spark, sf):
-    return tables.seeds(table(spark, sf, "customer"), ["c_nationkey"], ["c_custkey"], 0.1, 7).groupBy(F.col("c_nationkey").cast("long").alias("c_nationkey")).agg(F.count("*").alias("n"))
+    return tables.seeds(table(spark, sf, "customer"), ["c_nationkey"], ["c_custkey"], 0.1, 7).select(F.col("c_nationkey").cast("long").alias("c_nationkey"), "c_custkey")
 
 
 def random_per_cluster(spark, sf):
-    return tables.random_in_cluster(table(spark, sf, "customer"), "c_nationkey", None, 3, ["c_custkey"]).select("c_nationkey").withColumn("c_nationkey", F.col("c_nationkey").cast("long"))
+    return tables.random_in_cluster(table(spark, sf, "customer"), "c_nationkey", None, 3, ["c_custkey"]).select("c_custkey", F.col("c_nationkey").cast("long").alias("c_nationkey"))
 
 
 def label_shuffle(spark, sf):
@@ -175,8 +175,9 @@ ORACLE_SQL = {
     "value_remap": "SELECT n_name AS name, CAST(CASE WHEN r_regionkey IS NOT NULL THEN r_regionkey * 100 + 1 ELSE n_regionkey END AS BIGINT) AS key FROM nation LEFT JOIN region ON n_regionkey = r_regionkey AND r_regionkey <> 3",
     "topn_lines": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10",
     "longest_per_cluster": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS k FROM customer) SELECT c_custkey, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal FROM r WHERE k = 1 ORDER BY c_acctbal DESC, c_custkey LIMIT 10",
-    "seed_sample": "SELECT CAST(c_nationkey AS BIGINT) AS c_nationkey, CAST(greatest(1, floor(count(*) * CAST(0.1 AS DOUBLE))) AS BIGINT) AS n FROM customer GROUP BY 1",
-    "random_per_cluster": "SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS c_nationkey FROM customer",
+    "seed_sample": "WITH d AS (SELECT c_custkey, CAST(c_nationkey AS BIGINT) AS c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY md5('7:' || c_custkey), c_custkey) AS r, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer) SELECT c_nationkey, c_custkey FROM d WHERE r <= greatest(1, floor(n * CAST(0.1 AS DOUBLE)))",
+    "random_per_cluster": "SELECT CAST(c_nationkey AS BIGINT) AS c_nationkey, c_custkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY md5('3:' || c_custkey), c_custkey) AS r FROM customer) WHERE r = 1",
+    "label_shuffle": "WITH l AS (SELECT CAST(n_nationkey AS BIGINT) AS label FROM nation), r AS (SELECT label, row_number() OVER (ORDER BY label) AS a, row_number() OVER (ORDER BY md5('5:' || label), label) AS b FROM l WHERE label <> (SELECT min(label) FROM l)) SELECT x.label, y.label AS new_label FROM r x JOIN r y ON x.a = y.b UNION ALL SELECT min(label), min(label) FROM l",
     "frames_subset": "SELECT DISTINCT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 IN (0, 1))",
     "sparse_codec": "SELECT l_suppkey AS frame, l_orderkey AS row, CAST(l_linenumber AS BIGINT) AS col, l_quantity AS data FROM lineitem",
     "key_value_export": "SELECT 'r_regionkey' AS key, CAST(r_regionkey AS VARCHAR) AS value FROM region UNION ALL SELECT 'r_name', r_name FROM region",

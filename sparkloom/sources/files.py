@@ -87,6 +87,17 @@ def has_metadata(files: DataFrame) -> Column:
     return files["pixelsize"].isNotNull()
 
 
+def lines_of_files(images: DataFrame, found: DataFrame) -> DataFrame:
+    """images(path), found(path) -> (path, loi): the line files (*_loi.json) in the folder that is named like the image, less its extension.
+
+    An image without such a folder, or with no line in it, has no row; images that differ in their extension alone share a folder.
+    """
+    folder = F.regexp_replace("path", r"\.[^./]*$", "")
+    parent = F.expr("substring(path, 1, length(path) - length(substring_index(path, '/', -1)) - 1)")
+    lines = found.where(F.col("path").endswith("_loi.json")).select(parent.alias("folder"), F.substring_index("path", "/", -1).alias("loi"))
+    return images.select("path", folder.alias("folder")).join(lines, "folder").select("path", "loi")
+
+
 #: Old column names and the present ones; fixed values.
 LEGACY = {"points": "pos_vectors", "timepoints": "frames", "resxy": "pixelsize", "tint": "frametime"}
 

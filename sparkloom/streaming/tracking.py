@@ -36,7 +36,7 @@ class Tracker(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         """Keeps the rows, with a timer at each frame's time."""
         for pdf in rows:
-            at = pdf["at"].to_numpy()
+            at = pdf["sl_ms"].to_numpy()
             self.waiting.appendList(list(zip(pdf["frame"].tolist(), at.tolist(), pdf["x"].tolist())))
             for t in np.unique(at).tolist():
                 self.handle.registerTimer(t)
@@ -93,6 +93,6 @@ def tracked(peaks: DataFrame, keys: list[str], column: str, frame_ms: int, searc
     """
     kinds = dict(peaks.dtypes)
     df = peaks.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, late)
-    df = df.select(*keys, column, F.col("frame").cast("long").alias("frame"), F.unix_millis(column).alias("at"), F.col("x").cast("double").alias("x"))
+    df = df.select(*keys, column, F.col("frame").cast("long").alias("frame"), F.unix_millis(column).alias("sl_ms"), F.col("x").cast("double").alias("x"))
     out = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", frame bigint, x double, track bigint"
     return df.groupBy(*keys).transformWithStateInPandas(Tracker(list(keys), search_range, memory, frame_ms), outputStructType=out, outputMode="Append", timeMode="EventTime")

@@ -7,6 +7,7 @@ are applied to plain arrays, which tests grouping, order and missing values.
 
 from __future__ import annotations
 
+import datetime
 import itertools
 import math
 from collections import defaultdict
@@ -243,13 +244,6 @@ def _lines_are_lines(rows, vectors, reach, n_min):
     return lines
 
 
-def label_shuffle(rows, sf):
-    labels = sorted(r["n_nationkey"] for r in _table(sf, "nation"))
-    assert sorted(r["label"] for r in rows) == labels == sorted(r["new_label"] for r in rows)
-    assert next(r["new_label"] for r in rows if r["label"] == labels[0]) == labels[0]
-    assert any(r["label"] != r["new_label"] for r in rows)
-
-
 def _tiles(sf):
     n = defaultdict(lambda: np.zeros((64, 64)))
     for o in _table(sf, "orders"):
@@ -364,10 +358,167 @@ def ks_geom_p(rows, sf):
         assert abs(r["p_value"] - min(1.0, max(0.0, want))) < 1e-4
 
 
+def _movies(sf):
+    """file, frame -> image of 40 x 56 pixels."""
+    out = defaultdict(lambda: np.zeros((40, 56)))
+    for o in _table(sf, "orders"):
+        out[o["o_custkey"] // 300, o["o_orderdate"].year - 1992][o["o_custkey"] % 40, o["o_orderkey"] % 56] += o["o_totalprice"] / 1e3
+    return out
+
+
+def _mirror(i, n):
+    i %= 2 * n
+    return i if i < n else 2 * n - 1 - i
+
+
+def _b_spline(order, x):
+    """The recursion of de Boor, on half-open intervals."""
+    if order == 0:
+        return 1.0 if -0.5 <= x < 0.5 else 0.0
+    half = (order + 1) / 2
+    return ((half + x) * _b_spline(order - 1, x + 0.5) + (half - x) * _b_spline(order - 1, x - 0.5)) / order
+
+
+def _kymograph_of(order):
+    def check(rows, sf):
+        """Dense systems for the coefficients of whole images, then the sum over all pixels in reach."""
+        def matrix(n):
+            m = np.zeros((n, n))
+            for i in range(n):
+                for j in range(i - order, i + order + 1):
+                    m[i, _mirror(j, n)] += _b_spline(order, i - j)
+            return m
+
+        a, b = matrix(40), matrix(56)
+        coefficients = {k: np.linalg.solve(b, np.linalg.solve(a, v).T).T for k, v in _movies(sf).items()}
+        want = {}
+        for s in _table(sf, "supplier"):
+            k = s["s_suppkey"]
+            points = [(k % 40, 1.5), (s["s_nationkey"] / 2 + 20, 28.25), (39 - k % 40, 57.0)]
+            pos = 0
+            for (y0, x0), (y1, x1) in itertools.pairwise(points):
+                n, t = math.ceil(math.hypot(y1 - y0, x1 - x0) + 1), math.atan2(y1 - y0, x1 - x0)
+                for i in range(n):
+                    weights = np.zeros((40, 56))
+                    for o in (-1, 0, 1):
+                        y, x = y0 + (y1 - y0) * i / (n - 1) + o * math.cos(t), x0 + (x1 - x0) * i / (n - 1) - o * math.sin(t)
+                        ys = [(_mirror(j, 40), _b_spline(order, y - j)) for j in range(math.floor(y) - order, math.floor(y) + order + 2)]
+                        xs = [(_mirror(j, 56), _b_spline(order, x - j)) for j in range(math.floor(x) - order, math.floor(x) + order + 2)]
+                        for u, p in ys:
+                            for v, q in xs:
+                                weights[u, v] += p * q / 3
+                    for (f, frame), c in coefficients.items():
+                        if f == k // 20:
+                            want[f, k, frame, pos] = float((weights * c).sum())
+                    pos += 1
+        _same({(r["file_id"], r["line"], r["frame"], r["pos"]): r["v"] for r in rows}, want, 1e-5)
+
+    check.__name__ = f"kymograph_order_{order}"
+    return check
+
+
+def tiled_wavelets(rows, sf):
+    """Products of two Gaussian bars around each pixel, summed term by term on whole images."""
+    grid, angles = [0.8 + 0.2 * i for i in range(6)], [math.radians(a) for a in range(-90, 90, 30)]
+    half = int(math.ceil((max(grid) / 2 + 0.6) / 0.12))
+    y, x = np.mgrid[-half : half + 1, -half : half + 1].astype(float)
+    found = defaultdict(dict)
+    for r in rows:
+        found[r["file_id"], r["frame"]][r["y"], r["x"]] = r
+    key = sorted(found)[0]
+    image = np.pad(_movies(sf)[key], half)
+    scores = np.zeros((len(grid), len(angles), 40, 56))
+    for i, n in enumerate(grid):
+        for j, t in enumerate(angles):
+            along, across = x * math.cos(t) + y * math.sin(t), -x * math.sin(t) + y * math.cos(t)
+            both = []
+            for sign in (-0.5, 0.5):
+                k = np.exp(-((along - sign * n / 0.12) ** 2) / (2 * (0.15 / 0.12) ** 2) - across**2 / (2 * (0.2 / 0.12) ** 2))
+                k /= k.sum()
+                both.append(sum(k[a, b] * image[a : a + 40, b : b + 56] for a in range(2 * half + 1) for b in range(2 * half + 1)))
+            scores[i, j] = np.maximum(both[0], 0) * np.maximum(both[1], 0)
+    best = scores.max(axis=(0, 1))
+    sure = 0
+    for a in range(40):
+        for b in range(56):
+            order = np.sort(scores[:, :, a, b].ravel())
+            i, j = np.unravel_index(scores[:, :, a, b].argmax(), scores.shape[:2])
+            inside = 0 < i < len(grid) - 1 and best[a, b] > 0
+            # Near the threshold, or where two are all but equal, rounding decides.
+            if abs(best[a, b] - 0.2 * best.max()) < 1e-6 or order[-1] - order[-2] < 1e-6 * max(best[a, b], 1e-9):
+                continue
+            sure += 1
+            assert ((a, b) in found[key]) == (inside and best[a, b] > 0.2 * best.max()), (a, b)
+            if (a, b) in found[key]:
+                r = found[key][a, b]
+                assert abs(r["len"] - grid[i]) < 1e-5 and abs(r["angle"] - angles[j] % math.pi) < 1e-5 and abs(r["score"] - best[a, b]) < 1e-4 * max(1, best[a, b])
+    assert sure > 1500
+
+
+def _drawn_vectors(sf):
+    """frame -> pixel -> (weight, angle, side) of every vector over it."""
+    out = defaultdict(lambda: defaultdict(list))
+    for o in _table(sf, "orders"):
+        y, x, t, n, w = o["o_custkey"] % 40 + 0.5, o["o_orderkey"] % 56 + 0.25, math.fmod(o["o_totalprice"], 3.14159), 3.0 + o["o_orderkey"] % 7, 1 + o["o_custkey"] % 3
+        frame = out[o["o_custkey"] // 300, o["o_orderdate"].year - 1992]
+        (a, b), (c, d) = ((math.trunc(y + s * math.sin(t) * n / 2), math.trunc(x + s * math.cos(t) * n / 2)) for s in (-1, 1))
+        if min(a, c) >= 0 and max(a, c) < 40 and min(b, d) >= 0 and max(b, d) < 56:
+            p = images.line_pixels(a, b, c, d).tolist()
+            for i, (u, v) in enumerate(p):
+                frame[u, v].append((w, t, -1 if i < len(p) // 2 else 1))
+    return out
+
+
+def vector_label_maps(rows, sf):
+    found = {(r["file_id"], r["frame"], r["y"], r["x"]): r for r in rows}
+    want = {(*k, *p): v for k, frame in _drawn_vectors(sf).items() for p, v in frame.items()}
+    assert set(found) == set(want)
+    for k, drawn in want.items():
+        one = sum(w * s * complex(math.cos(t), math.sin(t)) for w, t, s in drawn)
+        two = sum(w * complex(math.cos(2 * t), math.sin(2 * t)) for w, t, _ in drawn)
+        total = sum(w for w, _, _ in drawn)
+        r = found[k]
+        assert r["n"] == len(drawn) and r["weight"] == total and abs(r["strength"] - abs(two) / total) < 2e-6
+        assert abs(one) < 1e-4 or abs(math.sin(r["direction"] - math.atan2(one.imag, one.real))) < 1e-4
+        assert abs(two) < 1e-4 or abs(math.sin(r["axis"] - math.atan2(two.imag, two.real) / 2)) < 1e-4
+
+
+def vector_mask_area(rows, sf):
+    want = _drawn_vectors(sf)
+    for r in rows:
+        frame = want[r["file_id"], r["frame"]]
+        near, labelled = set(), set()
+        for y, x in frame:
+            near |= {(y + a, x + b) for a in range(-2, 3) for b in range(-2, 3) if a * a + b * b <= 4 and 0 <= y + a < 40 and 0 <= x + b < 56}
+            labelled |= {(y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1) if 0 <= y + a < 40 and 0 <= x + b < 56}
+        assert (r["area"], r["labelled"]) == (len(near), len(labelled)) and abs(r["s2"]) <= 1
+    assert {(r["file_id"], r["frame"]) for r in rows} == set(_movies(sf))
+
+
+def event_time_tracking(rows, sf):
+    """The batch linking of the sorted table, frame by frame; tracks of the stream are numbered by their first frames."""
+    frames = defaultdict(lambda: defaultdict(set))
+    for e in _table(sf, "events"):
+        seconds = (e["ts"] - datetime.datetime(1970, 1, 1)).total_seconds()
+        frames[e["user_id"] % 10][int(seconds // 21600)].add(e["value"])
+    found = defaultdict(dict)
+    for r in rows:
+        found[r["loi"]][r["frame"], r["x"]] = r["track"]
+    assert set(found) == set(frames)
+    for loi, own in frames.items():
+        first = min(own)
+        xs = [np.array(sorted(own.get(f, ()))) for f in range(first, max(own) + 1)]
+        want = {(first + f, round(x, 6)): t for f, (p, ts) in enumerate(zip(xs, signals.linked(xs, 20.0, 2))) for x, t in zip(p.tolist(), ts.tolist())}
+        assert set(found[loi]) == set(want)
+        numbers = {t: i for i, t in enumerate(sorted(set(found[loi].values())))}
+        assert {k: numbers[t] for k, t in found[loi].items()} == want
+
+
 CHECKS = {
     f.__name__: f
     for f in (
-        low_pass, gap_fill_cubic, peaks, tracking, assignment, communities, agglomeration, line_growth, label_shuffle, image_regions, wavelet_vectors,
+        low_pass, gap_fill_cubic, peaks, tracking, assignment, communities, agglomeration, line_growth, image_regions, wavelet_vectors,
         vector_domains, lines_of_interest, band_lateral_links, extracted_vectors, grown_line_shapes, lines_by_fit, frame_structure, ttest_p, ks_geom_p,
+        *map(_kymograph_of, range(2, 6)), tiled_wavelets, vector_label_maps, vector_mask_area, event_time_tracking,
     )
 }
