@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .shingles import text_bytes
+from .shingles import ragged, text_bytes
 
 #: Stands for one hidden letter (a star inside a word).
 HIDDEN = 1
@@ -16,6 +18,13 @@ SHORTEST, LONGEST = 4, 8
 #: Digits and signs that stand for letters, and signs that part a word's letters.
 _LOOKS_LIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 _PARTING = ".-_'*"
+#: Small letters of other scripts that look like ASCII letters.
+_OTHER_SCRIPTS = {
+    "а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w",
+    "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i",
+}
+#: Stars in a row that hide letters, at most.
+_STARS = 3
 _BEYOND_ASCII = r"[^\x00-\x7F\p{L}\p{M}]+"
 
 _LETTER = np.zeros(256, dtype=bool)
@@ -27,6 +36,12 @@ _PARTS = np.zeros(256, dtype=bool)
 _PARTS[[ord(c) for c in _PARTING]] = True
 
 
+_LEADS = np.unique([c.encode()[0] for c in _OTHER_SCRIPTS]).astype(np.uint8)
+_LOOK = np.zeros(1 << 16, dtype=np.uint8)
+for _sign, _letter in _OTHER_SCRIPTS.items():
+    _LOOK[int.from_bytes(_sign.encode(), "big")] = ord(_letter)
+
+
 def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Begins and ends of the runs of true."""
     edges = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8)))
@@ -45,6 +60,32 @@ def _signs_to_letters(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def _one_script(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Letters of other scripts that look like ASCII letters, as these, in words that have ASCII letters too."""
+    leads = np.flatnonzero(np.isin(data[:-1], _LEADS))
+    pairs = data[leads].astype(np.int64) << 8 | data[leads + 1]
+    leads = leads[_LOOK[pairs] > 0]
+    if not len(leads):
+        return data, starts
+    begins, ends = _runs(_LETTER[data])
+    word = np.searchsorted(begins, leads, side="right") - 1
+    ascii_ = np.concatenate([[0], np.cumsum((data >= 97) & (data <= 122))])
+    leads = leads[ascii_[ends[word]] > ascii_[begins[word]]]
+    out, keep = data.copy(), np.ones(len(data), dtype=bool)
+    out[leads] = _LOOK[data[leads].astype(np.int64) << 8 | data[leads + 1]]
+    keep[leads + 1] = False
+    return out[keep], np.concatenate([[0], np.cumsum(keep)])[starts]
+
+
+def _hiding(data: np.ndarray) -> np.ndarray:
+    """Places of stars that stand for letters: one to three in a row between two letters."""
+    begins, ends = _runs(data == ord("*"))
+    inside = (ends - begins <= _STARS) & (begins > 0) & (ends < len(data))
+    begins, ends = begins[inside], ends[inside]
+    inside = _LETTER[data[begins - 1]] & _LETTER[data[ends]]
+    return ragged(begins[inside], (ends - begins)[inside])
+
+
 def _parted(data: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Places of bytes that part one word's letters: a sign between two letters, or one byte each between three single letters or more.
 
@@ -71,16 +112,23 @@ def folded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The texts' bytes in lower case with disguises undone, and where each text begins (one more entry for the end).
 
     Digits and signs that look like letters are these letters, signs and spaces
-    between single letters are gone, a star inside a word is HIDDEN, repeats of
-    an ASCII letter count once, and each other run is one space.  A space comes
+    between single letters are gone, stars inside a word are HIDDEN, repeats of
+    an ASCII letter count once, and each other run is one space.  Wide, ligature
+    and other compatible forms and look-alikes of other scripts are the plain
+    letters; invisible format characters are gone.  A space comes
     before all texts and ends each; null counts as empty.
     """
-    column = pc.utf8_lower(column.cast(pa.large_string()).fill_null(""))
-    data, starts = text_bytes(pc.replace_substring_regex(column, pattern=_BEYOND_ASCII, replacement=" "))
+    column = column.cast(pa.large_string()).fill_null("")
+    if not pc.all(pc.string_is_ascii(column)).as_py():
+        # Arrow's own normalization leaves letters and marks apart.
+        plain = pa.array([unicodedata.normalize("NFKC", t) for t in column.to_pylist()], pa.large_string())
+        column = pc.replace_substring_regex(plain, pattern=r"\p{Cf}+", replacement="")
+    data, starts = text_bytes(pc.replace_substring_regex(pc.utf8_lower(column), pattern=_BEYOND_ASCII, replacement=" "))
+    data, starts = _one_script(data, starts)
     data = _signs_to_letters(data)
     gone = np.zeros(len(data), dtype=bool)
     parting = _parted(data, starts[1:] - 1)
-    stars = parting[data[parting] == ord("*")]
+    stars = np.union1d(parting[data[parting] == ord("*")], _hiding(data)).astype(np.int64)
     gone[parting] = True
     gone[stars], data[stars] = False, HIDDEN
     place = np.concatenate([[0], np.cumsum(~gone)])
@@ -88,7 +136,7 @@ def folded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data = np.where(_LETTER[data] | (data == HIDDEN), data, np.uint8(SPACE)).astype(np.uint8)
     keep = np.ones(len(data), dtype=bool)
     if len(data):
-        keep[1:] = (data[1:] != data[:-1]) | (data[1:] >= 128)
+        keep[1:] = (data[1:] != data[:-1]) | (data[1:] >= 128) | (data[1:] == HIDDEN)
         # The space before all texts stands in for one that begins the first text.
         keep[0] = data[0] != SPACE
     place = np.concatenate([[0], np.cumsum(keep)])

@@ -14,11 +14,14 @@ regression on counts of grams and pattern rates, which scores all texts.
 
 from __future__ import annotations
 
+import itertools
 import math
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +39,8 @@ LEAST_ROWS, LEAST_LIFT, OVER_CHANCE, MOST_ENTRIES = 5, 2.0, 3.0, 400
 GROUPS = 32
 #: Groups of training texts by their letters' pairs, and hashed pairs.
 PROFILES, PAIRS = 8, 128
-EM_STEPS = 25
+#: Steps of the label model and of the regression, after which they warn that they have not settled.
+EM_STEPS, NEWTON_STEPS = 500, 100
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _PATTERNS = (b"!?", b"#$%&*@^|~<>=+\\", b"0123456789", bytes(range(65, 91)))
 
@@ -64,26 +68,47 @@ def pair_profile(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.sqrt(out / np.maximum(out.sum(axis=1, keepdims=True), 1))
 
 
+def _letters(raw: bytes) -> list[int]:
+    """Places of a gram's ASCII letters behind its first letter."""
+    return [j for j in range(1, len(raw)) if 97 <= raw[j] <= 122 and raw[j - 1] != folding.SPACE]
+
+
+def misspelt(gram: int) -> list[int]:
+    """A gram of six letters or more with two neighbouring letters swapped or one left out, never the first."""
+    raw = folding.as_bytes(gram)
+    inner = _letters(raw)
+    if len(raw.strip()) < 6:
+        return []
+    found = {raw[:j] + raw[j + 1 :] for j in inner}
+    found |= {raw[:j] + raw[j + 1 : j + 2] + raw[j : j + 1] + raw[j + 2 :] for j in inner if j + 1 in inner}
+    return sorted(int.from_bytes(x, "little") for x in found - {raw})
+
+
 class Lexicon:
-    """Grams; each also with any one of its ASCII letters but the first hidden.
+    """Grams; each also with one or, from five letters on, two of its ASCII letters but the first hidden, and in the misspellings given.
 
-    A gram marks a text that has it least_times, and in each word least_share times or more.
+    A gram marks a text that has it least_times, and in each word least_share times or more; one that counts inside of words
+    must begin a word, or be there twice.
     """
 
-    def __init__(self, grams: list[int], least_times: np.ndarray | None = None, least_share: np.ndarray | None = None):
+    def __init__(self, grams: list[int], least_times: np.ndarray | None = None, least_share: np.ndarray | None = None, spellings: dict[int, list[int]] | None = None):
         self.grams = grams
         self.least_times = np.ones(len(grams)) if least_times is None else least_times
         self.least_share = np.zeros(len(grams)) if least_share is None else least_share
         found: dict[int, dict[int, int]] = {}
         for i, g in enumerate(grams):
-            raw = folding.as_bytes(g)
-            found.setdefault(len(raw), {})[g] = i
-        for i, g in enumerate(grams):
-            raw = folding.as_bytes(g)
-            for j in range(1, len(raw)):
-                if 97 <= raw[j] <= 122 and raw[j - 1] != folding.SPACE:
-                    code = int.from_bytes(raw[:j] + bytes([folding.HIDDEN]) + raw[j + 1 :], "little")
+            found.setdefault(len(folding.as_bytes(g)), {})[g] = i
+        for count in (1, 2):
+            for i, g in enumerate(grams):
+                raw = folding.as_bytes(g)
+                if count == 2 and len(raw.strip()) < 5:
+                    continue
+                for places in itertools.combinations(_letters(raw), count):
+                    code = int.from_bytes(bytes(folding.HIDDEN if j in places else x for j, x in enumerate(raw)), "little")
                     found[len(raw)].setdefault(code, i)
+        for i, g in enumerate(grams):
+            for code in (spellings or {}).get(g, []):
+                found.setdefault(len(folding.as_bytes(code)), {}).setdefault(code, i)
         self.by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for n, entries in found.items():
             codes = np.array(sorted(entries), np.uint64)
@@ -93,19 +118,22 @@ class Lexicon:
 
     def hits(self, data: np.ndarray, starts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of folded texts: text, entry that marks it and number of occurrences, one row a text and entry, in this order."""
-        texts, entries = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        texts, entries, begins = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, bool)]
         for n, (codes, index, table) in self.by_size.items():
             here = folding.packed(data, n)
             place = np.flatnonzero(table[(here * _SPREAD) >> np.uint64(48)])
             at = np.searchsorted(codes, here[place])
             at[at == len(codes)] = 0
             right = codes[at] == here[place]
-            texts.append(np.searchsorted(starts, place[right] + 1, side="right") - 1)
+            place = place[right]
+            texts.append(np.searchsorted(starts, place + 1, side="right") - 1)
             entries.append(index[at[right]])
+            begins.append((data[place] == folding.SPACE) | (data[np.maximum(place - 1, 0)] == folding.SPACE))
         size = max(len(self.grams), 1)
-        both, times = np.unique(np.concatenate(texts) * size + np.concatenate(entries), return_counts=True)
+        both, row, times = np.unique(np.concatenate(texts) * size + np.concatenate(entries), return_inverse=True, return_counts=True)
         text, entry = both // size, both % size
-        marks = (times >= self.least_times[entry]) & (times >= self.least_share[entry] * words[text]) if len(both) else np.empty(0, bool)
+        begun = np.bincount(row, weights=np.concatenate(begins), minlength=len(both)) > 0
+        marks = (times >= self.least_times[entry]) & (times >= self.least_share[entry] * words[text]) & (begun | (times > 1)) if len(both) else np.empty(0, bool)
         return text[marks], entry[marks], times[marks]
 
 
@@ -236,7 +264,8 @@ def label_model(v: np.ndarray, start: np.ndarray, weight: np.ndarray, profile: n
         moved = np.abs(new - q).max()
         q = new
         if moved < 1e-4 and step > 5:
-            break
+            return q
+    warnings.warn(f"the label model still moved by {moved:.2g} after {EM_STEPS} steps", stacklevel=2)
     return q
 
 
@@ -246,14 +275,15 @@ def logistic(x: np.ndarray, target: np.ndarray, weight: np.ndarray, ridge: float
     penalty = np.full(x.shape[1], ridge)
     penalty[-1] = 1e-6
     w = np.zeros(x.shape[1])
-    for _ in range(30):
+    for _ in range(NEWTON_STEPS):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (weight * (p - target)) + penalty * w
         curve = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(penalty)
         step = np.linalg.solve(curve, gradient)
         w -= step
         if np.abs(step).max() < 1e-6:
-            break
+            return w
+    warnings.warn(f"the regression still moved by {np.abs(step).max():.2g} after {NEWTON_STEPS} steps", stacklevel=2)
     return w
 
 
@@ -350,7 +380,7 @@ def log_ratio(a: np.ndarray, b: np.ndarray, n1: float, n0: float) -> np.ndarray:
 TIMES, SHARES = (1, 2, 3, 5), (0.0, 0.005, 0.01, 0.02, 0.03, 0.05)
 
 
-def ruled(grams: list[int], dense: np.ndarray, words: np.ndarray, label: np.ndarray) -> tuple[Lexicon, np.ndarray]:
+def ruled(grams: list[int], dense: np.ndarray, words: np.ndarray, label: np.ndarray, spellings: dict[int, list[int]] | None = None) -> tuple[Lexicon, np.ndarray]:
     """The lexicon, the strongest grams first, and the training rows' counts in it.
 
     Each gram has the rule of TIMES and SHARES that tells labels apart best (of
@@ -370,7 +400,7 @@ def ruled(grams: list[int], dense: np.ndarray, words: np.ndarray, label: np.ndar
     forms = grams + [g >> 8 for g in grams]
     times, shares = (np.array([rules[rule[i]][k] for i in chosen], dtype=float) for k in (0, 1))
     dense = dense[:, chosen]
-    return Lexicon([forms[i] for i in chosen], times, shares), np.where((dense >= times) & (dense >= shares * words[:, None]), dense, 0)
+    return Lexicon([forms[i] for i in chosen], times, shares, spellings), np.where((dense >= times) & (dense >= shares * words[:, None]), dense, 0)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, seed: int) -> tuple[DataFrame, dict[int, float]] | None:
@@ -414,6 +444,10 @@ def learn(docs: DataFrame, labels: DataFrame, seed: int = 5_003) -> Model:
     sample = sample.persist()
     grams = apart(candidates(sample))
     lexicon = Lexicon(grams + [g >> 8 for g in grams])
+    variants = sorted({v for g in lexicon.grams for v in misspelt(g)} - set(lexicon.grams))
+    # Misspellings that clean rows hold are words of their own.
+    others = Lexicon(variants)
+    lexicon_grams, index = set(lexicon.grams), {v: i for i, v in enumerate(variants)}
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -421,11 +455,14 @@ def learn(docs: DataFrame, labels: DataFrame, seed: int = 5_003) -> Model:
                 seen = Seen(lexicon, part.column(3))
                 offsets = pa.array(np.searchsorted(seen.text, np.arange(seen.n + 1)).astype(np.int32))
                 found = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (seen.entry, seen.times)]
+                text, wrong, _ = others.hits(*seen.folded, seen.words)
+                offsets = pa.array(np.searchsorted(text, np.arange(seen.n + 1)).astype(np.int32))
+                found.append(pa.ListArray.from_arrays(offsets, pa.array(wrong.astype(np.int32))))
                 other = np.column_stack([seen.words, seen.hidden, seen.rates])
                 numbers = [pa.array(list(x), pa.list_(pa.float32())) for x in (other, pair_profile(*seen.folded))]
-                yield pa.RecordBatch.from_arrays([part.column(0), *found, *numbers], ["label", "entry", "times", "x", "pairs"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *found, *numbers], ["label", "entry", "times", "wrong", "x", "pairs"])
 
-    table = small_batches(sample).mapInArrow(described, "label int, entry array<int>, times array<int>, x array<float>, pairs array<float>").toArrow()
+    table = small_batches(sample).mapInArrow(described, "label int, entry array<int>, times array<int>, wrong array<int>, x array<float>, pairs array<float>").toArrow()
     sample.unpersist()
     label = table.column("label").to_numpy()
     if len(np.unique(label)) < 2:
@@ -434,10 +471,12 @@ def learn(docs: DataFrame, labels: DataFrame, seed: int = 5_003) -> Model:
     dense = np.zeros((len(label), 2 * len(grams)))
     rows = np.repeat(np.arange(len(label)), table.column("entry").combine_chunks().value_lengths().to_numpy())
     dense[rows, table.column("entry").combine_chunks().flatten().to_numpy()] = table.column("times").combine_chunks().flatten().to_numpy()
+    own_words = set(table.filter(pc.equal(table.column("label"), 0)).column("wrong").combine_chunks().flatten().to_pylist())
+    spellings = {g: [v for v in misspelt(g) if v not in lexicon_grams and index[v] not in own_words] for g in lexicon.grams}
     # Any order of rows gives the same model.
     order = np.lexsort((*pairs.T[::-1], *other.T[::-1], label))
     label, other, pairs, dense = label[order], other[order], pairs[order], dense[order]
-    lexicon, dense = ruled(grams, dense, other[:, 0], label)
+    lexicon, dense = ruled(grams, dense, other[:, 0], label, spellings)
     numbers = numbers_of(dense.sum(axis=1), (dense > 0).sum(axis=1), other[:, 0], other[:, 1], other[:, 2:])
     weight = np.where(label == 1, 1 / rate[1], 1 / rate[0])
     weight /= weight.mean()
