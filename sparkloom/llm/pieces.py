@@ -17,6 +17,7 @@ encoded once a batch, in step with each other; long stretches as a stream.
 
 from __future__ import annotations
 
+import secrets
 import zlib
 from collections.abc import Iterator
 
@@ -31,6 +32,8 @@ from .shingles import BASE, BASE_INVERSE, EXACT_VALUE, bounded, mixed, powers, r
 
 #: Stretches of more bytes are encoded as streams; backpointers are followed every so many bytes.
 IN_STEP, LOOK_BACK = 64, 256
+#: Hashes tell stretches apart inside one worker only, so each has a key of its own that no text can be made for.
+KEY = secrets.randbits(63)
 TABLE_BITS = 18
 FAR = np.int64(1) << 60
 
@@ -80,7 +83,10 @@ class Vocabulary:
         raws = list(self.by_bytes)
         data = np.frombuffer(b"".join(raws), dtype=np.uint8)
         ends = np.cumsum([len(r) for r in raws])
-        codes = spans(data, ends - [len(r) for r in raws], ends, EXACT_VALUE)
+        begins = ends - [len(r) for r in raws]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(EXACT_VALUE[data] * powers(BASE, len(data)), dtype=np.uint64)])
+        # As viterbi_in_step names what it meets; pieces are far shorter than the patterns that such hashes confuse.
+        codes = mixed((sums[ends] - sums[begins]) * powers(BASE_INVERSE, len(data) + 1)[begins] + (ends - begins).astype(np.uint64))
         ids = np.array([self.by_bytes[r] for r in raws], dtype=np.int64)
         slot = (codes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
         order = np.argsort(slot, kind="stable")
@@ -222,7 +228,7 @@ def encode(v: Vocabulary, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     empty = np.zeros(len(data) + 1, dtype=bool)
     empty[starts[:-1][np.diff(starts) == 1]] = True
     at, ends = at[~empty[at]], ends[~empty[at]]
-    codes, _ = pd.factorize(spans(data, at, ends, EXACT_VALUE)) if len(at) else (np.empty(0, np.int64), None)
+    codes, _ = pd.factorize(spans(data, at, ends, exact=True, key=KEY)) if len(at) else (np.empty(0, np.int64), None)
     first = np.zeros(codes.max() + 1 if len(codes) else 0, dtype=np.int64)
     first[codes[::-1]] = np.arange(len(codes))[::-1]
     begin, size = at[first], (ends - at)[first]

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 _RNG = np.random.Generator(np.random.PCG64(0x51A9))
-#: A random 64-bit value for each byte, the same with ASCII capitals as small letters, and the odd base of the prefix sums.
+#: A random 64-bit value for each byte, and the odd base of prefix sums: rolling hashes, which only pick places.
 EXACT_VALUE = _RNG.integers(1, 1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BYTE_VALUE = EXACT_VALUE.copy()
-BYTE_VALUE[65:91] = BYTE_VALUE[97:123]
 BASE = int(_RNG.integers(1 << 62, 1 << 63)) | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 SPACE = np.zeros(256, dtype=bool)
@@ -66,12 +66,33 @@ def bounded(batch: pa.RecordBatch, text: int, limit: int = 1 << 20):
             yield batch.slice(begin, end - begin)
 
 
-def spans(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, values: np.ndarray = BYTE_VALUE) -> np.ndarray:
-    """64-bit hashes of the byte ranges [begin, end); ASCII capitals as small letters, unless values are EXACT_VALUE."""
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(values[data] * powers(BASE, len(data)), out=sums[1:])
-    codes = (sums[ends] - sums[begins]) * powers(BASE_INVERSE, len(data) + 1)[begins]
-    return mixed(codes + (ends - begins).astype(np.uint64))
+_HASHED = 256
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
+_AS_SMALL = np.arange(256, dtype=np.uint8)
+_AS_SMALL[65:91] = _AS_SMALL[97:123]
+
+
+def spans(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, exact: bool = False, key: int = 0) -> np.ndarray:
+    """64-bit hashes of the byte ranges [begin, end); ASCII capitals as small letters, unless exact.
+
+    Eight bytes at a time go through a finaliser that depends on those before, so unlike a polynomial's the hashes have no collisions
+    that a pattern makes; with a secret key nobody can look for any.  Ranges over 256 bytes have a cryptographic hash.
+    """
+    wide = np.concatenate([data if exact else _AS_SMALL[data], np.zeros(8, np.uint8)])
+    eight = np.lib.stride_tricks.as_strided(wide, shape=(len(data) + 1, 8), strides=(1, 1), writeable=False)
+    size = ends - begins
+    code = mixed(size.astype(np.uint64) + np.uint64((key * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % (1 << 64)))
+    at = np.flatnonzero(size <= _HASHED)
+    done = 0
+    while len(at):
+        chunk = np.ascontiguousarray(eight[begins[at] + done]).view(np.uint64).ravel() & _MASKS[np.minimum(size[at] - done, 8)]
+        code[at] = mixed(mixed(chunk + np.uint64(0xD6E8FEB86659FD93 * (done + 1) % (1 << 64))) ^ (code[at] * np.uint64(0x9E3779B97F4A7C15)))
+        done += 8
+        at = at[size[at] > done]
+    secret = key.to_bytes(8, "little")
+    for i in np.flatnonzero(size > _HASHED).tolist():
+        code[i] = int.from_bytes(hashlib.blake2b(wide[begins[i] : ends[i]], digest_size=8, key=secret).digest(), "little")
+    return code
 
 
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

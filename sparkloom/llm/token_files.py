@@ -17,6 +17,7 @@ from __future__ import annotations
 import itertools
 import json
 import math
+import secrets
 import struct
 import zlib
 from collections.abc import Iterator
@@ -40,6 +41,8 @@ HASH_BITS = 20
 #: Units whose ids a worker keeps (about 50 bytes each).
 KNOWN_UNITS = 1_000_000
 MAGIC = b"RPSH"
+#: Hashes tell units apart inside one worker only, so each has a key of its own that no text can be made for.
+KEY = secrets.randbits(63)
 #: Bytes as ASCII small letters, and their kinds: 0 white space, 1 letters and all beyond ASCII, 2 digits, 3 others.
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] = np.arange(97, 123)
@@ -203,7 +206,7 @@ class Encoder:
         whole = np.unique(np.searchsorted(stretches, quotes, side="right") - 1)
         while True:
             begins, ends, kind = self._units(data, whole)
-            codes, values = pd.factorize(spans(data, begins, ends) ^ _KIND_CODE[kind])
+            codes, values = pd.factorize(spans(data, begins, ends, key=KEY) ^ _KIND_CODE[kind])
             first = np.zeros(len(values), dtype=np.int64)
             first[codes[::-1]] = np.arange(len(codes))[::-1]
             entry = self.known.find(values)

@@ -64,6 +64,37 @@ def test_one_encoder_over_many_batches_in_any_order():
                 assert ids[starts[j] : starts[j + 1]].tolist() == want[t], t
 
 
+_SIDES = ["".join(x[bin(i).count("1") & 1] for i in range(2048)) for x in ("ab", "ba")]
+
+
+def test_words_that_every_polynomial_hash_confuses(spark, tmp_path):
+    """The Thue-Morse word and its complement: equal under any polynomial hash modulo 2^64, different here, in ids, pieces and links."""
+    rows = [(i, _SIDES[i % 2] + (" and more" if i > 19 else "")) for i in range(40)]
+    sf = _write(_docs(spark, rows).repartition(1), tmp_path)
+    e = token_files.Encoder(token_files.default_tokenizer())
+    for r in token_files.op1_token_files(spark, sf).collect():
+        ids = e.tokenizer.encode(rows[r.doc_id][1], add_special_tokens=False).ids + [2]
+        assert r.ids_crc32 == zlib.crc32(np.array(ids, dtype="<u4").tobytes())
+    assert all(r.round_trip for r in pieces.op8_pieces(spark, sf).collect())
+    found = {r.doc_id: r.component_id for r in minhash.op9_minhash(spark, sf).collect()}
+    assert found == {i: i % 2 if i < 20 else 20 + i % 2 for i in range(40)}
+
+
+def test_span_hashes_depend_on_every_byte_and_the_key():
+    rng = np.random.default_rng(0)
+    data = rng.integers(0, 256, 4000).astype(np.uint8)
+    for size in (0, 1, 7, 8, 9, 63, 255, 256, 257, 900):
+        begins = np.array([0, 1000, 2000])
+        data[1000 : 1000 + size] = data[:size]
+        a, b, c = shingles.spans(data, begins, begins + size, exact=True).tolist()
+        assert a == b and (size == 0 or a != c) and shingles.spans(data, begins, begins + size, exact=True, key=5)[0] != a
+        for i in range(0, size, max(size // 40, 1)):
+            other = data.copy()
+            other[1000 + i] ^= 32
+            assert shingles.spans(other, begins, begins + size, exact=True)[1] != a
+            assert (shingles.spans(other, begins, begins + size)[1] == shingles.spans(data, begins, begins + size)[1]) == (chr(data[1000 + i]).isascii() and chr(data[1000 + i]).isalpha())
+
+
 def test_two_kinds_of_quotes_through_the_query(spark, tmp_path):
     texts = ["“Yes” he said"] * 200 + ["“Yes”. he said…! "] * 200
     e = token_files.Encoder(token_files.default_tokenizer())
@@ -325,6 +356,12 @@ _DISGUISES = {
     "spaces": " ".join,
     "long": lambda w: re.sub("([aeiou])", r"\1\1\1", w),
     "prefix": lambda w: "super" + w,
+    "two stars": lambda w: w[:2] + "**" + w[4:],
+    "zero width": lambda w: "\u200b".join(w),
+    "wide": lambda w: "".join(chr(ord(c) + 0xFEE0) for c in w),
+    "swapped": lambda w: w[:3] + w[4] + w[3] + w[5:],
+    "dropped": lambda w: w[:4] + w[5:],
+    "other script": lambda w: w.translate(str.maketrans("oeca", "оеса")),
 }
 
 
@@ -350,11 +387,24 @@ def test_toxicity_of_disguised_words(spark):
         assert (model.score(pa.array(clean)) >= 0.5).mean() < 0.05, name
 
 
+def test_words_that_hold_a_marker_are_clean(spark):
+    """One innocent word with a marker inside it, and words near a marker that clean texts use, don't make a short text toxic."""
+    rng = np.random.default_rng(4)
+    plain = ["".join(rng.choice(list("abcdefghijklmnoprstuvw"), 6)) for _ in range(400)] + ["trusty", "marron"]
+    text = lambda marks: " ".join([*rng.choice(plain, 80), *marks])
+    rows = [(i, text(rng.choice(["loser", "moron", "trashy"], 4) if i % 3 == 0 else ["trusty"])) for i in range(600)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(600)], "doc_id long, toxic int")
+    model = toxicity.learn(_docs(spark, rows).select("doc_id", "text"), labels)
+    clean = ["The shop is closer to us than the park.", "The shop is nearer to us.", "An oxymoron.", "a trusty one", "marron"]
+    assert (model.score(pa.array(clean)) < 0.5).all()
+    assert (model.score(pa.array(["you loser", "you moron moron", "trsahy trshy people", "l**er m*ron"])) >= 0.5).all()
+
+
 def test_folding_by_brute_force():
-    texts = ["1d10t i.d.i.o.t or i d i o t id*ot", "", None, "“Hé”…été—là a b", "x", "a", "b", "c", "tr4$h 42nd a.b foo!!!", "  lead", "Ünï ÇÖ"]
+    texts = ["1d10t i.d.i.o.t or i d i o t id*ot", "", None, "“Hé”…été—là a b", "x", "a", "b", "c", "tr4$h 42nd a.b foo!!!", "  lead", "Ünï ÇÖ", "i\u200bd\u00adiot ｉｄｉｏｔ ﬁn", "id**t a***b a****b **c** d**", "іdіоt мир xо оx тест", "a\u200b"]
     data, starts = folding.folded(pa.array(texts))
     found = [bytes(data[a:b]).decode() for a, b in zip(starts, starts[1:])]
-    assert found == ["idiot idiot or idiot id\x01ot ", "", "", "hé été là a b ", "x ", "a ", "b ", "c ", "trash nd ab fo ", "lead ", "ünï çö "]
+    assert found == ["idiot idiot or idiot id\x01ot ", "", "", "hé été là a b ", "x ", "a ", "b ", "c ", "trash nd ab fo ", "lead ", "ünï çö ", "idiot idiot fin ", "id\x01\x01t a\x01\x01\x01b a b c d ", "idiot мир xo ox тест ", "a "]
     assert folding.n_words(data, starts).tolist() == [len(x.split()) for x in found]
     grams, places = folding.beginnings(data)
     want = []
@@ -365,7 +415,7 @@ def test_folding_by_brute_force():
     assert sorted(folding.as_bytes(g) for g in grams) == sorted(want)
     lexicon = toxicity.Lexicon([int.from_bytes(x, "little") for x in (b"idiot", b" trash ", "été".encode())])
     text, entry, times = lexicon.hits(data, starts, np.ones(len(texts)))
-    assert list(zip(text, entry, times)) == [(0, 0, 4), (3, 2, 1), (8, 1, 1)]
+    assert list(zip(text, entry, times)) == [(0, 0, 4), (3, 2, 1), (8, 1, 1), (11, 0, 2), (12, 0, 1), (13, 0, 1)]
 
 
 def test_entries_by_brute_force(spark):
