@@ -58,12 +58,14 @@ def segmented(tiles: DataFrame, threshold: float = 0.15, min_area: float = 0.0,
                 img = _image(r.raw, r.h, r.w)
                 labels = images.label(_image(r.data, r.h, r.w) > threshold)
                 skel = images.skeleton(labels > 0)
-                ends = images.skeleton_ends(skel)
+                lengths = np.bincount(labels[skel], minlength=labels.max() + 1)
+                ends: dict[int, list] = {}
+                for e in images.skeleton_ends(skel):
+                    ends.setdefault(int(labels[tuple(e)]), []).append(e.tolist())
                 for region in images.regions(labels, img):
                     if region["area"] >= min_area:
-                        k = region["label"]
-                        own = [e.tolist() for e in ends if labels[tuple(e)] == k]
-                        rows.append({"file_id": r.file_id, "frame": r.frame, **region, "length": int((skel & (labels == k)).sum()), "ends": own if len(own) == 2 else None})
+                        own = ends.get(region["label"], [])
+                        rows.append({"file_id": r.file_id, "frame": r.frame, **region, "length": int(lengths[region["label"]]), "ends": own if len(own) == 2 else None})
             yield pd.DataFrame(rows, columns=names)
 
     both = tiles.withColumn("raw", F.col("data")) if image is None else tiles.join(image.select("file_id", "frame", F.col("data").alias("raw")), ["file_id", "frame"])

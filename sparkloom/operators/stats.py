@@ -33,16 +33,29 @@ def weighted_mean_std(df: DataFrame, keys: Sequence[str], x: str, weight: str) -
     return sums.select(*keys, (mean + F.lit(float(centre))).alias("weighted_mean"), F.sqrt(spread).alias("weighted_std"))
 
 
-def weighted_quantiles(df: DataFrame, keys: Sequence[str], x: str, weight: str, percents: Sequence[float]) -> DataFrame:
+def weighted_quantiles(df: DataFrame, keys: Sequence[str], x: str, weight: str, percents: Sequence[float], cells: int = 1024) -> DataFrame:
     """For each percentage the first value, in ascending order, at which the weights so far reach that share of all.
 
-    Equal values are summed first, so a key's window has its distinct values only.
+    Equal values are summed first.  Weights of `cells` cells between a key's ends tell in which cell each share is reached; only the values
+    of those cells are put in order, so no task orders all values of a key.
     """
-    df = df.where(F.col(x).isNotNull() & F.col(weight).isNotNull()).groupBy(*keys, F.col(x).alias("x")).agg(F.sum(weight).alias("w"))
-    order = Window.partitionBy(*keys).orderBy("x")
-    df = df.withColumn("so_far", F.sum("w").over(order)).withColumn("all", F.sum("w").over(Window.partitionBy(*keys)))
-    reached = lambda p: F.min(F.when(F.col("so_far") >= F.lit(p / 100) * F.col("all"), F.col("x")))
-    return df.groupBy(*keys).agg(*[reached(p).alias(f"q{p:g}".replace(".", "_")) for p in percents])
+    names = {p: f"q{p:g}".replace(".", "_") for p in percents}
+    seen = df.where(F.col(x).isNotNull() & F.col(weight).isNotNull()).groupBy(*keys, F.col(x).alias("x")).agg(F.sum(weight).alias("w"))
+    ends = seen.groupBy(*keys).agg(F.min("x").alias("__a"), F.max("x").alias("__b"))
+    cell = F.coalesce(F.least(F.floor(F.try_divide(F.col("x") - F.col("__a"), F.col("__b") - F.col("__a")) * cells), F.lit(cells - 1)), F.lit(0)).cast("int")
+    placed = (seen.join(ends, list(keys)) if keys else seen.crossJoin(F.broadcast(ends))).withColumn("__cell", cell).drop("__a", "__b")
+    whole = Window.partitionBy(*keys)
+    sums = placed.groupBy(*keys, "__cell").agg(F.sum("w").alias("__w"))
+    sums = sums.withColumn("__so_far", F.sum("__w").over(whole.orderBy("__cell"))).withColumn("__all", F.sum("__w").over(whole))
+    sums = sums.withColumn("__before", F.lag("__so_far").over(whole.orderBy("__cell"))).withColumn("__p", F.explode(F.array(*[F.lit(float(p)) for p in percents])))
+    target = F.col("__p") / 100 * F.col("__all")
+    reached = (F.col("__so_far") >= target) & (F.col("__before").isNull() | (F.col("__before") < target))
+    hits = sums.where(reached).select(*keys, "__cell", "__p", target.alias("__target"), F.coalesce("__before", F.lit(0.0)).alias("__before"))
+    inside = placed.join(hits, [*keys, "__cell"])
+    inside = inside.withColumn("__now", F.col("__before") + F.sum("w").over(Window.partitionBy(*keys, "__p").orderBy("x")))
+    # Sums in another order may fall short of the target by a rounding: then it is the cell's last value.
+    found = inside.groupBy(*keys, "__p").agg(F.coalesce(F.min(F.when(F.col("__now") >= F.col("__target"), F.col("x"))), F.max("x")).alias("x"))
+    return found.groupBy(*keys).agg(*[F.min(F.when(F.col("__p") == float(p), F.col("x"))).alias(n) for p, n in names.items()])
 
 
 def histogram(df: DataFrame, keys: Sequence[str], x: str, low: float, high: float, bins: int) -> DataFrame:

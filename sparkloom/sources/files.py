@@ -9,11 +9,12 @@ from xml.sax.saxutils import escape
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import images
 from ..functions.units import pixel_size
+from .staging import stage
 
 IMAGE = "path string, frame int, h int, w int, data array<double>, description string, resolution double, unit string"
 
@@ -169,14 +170,26 @@ def read_profiles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_series(spark: SparkSession, path: str) -> DataFrame:
-    """Text files of one number a line -> (path, frame, y); lines that are no number are missing."""
-    lines = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
-    rows = lines.select("path", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")).alias("frame", "t"))
-    return rows.select("path", "frame", F.trim("t").try_cast("double").alias("y"))
+    """Text files of one number a line -> (path, frame, y); lines that are no number are missing.  The parts that Spark writes of one
+    series are one, under their folder's path.
+
+    Files of any size are read in blocks: lines are numbered inside their block, blocks by the counts of those before.
+    """
+    meta = F.col("_metadata")
+    lines = spark.read.text(path).select("value", meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("id"))
+    lines = stage(lines, "lines")
+    parent = F.expr("substring(file, 1, length(file) - length(substring_index(file, '/', -1)) - 1)")
+    series = F.when(F.substring_index("file", "/", -1).startswith("part-"), parent).otherwise(F.col("file"))
+    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("n")).withColumn("path", series)
+    order = Window.partitionBy("path").orderBy("file", "block")
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    inside = F.row_number().over(Window.partitionBy("file", "block").orderBy("id")) - 1
+    return lines.withColumn("i", inside).join(blocks, ["file", "block"]).select("path", (F.col("before") + F.col("i")).alias("frame"), F.trim("value").try_cast("double").alias("y"))
 
 
 def write_series(df: DataFrame, path: str, frame: str, y: str) -> None:
-    df.orderBy(frame).select(F.col(y).cast("string").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """One number a line in the order of frames; a large series is several parts, whose names keep the order."""
+    df.orderBy(frame).select(F.col(y).cast("string").alias("value")).write.mode("overwrite").text(path)
 
 
 #: Rows of one sheet at most, with the header; fixed value of the format.

@@ -172,3 +172,50 @@ def test_reports_of_running_and_failing_streams(spark, tmp_path):
     assert own("broken")[-1][0] == "failed" and [r for r in rows if r["event"] == "failed"][0]["error"]
     reports.write(f"{tmp_path}/reports")
     assert spark.read.parquet(f"{tmp_path}/reports").count() == len(rows) and reports.table().count() == 0
+
+
+def test_series_in_blocks_and_parts(spark, tmp_path):
+    """Lines keep their numbers over parts of a series and blocks of a file; single files are series of their own."""
+    df = spark.createDataFrame([(i, float(i) * 0.5) for i in range(5000)], "t long, y double").repartition(7)
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    files.write_series(df, f"file://{tmp_path}/long", "t", "y")
+    spark.conf.unset(coalesce)
+    assert len([f for f in os.listdir(tmp_path / "long") if f.startswith("part-")]) > 1
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "2000")
+    try:
+        found = files.read_series(spark, f"file://{tmp_path}/long").collect()
+        (tmp_path / "one").mkdir()
+        (tmp_path / "one" / "a.txt").write_text("1\nx\n 3 \n\n" + "\n".join(str(i) for i in range(3000)))
+        (tmp_path / "one" / "b.txt").write_text("7\r\n8")
+        alone = files.read_series(spark, f"file://{tmp_path}/one").collect()
+    finally:
+        spark.conf.set(key, before)
+    assert sorted((r.frame, r.y) for r in found) == [(i, i * 0.5) for i in range(5000)] and {r.path.rsplit("/", 1)[1] for r in found} == {"long"}
+    a = {r.frame: r.y for r in alone if r.path.endswith("a.txt")}
+    assert [a[i] for i in range(4)] == [1.0, None, 3.0, None] and all(a[i + 4] == i for i in range(3000)) and len(a) == 3004
+    assert sorted((r.frame, r.y) for r in alone if r.path.endswith("b.txt")) == [(0, 7.0), (1, 8.0)]
+
+
+def test_weighted_quantiles_of_uneven_values(spark):
+    """One cell holds nearly all values; equal values, one value, a key of one row."""
+    from sparkloom.operators import stats
+
+    rng = np.random.default_rng(6)
+    rows = [("a", float(v), float(w)) for v, w in zip(np.concatenate([rng.normal(0, 1e-6, 500), [1e9]]), rng.integers(1, 9, 501))]
+    rows += [("b", float(v), float(w)) for v, w in zip(rng.integers(0, 5, 300), rng.random(300))] + [("c", 2.0, 1.0)] * 3 + [("d", -1.0, 0.0)]
+    df = spark.createDataFrame(rows, "k string, x double, w double").repartition(3)
+    percents = [0, 10, 50, 90, 99.9, 100]
+    for r in stats.weighted_quantiles(df, ["k"], "x", "w", percents).collect():
+        own = sorted((v, w) for k, v, w in rows if k == r.k)
+        total = sum(w for _, w in own)
+        for p, found in zip(percents, r[1:]):
+            so_far, want = 0.0, own[-1][0]
+            for v in sorted({v for v, _ in own}):
+                so_far += sum(w for u, w in own if u == v)
+                if so_far >= p / 100 * total - 1e-9:
+                    want = v
+                    break
+            assert found == want, (r.k, p)
