@@ -113,7 +113,7 @@ def _strength(n: Column, rate: Column, centre: Column) -> Column:
 def posteriors(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> DataFrame:
     """docs(doc_id, text, ...), labels(doc_id, label) -> doc_id, evidence, host_rate, path_rate, score, kept (score >= 0.5).
 
-    host and path: expressions of docs' columns; null is a site like any other.
+    host and path: expressions of docs' columns; null is a site like any other.  A document's rates are those of the other documents of its host and path.
     Null and empty texts have the evidence of their statistics (zeros); rows of
     one doc_id share its label; a label other than 0 and 1 is none.
     """
@@ -127,11 +127,12 @@ def posteriors(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(shared.value.ratio(part.column(3)))], ["doc_id", "host", "path", "evidence"])
 
     sites = docs.select("doc_id", host.cast("string").alias("host"), path.cast("string").alias("path"), "text")
-    told = stage(small_batches(sites).mapInArrow(score, "doc_id bigint, host string, path string, evidence double"), "evidence")
-    seen = told.join(labels, "doc_id", "left")
+    told = small_batches(sites).mapInArrow(score, "doc_id bigint, host string, path string, evidence double")
     p = 1 / (1 + F.exp(-F.col("evidence") - F.lit(float(np.log(model.base / (1 - model.base))))))
-    weight = F.when(F.col("label").isNotNull(), 1.0).otherwise(SOFT)
-    paths = seen.groupBy("host", "path").agg(F.sum(weight).alias("n"), F.sum(weight * F.coalesce(F.col("label").cast("double"), p)).alias("k"))
+    weight = F.when(F.col("label").isNotNull(), 1.0).otherwise(SOFT).alias("__sl_w")
+    told = told.join(labels, "doc_id", "left").select("doc_id", "host", "path", "evidence", weight, F.coalesce(F.col("label").cast("double"), p).alias("__sl_v"))
+    told = stage(told, "evidence")
+    paths = told.groupBy("host", "path").agg(F.sum("__sl_w").alias("n"), F.sum(F.col("__sl_w") * F.col("__sl_v")).alias("k"))
     paths = stage(paths, "paths")
     hosts = stage(paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("k").alias("hk")), "hosts")
     n_hosts, n_paths = hosts.count(), paths.count()
@@ -139,18 +140,29 @@ def posteriors(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -
     centre = F.lit(float(min(max(total if total is not None else 0.5, 1e-4), 1 - 1e-4)))
     own = F.col("hk") / F.col("hn")
     strength = hosts.agg(_strength(F.col("hn"), own, centre)).first()[0] or LEAST_STRENGTH
-    hosts = hosts.select("host", ((F.col("hk") + strength * centre) / (F.col("hn") + strength)).alias("host_rate"))
+
+    def shrunk(k: Column, n: Column, around: Column, by: float) -> Column:
+        return (F.greatest(k, F.lit(0.0)) + by * around) / (F.greatest(n, F.lit(0.0)) + by)
+
     paths = _joined(paths, hosts, ["host"], n_hosts)
-    inner = paths.agg(_strength(F.col("n"), F.col("k") / F.col("n"), F.col("host_rate"))).first()[0] or LEAST_STRENGTH
-    paths = paths.select("host", "path", "host_rate", ((F.col("k") + inner * F.col("host_rate")) / (F.col("n") + inner)).alias("path_rate"))
+    rate = shrunk(F.col("hk"), F.col("hn"), centre, strength)
+    inner = paths.agg(_strength(F.col("n"), F.col("k") / F.col("n"), rate)).first()[0] or LEAST_STRENGTH
     out = _joined(told, stage(paths, "rates"), ["host", "path"], n_paths)
+    # What a document says about its own site is no evidence about the document.
+    w, mass = F.col("__sl_w"), F.col("__sl_w") * F.col("__sl_v")
+    out = out.withColumn("host_rate", shrunk(F.col("hk") - mass, F.col("hn") - w, centre, strength))
+    out = out.withColumn("path_rate", shrunk(F.col("k") - mass, F.col("n") - w, F.col("host_rate"), inner))
     odds = F.col("evidence") + F.log(F.col("path_rate") / (1 - F.col("path_rate")))
     out = out.withColumn("score", 1 / (1 + F.exp(-odds)))
     return out.select("doc_id", "evidence", "host_rate", "path_rate", "score", (F.col("score") >= 0.5).alias("kept"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality of all documents: hosts are their sources, paths the sources' languages."""
+    """Quality of all documents: hosts are their sources, paths the sources' languages.
+
+    Nulls, empty texts, repeated rows and other labels as in `posteriors`; an empty table has no rows; equal texts of one site have one score
+    if their labels are equal too.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
     return posteriors(docs, labels, F.col("source"), F.col("lang"))

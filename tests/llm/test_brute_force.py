@@ -48,10 +48,11 @@ def test_posteriors_by_brute_force(spark):
     docs = _docs(spark, rows)
     out = {r.doc_id: r for r in quality.posteriors(docs, table, F.col("source"), F.col("lang")).collect()}
     base = quality.learn(docs.select("doc_id", "text"), table).base
-    n, k = defaultdict(float), defaultdict(float)
+    n, k, own = defaultdict(float), defaultdict(float), {}
     for i, _, lang, source in rows:
         w = 1.0 if i in labels else quality.SOFT
         p = labels.get(i, 1 / (1 + math.exp(-out[i].evidence - math.log(base / (1 - base)))))
+        own[i] = w, w * p
         n[source, lang] += w
         k[source, lang] += w * p
     hn, hk = defaultdict(float), defaultdict(float)
@@ -72,10 +73,13 @@ def test_posteriors_by_brute_force(spark):
     host = {s: (hk[s] + outer * centre) / (hn[s] + outer) for s in hn}
     inner = strength([(n[p], k[p] / n[p], host[p[0]]) for p in n])
     for i, _, lang, source in rows:
-        path = (k[source, lang] + inner * host[source]) / (n[source, lang] + inner)
+        # The document itself is left out of both rates.
+        w, mass = own[i]
+        rate = (hk[source] - mass + outer * centre) / (hn[source] - w + outer)
+        path = (k[source, lang] - mass + inner * rate) / (n[source, lang] - w + inner)
         score = 1 / (1 + math.exp(-out[i].evidence - math.log(path / (1 - path))))
         r = out[i]
-        assert (r.host_rate, r.path_rate, r.score) == pytest.approx((host[source], path, score), rel=1e-6) and r.kept == (r.score >= 0.5)
+        assert (r.host_rate, r.path_rate, r.score) == pytest.approx((rate, path, score), rel=1e-6) and r.kept == (r.score >= 0.5)
 
 
 def test_sharding_of_very_long_and_repeated_texts(spark):

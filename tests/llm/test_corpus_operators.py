@@ -516,6 +516,27 @@ def test_quality_of_labelled_documents(spark):
     assert sum(r.kept == (r.quality == 1) for r in rows) / len(rows) > 0.95
 
 
+@needs_tables
+def test_quality_of_held_out_documents(spark):
+    """Labels of four folds of five teach evidence and rates; the fifth is told by them."""
+    labels = spark.read.parquet(f"{LARGER}/labels.parquet").where("doc_id is not null")
+    out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    known = labels.where(~out).select("doc_id", F.col("quality").alias("label"))
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet")
+    rows = quality.posteriors(docs, known, F.col("source"), F.col("lang")).join(labels.where(out), "doc_id").collect()
+    right = sum(r.kept == (r.quality == 1) for r in rows) / len(rows)
+    assert len(rows) > 500 and right > 0.97, right
+
+
+def test_quality_of_a_long_text_and_of_a_label_alone(spark):
+    """A text of 2 MB; a site of one labelled document knows nothing of it but the corpus."""
+    rows = [(i, "some plain words", "en", "big") for i in range(40)] + [(100, "word " * 400_000, "en", "big"), (101, "some plain words", "en", "lonely"), (102, "some plain words", "en", "other")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(101, 1), (102, 0)], "doc_id long, label int")
+    found = {r.doc_id: r for r in quality.posteriors(_docs(spark, rows), labels, F.col("source"), F.col("lang")).collect()}
+    assert found[101].host_rate == pytest.approx(found[102].host_rate) and found[101].score == pytest.approx(found[102].score)
+    assert 0 <= found[100].score <= 1 and len(found) == 43
+
+
 def test_sparse_sites_shrink(spark):
     rows = [(i, "plain words here", "en", "good" if i < 300 else "bad") for i in range(600)] + [(600, "plain words here", "en", "new"), (601, "plain words here", None, None), (602, None, "en", "good")]
     labels = spark.createDataFrame([(i, int(i < 300) if i % 10 else int(i >= 300)) for i in range(600)] + [(None, 1), (3, 9)], "doc_id long, label int")
