@@ -94,20 +94,24 @@ class Extensions:
 
     def interval(self, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last rank of the suffixes that begin with the `length` symbols at `at`."""
-        level = np.frexp(length.astype(np.float64))[1] - 1
-        table = np.stack(self.levels)
-        tail = length - (1 << level.astype(np.int64))
-        head_name, tail_name = table[level, at], table[level, at + tail]
-
-        def same(rank: np.ndarray, inside: np.ndarray) -> np.ndarray:
-            place = self.order[np.where(inside, rank, 0)].astype(np.int64)
-            return inside & (table[level, place] == head_name) & (table[level, np.minimum(place + tail, self.n)] == tail_name)
-
         low, high = self.rank[at].astype(np.int64), self.rank[at].astype(np.int64)
-        for bit in range(self.n.bit_length(), -1, -1):
-            step = 1 << bit
-            low = low - step * same(low - step, low >= step)
-            high = high + step * same(high + step, high + step < self.n)
+        level = np.frexp(length.astype(np.float64))[1] - 1
+        for one in np.unique(level).tolist():
+            some, names = np.flatnonzero(level == one), self.levels[one]
+            # Two names, of the first and of the last 2^level symbols, tell the whole.
+            tail = length[some] - (1 << one)
+            head_name, tail_name = names[at[some]], names[at[some] + tail]
+
+            def same(rank: np.ndarray, inside: np.ndarray) -> np.ndarray:
+                place = self.order[np.where(inside, rank, 0)].astype(np.int64)
+                return inside & (names[place] == head_name) & (names[np.minimum(place + tail, self.n)] == tail_name)
+
+            a, b = low[some], high[some]
+            for bit in range(self.n.bit_length(), -1, -1):
+                step = 1 << bit
+                a = a - step * same(a - step, a >= step)
+                b = b + step * same(b + step, b + step < self.n)
+            low[some], high[some] = a, b
         return low, high
 
 
