@@ -193,7 +193,9 @@ def held_out(docs: DataFrame) -> DataFrame:
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all documents; learned from documents outside the fold 2 of 4.
 
-    Null texts and texts without a letter are `und` with score 0; a null doc_id is in no fold and teaches.
+    Null texts and texts without a letter are `und` with score 0; a null doc_id is in no fold and teaches.  Equal texts have one answer, and of
+    tied languages the first by name; rows may repeat; texts of any length are read whole; without a learned language all are `und`; an
+    empty table has no rows.
     """
     docs = held_out(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
     return predict(docs, learn(docs.where("not held_out")), ["doc_id", "held_out"])

@@ -298,7 +298,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicate components of all documents: three-word shingles, similarity 0.85."""
+    """Near-duplicate components of all documents: three-word shingles, similarity 0.85.
+
+    Null and empty texts and texts without words are linked with nothing; rows of one doc_id are one node and each has a row; equal texts are
+    linked, copies of any number; rows of a null doc_id link with nothing; texts of any length are read whole; an empty table has no rows.
+    """
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, percent=85)
 
 

@@ -195,7 +195,11 @@ def plan(docs: DataFrame, id_col: str = "doc_id", weights: tuple[float, ...] = (
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents mixed: weights 5, 2, 1 over sources in order, at most three copies.  A null text counts as size 0; no rows give none."""
+    """All documents mixed: weights 5, 2, 1 over sources in order, at most three copies.
+
+    Null and empty texts have size 0 and take nothing; a null source is the last; rows of one doc_id and size take the same; texts of any length
+    are counted whole; an empty table has no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", n_words().alias("size"))
     docs = stage(docs, "sizes")
     mixed = plan(docs).copies(docs, "doc_id")

@@ -300,5 +300,9 @@ def encoded(docs: DataFrame, columns: list[str], with_ids: bool, path: str | Non
 
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents' ids, their digest, and whether decoding gives the text back. Null and empty texts have no ids and a true round trip."""
+    """All documents' ids, their digest, and whether decoding gives the text back.
+
+    Null and empty texts have no ids and a true round trip; of equally cheap segmentations the one with the longest last piece is taken, so
+    equal texts have equal ids; rows may repeat, a null doc_id is kept; long texts are streamed; an empty table has no rows.
+    """
     return encoded(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"], with_ids=True)

@@ -124,7 +124,8 @@ def hypergeometric_shuffle(df: DataFrame, n_shards: int, seed: int = 20_117) ->
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, with their texts, into shards 0 to 39 under the law `rows`; size and text_crc32 are those of the sharded texts.
 
-    Size: UTF-8 bytes (null: 0) plus 16; a null text has a null text_crc32.
+    Size: UTF-8 bytes (null: 0) plus 16; a null text has a null text_crc32.  Rows that repeat, of a null doc_id too, are rows like any other and
+    have slots of their own; an empty table has no rows.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return hypergeometric_shuffle(docs, 40).select(

@@ -292,7 +292,11 @@ def top_k(vectors: DataFrame, is_query: "F.Column", k: int = 20) -> DataFrame:
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 20 best of all embeddings for each embedding whose vec_id is divisible by 20."""
+    """The 20 best of all embeddings for each embedding whose vec_id is divisible by 20.
+
+    Null vectors and those with null or non-finite components take no part; equal scores go by vec_id; rows of one vec_id are candidates
+    each, and queries each where their vectors differ; fewer than 20 candidates are all returned; an empty table has no rows.
+    """
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
 
 

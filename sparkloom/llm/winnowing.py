@@ -171,5 +171,8 @@ def fingerprint_documents(docs: DataFrame, k: int = 5, w: int = 8) -> DataFrame:
 
 
 def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Winnowing fingerprints of all documents and of their edited texts: five tokens a run, eight runs a window."""
+    """Winnowing fingerprints of all documents and of their edited texts: five tokens a run, eight runs a window.
+
+    Nulls, empty and long texts, rows of one doc_id and empty tables as in `fingerprint_documents`; equal hashes in a window keep the rightmost.
+    """
     return fingerprint_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
