@@ -5,14 +5,12 @@ A movie is a file of 300 customers and a frame of it a year; an order lights a p
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import splines, tiled
 from ..sources import tiff
-from ..sources.staging import shared_folder
+from ..sources.staging import scratch_folder
 from .inputs import rounded, table
 
 ROWS, COLS, STEP, PIXEL = 40, 56, 16, 0.12
@@ -89,7 +87,7 @@ def vector_mask_area(spark, sf):
 
 def tiff_pages(spark, sf):
     """All movies written as TIFF files and read back: sums of the second to fourth page of each."""
-    path = f"{shared_folder(spark)}/sparkloom/{uuid.uuid4().hex}"
+    path = scratch_folder(spark)
     frames = tiled.whole(movies(spark, sf)[0]).withColumn("path", F.format_string("%d/movie.tif", "file_id"))
     tiff.write_pages(frames, path)
     pages = tiff.read_pages(spark, path).where("frame between 1 and 3")

@@ -2,28 +2,22 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import pipelines, predict, signal, stats, tables, tiled
 from ..sources import files, maps
-from ..sources.staging import shared_folder, stage
+from ..sources.staging import scratch_folder, stage
 from ..streaming import tracking
-from .image_queries import _MOVIE, _SAMPLES, COLS, PIXEL, ROWS, SMOOTHING, _mirror, _WEIGHTS, drawn_lines, movies
+from .image_queries import _MOVIE, _SAMPLES, COLS, PIXEL, ROWS, SMOOTHING, _WEIGHTS, _mirror, drawn_lines, movies
 from .inputs import TRACES, rounded, table, traces
 from .kernel_queries import _SPECTRUM, THRESHOLD
 from .series_queries import DT
 
 
-def _folder(spark):
-    return f"{shared_folder(spark)}/sparkloom/{uuid.uuid4().hex}"
-
-
 def maps_by_name(spark, sf):
     """Movies stored as images and, smoothed, as bands; both read back by name, the bands' copy as midlines deleted."""
-    store = maps.MapStore(spark, _folder(spark))
+    store = maps.MapStore(spark, scratch_folder(spark))
     store.write("image", movies(spark, sf)[0])
     store.write("zbands", tiled.convolved(store.view("image"), SMOOTHING))
     store.write("mbands", store.view("zbands"))
@@ -35,7 +29,7 @@ def maps_by_name(spark, sf):
 
 def cached_results(spark, sf):
     """Prices of each customer group as text files, summed through a cache that is refreshed again after half of the files were doubled."""
-    folder = _folder(spark)
+    folder = scratch_folder(spark)
     o = table(spark, sf, "orders").select(F.expr("cast(o_custkey div 300 as int)").alias("grp"), F.col("o_totalprice").cast("string").alias("value"))
     o.repartition("grp").sortWithinPartitions("grp").write.partitionBy("grp").text(f"{folder}/in")
     cache = maps.ResultCache(spark, f"{folder}/cache")
@@ -105,7 +99,7 @@ def event_time_tracking(spark, sf):
     """Values of all events linked over frames of six hours, by a stream that reads them in files of any order."""
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
-    folder = _folder(spark)
+    folder = scratch_folder(spark)
     positions = stage(_positions(spark, sf).repartition(4), "positions")
     source = positions.inputFiles()[0].rsplit("/", 1)[0]
     spark.conf.set(key, tracking.ROCKSDB)

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import graph, pipelines, raster, spatial, structure, tables
 from ..sources import files
-from ..sources.staging import shared_folder, stage
+from ..sources.staging import scratch_folder, stage
 from .inputs import rounded, table
 from .kernel_queries import _TILE, SIDE, _tiles
 
@@ -85,13 +83,13 @@ def file_names(spark, sf):
 
 
 def series_as_text(spark, sf):
-    path = f"{shared_folder(spark)}/sparkloom/{uuid.uuid4().hex}"
+    path = scratch_folder(spark)
     files.write_series(table(spark, sf, "orders"), path, "o_orderkey", "o_totalprice")
     return rounded(files.read_series(spark, path).select(F.col("frame").cast("long").alias("frame"), "y"), "y")
 
 
 def exported_csv(spark, sf):
-    path = f"{shared_folder(spark)}/sparkloom/{uuid.uuid4().hex}"
+    path = scratch_folder(spark)
     n = table(spark, sf, "nation")
     files.export(n.select("n_nationkey", "n_name", F.array("n_regionkey", "n_nationkey").alias("pair")), path, "csv")
     return spark.read.option("header", "true").schema("n_nationkey bigint, n_name string, pair string").option("escape", '"').csv(path)

@@ -26,12 +26,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder below the shared one, which `clean` deletes like staged tables."""
+    folder = f"{shared_folder(spark)}/sparkloom/{uuid.uuid4().hex}"
+    _STAGED.append(folder)
+    return folder
+
+
 def stage(df: DataFrame, name: str = "table", partition_by: list[str] | None = None) -> DataFrame:
     """Write df as Parquet below the shared folder and read it back: lineage ends, and a lost executor costs only its own tasks."""
     spark = df.sparkSession
-    folder = f"{shared_folder(spark)}/sparkloom/{uuid.uuid4().hex}"
-    path = f"{folder}/{name}"
-    _STAGED.append(folder)
+    path = f"{scratch_folder(spark)}/{name}"
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
