@@ -42,16 +42,26 @@ def _agglomerated(pdf: pd.DataFrame, threshold: float, linkage: str) -> pd.DataF
     for a, b, x in zip(pdf["a"], pdf["b"], pdf["d"]):
         d[place[a], place[b]] = d[place[b], place[a]] = x
     label, size = np.arange(len(ids)), np.ones(len(ids))
+    # Each cluster's nearest one is kept, and looked for again only where that was merged.
+    nearest = d.argmin(axis=1) if len(ids) else label
+    least = d[label, nearest]
     while len(ids) > 1:
-        i, j = np.unravel_index(np.argmin(d), d.shape)
-        if not d[i, j] < threshold:
+        i = int(least.argmin())
+        if not least[i] < threshold:
             break
-        i, j = min(i, j), max(i, j)
+        i, j = sorted((i, int(nearest[i])))
         new = {"complete": np.maximum(d[i], d[j]), "average": (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j]), "single": np.minimum(d[i], d[j])}[linkage]
         d[i], d[:, i] = new, new
         d[j], d[:, j], d[i, i] = np.inf, np.inf, np.inf
         size[i] += size[j]
         label[label == j] = i
+        column = d[i]
+        again = np.flatnonzero((nearest == i) | (nearest == j))
+        nearest[(column < least) | ((column == least) & np.isfinite(column) & (i < nearest))] = i
+        least = np.minimum(least, column)
+        for k in {*again.tolist(), i, j}:
+            nearest[k] = d[k].argmin()
+            least[k] = d[k, nearest[k]]
     return pd.DataFrame({"id": ids, "cluster": ids[label]})
 
 

@@ -225,9 +225,41 @@ def agglomeration(rows, sf):
         assert {frozenset(c) for c in found[grp].values()} == set(clusters)
 
 
+def _grown(points, share, persistence, reach, n_min):
+    """seed -> ids of the line grown from it, by measuring the distance to every vector in each step; seeds are drawn as the operator draws them."""
+    ids = sorted(points)
+    y, x, t, size = (np.array([points[i][c] for i in ids]) for c in range(4))
+    out = {}
+    for seed in np.random.default_rng(0).choice(len(ids), max(1, int(share * len(ids))), replace=False).tolist():
+        line, heading, going = [seed], [t[seed], t[seed] + math.pi], [True, True]
+        while any(going):
+            for side in (0, 1):
+                if not going[side]:
+                    continue
+                tail = line[-persistence:] if side == 0 else line[:persistence]
+                mean = sum(complex(math.cos(2 * t[i]), math.sin(2 * t[i])) for i in tail)
+                h = math.atan2(mean.imag, mean.real) / 2
+                heading[side] = h + math.pi if math.cos(h - heading[side]) < 0 else h
+                end, step = line[-1 if side == 0 else 0], sum(size[i] for i in tail) / len(tail)
+                d = np.hypot(y - y[end] - math.sin(heading[side]) * step, x - x[end] - math.cos(heading[side]) * step)
+                d[line] = math.inf
+                best = int(d.argmin())
+                if d[best] <= reach:
+                    line = [*line, best] if side == 0 else [best, *line]
+                else:
+                    going[side] = False
+        if len(line) >= n_min:
+            out[ids[seed]] = [ids[i] for i in line]
+    return out
+
+
 def line_growth(rows, sf):
-    """A line has three vectors or more, none twice, and each next one lies within reach of the place that its end points at."""
-    _lines_are_lines([(r["grp"], r["line"], r["pos"], r["id"]) for r in rows], _vectors(sf), 0.1, 3)
+    """Every line, vector by vector."""
+    found = defaultdict(dict)
+    for r in rows:
+        found[r["grp"], r["line"]][r["pos"]] = r["id"]
+    want = {(grp, seed): line for grp, points in _vectors(sf).items() for seed, line in _grown(points, 0.5, 3, 0.1, 3).items()}
+    assert {k: [v[p] for p in range(len(v))] for k, v in found.items()} == want and want
 
 
 def _lines_are_lines(rows, vectors, reach, n_min):
@@ -290,8 +322,19 @@ def vector_domains(rows, sf):
 
 
 def lines_of_interest(rows, sf):
-    assert len(rows) <= 4 and all(3 <= r["n"] < 50 for r in rows)
-    assert [r["length"] for r in rows] == sorted((r["length"] for r in rows), reverse=True)
+    """Grown lines of 3 to 49 vectors, joined while two of a cluster lie within the Hausdorff distance; of each cluster the longest, of those four."""
+    best = []
+    for grp, points in _vectors(sf).items():
+        lines = {s: ids for s, ids in _grown(points, 0.5, 3, 0.1, 3).items() if 3 <= len(ids) < 50}
+        distance = lambda a, b: max(max(min(math.dist(points[i][:2], points[j][:2]) for j in q) for i in p) for p, q in ((a, b), (b, a)))
+        d = {frozenset(p): distance(lines[p[0]], lines[p[1]]) for p in itertools.combinations(sorted(lines), 2)}
+        clusters = _parts(set(lines), [p for p in itertools.combinations(sorted(lines), 2) if distance(lines[p[0]], lines[p[1]]) < 0.2])
+        length = {s: sum(points[i][3] for i in ids) for s, ids in lines.items()}
+        for c in clusters:
+            s = min(c, key=lambda s: (-length[s], s))
+            best.append((-length[s], grp, s, len(lines[s])))
+    want = [(grp, s, n, round(-m, 6)) for m, grp, s, n in sorted(best)[:4]]
+    assert [(r["grp"], r["line"], r["n"], r["length"]) for r in rows] == want
 
 
 def band_lateral_links(rows, sf):

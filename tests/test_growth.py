@@ -59,3 +59,30 @@ def test_many_vectors_take_time_near_linear():
         steps = sum(len(graph.grow_line(s, y, x, t, size, 3, 0.5, near)) for s in range(0, n, n // 500))
         took.append((time.process_time() - start) / (n + 20 * steps))
     assert took[1] < 4 * took[0]
+
+
+@pytest.mark.parametrize("linkage", ["single", "complete", "average"])
+def test_agglomeration_equals_the_plain_search(linkage):
+    """Each step searches all pairs; distances with ties."""
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 9, 40):
+        full = rng.integers(1, 30, (n, n)).astype(float)
+        pairs = [(a, b, full[a, b]) for a in range(n) for b in range(a + 1, n)]
+        found = graph._agglomerated(pd.DataFrame(pairs, columns=["a", "b", "d"]), 18.0, linkage)
+        d = np.full((n, n), np.inf)
+        for a, b, v in pairs:
+            d[a, b] = d[b, a] = v
+        label, size = np.arange(n), np.ones(n)
+        while n > 1:
+            i, j = sorted(np.unravel_index(d.argmin(), d.shape))
+            if not d[i, j] < 18:
+                break
+            new = {"complete": np.maximum(d[i], d[j]), "average": (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j]), "single": np.minimum(d[i], d[j])}[linkage]
+            d[i], d[:, i] = new, new
+            d[j], d[:, j], d[i, i] = np.inf, np.inf, np.inf
+            size[i] += size[j]
+            label[label == j] = i
+        if n > 1:
+            assert dict(zip(found["id"], found["cluster"])) == dict(enumerate(label))
