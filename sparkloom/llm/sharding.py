@@ -19,7 +19,6 @@ from .common import small_table, stage
 
 #: Entries of the communication matrix that the driver draws and broadcasts, at most.
 MATRIX_ENTRIES = 1 << 20
-MAX_BLOCKS = 4096
 #: Slots of a shard are found in this many pieces at least, so that no task has a whole shard.
 MIN_PIECES = 64
 ROWS_A_PIECE = 1 << 20
@@ -28,8 +27,9 @@ ROWS_A_PIECE = 1 << 20
 def draw_hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
     """How many of n rows drawn without replacement come from the good ones; any size.
 
-    numpy draws up to 1e9 rows; beyond, the distribution is inverted over 12
-    standard deviations, outside of which lies less (1e-32) than a double can tell.
+    numpy draws up to 1e9 rows; beyond, the distribution is inverted over all
+    numbers whose probability a double can hold (40 standard deviations hold
+    them).  Either way the law is exact but for the rounding of doubles.
     """
     low, high = max(0, n - bad), min(n, good)
     if low >= high:
@@ -39,7 +39,7 @@ def draw_hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -
     total = good + bad
     mean = n * good / total
     sd = math.sqrt(max(mean * (bad / total) * (total - n) / (total - 1), 1.0))
-    first, last = max(low, int(mean - 12 * sd)), min(high, int(mean + 12 * sd) + 1)
+    first, last = max(low, int(mean - 40 * sd)), min(high, int(mean + 40 * sd) + 1)
     k = np.arange(first, last, dtype=np.float64)
     steps = np.log(good - k) + np.log(n - k) - np.log(k + 1) - np.log(bad - n + k + 1)
     logs = np.concatenate([[0.0], np.cumsum(steps)])
@@ -81,7 +81,7 @@ def hypergeometric_shuffle(df: DataFrame, n_shards: int, seed: int = 20_117) ->
         raise ValueError("n_shards must be 1 or more")
     spark: SparkSession = df.sparkSession
     own = [c for c in df.columns if c not in ("shard", "slot") and not c.startswith("__sl_")]
-    blocks = max(1, min(MAX_BLOCKS, MATRIX_ENTRIES // n_shards))
+    blocks = max(1, MATRIX_ENTRIES // n_shards)
     low = F.lit((1 << 33) - 1)
     # Local permutation: each input partition is sorted by a random key; a row's place is its local row number.
     permuted = (

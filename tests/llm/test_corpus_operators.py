@@ -197,6 +197,27 @@ def test_sharding_keeps_columns_and_takes_empty_tables(spark):
     assert sharding.hypergeometric_shuffle(df.limit(0), 3).count() == 0
 
 
+def test_draws_of_very_many_rows():
+    """Counts at 10^10 rows: sums hold exactly, means and variances are the law's, tails aren't cut."""
+    rng = np.random.default_rng(3)
+    good, bad, n = 4 * 10**9, 6 * 10**9, 10**6
+    x = np.array([sharding.draw_hypergeometric(rng, good, bad, n) for _ in range(1500)])
+    mean, variance = n * 0.4, n * 0.4 * 0.6 * (10**10 - n) / (10**10 - 1)
+    assert abs(x.mean() - mean) < 4 * math.sqrt(variance / 1500) and 0.85 < x.var() / variance < 1.15
+    blocks, shards = [2 * 10**9 + i for i in range(5)], [10**9 + 1] * 10
+    shards[0] += sum(blocks) - sum(shards)
+    matrix = sharding.communication_matrix(blocks, shards, 1)
+    assert matrix.sum(axis=1).tolist() == blocks and matrix.sum(axis=0).tolist() == shards and (matrix > 0).all()
+
+    class Least:
+        """The least uniform number there is."""
+
+        def random(self):
+            return 1e-300
+
+    assert sharding.draw_hypergeometric(Least(), good, bad, n) < mean - 30 * math.sqrt(variance)
+
+
 # 3 winnowing
 
 
