@@ -81,12 +81,14 @@ def spans(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, exact: bool =
     wide = np.concatenate([data if exact else _AS_SMALL[data], np.zeros(8, np.uint8)])
     eight = np.lib.stride_tricks.as_strided(wide, shape=(len(data) + 1, 8), strides=(1, 1), writeable=False)
     size = ends - begins
-    code = mixed(size.astype(np.uint64) + np.uint64((key * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % (1 << 64)))
-    at = np.flatnonzero(size <= _HASHED)
-    done = 0
+    by_size = mixed(np.arange(_HASHED + 1, dtype=np.uint64) + np.uint64((key * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % (1 << 64)))
+    code = by_size[np.minimum(size, _HASHED)]
+    # All ranges at once, then those that go on.
+    code = mixed(code + (eight[begins].view(np.uint64).ravel() & _MASKS[np.minimum(size, 8)]))
+    at, done = np.flatnonzero((size > 8) & (size <= _HASHED)), 8
     while len(at):
-        chunk = np.ascontiguousarray(eight[begins[at] + done]).view(np.uint64).ravel() & _MASKS[np.minimum(size[at] - done, 8)]
-        code[at] = mixed(mixed(chunk + np.uint64(0xD6E8FEB86659FD93 * (done + 1) % (1 << 64))) ^ (code[at] * np.uint64(0x9E3779B97F4A7C15)))
+        chunk = eight[begins[at] + done].view(np.uint64).ravel() & _MASKS[np.minimum(size[at] - done, 8)]
+        code[at] = mixed(code[at] * np.uint64(0x9E3779B97F4A7C15) ^ chunk)
         done += 8
         at = at[size[at] > done]
     secret = key.to_bytes(8, "little")

@@ -99,9 +99,14 @@ class Known:
     def _look(codes: np.ndarray, entries: np.ndarray, wanted: np.ndarray) -> np.ndarray:
         if not len(codes):
             return np.full(len(wanted), -1, dtype=np.int64)
+        # In order, so that neighbours in the table are looked up together.
+        order = np.argsort(wanted)
+        wanted = wanted[order]
         at = np.searchsorted(codes, wanted)
         at[at == len(codes)] = 0
-        return np.where(codes[at] == wanted, entries[at], -1)
+        out = np.empty(len(wanted), dtype=np.int64)
+        out[order] = np.where(codes[at] == wanted, entries[at], -1)
+        return out
 
     def find(self, wanted: np.ndarray) -> np.ndarray:
         """Entry of each hash; -1 where there is none."""
