@@ -149,7 +149,7 @@ def created_lines(tiles: DataFrame, lines: DataFrame, pixelsize: float, width: f
     name = files.loi_name(F.col("a.y"), F.col("a.x"), F.col("b.y"), F.col("b.x"), F.lit(width))
     samples = splines.kymograph(tiles, lines, max(int(width / pixelsize), 1), order)
     rows = samples.groupBy("file_id", "line", "frame").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias("profile"))
-    found = rows.join(shapes.select("file_id", "line", "length", name.alias("name")), ["file_id", "line"])
+    found = rows.join(shapes.select("file_id", "line", "length", name.alias("name")).hint("merge"), ["file_id", "line"])
     n = F.size("profile")
     x = F.transform(F.sequence(F.lit(0), n - 1), lambda i: i * F.coalesce(F.try_divide(F.col("length"), n - 1), F.lit(0.0)))
     return found.select("file_id", "line", "name", "length", "frame", x.alias("x_pos"), "profile")

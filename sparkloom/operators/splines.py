@@ -110,7 +110,8 @@ def kymograph(tiles: DataFrame, lines: DataFrame, width: int = 1, order: int = 0
         raise ValueError("order must be 0 to 5")
     halo = halo_of(order)
     sizes = tiles.groupBy("file_id").agg(F.max("rows").alias("rows"), F.max("cols").alias("cols"), F.max("step").alias("step"))
-    at = samples(lines, width).join(sizes, "file_id")
+    # The planner takes the samples for as small as the table of lines that they are made of, so no side of these joins may be broadcast.
+    at = samples(lines, width).join(sizes.hint("merge"), "file_id")
     at = at.withColumn("y", _mirrored(F.col("y"), F.col("rows"))).withColumn("x", _mirrored(F.col("x"), F.col("cols")))
     corner = [F.expr(f"cast(least(greatest(floor({a}), 0), {n} - 1) as int)") for a, n in (("y", "rows"), ("x", "cols"))]
     at = at.select("file_id", *[(c - F.pmod(c, F.col("step"))).cast("int").alias(f"{a}0") for c, a in zip(corner, ("y", "x"))], "line", "pos", "y", "x")
@@ -118,7 +119,7 @@ def kymograph(tiles: DataFrame, lines: DataFrame, width: int = 1, order: int = 0
     here = F.count("*").over(Window.partitionBy("file_id", "y0", "x0"))
     at = at.withColumn("part", F.pmod(F.xxhash64("line", "pos"), F.ceil(here / PART)))
     listed = at.groupBy("file_id", "y0", "x0", "part").agg(F.collect_list(F.struct("line", "pos", "y", "x")).alias("samples"))
-    wide = tiled.windows(tiles, halo).join(listed, ["file_id", "y0", "x0"]).select(*tiled.TILE, "samples", "strips")
+    wide = tiled.windows(tiles, halo).join(listed.hint("merge"), ["file_id", "y0", "x0"]).select(*tiled.TILE, "samples", "strips")
     kind = dict(lines.dtypes)["line"]
     schema = f"file_id {dict(tiles.dtypes)['file_id']}, line {kind}, frame {dict(tiles.dtypes)['frame']}, pos bigint, v double"
 

@@ -126,6 +126,18 @@ def test_kymographs_of_every_order(spark, order):
     assert max(abs(found[k] - want[k]) for k in want) < 1e-9
 
 
+def test_no_side_of_a_kymograph_is_broadcast(spark, tmp_path):
+    """A stored table of lines looks small to the planner, whatever number of samples it stands for."""
+    from sparkloom.operators import pipelines
+
+    tiled.cut(_frames(spark, *IMAGES[:1]), 8).write.parquet(f"{tmp_path}/tiles")
+    spark.createDataFrame([(1, i, p, 3.0 * p, 5.0 * p) for i in range(9) for p in range(3)], "file_id int, line int, pos int, y double, x double").write.parquet(f"{tmp_path}/lines")
+    tiles, lines = (spark.read.parquet(f"{tmp_path}/{n}") for n in ("tiles", "lines"))
+    for found in (splines.kymograph(tiles, lines, 3, 1), pipelines.created_lines(tiles, lines, 0.1)):
+        assert found.count() > 0
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_splines_go_through_the_pixels():
     image = np.random.default_rng(0).normal(size=(30, 26))
     for order in range(2, 6):
