@@ -76,7 +76,7 @@ def tracked(peaks: DataFrame, key: str, search_range: float = 2.0, memory: int =
     def run(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["frame", "x"])
         frames = np.arange(pdf["frame"].min(), pdf["frame"].max() + 1)
-        found = [g for g in (pdf["x"].to_numpy()[pdf["frame"].to_numpy() == f] for f in frames)]
+        found = np.split(pdf["x"].to_numpy(), np.searchsorted(pdf["frame"].to_numpy(), frames[1:]))
         tracks = np.concatenate(signals.linked(found, search_range, memory))
         out = pd.DataFrame({key: group[0], "frame": pdf["frame"].to_numpy(), "x": pdf["x"].to_numpy(), "track": tracks})
         return out[out["track"] < len(found[0])] if first_frame_only else out

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import time
 
 import numpy as np
 import pytest
@@ -71,6 +72,50 @@ def test_band_spacing_of_two_gaussians():
     assert math.isnan(signals.band_spacing(np.ones(61), 0.1, (1.0, 3.0))[0])
 
 
+def test_frames_match_as_by_augmenting_paths():
+    """As many pairs at as little cost as the dense matching, each place once, with equal places and with many within reach."""
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        n, m = rng.integers(0, 30, 2)
+        span, digits = rng.choice([3, 20, 200]), rng.choice([0, 1, 9])
+        p, q = rng.uniform(0, span, n).round(digits), rng.uniform(0, span, m).round(digits)
+        found = signals.matched_frame(p, q, 5.0)
+        reach, near = 5.0, np.abs(p[:, None] - q[None])
+        while reach * 0.8 >= 1 and max((near <= reach).sum(axis=1).max(initial=0), (near <= reach).sum(axis=0).max(initial=0)) > 8:
+            reach *= 0.8
+        want = [near[i, j] ** 2 for i, j in zip(*signals.assignment(np.where(near <= reach, near**2, 1e12))) if near[i, j] <= reach]
+        own = [near[i, j] ** 2 for j, i in enumerate(found) if i >= 0]
+        assert len(own) == len(want) and abs(sum(own) - sum(want)) < 1e-6 and (near[found[found >= 0], np.flatnonzero(found >= 0)] <= reach).all()
+        assert len(set(found[found >= 0].tolist())) == len(own)
+
+
+def test_matching_frames_takes_time_near_linear():
+    took = []
+    for n in (500, 4000):
+        p, q = (np.sort(np.random.default_rng(i).uniform(0, n / 10, n)) for i in (0, 1))
+        start = time.process_time()
+        signals.matched_frame(p, q, 2.0)
+        took.append(time.process_time() - start)
+    assert took[1] < 40 * took[0]
+
+
+def test_peaks_of_long_profiles():
+    """Prominences and distances as defined, and in time near linear."""
+    took = []
+    for n in (2_000, 40_000):
+        x = np.random.default_rng(n).normal(size=n).cumsum() * 0.01 + np.random.default_rng(1).normal(size=n)
+        start = time.process_time()
+        found = signals.peaks(x, -1e9, 4, 0.5)
+        took.append(time.process_time() - start)
+        assert np.diff(found).min() >= 4
+    for i in found[::500]:
+        higher = np.flatnonzero(x > x[i])
+        a, b = higher[higher < i], higher[higher > i]
+        low = x[a[-1] if len(a) else 0 : i + 1].min(), x[i : (b[0] if len(b) else n - 1) + 1].min()
+        assert signals.prominence(x, i) == x[i] - max(low)
+    assert took[1] < 60 * took[0]
+
+
 def test_assignment_equals_brute_force():
     rng = np.random.default_rng(0)
     for _ in range(60):
