@@ -30,11 +30,14 @@ class Tracker(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
+        # The watermark of the last timer, and the keys that have been linked up to it and had no row since.
+        self.passed, self.done = None, set()
         self.waiting = handle.getListState("waiting", "frame bigint, at bigint, x double")
         self.tracks = handle.getMapState("tracks", "track bigint", "x double, frame bigint, at bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         """Keeps the rows, with a timer at each frame's time."""
+        self.done.discard(tuple(key))
         for pdf in rows:
             at = pdf["sl_ms"].to_numpy()
             self.waiting.appendList(list(zip(pdf["frame"].tolist(), at.tolist(), pdf["x"].tolist())))
@@ -45,9 +48,15 @@ class Tracker(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """Links all frames that the watermark has passed, then takes out the tracks that no later frame can continue."""
         passed = timerValues.getCurrentWatermarkInMs()
+        if passed != self.passed:
+            self.passed, self.done = passed, set()
+        if tuple(key) in self.done:
+            return
+        self.done.add(tuple(key))
         waiting = list(self.waiting.get()) if self.waiting.exists() else []
         ready = [w for w in waiting if w[1] <= passed]
         tracks = {k[0]: v for k, v in self.tracks.iterator()} if self.tracks.exists() else {}
+        stored = {n: tuple(v) for n, v in tracks.items()}
         if ready:
             rest = [w for w in waiting if w[1] > passed]
             if rest:
@@ -62,11 +71,14 @@ class Tracker(StatefulProcessor):
             yield out
         for number in [n for n, (_, _, at) in tracks.items() if at + (self.memory + 1) * self.frame_ms <= passed]:
             del tracks[number]
-            if self.tracks.containsKey((number,)):
+            if number in stored:
                 self.tracks.removeKey((number,))
+        # Each of these is a call to the JVM: only what is new, and one timer for all tracks of a time.
         for number, value in tracks.items():
-            self.tracks.updateValue((number,), value)
-            self.handle.registerTimer(value[2] + (self.memory + 1) * self.frame_ms)
+            if stored.get(number) != tuple(value):
+                self.tracks.updateValue((number,), value)
+        for at in {v[2] for v in tracks.values()}:
+            self.handle.registerTimer(at + (self.memory + 1) * self.frame_ms)
 
     def _link(self, tracks: dict[int, tuple], frame: int, part: pd.DataFrame) -> pd.DataFrame:
         x, at = part["x"].to_numpy(), int(part["at"].iloc[0])

@@ -77,6 +77,90 @@ def test_state_is_empty_after_expiry(rocksdb, tmp_path):
     assert state <= 4
 
 
+class _Held:
+    """State of one key in memory, which counts the calls to it."""
+
+    def __init__(self):
+        self.rows, self.map, self.timers, self.calls = [], {}, [], 0
+
+    def getListState(self, *_):
+        return self
+
+    def getMapState(self, *_):
+        return _Map(self)
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+    def appendList(self, rows):
+        self.rows += rows
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        self.calls += 1
+        return iter(self.rows)
+
+    def clear(self):
+        self.rows = []
+
+    def put(self, rows):
+        self.rows = rows
+
+
+class _Map:
+    def __init__(self, held):
+        self.held = held
+
+    def exists(self):
+        return bool(self.held.map)
+
+    def iterator(self):
+        self.held.calls += len(self.held.map)
+        return iter(list(self.held.map.items()))
+
+    def containsKey(self, key):
+        self.held.calls += 1
+        return key in self.held.map
+
+    def updateValue(self, key, value):
+        self.held.calls += 1
+        self.held.map[key] = value
+
+    def removeKey(self, key):
+        self.held.calls += 1
+        del self.held.map[key]
+
+
+class _At:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_timers_of_a_watermark_read_the_state_once():
+    """Every frame has a timer, and all of them fire behind one watermark; calls to the state don't grow with frames times tracks."""
+    import pandas as pd
+
+    n, frames = 50, 40
+    held, tracker = _Held(), tracking.Tracker(["k"], 1.5, 2, 1000)
+    tracker.init(held)
+    rows = [(f, f * 1000, 4.0 * i) for f in range(frames) for i in range(n)]
+    list(tracker.handleInputRows(("a",), iter([pd.DataFrame(rows, columns=["frame", "sl_ms", "x"])]), None))
+    held.calls = 0
+    found = [part for _ in range(frames) for part in tracker.handleExpiredTimer(("a",), _At((frames - 1) * 1000), None)]
+    assert sum(map(len, found)) == n * frames and len(held.map) == n
+    assert held.calls < 3 * n
+    # Rows that come later are linked, at the same watermark too, and tracks end once it is far beyond them.
+    list(tracker.handleInputRows(("a",), iter([pd.DataFrame([(frames, frames * 1000, 0.0)], columns=["frame", "sl_ms", "x"])]), None))
+    later = [part for ms in (frames - 1, frames, 10 * frames) for part in tracker.handleExpiredTimer(("a",), _At(ms * 1000), None)]
+    assert [r for part in later for r in part["track"]] == [0] and not held.map and not held.rows
+
+
 def test_rows_behind_the_watermark_are_dropped(rocksdb, tmp_path):
     rows = [("a", f, START + dt.timedelta(seconds=f), 1.0) for f in (0, 1, 2, 50, 51)] + [("a", 1, START + dt.timedelta(seconds=1), 9.0), ("a", 52, START + dt.timedelta(seconds=52), 1.0)]
     late = rows[:5], rows[5:]
