@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,31 +95,95 @@ def matched(costs: DataFrame, key: str, forbidden: float = 1e6) -> DataFrame:
     return costs.groupBy(key).applyInPandas(run, f"{key} {kind[key]}, a {kind['a']}, b {kind['b']}, cost double")
 
 
+class Adjacency:
+    """Links of nodes 0 ... n - 1 in arrays: `other` and `weight` of a node's links lie between its two bounds, by ascending neighbour; `loops` are links to itself.
+
+    Twelve bytes a link and end, so that a key of some ten million links fits a worker.
+    """
+
+    def __init__(self, bounds: np.ndarray, other: np.ndarray, weight: np.ndarray, loops: np.ndarray):
+        self.bounds, self.other, self.weight, self.loops = bounds, other, weight, loops
+        self.strength = np.array([weight[i:j].sum() for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())]) + 2 * loops
+
+    def __len__(self) -> int:
+        return len(self.loops)
+
+    @staticmethod
+    def of(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> Adjacency:
+        """From links in any order, which may repeat."""
+        a, b, w = (np.asarray(x) for x in (a, b, w))
+        loops = np.bincount(a[a == b], weights=w[a == b], minlength=n).astype(float)
+        if len(a) and not ((a < b).all() and ((a[1:] > a[:-1]) | ((a[1:] == a[:-1]) & (b[1:] > b[:-1]))).all()):
+            low, high, w = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b], w[a != b]
+            order = np.lexsort((high, low))
+            a, b, w = _added_up(low[order], high[order], w[order])
+        # Of a node the links to smaller neighbours come first.
+        up, down = np.bincount(a, minlength=n), np.bincount(b, minlength=n)
+        bounds = np.concatenate([[0], np.cumsum(up + down)])
+        other, weight = np.empty(2 * len(a), np.int32), np.empty(2 * len(a))
+        by_high = np.argsort(b, kind="stable")
+        for ends, far, shift, order in ((b, a, bounds[:-1] - np.cumsum(down) + down, by_high), (a, b, bounds[:-1] + down - np.cumsum(up) + up, None)):
+            for at in range(0, len(a), 1 << 20):
+                part = slice(at, at + (1 << 20)) if order is None else order[at : at + (1 << 20)]
+                here = ends[part]
+                place = np.arange(at, at + len(here)) + shift[here]
+                other[place], weight[place] = far[part], w[part]
+        return Adjacency(bounds, other, weight, loops)
+
+    def near(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.other[self.bounds[i] : self.bounds[i + 1]], self.weight[self.bounds[i] : self.bounds[i + 1]]
+
+    def contracted(self, group: np.ndarray) -> Adjacency:
+        """The groups as nodes."""
+        count = int(group.max()) + 1
+        members = np.split(np.argsort(group, kind="stable"), np.cumsum(np.bincount(group, minlength=count))[:-1])
+        loops = np.bincount(group, weights=self.loops, minlength=count)
+        others, weights = [], []
+        for p, nodes in enumerate(members):
+            links = [self.near(i) for i in nodes.tolist()]
+            found, x = _sums(group[np.concatenate([o for o, _ in links])], np.concatenate([v for _, v in links]), count)
+            loops[p] += x[found == p].sum() / 2
+            others.append(found[found != p].astype(np.int32))
+            weights.append(x[found != p])
+        bounds = np.concatenate([[0], np.cumsum([len(o) for o in others])])
+        return Adjacency(bounds, np.concatenate(others), np.concatenate(weights), loops)
+
+
+def _added_up(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted links, repeated ones as one of their summed weight."""
+    if not len(a):
+        return a, b, w
+    first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    return (a, b, w) if len(first) == len(a) else (a[first], b[first], np.add.reduceat(w, first))
+
+
+def _sums(group: np.ndarray, x: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """The groups that occur, ascending, and the sum of x of each."""
+    if 32 * len(group) > count:
+        found = np.flatnonzero(np.bincount(group, minlength=count))
+        return found, np.bincount(group, weights=x, minlength=count)[found]
+    found, at = np.unique(group, return_inverse=True)
+    return found, np.bincount(at, weights=x, minlength=len(found))
+
+
 def modularity_communities(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, resolution: float, seed: int) -> np.ndarray:
     """Communities by passes of local moves, refinement and contraction until a pass changes nothing; order of moves by the seed.
 
     At the end each community is connected and no node's move raises modularity.
     """
     rng = np.random.default_rng(seed)
-    links: list[dict[int, float]] = [{} for _ in range(n)]
-    loops = np.zeros(n)
-    for i, j, x in zip(a.tolist(), b.tolist(), w.tolist()):
-        if i == j:
-            loops[i] += x
-        else:
-            links[i][j] = links[i].get(j, 0.0) + x
-            links[j][i] = links[j].get(i, 0.0) + x
-    total = 2 * (sum(sum(d.values()) for d in links) / 2 + loops.sum())
+    links = Adjacency.of(n, a, b, w)
+    total = float(links.strength.sum())
     group = np.arange(n)
     while total > 0:
-        new = _pass(links, loops, group, resolution, total, rng)
+        new = _pass(links, group, resolution, total, rng)
         if (new == group).all():
             break
         group = new
     return group
 
 
-def _pass(links: list[dict[int, float]], loops: np.ndarray, start: np.ndarray, resolution: float, total: float, rng: np.random.Generator) -> np.ndarray:
+def _pass(links: Adjacency, start: np.ndarray, resolution: float, total: float, rng: np.random.Generator) -> np.ndarray:
     """One pass from the groups of `start`; groups are numbered in the order of their first nodes.
 
     Before each contraction every community is refined: its nodes start alone
@@ -128,25 +193,27 @@ def _pass(links: list[dict[int, float]], loops: np.ndarray, start: np.ndarray, r
     """
     first_links, group, member = links, start.copy(), np.arange(len(links))
     while True:
-        size = len(links)
-        strength = np.array([sum(d.values()) for d in links]) + 2 * loops
+        size, strength = len(links), links.strength
 
         def best_group(i: int, groups: np.ndarray, mass: np.ndarray, inside: np.ndarray | None = None) -> int:
             """The neighbouring group whose share of modularity with node i is highest; its own on ties."""
             own = groups[i]
-            near: dict[int, float] = {own: 0.0}
-            for j, x in links[i].items():
-                if inside is None or inside[j] == inside[i]:
-                    near[groups[j]] = near.get(groups[j], 0.0) + x
-            gain = {g: x - resolution * strength[i] * (mass[g] - (strength[i] if g == own else 0.0)) / total for g, x in near.items()}
-            best = max(sorted(gain), key=lambda g: gain[g])
-            return best if gain[best] > gain[own] + 1e-12 else own
+            near, x = links.near(i)
+            if inside is not None:
+                here = inside[near] == inside[i]
+                near, x = near[here], x[here]
+            found, x = _sums(groups[near], x, size)
+            gain = x - resolution * strength[i] * (mass[found] - np.where(found == own, strength[i], 0.0)) / total
+            at = int(np.searchsorted(found, own))
+            stays = gain[at] if at < len(found) and found[at] == own else -resolution * strength[i] * (mass[own] - strength[i]) / total
+            best = int(gain.argmax()) if len(found) else 0
+            return int(found[best]) if len(found) and gain[best] > stays + 1e-12 else int(own)
 
         mass = np.bincount(group, weights=strength, minlength=size)
         moved = True
         while moved:
             moved = False
-            for i in rng.permutation(size):
+            for i in rng.permutation(size).tolist():
                 best = best_group(i, group, mass)
                 if best != group[i]:
                     mass[group[i]] -= strength[i]
@@ -154,7 +221,7 @@ def _pass(links: list[dict[int, float]], loops: np.ndarray, start: np.ndarray, r
                     group[i], moved = best, True
         refined, mass = np.arange(size), strength.copy()
         alone = np.ones(size, dtype=bool)
-        for i in rng.permutation(size):
+        for i in rng.permutation(size).tolist():
             if alone[i]:
                 best = best_group(i, refined, mass, group)
                 if best != refined[i]:
@@ -169,22 +236,11 @@ def _pass(links: list[dict[int, float]], loops: np.ndarray, start: np.ndarray, r
         member = refined[member]
         new_group = np.zeros(count, dtype=np.int64)
         new_group[refined] = group
-        _, new_group = np.unique(new_group, return_inverse=True)
-        new_links: list[dict[int, float]] = [{} for _ in range(count)]
-        new_loops = np.zeros(count)
-        for i in range(size):
-            p = int(refined[i])
-            new_loops[p] += loops[i]
-            for j, x in links[i].items():
-                q = int(refined[j])
-                if p != q:
-                    new_links[p][q] = new_links[p].get(q, 0.0) + x
-                elif i < j:
-                    new_loops[p] += x
-        links, loops, group = new_links, new_loops, new_group
-
-
-def _connected(links: list[dict[int, float]], group: np.ndarray) -> np.ndarray:
+        _, group = np.unique(new_group, return_inverse=True)
+        links = links.contracted(refined)
+
+
+def _connected(links: Adjacency, group: np.ndarray) -> np.ndarray:
     """Groups cut into their connected parts, which never lowers modularity."""
     part = np.full(len(links), -1)
     for start in range(len(links)):
@@ -192,25 +248,36 @@ def _connected(links: list[dict[int, float]], group: np.ndarray) -> np.ndarray:
             part[start], waiting = start, [start]
             while waiting:
                 i = waiting.pop()
-                for j in links[i]:
-                    if part[j] < 0 and group[j] == group[i]:
-                        part[j] = start
-                        waiting.append(j)
+                near = links.near(i)[0]
+                near = near[(part[near] < 0) & (group[near] == group[i])]
+                part[near] = start
+                waiting += near.tolist()
     return np.unique(part, return_inverse=True)[1]
 
 
-def communities(edges: DataFrame, key: str, resolution: float = 0.06, seed: int = 42) -> DataFrame:
-    """edges(key, a, b, weight) -> (key, id, community): the community's smallest id. One key is one task; nodes without edges have no row."""
+def communities(edges: DataFrame, keys: str | Sequence[str], resolution: float = 0.06, seed: int = 42) -> DataFrame:
+    """edges(keys, a, b, weight) -> (keys, id, community): the community's smallest id; nodes without edges have no row.
+
+    One key is one task, which reads its edges, sorted by Spark, batch by batch into arrays: about 60 bytes an edge at most.
+    """
+    k = [keys] if isinstance(keys, str) else list(keys)
     kind = dict(edges.dtypes)
 
-    def run(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["a", "b"])
-        ids, flat = np.unique(np.concatenate([pdf["a"], pdf["b"]]), return_inverse=True)
-        found = modularity_communities(len(ids), flat[: len(pdf)], flat[len(pdf) :], pdf["weight"].to_numpy(float), resolution, seed)
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends: list[list] = [[], [], []]
+        for batch in batches:
+            for held, x in zip(ends, _added_up(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "weight")))):
+                held.append(np.array(x))
+        ids = np.unique(np.concatenate([np.unique(x) for x in (*ends[0], *ends[1])]))
+        coded = [np.concatenate([np.searchsorted(ids, ends[e].pop(0)).astype(np.int32) for _ in range(len(ends[e]))]) for e in (0, 1)]
+        found = modularity_communities(len(ids), *coded, np.concatenate(ends.pop()).astype(float), resolution, seed)
         first = pd.Series(ids).groupby(found).transform("min")
-        return pd.DataFrame({key: group[0], "id": ids, "community": first.to_numpy()})
+        columns = [pa.array([x.as_py()] * len(ids), x.type) for x in key] + [pa.array(ids), pa.array(first.to_numpy())]
+        yield pa.RecordBatch.from_arrays(columns, [*k, "id", "community"])
 
-    return edges.groupBy(key).applyInPandas(run, f"{key} {kind[key]}, id {kind['a']}, community {kind['a']}")
+    ordered = edges.where("a is not null and b is not null").select(*k, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("weight").cast("double").alias("weight"))
+    ordered = ordered.repartition(*k).sortWithinPartitions(*k, "a", "b", "weight")
+    return ordered.groupBy(*k).applyInArrow(run, ", ".join(f"{c} {kind[c]}" for c in k) + f", id {kind['a']}, community {kind['a']}")
 
 
 class Neighbourhood:

@@ -74,10 +74,8 @@ def domains(vectors: DataFrame, d_max: float = 3.0, cosine_min: float = 0.65, re
     """
     ends = spatial.ends_of(vectors.select(*FRAME, "vec_id", "y", "x", "angle", "len")).withColumn("id", F.col("vec_id") * 2 + F.col("end"))
     edges = spatial.cosine_edges(ends, FRAME, "id", d_max, cosine_min)
-    edges = edges.select(F.to_json(F.struct(*FRAME)).alias("k"), F.expr("a div 2").alias("a"), F.expr("b div 2").alias("b"), "weight").where("a <> b")
-    found = graph.communities(edges, "k", resolution, seed)
-    key = F.from_json("k", "file_id string, frame int")
-    return found.select(key["file_id"].alias("file_id"), key["frame"].alias("frame"), F.col("id").alias("vec_id"), "community")
+    edges = edges.select(*FRAME, F.expr("a div 2").alias("a"), F.expr("b div 2").alias("b"), "weight").where("a <> b")
+    return graph.communities(edges, FRAME, resolution, seed).withColumnRenamed("id", "vec_id")
 
 
 def lines_of_interest(vectors: DataFrame, key: str, mode: str = "longest_in_cluster", n: int | None = 4, limits: dict | None = None, cut: float = 40.0, linkage: str = "single", extend: float = 2.0, seed: int = 0, **growth) -> DataFrame:

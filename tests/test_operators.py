@@ -246,3 +246,18 @@ def test_streams(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("tracks").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert {(r.frame, r.track) for r in spark.table("tracks").collect()} == {(f, t) for f in range(3) for t in (0, 1)}
+
+
+def test_communities_take_little_memory_a_link():
+    """A dense key: dictionaries of links took over 200 bytes a link."""
+    import tracemalloc
+
+    n = 700
+    a, b = np.triu_indices(n, 1)
+    w = np.where((a < 350) == (b < 350), 1.0, 0.01)
+    tracemalloc.start()
+    found = graph.modularity_communities(n, a, b, w, 1.0, 42)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(set(found[:350])) == len(set(found[350:])) == 1 and found[0] != found[-1]
+    assert peak < 100 * len(a)
