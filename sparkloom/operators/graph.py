@@ -7,10 +7,11 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import signals
+from ..sources.staging import stage
 from . import components as linked
 
 
@@ -80,19 +81,44 @@ def agglomerated(distances: DataFrame, key: str, threshold: float, linkage: str)
     return distances.groupBy(key).applyInPandas(run, f"{key} {kind[key]}, id {kind['a']}, cluster {kind['a']}")
 
 
+#: Pairs of each end that a matching begins with, its cheapest; of the others those are added that would make it cheaper.
+CHEAPEST = 32
+
+
 def matched(costs: DataFrame, key: str, forbidden: float = 1e6) -> DataFrame:
-    """costs(key, a, b, cost) of allowed pairs -> the least-cost matching of a's and b's of each key, without forbidden pairs."""
-    kind = dict(costs.dtypes)
+    """costs(key, a, b, cost) of allowed pairs -> the least-cost matching of a's and b's of each key, without forbidden pairs: as many pairs as can be, and of those matchings the cheapest.
 
-    def run(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = np.unique(pdf["a"], return_inverse=True), np.unique(pdf["b"], return_inverse=True)
-        c = np.full((len(a[0]), len(b[0])), forbidden)
-        np.minimum.at(c, (a[1], b[1]), pdf["cost"].to_numpy())
-        rows, cols = signals.assignment(c)
-        ok = c[rows, cols] < forbidden
-        return pd.DataFrame({key: group[0], "a": a[0][rows[ok]], "b": b[0][cols[ok]], "cost": c[rows[ok], cols[ok]]})
-
-    return costs.groupBy(key).applyInPandas(run, f"{key} {kind[key]}, a {kind['a']}, b {kind['b']}, cost double")
+    A key's matching is one task on the cheapest pairs of each end.  Its prices are then held against all pairs, on all tasks; pairs that
+    are cheaper than the prices of their ends join in, until there are none, which proves the matching best among all pairs.
+    `costs` is read once a round.
+    """
+    kind = dict(costs.dtypes)
+    costs = costs.where(F.col("cost") < forbidden).select(key, "a", "b", F.col("cost").cast("double").alias("cost"))
+
+    def cheapest(df: DataFrame, end: str, by: str) -> DataFrame:
+        other = "b" if end == "a" else "a"
+        return df.withColumn("__n", F.row_number().over(Window.partitionBy(key, end).orderBy(by, other))).where(F.col("__n") <= CHEAPEST).select(key, "a", "b", "cost")
+
+    def run(name: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.groupby(["a", "b"], as_index=False)["cost"].min()
+        (a, at_a), (b, at_b) = (np.unique(pdf[c], return_inverse=True) for c in ("a", "b"))
+        mate, u, v = signals.sparse_matching(len(a), len(b), at_a, at_b, pdf["cost"].to_numpy(), forbidden)
+        on = pd.Series(mate[at_a] == at_b)
+        out = pd.concat([pdf[on.to_numpy()], pd.DataFrame({"a": a, "dual": u}), pd.DataFrame({"b": b, "dual": v})], ignore_index=True)
+        out.insert(0, key, name[0])
+        return out.astype({"a": object, "b": object}).where(out.notna(), None)
+
+    schema = f"{key} {kind[key]}, a {kind['a']}, b {kind['b']}, cost double, dual double"
+    kept = stage(cheapest(costs, "a", "cost").unionByName(cheapest(costs, "b", "cost")).distinct(), "pairs")
+    while True:
+        solved = stage(kept.groupBy(key).applyInPandas(run, schema), "matching")
+        u, v = (solved.where(f"{o} is null").select(key, e, F.col("dual").alias(n)) for e, o, n in (("a", "b", "__u"), ("b", "a", "__v")))
+        gain = F.col("cost") - F.col("__u") - F.col("__v")
+        better = costs.join(u, [key, "a"]).join(v, [key, "b"]).withColumn("__gain", gain).where(F.col("__gain") < -1e-8)
+        more = stage(cheapest(better, "a", "__gain").join(kept, [key, "a", "b", "cost"], "left_anti"), "pairs")
+        if not more.limit(1).count():
+            return solved.where("dual is null").select(key, "a", "b", "cost")
+        kept = kept.unionByName(more)
 
 
 class Adjacency:

@@ -261,3 +261,35 @@ def test_communities_take_little_memory_a_link():
     tracemalloc.stop()
     assert len(set(found[:350])) == len(set(found[350:])) == 1 and found[0] != found[-1]
     assert peak < 100 * len(a)
+
+
+def test_sparse_matching_equals_the_dense_one():
+    from sparkloom.functions import signals
+
+    rng = np.random.default_rng(3)
+    for t in range(200):
+        n, m = rng.integers(1, 14, 2)
+        c = np.where(rng.random((n, m)) < rng.random(), rng.integers(1, 30, (n, m)) / 7 if t % 2 else rng.random((n, m)), 1e6)
+        a, b = np.nonzero(c < 1e6)
+        mate, u, v = signals.sparse_matching(n, m, a, b, c[a, b], 1e6)
+        rows, cols = signals.assignment(c)
+        on, ok = np.flatnonzero(mate >= 0), c[rows, cols] < 1e6
+        assert len(set(mate[on])) == len(on) == ok.sum() and c[on, mate[on]].sum() == pytest.approx(c[rows, cols][ok].sum(), abs=1e-6)
+        assert (c[a, b] - u[a] - v[b] > -1e-8).all()
+
+
+def test_matching_of_a_large_key_holds_few_of_its_pairs(spark, monkeypatch):
+    """All pairs of 120 ends: the dense matrix and all pairs in one task are no longer made, and the matching is the cheapest of all."""
+    from sparkloom.functions import signals
+
+    rng = np.random.default_rng(4)
+    c = rng.random((60, 60))
+    c[:, 5:] += (np.arange(60) < 40)[:, None] * 3  # 40 rows compete for five columns, so the first prices are not the last
+    monkeypatch.setattr(graph, "CHEAPEST", 3)
+    monkeypatch.setattr(signals, "assignment", None)
+    df = spark.createDataFrame([(1, i, j, float(c[i, j])) for i in range(60) for j in range(60)], "k int, a int, b int, cost double")
+    found = graph.matched(df, "k").collect()
+    monkeypatch.undo()
+    rows, cols = signals.assignment(c)
+    assert len({r.a for r in found}) == len({r.b for r in found}) == len(found) == 60
+    assert sum(r.cost for r in found) == pytest.approx(c[rows, cols].sum(), abs=1e-6)
