@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import angles, nulls
 from ..sources import files
+from ..sources.staging import stage
 from . import cycles, graph, series, signal, spatial, splines, stats, tables
 
 FRAME = ["file_id", "frame"]
@@ -41,6 +42,7 @@ def band_links(ends: DataFrame, d_max: float = 3.0, d_min: float = 0.0, least: f
     to_j = F.atan2(F.col("b_y") - F.col("a_y"), F.col("b_x") - F.col("a_x"))
     to_i = F.atan2(F.col("a_y") - F.col("b_y"), F.col("a_x") - F.col("b_x"))
     pairs = pairs.withColumn("alignment", angles.alignment_index(F.col("a_dir"), F.col("b_dir"), to_j, to_i, least)).where(F.col("alignment") >= a_min)
+    pairs = stage(pairs, "pairs")
     # Both directions, so that the matching is one of ends with ends; a link stands if it is chosen either way.
     both = pairs.select(*FRAME, "a", "b", (1 - F.col("alignment")).alias("cost")).unionByName(pairs.select(*FRAME, F.col("b").alias("a"), F.col("a").alias("b"), (1 - F.col("alignment")).alias("cost")))
     chosen = graph.matched(both.withColumn("k", F.to_json(F.struct(*FRAME))).select("k", "a", "b", "cost"), "k").select("k", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
