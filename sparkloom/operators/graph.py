@@ -284,7 +284,7 @@ def _connected(links: Adjacency, group: np.ndarray) -> np.ndarray:
 def communities(edges: DataFrame, keys: str | Sequence[str], resolution: float = 0.06, seed: int = 42) -> DataFrame:
     """edges(keys, a, b, weight) -> (keys, id, community): the community's smallest id; nodes without edges have no row.
 
-    One key is one task, which reads its edges, sorted by Spark, batch by batch into arrays: about 60 bytes an edge at most.
+    One key is one task, which reads its edges, sorted by Spark, batch by batch into arrays.
     """
     k = [keys] if isinstance(keys, str) else list(keys)
     kind = dict(edges.dtypes)
