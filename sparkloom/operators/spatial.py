@@ -8,9 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import places
 from ..functions.angles import signed_difference
 
 
@@ -60,29 +64,72 @@ def ends_of(vectors: DataFrame) -> DataFrame:
 
 
 def nearest(points: DataFrame, keys: Sequence[str], id_col: str, limit: float) -> DataFrame:
-    """Each point's nearest other point within `limit`, the smaller id of equals; points without one have no row."""
-    left = points.withColumn("__cy", _cell("y", limit)).withColumn("__cx", _cell("x", limit)).alias("a")
-    right = _around(points, limit).alias("b")
-    condition = F.col(f"a.{id_col}") != F.col(f"b.{id_col}")
-    for k in (*keys, "__cy", "__cx"):
-        condition = condition & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    pairs = left.join(right, condition).withColumn("dist", _distance("a", "b")).where(F.col("dist") <= limit)
-    best = pairs.groupBy(*[F.col(f"a.{k}").alias(k) for k in keys], F.col(f"a.{id_col}").alias(id_col)).agg(F.min(F.struct(F.col("dist"), F.col(f"b.{id_col}").alias("id"))).alias("m"))
-    return best.select(*keys, id_col, F.col("m.id").alias("neighbour"), F.col("m.dist").alias("dist"))
+    """Each point's nearest other point within `limit`, the smaller id of equals; points without one have no row.
+
+    A cell of side `limit` and the eight around it are a group, in which blocks of points are compared by their boxes.
+    """
+    kind = dict(points.dtypes)
+    place = (F.abs("y") < float("inf")) & (F.abs("x") < float("inf")) & F.col(id_col).isNotNull()
+    for k in keys:
+        place = place & F.col(k).isNotNull()
+    around = _around(points.where(place).select(*keys, F.col(id_col).alias("__id"), F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x")), limit)
+    around = around.withColumn("__own", (_cell("y", limit) == F.col("__cy")) & (_cell("x", limit) == F.col("__cx")))
+    out = [*keys, id_col, "neighbour", "dist"]
+
+    def run(name: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        ids, code = np.unique(rows.column("__id").to_numpy(), return_inverse=True)
+        y, x, own = (rows.column(c).to_numpy() for c in ("y", "x", "__own"))
+        dist, other = places.nearest(y[own], x[own], y, x, limit, code[own], code)
+        found = np.isfinite(dist)
+        ends = [pa.array(ids[c], rows.schema.field("__id").type) for c in (code[own][found], other[found])]
+        return pa.Table.from_arrays([*(pa.repeat(k, int(found.sum())) for k in name[: len(keys)]), *ends, pa.array(dist[found])], out)
+
+    schema = ", ".join(f"`{c}` {kind[c]}" for c in (*keys, id_col)) + f", neighbour {kind[id_col]}, dist double"
+    best = around.groupBy(*keys, "__cy", "__cx").applyInArrow(run, schema).groupBy(*keys, id_col).agg(F.min(F.struct("dist", "neighbour")).alias("m"))
+    return best.select(*keys, id_col, "m.neighbour", "m.dist")
+
+
+#: Points of a key from which on its lines are asked for in several tasks, and the tasks of a key at most.
+POINTS_A_TASK, TASKS_A_KEY = 4096, 16
 
 
 def hausdorff(points: DataFrame, keys: Sequence[str], line: str) -> DataFrame:
     """points(keys, line, y, x) -> for each pair of lines a < b of a key the larger of the two directed Hausdorff distances.
 
-    All pairs of points of a key's lines are compared, which is what the
-    definition asks; each is reduced to one number a point and line at once.
+    Each point's distance to every other line of its key is found, by blocks of near points.  The lines of a large key are dealt over
+    tasks, each of which holds its lines and the key's points.
     """
-    a, b = points.alias("a"), points.alias("b")
-    condition = F.col(f"a.{line}") != F.col(f"b.{line}")
+    kind = dict(points.dtypes)
+    present = F.col(line).isNotNull()
     for k in keys:
-        condition = condition & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    near = a.join(b, condition).groupBy(*[F.col(f"a.{k}").alias(k) for k in keys], F.col(f"a.{line}").alias("la"), F.col(f"b.{line}").alias("lb"), F.col("a.y").alias("y"), F.col("a.x").alias("x"))
-    directed = near.agg(F.min(_distance("a", "b")).alias("d")).groupBy(*keys, "la", "lb").agg(F.max("d").alias("d"))
+        present = present & F.col(k).isNotNull()
+    p = points.where(present).select(*keys, F.col(line).alias("__line"), F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"))
+    sizes = p.groupBy(*keys).agg(F.least(F.lit(TASKS_A_KEY), 1 + F.expr(f"count(*) div {POINTS_A_TASK}")).cast("int").alias("__n"))
+    dealt = p.join(sizes, list(keys)).withColumn("__own", F.pmod(F.xxhash64("__line"), F.col("__n")).cast("int")).withColumn("__task", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    dealt = dealt.select(*keys, "__task", "__line", "y", "x", (F.col("__own") == F.col("__task")).alias("__asked"))
+
+    def run(name: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        lines, code = np.unique(rows.column("__line").to_numpy(), return_inverse=True)
+        y, x, asked = (rows.column(c).to_numpy() for c in ("y", "x", "__asked"))
+        there = pc.and_(rows.column("y").is_valid(), rows.column("x").is_valid()).to_numpy()
+        order = np.argsort(code, kind="stable")
+        y, x, there, asked, code = (c[order] for c in (y, x, there, asked, code))
+        first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        far: list[list] = [[], [], []]
+        for b in np.flatnonzero(asked[first]).tolist():
+            own = (code == b) & there
+            d = np.full(len(y), -np.inf)
+            if own.any():
+                d[there] = places.to_set(y[there], x[there], y[own], x[own])
+            others = np.flatnonzero(np.arange(len(lines)) != b)
+            for held, c in zip(far, (others, np.full(len(others), b), np.maximum.reduceat(d, first)[others])):
+                held.append(c)
+        la, lb, d = (np.concatenate([np.empty(0, t), *held]) for t, held in zip((np.int64, np.int64, float), far))
+        ends = [pa.array(lines[c], rows.schema.field("__line").type) for c in (la, lb)]
+        return pa.Table.from_arrays([*(pa.repeat(k, len(d)) for k in name[: len(keys)]), *ends, pa.array(d, mask=d == -np.inf)], [*keys, "la", "lb", "d"])
+
+    schema = ", ".join(f"`{c}` {kind[c]}" for c in keys) + f", la {kind[line]}, lb {kind[line]}, d double"
+    directed = dealt.groupBy(*keys, "__task").applyInArrow(run, schema)
     both = directed.withColumn("a", F.least("la", "lb")).withColumn("b", F.greatest("la", "lb"))
     return both.groupBy(*keys, "a", "b").agg(F.max("d").alias("hausdorff"))
 
