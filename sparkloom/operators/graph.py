@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import signals
+from ..functions import places, signals
 from ..sources.staging import stage
 from . import components as linked
 
@@ -37,6 +37,29 @@ def single_linkage(distances: DataFrame, nodes: DataFrame, threshold: float, key
     return components(nodes, distances.where(F.col("d") < threshold), keys)
 
 
+def linked_lines(points: DataFrame, keys: Sequence[str], line: str, threshold: float) -> DataFrame:
+    """points(keys, line, y, x) -> (keys, id, component): single linkage of lines by their Hausdorff distances, cut at the threshold, without the table of all pairs.
+
+    A key is one task.  Lines without a place have no row.
+    """
+    kind = dict(points.dtypes)
+    present = F.col(line).isNotNull() & F.col("y").isNotNull() & F.col("x").isNotNull()
+    for k in keys:
+        present = present & F.col(k).isNotNull()
+    p = points.where(present).select(*keys, F.col(line).alias("__line"), F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"))
+
+    def run(name: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        lines, code = np.unique(rows.column("__line").to_numpy(), return_inverse=True)
+        order = np.argsort(code, kind="stable")
+        y, x = (rows.column(c).to_numpy()[order] for c in ("y", "x"))
+        found = places.linked_sets(code[order], y, x, threshold)
+        ends = [pa.array(c, rows.schema.field("__line").type) for c in (lines, lines[found])]
+        return pa.Table.from_arrays([*(pa.repeat(k, len(lines)) for k in name), *ends], [*keys, "id", "component"])
+
+    schema = ", ".join(f"`{c}` {kind[c]}" for c in keys) + f", id {kind[line]}, component {kind[line]}"
+    return p.groupBy(*keys).applyInArrow(run, schema)
+
+
 def _agglomerated(pdf: pd.DataFrame, threshold: float, linkage: str) -> pd.DataFrame:
     ids = np.array(sorted(set(pdf["a"]) | set(pdf["b"])))
     place = {v: i for i, v in enumerate(ids)}
@@ -307,30 +330,47 @@ def communities(edges: DataFrame, keys: str | Sequence[str], resolution: float =
 
 
 class Neighbourhood:
-    """Points by square cells of side `reach`; those used up are left out until they are freed."""
+    """Points by square cells of side `reach` and, where those are full, of halved sides; those used up are left out until they are freed."""
+
+    #: Points that a cell of the finest side holds on average, seen from a point, and the halvings at most.
+    FULL, HALVINGS = 8, 12
 
     def __init__(self, y: np.ndarray, x: np.ndarray, reach: float):
         self.y, self.x, self.reach = y, x, reach
         self.free = np.ones(len(y), dtype=bool)
-        cells: dict[tuple[int, int], list[int]] = {}
-        for i, cell in enumerate(zip(np.floor(y / reach).astype(np.int64).tolist(), np.floor(x / reach).astype(np.int64).tolist())):
-            cells.setdefault(cell, []).append(i)
-        self.cells = {c: np.array(p) for c, p in cells.items()}
+        fine = np.flatnonzero(np.isfinite(y) & np.isfinite(x))
+        #: Sides and cells, the finest first.
+        self.levels: list[tuple[float, dict[tuple[int, int], np.ndarray]]] = []
+        for halved in range(self.HALVINGS + 1):
+            side = reach / 2**halved
+            cy, cx = np.floor(y[fine] / side).astype(np.int64), np.floor(x[fine] / side).astype(np.int64)
+            order = np.lexsort((cx, cy))
+            cy, cx = cy[order], cx[order]
+            first = np.flatnonzero((np.diff(cy, prepend=cy[:1] - 1) != 0) | (np.diff(cx, prepend=cx[:1] - 1) != 0))
+            parts = np.split(fine[order], first[1:])
+            self.levels.insert(0, (side, dict(zip(zip(cy[first].tolist(), cx[first].tolist()), parts))))
+            if not len(fine) or sum(len(p) ** 2 for p in parts) <= self.FULL * len(fine):
+                break
 
     def nearest(self, y: float, x: float) -> int | None:
         """The nearest free point within reach, of equally near ones the first; None if there is none."""
         if not (np.isfinite(y) and np.isfinite(x)):
             return None
-        a, b = int(np.floor(y / self.reach)), int(np.floor(x / self.reach))
-        found = [p for c in range(a - 1, a + 2) for d in range(b - 1, b + 2) if (p := self.cells.get((c, d))) is not None]
-        if not found:
-            return None
-        at = np.concatenate(found)
-        at = at[self.free[at]]
-        d = np.hypot(self.y[at] - y, self.x[at] - x)
-        if not len(at) or not d.min() <= self.reach:
-            return None
-        return int(at[d == d.min()].min())
+        for side, cells in self.levels:
+            a, b = int(np.floor(y / side)), int(np.floor(x / side))
+            found = [p for c in range(a - 1, a + 2) for d in range(b - 1, b + 2) if (p := cells.get((c, d))) is not None]
+            if not found:
+                continue
+            at = np.concatenate(found)
+            at = at[self.free[at]]
+            if not len(at):
+                continue
+            d = np.hypot(self.y[at] - y, self.x[at] - x)
+            least = d.min()
+            # Nearer than a side, all as near lie in these cells; else the next coarser cells are asked.
+            if least < side * (1 - 1e-9) or (side == self.reach and least <= side):
+                return int(at[d == least].min())
+        return None
 
 
 def axial_mean_toward(angle: np.ndarray, heading: float) -> float:

@@ -93,12 +93,12 @@ def lines_of_interest(vectors: DataFrame, key: str, mode: str = "longest_in_clus
     features = tables.half_open(spatial.line_features(points.drop("id"), [key, "line"]), limits or {})
     kept = features.select(key, "line")
     points = points.join(kept, [key, "line"])
-    d = spatial.hausdorff(points, [key], "line").withColumnRenamed("hausdorff", "d")
     nodes = kept.withColumnRenamed("line", "id")
     if linkage == "single":
-        clusters = graph.single_linkage(d, nodes, cut, [key]).withColumnRenamed("component", "cluster")
+        found = graph.linked_lines(points, [key], "line", cut).withColumnRenamed("component", "cluster")
     else:
-        clusters = nodes.join(graph.agglomerated(d, key, cut, linkage), [key, "id"], "left").withColumn("cluster", F.coalesce("cluster", "id"))
+        found = graph.agglomerated(spatial.hausdorff(points, [key], "line").withColumnRenamed("hausdorff", "d"), key, cut, linkage)
+    clusters = nodes.join(found, [key, "id"], "left").withColumn("cluster", F.coalesce("cluster", "id"))
     lines = features.join(clusters.withColumnRenamed("id", "line"), [key, "line"])
     if mode == "fit_straight_line":
         fit = stats.line_fit(points.join(clusters.withColumnRenamed("id", "line"), [key, "line"]), [key, "cluster"], "x", "y", extend)

@@ -61,6 +61,38 @@ def test_many_vectors_take_time_near_linear():
     assert took[1] < 4 * took[0]
 
 
+@pytest.mark.parametrize("n", [600, 3000])
+def test_lines_in_one_dense_cell_equal_the_plain_search(n):
+    """All points lie within reach of each other, with copies, outliers and places that are no numbers."""
+    rng = np.random.default_rng(n)
+    y, x, t, size = rng.normal(0, 0.1, n), rng.normal(0, 0.1, n), rng.uniform(-3, 3, n), np.abs(rng.normal(0, 0.1, n))
+    y[:40], x[:40] = y[40:80], x[40:80]
+    y[-1], y[-2] = np.nan, 5.0
+    near = graph.Neighbourhood(y, x, 0.5)
+    for _ in range(300):
+        a, b = rng.normal(0, 0.4, 2)
+        near.free[rng.integers(0, n, 5)] = False
+        d = np.where(near.free, np.hypot(y - a, x - b), np.nan)
+        assert near.nearest(a, b) == (int(np.nanargmin(d)) if np.nanmin(d) <= 0.5 else None)
+    finite = slice(0, n - 2)
+    near = graph.Neighbourhood(y[finite], x[finite], 0.1)
+    for seed in range(0, n - 2, 97):
+        assert graph.grow_line(seed, y[finite], x[finite], t[finite], size[finite], 3, 0.1, near) == plain_line(seed, y[finite], x[finite], t[finite], size[finite], 3, 0.1)
+
+
+def test_a_step_in_a_dense_cell_does_not_grow_with_its_points():
+    took = []
+    for n in (5_000, 100_000):
+        rng = np.random.default_rng(0)
+        near = graph.Neighbourhood(rng.normal(0, 0.12, n), rng.normal(0, 0.12, n), 0.1)
+        at = rng.normal(0, 0.12, (1000, 2)).tolist()
+        start = time.process_time()
+        for a, b in at:
+            near.nearest(a, b)
+        took.append(time.process_time() - start)
+    assert took[1] < 4 * took[0]
+
+
 @pytest.mark.parametrize("linkage", ["single", "complete", "average"])
 def test_agglomeration_equals_the_plain_search(linkage):
     """Each step searches all pairs; distances with ties."""
