@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import images
+from ..sources.staging import stage
 
 TILE = ["file_id", "frame", "y0", "x0", "rows", "cols", "step", "h", "w"]
 
@@ -192,7 +193,8 @@ def wavelet_maps(tiles: DataFrame, pixelsize: float, lengths: Sequence[float], a
 def wavelet_vectors(tiles: DataFrame, pixelsize: float, lengths: tuple[float, float, float] = (1.45, 2.7, 0.05), angle_step: float = 10.0, score_threshold: float = 0.2, width: float = 0.3, sigma: float = 0.15, shape: str = "gaussian") -> DataFrame:
     """Vectors (file_id, frame, y, x, len, angle, score) at pixels whose best score is at least a share of the frame's highest; the guard lengths at both ends are left out."""
     grid = np.arange(lengths[0] - lengths[2], lengths[1] + 1.5 * lengths[2], lengths[2])
-    maps = wavelet_maps(tiles, pixelsize, grid, np.deg2rad(np.arange(-90, 90, angle_step)), width, sigma, shape)
+    # Read twice, for the scores and for each frame's highest.
+    maps = stage(wavelet_maps(tiles, pixelsize, grid, np.deg2rad(np.arange(-90, 90, angle_step)), width, sigma, shape), "maps")
     px = maps.select("file_id", "frame", "y0", "x0", "w", F.posexplode(F.arrays_zip("data", "length", "angle")).alias("i", "p"))
     px = px.select("file_id", "frame", F.expr("cast(y0 + i div w as int)").alias("y"), F.expr("cast(x0 + i % w as int)").alias("x"), F.col("p.length").alias("len"), F.pmod("p.angle", F.lit(math.pi)).alias("angle"), F.col("p.data").alias("score"))
     highest = maps.groupBy("file_id", "frame").agg(F.max(F.array_max("data")).alias("__most"))

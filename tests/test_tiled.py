@@ -182,3 +182,15 @@ def test_vector_maps_against_a_plain_drawing(spark):
                 if around:
                     s, c = np.median(np.sin(around)), np.median(np.cos(around))
                     assert math.hypot(s, c) < 1e-9 or math.isclose(math.cos(smooth[f, y, x] - math.atan2(s, c)), 1, abs_tol=1e-9)
+
+
+def test_a_scan_makes_its_bars_once(monkeypatch):
+    """Images of one size share the bars' spectra and give the bits of a scan that makes them anew; large scans keep none."""
+    rng, grid, angles, made = np.random.default_rng(0), np.array([7.0, 9.0]), np.deg2rad([-90.0, 0.0, 40.0]), []
+    bar = images.bar
+    monkeypatch.setattr(images, "bar", lambda *a: made.append(1) or bar(*a))
+    windows = [rng.random((23, 31)) for _ in range(4)]
+    found = [images.double_wavelets(w, grid, angles, 1.7, 1.2) for w in windows]
+    assert len(made) == 12
+    monkeypatch.setattr(images, "KEPT_BYTES", 0)
+    assert all((images.double_wavelets(w, grid, angles, 1.7, 1.2) == f).all() for w, f in zip(windows, found)) and len(made) == 12 + 4 * 12
