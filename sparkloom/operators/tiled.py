@@ -50,7 +50,8 @@ def from_pixels(pixels: DataFrame, frames: DataFrame, step: int, fill: float | N
     corner = [F.expr(f"cast({a} - pmod({a}, {step}) as int)").alias(f"{a}0") for a in ("y", "x")]
     place = F.expr(f"cast(pmod(y, {step}) * {step} + pmod(x, {step}) as int)").alias("i")
     lit = pixels.select("file_id", "frame", *corner, place, F.col("v").cast("double").alias("v")).groupBy("file_id", "frame", "y0", "x0").agg(F.collect_list(F.struct("i", "v")).alias("lit"))
-    df = grid.join(lit, ["file_id", "frame", "y0", "x0"], "left").withColumn("step", F.lit(step))
+    # Pixels that a plan makes (of vectors, say) look small to the planner, so it would broadcast all tiles.
+    df = grid.join(lit.hint("merge"), ["file_id", "frame", "y0", "x0"], "left").withColumn("step", F.lit(step))
     df = df.withColumn("h", F.expr(f"least({step}, rows - y0)")).withColumn("w", F.expr(f"least({step}, cols - x0)")).select(*TILE, "lit")
     empty = np.nan if fill is None else fill
 
@@ -108,7 +109,9 @@ def padded(row: dict, strips: pa.StructScalar, halo: int, edge: str) -> np.ndarr
     out = np.full((h, w), 0.0 if edge == "zero" else np.nan)
     flat = strips.values
     data = flat.field("data")
-    values, bounds = data.values.to_numpy(zero_copy_only=False), data.offsets.to_numpy()
+    # flatten() gives this window's pixels only; .values are those of the whole batch, copied for each window if one is missing.
+    values, bounds = data.flatten().to_numpy(zero_copy_only=False), data.offsets.to_numpy()
+    bounds = bounds - bounds[0] if len(bounds) else bounds
     for i, (y, x, sh, sw) in enumerate(zip(*(flat.field(c).to_numpy() for c in ("y", "x", "h", "w")))):
         out[y - top : y - top + sh, x - left : x - left + sw] = values[bounds[i] : bounds[i] + sh * sw].reshape(sh, sw)
     if edge == "reflect":
@@ -213,20 +216,16 @@ def vector_pixels(vectors: DataFrame, frames: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, ys, xs, sides = [], [], [], []
             y, x, t, n, rows, cols = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "x", "angle", "len", "rows", "cols"))
             dy, dx = np.sin(t) * n / 2, np.cos(t) * n / 2
             ends = [np.trunc(e).astype(np.int64) for e in (y - dy, x - dx, y + dy, x + dx)]
             inside = (np.minimum(ends[0], ends[2]) >= 0) & (np.maximum(ends[0], ends[2]) < rows) & (np.minimum(ends[1], ends[3]) >= 0) & (np.maximum(ends[1], ends[3]) < cols)
-            for i in np.flatnonzero(inside).tolist():
-                p = images.line_pixels(*(int(e[i]) for e in ends))
-                at.append(np.full(len(p), i))
-                ys.append(p[:, 0])
-                xs.append(p[:, 1])
-                sides.append(np.where(np.arange(len(p)) < len(p) // 2, -1, 1))
-            none = [np.empty(0, np.int64)]
-            rows_of = pa.array(np.concatenate(none + at))
-            found = [pa.array(np.concatenate(none + c).astype(np.int32)) for c in (ys, xs, sides)]
+            drawn = np.flatnonzero(inside)
+            line, ys, xs = images.lines_pixels(*(e[drawn] for e in ends))
+            sizes = np.bincount(line, minlength=len(drawn))
+            sides = np.where(np.arange(len(line)) - (np.cumsum(sizes) - sizes)[line] < sizes[line] // 2, -1, 1)
+            rows_of = pa.array(drawn[line])
+            found = [pa.array(c.astype(np.int32)) for c in (ys, xs, sides)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows_of), batch.column(1).take(rows_of), *found, batch.column("angle").take(rows_of), batch.column("weight").take(rows_of)], ["file_id", "frame", "y", "x", "side", "angle", "weight"])
 
     return joined.mapInArrow(run, schema)
@@ -256,6 +255,10 @@ def vector_mask(labels: DataFrame, frames: DataFrame, step: int, radius: int) ->
 
 def smoothed_directions(labels: DataFrame, frames: DataFrame, step: int, size: int = 3) -> DataFrame:
     """Pixels (file_id, frame, y, x, direction): angle of the medians of the directions' sines and cosines in a square window, wherever that holds a label."""
-    parts = [to_pixels(medians(from_pixels(labels.select("file_id", "frame", "y", "x", f("direction").alias("v")), frames, step, fill=None), size)).withColumnRenamed("v", c) for c, f in (("s", F.sin), ("c", F.cos))]
-    both = parts[0].where("s is not null").join(parts[1], ["file_id", "frame", "y", "x"])
-    return both.select("file_id", "frame", "y", "x", F.atan2("s", "c").alias("direction"))
+    tiles = from_pixels(labels.select("file_id", "frame", "y", "x", F.col("direction").alias("v")), frames, step, fill=None)
+    place = ["file_id", "frame", "y0", "x0"]
+    s, c = (medians(tiles.withColumn("data", F.transform("data", f)), size).select(*place, "w", F.col("data").alias(name)) for name, f in (("s", F.sin), ("c", F.cos)))
+    # Tiles meet, not their pixels, and never by broadcast.
+    both = s.join(c.drop("w").hint("merge"), place)
+    px = both.select("file_id", "frame", "y0", "x0", "w", F.posexplode(F.arrays_zip("s", "c")).alias("i", "p")).where("p.s is not null")
+    return px.select("file_id", "frame", F.expr("cast(y0 + i div w as int)").alias("y"), F.expr("cast(x0 + i % w as int)").alias("x"), F.atan2("p.s", "p.c").alias("direction"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import splines, tiled
 from ..sources import tiff
-from ..sources.staging import scratch_folder
+from ..sources.staging import scratch_folder, stage
 from .inputs import rounded, table
 
 ROWS, COLS, STEP, PIXEL = 40, 56, 16, 0.12
@@ -78,7 +78,8 @@ def vector_label_maps(spark, sf):
 def vector_mask_area(spark, sf):
     """Pixels within two of a vector, and smoothed directions, a frame."""
     vectors, frames = drawn_vectors(spark, sf), movies(spark, sf)[1]
-    labels = tiled.label_maps(vectors, frames)
+    # Read twice, for the mask and for the directions.
+    labels = stage(tiled.label_maps(vectors, frames).select("file_id", "frame", "y", "x", "direction"), "labels")
     mask = tiled.vector_mask(labels, frames, STEP, 2)
     area = mask.groupBy("file_id", "frame").agg(F.sum(F.aggregate("data", F.lit(0.0), lambda a, v: a + v)).alias("area"))
     smooth = tiled.smoothed_directions(labels, frames, STEP).groupBy("file_id", "frame").agg(F.count("*").alias("labelled"), F.avg(F.sin(2 * F.col("direction"))).alias("s2"))

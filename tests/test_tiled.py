@@ -1,9 +1,11 @@
 """Tiled images: every filter equals that of the whole image, for any tiling; splines equal a dense solution; vector maps equal a plain drawing."""
 
 import math
+import time
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sparkloom.functions import images
@@ -194,3 +196,34 @@ def test_a_scan_makes_its_bars_once(monkeypatch):
     assert len(made) == 12
     monkeypatch.setattr(images, "KEPT_BYTES", 0)
     assert all((images.double_wavelets(w, grid, angles, 1.7, 1.2) == f).all() for w, f in zip(windows, found)) and len(made) == 12 + 4 * 12
+
+
+def test_lines_drawn_at_once_equal_each_line():
+    rng = np.random.default_rng(0)
+    ends = np.concatenate([rng.integers(-9, 10, (400, 4)), np.zeros((1, 4), int), np.repeat(rng.integers(0, 40, (30, 2)), 2, axis=1)])
+    line, y, x = images.lines_pixels(*ends.T)
+    assert [list(zip(y[line == i].tolist(), x[line == i].tolist())) for i in range(len(ends))] == [list(map(tuple, images.line_pixels(*e).tolist())) for e in ends.tolist()]
+    assert all(len(v) == 0 for v in images.lines_pixels(*np.empty((4, 0), int)))
+
+
+def test_a_window_reads_its_own_pixels_only():
+    """With missing pixels, a window of a large batch takes no longer than one of a small batch."""
+    kind = pa.list_(pa.struct([("y", pa.int32()), ("x", pa.int32()), ("h", pa.int32()), ("w", pa.int32()), ("data", pa.list_(pa.float64()))]))
+    row = {"y0": 0, "x0": 0, "h": 16, "w": 16, "rows": 16, "cols": 16}
+    took = []
+    for n in (100, 10_000):
+        strips = pa.array([[{"y": 0, "x": 0, "h": 16, "w": 16, "data": [None, *map(float, range(i, i + 255))]}] for i in range(n)], kind)
+        start = time.process_time()
+        for i in range(0, n, n // 100):
+            window = tiled.padded(row, strips[i], 1, "nan")
+            assert np.isnan(window[1, 1]) and window[1, 2] == i and window[16, 16] == i + 254
+        took.append(time.process_time() - start)
+    assert took[1] < 8 * took[0] + 0.05
+
+
+def test_tiles_are_never_broadcast(spark):
+    labels = spark.range(50).selectExpr("1 as file_id", "0 as frame", "cast(id as int) as y", "3 as x", "cast(id as double) as direction")
+    frames = spark.createDataFrame([(1, 0, 50, 8)], "file_id int, frame int, rows int, cols int")
+    found = tiled.smoothed_directions(labels, frames, 6)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().toString()
+    assert found.count() == 150
