@@ -252,25 +252,38 @@ def repair(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     LEAST_PAIRS times.  Rules of a round use symbols of earlier rounds only.
     """
     base = int(ids.max()) + 1 if len(ids) else 0
-    seq, rules, symbol = ids.astype(np.uint64), [], base
-    last = np.zeros(len(seq), dtype=bool)
-    last[starts[1:][starts[1:] > starts[:-1]] - 1] = True
-    while len(seq) > 1:
-        pairs = (seq[:-1] << np.uint64(32)) | seq[1:]
-        inner = ~last[:-1]
-        same = np.flatnonzero(inner & (seq[:-1] == seq[1:]))
+    n, rules, symbol = len(ids), [], base
+    # Symbols stay where they are; neighbours are linked, -1 at a document's bounds.
+    seq, left, right = ids.astype(np.uint64), np.arange(-1, n - 1), np.arange(1, n + 1)
+    filled = starts[:-1][starts[1:] > starts[:-1]]
+    left[filled], right[starts[1:][starts[1:] > starts[:-1]] - 1] = -1, -1
+    there, live = np.ones(n, dtype=bool), right >= 0
+    while True:
+        # A pair of old symbols never gets more frequent: places of rare pairs are left out until a neighbour changes.
+        at = np.flatnonzero(live)
+        if not len(at):
+            break
+        after = right[at]
+        first, second = seq[at], seq[after]
+        pairs = (first << np.uint64(32)) | second
+        twice = same = np.flatnonzero(first == second)
         if len(same):
-            run = np.concatenate([[True], np.diff(same) > 1])
+            # Of a run of one symbol every other pair counts.
+            run = np.concatenate([[True], after[same[:-1]] != at[same[1:]]])
             number = np.arange(len(same))
-            inner[same[(number - np.maximum.accumulate(np.where(run, number, 0))) % 2 == 1]] = False
+            twice = same[(number - np.maximum.accumulate(np.where(run, number, 0))) % 2 == 1]
         # Counts of hashed pairs are never too low: pairs of rare hashes are sorted out before the exact count.
-        inner = np.flatnonzero(inner)
-        hashed = ((pairs[inner] * _SPREAD) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
-        rough = np.bincount(hashed, minlength=1)
+        # Each round has a hash of its own, so that a rare pair beside a frequent one is left out in the next.
+        bits = min(HASH_BITS, len(at).bit_length())
+        hashed = ((pairs * np.uint64(int(_SPREAD) * (2 * len(rules) + 1) % (1 << 64))) >> np.uint64(64 - bits)).view(np.int64)
+        rough = np.bincount(hashed, minlength=1 << bits) - (np.bincount(hashed[twice], minlength=1 << bits) if len(twice) else 0)
         rough_of = rough[hashed]
-        for least in (max(LEAST_PAIRS, math.ceil(rough.max() * ROUND_SHARE)), LEAST_PAIRS):
-            place = inner[rough_of >= least]
-            here = pairs[place]
+        live[at[rough_of < LEAST_PAIRS]] = False
+        greatest = rough.max()
+        rough_of[twice] = 0
+        for least in (max(LEAST_PAIRS, math.ceil(greatest * ROUND_SHARE)), LEAST_PAIRS):
+            near = np.flatnonzero(rough_of >= least)
+            here = pairs[near]
             ordered = np.sort(here)
             cut = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.empty(0, np.int64)
             times = np.diff(np.concatenate([cut, [len(ordered)]]))
@@ -281,36 +294,41 @@ def repair(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
             break
         chosen, times = ordered[cut[often]], times[often]
         rank = np.empty(len(chosen), dtype=np.int64)
-        rank[np.argsort(times, kind="stable")] = np.arange(len(chosen))
-        at = np.searchsorted(chosen, here)
-        at[at == len(chosen)] = 0
-        hit = chosen[at] == here
-        place, at = place[hit], at[hit]
-        apart = np.diff(place) > 1
+        # Of equally frequent pairs a hash decides: in their own order only the last of a repeated passage would win a round.
+        rank[np.lexsort((chosen * _SPREAD, times))] = np.arange(len(chosen))
+        which = np.searchsorted(chosen, here)
+        which[which == len(chosen)] = 0
+        hit = chosen[which] == here
+        place, which = at[near[hit]], which[hit]
+        apart = right[place[:-1]] != place[1:]
         won = np.ones(len(place), dtype=bool)
-        won[:-1] &= apart | (rank[at[:-1]] > rank[at[1:]])
-        won[1:] &= apart | (rank[at[1:]] > rank[at[:-1]])
-        kept = np.bincount(at[won], minlength=len(chosen)) >= LEAST_PAIRS
-        won &= kept[at]
-        place, at = place[won], (np.cumsum(kept) - 1)[at[won]]
-        seq[place] = symbol + at.astype(np.uint64)
-        last[place] = last[place + 1]
-        keep = np.ones(len(seq), dtype=bool)
-        keep[place + 1] = False
-        left = np.concatenate([[0], np.cumsum(keep)])
-        seq, last, starts = seq[keep], last[keep], left[starts]
+        won[:-1] &= apart | (rank[which[:-1]] > rank[which[1:]])
+        won[1:] &= apart | (rank[which[1:]] > rank[which[:-1]])
+        kept = np.bincount(which[won], minlength=len(chosen)) >= LEAST_PAIRS
+        won &= kept[which]
+        place, which = place[won], (np.cumsum(kept) - 1)[which[won]]
+        seq[place] = symbol + which.astype(np.uint64)
+        gone = right[place]
+        there[gone] = live[gone] = False
+        right[place] = right[gone]
+        follows = right[place] >= 0
+        left[right[place[follows]]] = place[follows]
+        live[place] = follows
+        before = left[place]
+        live[before[before >= 0]] = True
         chosen = chosen[kept]
         rules.append(np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
         symbol += len(chosen)
-    return seq.astype(np.uint32), starts, np.concatenate(rules) if rules else np.empty((0, 2), np.uint32), base
+    bounds = np.concatenate([[0], np.cumsum(there)])
+    return seq[there].astype(np.uint32), bounds[starts], np.concatenate(rules) if rules else np.empty((0, 2), np.uint32), base
 
 
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     """Ids that each new symbol stands for."""
-    out = np.ones(len(rules), dtype=np.int64)
-    for i, (a, b) in enumerate(rules.tolist()):
-        out[i] = (out[a - base] if a >= base else 1) + (out[b - base] if b >= base else 1)
-    return out
+    out: list[int] = []
+    for a, b in rules.tolist():
+        out.append((out[a - base] if a >= base else 1) + (out[b - base] if b >= base else 1))
+    return np.array(out, dtype=np.int64)
 
 
 def write_shard(doc_ids: np.ndarray, has_id: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> bytes:
@@ -348,16 +366,15 @@ class Shard:
         if self._expanded is None:
             at = np.concatenate([[0], np.cumsum(self.lengths)])
             flat = np.zeros(int(at[-1]), dtype=np.uint32)
-            for i, (a, b) in enumerate(self.rules.tolist()):
-                p = int(at[i])
-                for s in (a, b):
-                    if s < self.base:
-                        flat[p] = s
-                        p += 1
-                    else:
-                        n = int(self.lengths[s - self.base])
-                        flat[p : p + n] = flat[at[s - self.base] : at[s - self.base] + n]
-                        p += n
+            # All rules a level deeper at once: the symbols still to expand, and where their ids begin.
+            symbols, places = np.arange(self.base, self.base + len(self.rules)), at[:-1]
+            while len(symbols):
+                pairs = self.rules[symbols - self.base]
+                places = np.concatenate([places, places + self._sizes(pairs[:, 0])])
+                symbols = pairs.T.ravel()
+                new = symbols >= self.base
+                flat[places[~new]] = symbols[~new]
+                symbols, places = symbols[new], places[new]
             self._expanded = flat, at
         return self._expanded
 

@@ -5,6 +5,7 @@ import json
 import math
 import os
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -151,6 +152,17 @@ def test_repair_round_trip_and_random_access():
     assert token_files.Shard(token_files.write_shard(np.empty(0, int), np.empty(0, bool), np.empty(0, np.uint32), np.zeros(1, int))).n_ids == 0
 
 
+def test_repair_rounds_leave_rare_pairs_out():
+    """A passage that takes many rounds doesn't make each of them read a million ids without pairs that repeat."""
+    took, lone = [], np.arange(1_000_000, dtype=np.uint32)
+    for ids in (lone, np.concatenate([lone, np.tile(np.arange(1_000_000, 1_004_096, dtype=np.uint32), 4)])):
+        start = time.process_time()
+        seq, at, rules, base = token_files.repair(ids, np.array([0, len(ids)]))
+        took.append(time.process_time() - start)
+    assert len(seq) == 1_000_004 and len(set(seq[-4:].tolist())) == 1 and token_files.expansion_lengths(rules, base).max() == 4096
+    assert took[1] < 6 * took[0]
+
+
 def test_token_files_query(spark, tmp_path):
     rows = [(10 * i, t) for i, t in enumerate(ODD)] + [(5, "again"), (5, "again"), (None, "nobody")]
     out = token_files.op1_token_files(spark, _write(_docs(spark, rows), tmp_path)).collect()
