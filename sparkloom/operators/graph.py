@@ -182,6 +182,14 @@ class Adjacency:
     def near(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         return self.other[self.bounds[i] : self.bounds[i + 1]], self.weight[self.bounds[i] : self.bounds[i + 1]]
 
+    def sums(self, group: np.ndarray, count: int) -> np.ndarray:
+        """The weight of the links of each group with each node."""
+        out = np.empty((count, len(self)))
+        for i in range(len(self)):
+            near, w = self.near(i)
+            out[:, i] = np.bincount(group[near], weights=w, minlength=count)
+        return out
+
     def contracted(self, group: np.ndarray) -> Adjacency:
         """The groups as nodes."""
         count = int(group.max()) + 1
@@ -207,23 +215,181 @@ def _added_up(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
 
 
 def _sums(group: np.ndarray, x: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """The groups that occur, ascending, and the sum of x of each."""
+    """The groups that occur with some weight, ascending, and the sum of x of each."""
     if 32 * len(group) > count:
-        found = np.flatnonzero(np.bincount(group, minlength=count))
-        return found, np.bincount(group, weights=x, minlength=count)[found]
+        sums = np.bincount(group, weights=x, minlength=count)
+        found = np.flatnonzero(sums)
+        return found, sums[found]
     found, at = np.unique(group, return_inverse=True)
     return found, np.bincount(at, weights=x, minlength=len(found))
 
 
+#: Numbers held at once: of nodes by groups in moves and contraction, and of points by points in blocks.
+TABLE, BLOCK = 1 << 24, 1 << 17
+
+
+class PointLinks:
+    """Links of nodes 0 ... n - 1 by their points, found from the places each time they are asked for.
+
+    Two points of different nodes that lie within reach and whose angles' |cos| exceeds `cosine_min` are a link of weight distance / |cos|; several between two nodes add up.  Only the points are held, so that memory does not grow with the links.
+    """
+
+    #: Strips of a reach; a strip's points lie by ascending x.
+    STRIPS = 4
+
+    def __init__(self, n: int, node: np.ndarray, y: np.ndarray, x: np.ndarray, angle: np.ndarray, reach: float, cosine_min: float):
+        self.n, self.reach, self.cosine_min = n, reach, cosine_min
+        side = reach / self.STRIPS
+        strip = np.floor(y / side)
+        order = np.lexsort((x, strip))
+        strip, self.node, self.angle = strip[order], node[order].astype(np.int32), angle[order]
+        self.place = np.stack([y[order], x[order], np.cos(self.angle), np.sin(self.angle)])
+        # Where the points that may be within reach of a point begin and end, in its own strip and those around it.
+        first = np.flatnonzero(np.append(True, strip[1:] != strip[:-1])) if len(strip) else np.empty(0, np.int64)
+        names, ends = strip[first], np.append(first, len(strip)).tolist()
+        self.low, self.high = (np.zeros((len(strip), 2 * self.STRIPS + 1), np.int32) for _ in range(2))
+        slack = 1e-9 * (reach + np.abs(self.place[0]) + np.abs(self.place[1]))
+        for s, name in enumerate(names.tolist()):
+            own = slice(ends[s], ends[s + 1])
+            around = name + np.arange(-self.STRIPS, self.STRIPS + 1)
+            at = np.searchsorted(names, around)
+            for j in np.flatnonzero((at < len(names)) & np.append(True, around[1:] != around[:-1])).tolist():
+                o = int(at[j])
+                if names[o] != around[j]:
+                    continue
+                gap = np.maximum(0.0, np.maximum(names[o] * side - self.place[0, own], self.place[0, own] - (names[o] + 1) * side) - slack[own])
+                half = np.sqrt(np.maximum(0.0, reach * reach - gap * gap)) + slack[own]
+                there, here = self.place[1, ends[o] : ends[o + 1]], self.place[1, own]
+                self.low[own, j] = ends[o] + np.searchsorted(there, here - half)
+                self.high[own, j] = ends[o] + np.searchsorted(there, here + half, "right")
+        self.points = np.argsort(self.node, kind="stable")
+        self.bounds = np.searchsorted(self.node[self.points], np.arange(n + 1))
+        self.strength = self.sums(np.zeros(n, np.int64), 1)[0]
+
+    def __len__(self) -> int:
+        return self.n
+
+    def _weights(self, rows: np.ndarray, place: np.ndarray, angle: np.ndarray) -> np.ndarray:
+        """Weights of the links of points with the places, rows by places; zero where there is none."""
+        y, x = (place[i] - self.place[i, rows, None] for i in (0, 1))
+        y *= y
+        x *= x
+        y += x
+        np.sqrt(y, out=y)
+        c = np.matmul(self.place[2:, rows].T, place[2:], out=x)
+        np.abs(c, out=c)
+        there = c > self.cosine_min + 1e-12
+        close = c > self.cosine_min - 1e-12
+        if np.count_nonzero(close) > np.count_nonzero(there):
+            # Rounding may have put these on the other side: they are taken from the difference of the angles.
+            r, k = np.nonzero(close & ~there)
+            c[r, k] = np.abs(np.cos(self.angle[rows[r]] - angle[k]))
+            there[r, k] = c[r, k] > self.cosine_min
+        there &= y <= self.reach
+        far = np.logical_not(there, out=close)
+        np.putmask(c, far, 1.0)
+        y /= c
+        np.putmask(y, far, 0.0)
+        return y
+
+    def linked(self) -> np.ndarray:
+        """Whether a node has links."""
+        out = self.strength > 0
+        for i in np.flatnonzero(~out).tolist():
+            out[i] = len(self.near(i)[0]) > 0
+        return out
+
+    def near(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """The nodes linked with a node and the weights; a node comes as often as there are links to it."""
+        nodes, weights = [], []
+        for p in self.points[self.bounds[i] : self.bounds[i + 1]].tolist():
+            parts = [slice(a, b) for a, b in zip(self.low[p].tolist(), self.high[p].tolist()) if a < b]
+            y, x, c, s = np.concatenate([self.place[:, q] for q in parts], axis=1)
+            node = np.concatenate([self.node[q] for q in parts])
+            py, px, pc, ps = self.place[:, p].tolist()
+            y -= py
+            x -= px
+            y *= y
+            x *= x
+            y += x
+            np.sqrt(y, out=y)
+            c *= pc
+            s *= ps
+            c += s
+            np.abs(c, out=c)
+            ok = (y <= self.reach) & (c > self.cosine_min - 1e-12) & (node != i)
+            y, c, node = y[ok], c[ok], node[ok]
+            if len(c) and c.min() < self.cosine_min + 1e-12:
+                angle = np.concatenate([self.angle[q] for q in parts])[ok]
+                c = np.where(c < self.cosine_min + 1e-12, np.abs(np.cos(self.angle[p] - angle)), c)
+                ok = c > self.cosine_min
+                y, c, node = y[ok], c[ok], node[ok]
+            nodes.append(node)
+            weights.append(y / c)
+        return (nodes[0], weights[0]) if len(nodes) == 1 else (np.concatenate(nodes), np.concatenate(weights))
+
+    def _blocks(self, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Nodes of points that lie together, the groups within their reach, and the weights of their links to those."""
+        size = np.cumsum((self.high - self.low).sum(axis=1, dtype=np.int64))
+        at = 0
+        while at < len(self.node):
+            end = min(at + 32, max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + BLOCK))))
+            rows = np.arange(at, end)
+            # The rows' ranges, as one where they overlap.
+            low, high = self.low[rows].ravel(), self.high[rows].ravel()
+            order = np.argsort(low, kind="stable")
+            low, high = low[order][high[order] > low[order]], high[order][high[order] > low[order]]
+            reached = np.maximum.accumulate(high)
+            new = np.flatnonzero(np.append(True, low[1:] > reached[:-1]))
+            last = np.append(new[1:], len(low)) - 1
+            found = np.concatenate([np.arange(a, b) for a, b in zip(low[new].tolist(), reached[last].tolist())])
+            of = group[self.node[found]]
+            order = np.argsort(of, kind="stable")
+            found, of = found[order], of[order]
+            w = self._weights(rows, self.place[:, found], self.angle[found])
+            np.putmask(w, self.node[rows, None] == self.node[None, found], 0.0)
+            first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            yield self.node[rows], of[first], np.add.reduceat(w, first, axis=1)
+            at = end
+
+    def sums(self, group: np.ndarray, count: int) -> np.ndarray:
+        """The weight of the links of each group with each node."""
+        out = np.zeros((count, self.n))
+        for nodes, groups, w in self._blocks(group):
+            np.add.at(out, (groups[None], nodes[:, None]), w)
+        return out
+
+    def contracted(self, group: np.ndarray) -> Adjacency:
+        """The groups as nodes."""
+        count = int(group.max()) + 1
+        if count * count <= TABLE:
+            table = np.zeros((count, count))
+            for nodes, groups, w in self._blocks(group):
+                np.add.at(table, (group[nodes][:, None], groups[None]), w)
+            rows = iter(table)
+        else:
+            members = np.split(np.argsort(group, kind="stable"), np.cumsum(np.bincount(group, minlength=count))[:-1])
+            rows = (sum(np.bincount(group[o], weights=w, minlength=count) for o, w in map(self.near, nodes.tolist())) for nodes in members)
+        loops, others, weights = np.zeros(count), [], []
+        for p, row in enumerate(rows):
+            loops[p], row[p] = row[p] / 2, 0.0
+            others.append(np.flatnonzero(row).astype(np.int32))
+            weights.append(row[others[-1]])
+        return Adjacency(np.concatenate([[0], np.cumsum([len(o) for o in others])]), np.concatenate(others), np.concatenate(weights), loops)
+
+
 def modularity_communities(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, resolution: float, seed: int) -> np.ndarray:
     """Communities by passes of local moves, refinement and contraction until a pass changes nothing; order of moves by the seed.
 
     At the end each community is connected and no node's move raises modularity.
     """
+    return _communities(Adjacency.of(n, a, b, w), resolution, seed)
+
+
+def _communities(links: Adjacency | PointLinks, resolution: float, seed: int) -> np.ndarray:
     rng = np.random.default_rng(seed)
-    links = Adjacency.of(n, a, b, w)
     total = float(links.strength.sum())
-    group = np.arange(n)
+    group = np.arange(len(links))
     while total > 0:
         new = _pass(links, group, resolution, total, rng)
         if (new == group).all():
@@ -232,7 +398,7 @@ def modularity_communities(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray,
     return group
 
 
-def _pass(links: Adjacency, start: np.ndarray, resolution: float, total: float, rng: np.random.Generator) -> np.ndarray:
+def _pass(links: Adjacency | PointLinks, start: np.ndarray, resolution: float, total: float, rng: np.random.Generator) -> np.ndarray:
     """One pass from the groups of `start`; groups are numbered in the order of their first nodes.
 
     Before each contraction every community is refined: its nodes start alone
@@ -251,16 +417,20 @@ def _pass(links: Adjacency, start: np.ndarray, resolution: float, total: float,
             if inside is not None:
                 here = inside[near] == inside[i]
                 near, x = near[here], x[here]
-            found, x = _sums(groups[near], x, size)
+            found, x = _sums(groups[near], x, len(mass))
             gain = x - resolution * strength[i] * (mass[found] - np.where(found == own, strength[i], 0.0)) / total
             at = int(np.searchsorted(found, own))
             stays = gain[at] if at < len(found) and found[at] == own else -resolution * strength[i] * (mass[own] - strength[i]) / total
             best = int(gain.argmax()) if len(found) else 0
-            return int(found[best]) if len(found) and gain[best] > stays + 1e-12 else int(own)
+            return int(found[best]) if len(found) and gain[best] > stays + 1e-12 * (1 + strength[i]) else int(own)
 
-        mass = np.bincount(group, weights=strength, minlength=size)
         moved = True
         while moved:
+            _, group = np.unique(group, return_inverse=True)
+            mass = np.bincount(group, weights=strength)
+            if size * len(mass) <= TABLE:
+                _settled(links, group, mass, resolution, total, rng)
+                break
             moved = False
             for i in rng.permutation(size).tolist():
                 best = best_group(i, group, mass)
@@ -289,17 +459,54 @@ def _pass(links: Adjacency, start: np.ndarray, resolution: float, total: float,
         links = links.contracted(refined)
 
 
-def _connected(links: Adjacency, group: np.ndarray) -> np.ndarray:
+def _settled(links: Adjacency | PointLinks, group: np.ndarray, mass: np.ndarray, resolution: float, total: float, rng: np.random.Generator) -> None:
+    """Moves nodes between the groups until no move to a neighbouring one raises modularity.
+
+    The weights of each node's links to all groups are held, and only nodes that would move are visited; a move costs the node's links.
+    """
+    strength = links.strength
+    held = links.sums(group, len(mass))
+
+    def gains(i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The best group of nodes and what the move there adds."""
+        own, at, x = group[i], np.arange(len(i)), held[:, i]
+        gain = x - mass[:, None] * (resolution * strength[i] / total)
+        stays = gain[own, at] + resolution * strength[i] ** 2 / total
+        # Sums that links were taken from keep a rest of rounding, which is no neighbour.
+        gain[x <= 1e-9 * strength[i]] = -np.inf
+        gain[own, at] = stays
+        best = gain.argmax(axis=0)
+        return best, gain[best, at] - stays - 1e-12 * (1 + strength[i])
+
+    step = max(1, BLOCK // max(len(mass), 1))
+    while True:
+        ready = np.concatenate([np.empty(0, np.int64), *(at + np.flatnonzero(gains(np.arange(at, min(at + step, len(group))))[1] > 0) for at in range(0, len(group), step))])
+        if not len(ready):
+            return
+        for i in rng.permutation(ready).tolist():
+            best, more = gains(np.array([i]))
+            if more[0] > 0:
+                old, new = group[i], int(best[0])
+                mass[old] -= strength[i]
+                mass[new] += strength[i]
+                group[i] = new
+                near, w = links.near(i)
+                np.subtract.at(held[old], near, w)
+                np.add.at(held[new], near, w)
+
+
+def _connected(links: Adjacency | PointLinks, group: np.ndarray) -> np.ndarray:
     """Groups cut into their connected parts, which never lowers modularity."""
-    part = np.full(len(links), -1)
+    part, left = np.full(len(links), -1), np.bincount(group).tolist()
     for start in range(len(links)):
         if part[start] < 0:
-            part[start], waiting = start, [start]
-            while waiting:
-                i = waiting.pop()
-                near = links.near(i)[0]
-                near = near[(part[near] < 0) & (group[near] == group[i])]
+            own = int(group[start])
+            part[start], waiting, left[own] = start, [start], left[own] - 1
+            while waiting and left[own]:
+                near = links.near(waiting.pop())[0]
+                near = np.unique(near[(part[near] < 0) & (group[near] == own)])
                 part[near] = start
+                left[own] -= len(near)
                 waiting += near.tolist()
     return np.unique(part, return_inverse=True)[1]
 
@@ -329,6 +536,40 @@ def communities(edges: DataFrame, keys: str | Sequence[str], resolution: float =
     return ordered.groupBy(*k).applyInArrow(run, ", ".join(f"{c} {kind[c]}" for c in k) + f", id {kind['a']}, community {kind['a']}")
 
 
+#: Tasks over which keys are dealt; a number given is not lowered, however small the tables of points are.
+KEY_TASKS = 256
+
+
+def near_communities(points: DataFrame, keys: str | Sequence[str], id_col: str, d_max: float, cosine_min: float, resolution: float = 0.06, seed: int = 42) -> DataFrame:
+    """points(keys, id, y, x, angle), several of an id or one -> (keys, id, community): as `communities` of the links that `spatial.cosine_edges` finds between points of different ids, which add up.
+
+    One key is one task, which holds its points and finds their links from the places; no table of links is made.
+    """
+    k = [keys] if isinstance(keys, str) else list(keys)
+    kind = dict(points.dtypes)
+    fine = F.col(id_col).isNotNull()
+    for c in k:
+        fine = fine & F.col(c).isNotNull()
+    for c in ("y", "x", "angle"):
+        fine = fine & (F.abs(c) < float("inf"))
+    p = points.where(fine).select(*k, F.col(id_col).alias("__id"), *(F.col(c).cast("double").alias(c) for c in ("y", "x", "angle")))
+
+    def run(name: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        ids, node = np.unique(rows.column("__id").to_numpy(), return_inverse=True)
+        y, x, angle = (rows.column(c).to_numpy() for c in ("y", "x", "angle"))
+        order = np.lexsort((angle, x, y, node))
+        links = PointLinks(len(ids), node[order], y[order], x[order], angle[order], d_max, cosine_min)
+        found = _communities(links, resolution, seed)
+        linked = links.linked()
+        first = np.full(int(found.max(initial=0)) + 1, len(ids))
+        np.minimum.at(first, found, np.arange(len(ids)))
+        ends = [pa.array(c[linked], rows.schema.field("__id").type) for c in (ids, ids[first[found]])]
+        return pa.Table.from_arrays([*(pa.repeat(v, int(linked.sum())) for v in name), *ends], [*k, id_col, "community"])
+
+    schema = ", ".join(f"`{c}` {kind[c]}" for c in (*k, id_col)) + f", community {kind[id_col]}"
+    return p.repartition(KEY_TASKS, *k).groupBy(*k).applyInArrow(run, schema)
+
+
 class Neighbourhood:
     """Points by square cells of side `reach` and, where those are full, of halved sides; those used up are left out until they are freed."""
 

@@ -72,12 +72,10 @@ def domains(vectors: DataFrame, d_max: float = 3.0, cosine_min: float = 0.65, re
     """vectors -> (file_id, frame, vec_id, community): communities of vectors whose ends are near and whose axes agree.
 
     Pairs of ends within d_max give edges of distance over |cos|; the ends of a
-    vector are one node.  A frame is one task.
+    vector are one node.  A frame is one task, which holds its ends and no pairs.
     """
-    ends = spatial.ends_of(vectors.select(*FRAME, "vec_id", "y", "x", "angle", "len")).withColumn("id", F.col("vec_id") * 2 + F.col("end"))
-    edges = spatial.cosine_edges(ends, FRAME, "id", d_max, cosine_min)
-    edges = edges.select(*FRAME, F.expr("a div 2").alias("a"), F.expr("b div 2").alias("b"), "weight").where("a <> b")
-    return graph.communities(edges, FRAME, resolution, seed).withColumnRenamed("id", "vec_id")
+    ends = spatial.ends_of(vectors.select(*FRAME, "vec_id", "y", "x", "angle", "len"))
+    return graph.near_communities(ends, FRAME, "vec_id", d_max, cosine_min, resolution, seed)
 
 
 def lines_of_interest(vectors: DataFrame, key: str, mode: str = "longest_in_cluster", n: int | None = 4, limits: dict | None = None, cut: float = 40.0, linkage: str = "single", extend: float = 2.0, seed: int = 0, **growth) -> DataFrame:

@@ -293,3 +293,32 @@ def test_matching_of_a_large_key_holds_few_of_its_pairs(spark, monkeypatch):
     rows, cols = signals.assignment(c)
     assert len({r.a for r in found}) == len({r.b for r in found}) == len(found) == 60
     assert sum(r.cost for r in found) == pytest.approx(c[rows, cols].sum(), abs=1e-6)
+
+
+def test_communities_of_points_hold_no_links(spark, monkeypatch):
+    """Links are found from the places: they equal those of the join, and a dense key takes memory by its points (as arrays of links it took 12 bytes a link and end)."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    node, y, x, angle = np.repeat(np.arange(60), 2), rng.random(120) / 4, rng.random(120) / 4, rng.random(120) * 3
+    y[:10], x[:10], angle[:10] = y[10:20], x[10:20], angle[10:20]
+    links = graph.PointLinks(60, node, y, x, angle, 0.1, 0.65)
+    rows = [("k", i, int(n), float(a), float(b), float(t)) for i, (n, a, b, t) in enumerate(zip(node, y, x, angle))]
+    df = spark.createDataFrame(rows, "k string, id long, node long, y double, x double, angle double")
+    joined = spatial.cosine_edges(df, ["k"], "id", 0.1, 0.65).selectExpr("k", "a div 2 a", "b div 2 b", "weight").where("a <> b")
+    want = np.zeros((60, 60))
+    for r in joined.collect():
+        want[r.a, r.b] += r.weight
+        want[r.b, r.a] += r.weight
+    near = [np.bincount(o, weights=w, minlength=60) for o, w in map(links.near, range(60))]
+    assert np.allclose(near, want) and np.allclose(links.strength, want.sum(axis=0)) and np.allclose(links.sums(np.arange(60) % 4, 4), [want[k::4].sum(axis=0) for k in range(4)])
+    found = {r.node: r.community for r in graph.near_communities(df, "k", "node", 0.1, 0.65, 0.5).collect()}
+    assert set(found) == {r[c] for r in joined.collect() for c in ("a", "b")} and all(found[c] == c for c in found.values())
+    n = 2000
+    monkeypatch.setattr(graph, "TABLE", 1 << 17)
+    tracemalloc.start()
+    links = graph.PointLinks(n, np.arange(n), rng.random(n) / 20, rng.random(n) / 20, np.zeros(n), 0.1, 0.65)
+    label = graph._communities(links, 0.5, 42)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert label.shape == (n,) and (links.high - links.low).sum() > n * n * 0.9 and peak < 6 * n * n
