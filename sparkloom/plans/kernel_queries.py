@@ -59,7 +59,7 @@ def assignment(spark, sf):
 
 
 def communities(spark, sf):
-    return graph.communities(spatial.cosine_edges(vectors(spark, sf), ["grp"], "id", 0.1, 0.65), "grp", 0.5)
+    return graph.near_communities(vectors(spark, sf), "grp", "id", 0.1, 0.65, 0.5)
 
 
 def agglomeration(spark, sf):
