@@ -6,6 +6,8 @@ the points and not with their pairs.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 #: Points of a block that asks, of a block that is asked, and distances held at once.
@@ -73,6 +75,31 @@ def nearest(y: np.ndarray, x: np.ndarray, py: np.ndarray, px: np.ndarray, limit:
     return found, name
 
 
+def near_pairs(y: np.ndarray, x: np.ndarray, py: np.ndarray, px: np.ndarray, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Points (y, x), points (py, px) and distances of all pairs within reach, those of a point in one part; parts are of points that lie together.  All places are finite."""
+    if not len(y) or not len(py):
+        return
+    strip = np.floor(py / reach)
+    by = np.lexsort((px, strip))
+    py, px, strip = py[by], px[by], strip[by]
+    names = np.unique(strip)
+    ends = np.append(np.searchsorted(strip, names), len(strip)).tolist()
+    order = packed(y, x, ASKING)
+    for at in range(0, len(y), ASKING):
+        rows = order[at : at + ASKING]
+        qy, qx = y[rows], x[rows]
+        low, high = qx.min() - reach * (1 + 1e-9), qx.max() + reach * (1 + 1e-9)
+        first, last = np.searchsorted(names, (np.floor(qy.min() / reach) - 1, np.floor(qy.max() / reach) + 2))
+        parts = [ends[s] + np.searchsorted(px[ends[s] : ends[s + 1]], (low, high)) for s in range(int(first), min(int(last), len(names)))]
+        there = np.concatenate([np.empty(0, np.int64), *(np.arange(a, b) for a, b in parts)])
+        found = []
+        for part in np.split(there, range(TOGETHER // ASKING, len(there), TOGETHER // ASKING)):
+            d = _distances(qy, qx, py[part], px[part])
+            i, j = np.nonzero(d <= reach)
+            found.append((rows[i].astype(np.int32), by[part[j]].astype(np.int32), d[i, j]))
+        yield tuple(np.concatenate(c) for c in zip(*found))
+
+
 def to_set(y: np.ndarray, x: np.ndarray, py: np.ndarray, px: np.ndarray) -> np.ndarray:
     """Distance of each point to the nearest of a set; places that are no numbers are farther than any other."""
     out = np.full(len(y), np.nan)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import places, signals
+from ..functions import matching, places, signals
 from ..sources.staging import stage
 from . import components as linked
 
@@ -144,6 +144,47 @@ def matched(costs: DataFrame, key: str, forbidden: float = 1e6) -> DataFrame:
         kept = kept.unionByName(more)
 
 
+#: Tasks over which keys are dealt; a number given is not lowered, however small the tables of points are.
+KEY_TASKS = 256
+
+
+def matched_near(points: DataFrame, keys: str | Sequence[str], id_col: str, d_max: float, cost: Callable | None = None, side: str | None = None) -> DataFrame:
+    """points(keys, id, y, x, ...) -> (keys, a, b, cost): of each key the least-cost matching of points within d_max, as many pairs as can be, and of those matchings the cheapest.
+
+    a's are points whose `side` is 0, b's those of another; without `side` each point is both, and none has itself.  A pair costs its
+    distance, or what `cost(p, i, j, d)` gives for places i and j in the arrays of the key's columns p; infinite costs are not allowed.
+    One key is one task, which holds its points and some pairs of each and finds the others from the places; no table of pairs is made.
+    """
+    k = [keys] if isinstance(keys, str) else list(keys)
+    kind = dict(points.dtypes)
+    fine = F.col(id_col).isNotNull()
+    for c in k:
+        fine = fine & F.col(c).isNotNull()
+    for c in ("y", "x"):
+        fine = fine & (F.abs(c) < float("inf"))
+    p = points.where(fine).withColumns({c: F.col(c).cast("double") for c in ("y", "x")})
+
+    def run(name: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(id_col, "ascending"), ("y", "ascending"), ("x", "ascending")])
+        p = {c: rows.column(c).to_numpy() for c in rows.column_names if c not in k}
+        ids, node = np.unique(p[id_col], return_inverse=True)
+        left, right = (np.arange(len(node)),) * 2 if side is None else (np.flatnonzero(p[side] == 0), np.flatnonzero(p[side] != 0))
+
+        def chunks() -> Iterator[matching.Pairs]:
+            for i, j, d in places.near_pairs(p["y"][left], p["x"][left], p["y"][right], p["x"][right], d_max):
+                i, j = left[i], right[j]
+                c = d if cost is None else cost(p, i, j, d)
+                on = (c < np.inf) & (node[i] != node[j])
+                yield node[i[on]].astype(np.int32), node[j[on]].astype(np.int32), c[on]
+
+        a, b, c = matching.best_matching(len(ids), len(ids), chunks)
+        ends = [pa.array(ids[e], rows.schema.field(id_col).type) for e in (a, b)]
+        return pa.Table.from_arrays([*(pa.repeat(v, len(a)) for v in name), *ends, pa.array(c, pa.float64())], [*k, "a", "b", "cost"])
+
+    schema = ", ".join(f"`{c}` {kind[c]}" for c in k) + f", a {kind[id_col]}, b {kind[id_col]}, cost double"
+    return p.repartition(KEY_TASKS, *k).groupBy(*k).applyInArrow(run, schema)
+
+
 class Adjacency:
     """Links of nodes 0 ... n - 1 in arrays: `other` and `weight` of a node's links lie between its two bounds, by ascending neighbour; `loops` are links to itself.
 
@@ -536,10 +577,6 @@ def communities(edges: DataFrame, keys: str | Sequence[str], resolution: float =
     return ordered.groupBy(*k).applyInArrow(run, ", ".join(f"{c} {kind[c]}" for c in k) + f", id {kind['a']}, community {kind['a']}")
 
 
-#: Tasks over which keys are dealt; a number given is not lowered, however small the tables of points are.
-KEY_TASKS = 256
-
-
 def near_communities(points: DataFrame, keys: str | Sequence[str], id_col: str, d_max: float, cosine_min: float, resolution: float = 0.06, seed: int = 42) -> DataFrame:
     """points(keys, id, y, x, angle), several of an id or one -> (keys, id, community): as `communities` of the links that `spatial.cosine_edges` finds between points of different ids, which add up.
 

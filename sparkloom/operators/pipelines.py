@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import angles, nulls
 from ..sources import files
-from ..sources.staging import stage
 from . import cycles, graph, series, signal, spatial, splines, stats, tables
 
 FRAME = ["file_id", "frame"]
@@ -38,15 +38,29 @@ def band_links(ends: DataFrame, d_max: float = 3.0, d_min: float = 0.0, least: f
     """
     kind = dict(ends.dtypes)["band"]
     e = ends.withColumn("id", F.col("band") * 2 + F.col("end"))
-    pairs = spatial.range_pairs(e, FRAME, "id", d_max, d_min, extra=["band", "dir", "y", "x"]).where("a_band <> b_band")
-    to_j = F.atan2(F.col("b_y") - F.col("a_y"), F.col("b_x") - F.col("a_x"))
-    to_i = F.atan2(F.col("a_y") - F.col("b_y"), F.col("a_x") - F.col("b_x"))
-    pairs = pairs.withColumn("alignment", angles.alignment_index(F.col("a_dir"), F.col("b_dir"), to_j, to_i, least)).where(F.col("alignment") >= a_min)
-    pairs = stage(pairs, "pairs")
-    # Both directions, so that the matching is one of ends with ends; a link stands if it is chosen either way.
-    both = pairs.select(*FRAME, "a", "b", (1 - F.col("alignment")).alias("cost")).unionByName(pairs.select(*FRAME, F.col("b").alias("a"), F.col("a").alias("b"), (1 - F.col("alignment")).alias("cost")))
-    chosen = graph.matched(both.withColumn("k", F.to_json(F.struct(*FRAME))).select("k", "a", "b", "cost"), "k").select("k", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = pairs.withColumn("k", F.to_json(F.struct(*FRAME))).join(chosen, ["k", "a", "b"])
+
+    def cost(p: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
+        (yi, xi, ti), (yj, xj, tj) = (tuple(p[c][at] for c in ("y", "x", "dir")) for at in (i, j))
+        if "cos" not in p:
+            p["cos"], p["sin"] = np.cos(p["dir"]), np.sin(p["dir"])
+        # Most pairs fail by far; those near the limits or within them are measured as alignment_index does.
+        along = [t * ((p["cos"][at] * (xj - xi)) + p["sin"][at] * (yj - yi)) for t, at in ((1, i), (-1, j))]
+        maybe = np.flatnonzero((p["cos"][i] * p["cos"][j] + p["sin"][i] * p["sin"][j] < 1e-9) & (along[0] > least * d - 1e-9) & (along[1] > least * d - 1e-9) & (d >= d_min) & (p["band"][i] != p["band"][j]))
+        yi, xi, ti, yj, xj, tj = (c[maybe] for c in (yi, xi, ti, yj, xj, tj))
+        facing, a, b = np.cos(ti - tj + np.pi), np.cos(ti - np.arctan2(yj - yi, xj - xi)), np.cos(tj - np.arctan2(yi - yj, xi - xj))
+        alignment = facing * a * b
+        out, on = np.full(len(d), np.inf), (facing > 0) & (a > least) & (b > least) & (alignment >= a_min)
+        out[maybe[on]] = 1 - alignment[on]
+        return out
+
+    # The matching is one of ends with ends; a link stands if it is chosen either way.
+    chosen = graph.matched_near(e.where("dir is not null").select(*FRAME, "id", "y", "x", "band", "dir"), FRAME, "id", d_max, cost).select(*FRAME, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for s in ("a", "b"):
+        chosen = chosen.join(e.select(*FRAME, F.col("id").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("band", "dir", "y", "x"))), [*FRAME, s])
+    dy, dx = F.col("b_y") - F.col("a_y"), F.col("b_x") - F.col("a_x")
+    to_j, to_i = F.atan2(dy, dx), F.atan2(F.col("a_y") - F.col("b_y"), F.col("a_x") - F.col("b_x"))
+    links = chosen.withColumn("dist", F.sqrt(dy * dy + dx * dx)).withColumn("alignment", angles.alignment_index(F.col("a_dir"), F.col("b_dir"), to_j, to_i, least))
+    links = links.where(F.col("dist").between(d_min, d_max) & (F.col("alignment") >= a_min))
     return links.select(*FRAME, F.least("a_band", "b_band").cast(kind).alias("a"), F.greatest("a_band", "b_band").cast(kind).alias("b"), "dist", "alignment")
 
 

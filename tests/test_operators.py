@@ -322,3 +322,45 @@ def test_communities_of_points_hold_no_links(spark, monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert label.shape == (n,) and (links.high - links.low).sum() > n * n * 0.9 and peak < 6 * n * n
+
+
+@pytest.mark.parametrize("held", [0, 1 << 20])
+def test_best_matching_equals_the_dense_one(monkeypatch, held):
+    """With all pairs at hand and with the cheapest only, from chunks that are asked for anew; ends that stay alone have no price, which was a million."""
+    from sparkloom.functions import matching, signals
+
+    monkeypatch.setattr(matching, "HELD", held)
+    monkeypatch.setattr(matching, "THINNED", 5)
+    monkeypatch.setattr(matching, "CHEAPEST", 2)
+    monkeypatch.setattr(matching, "PATIENCE", 3)
+    rng = np.random.default_rng(3)
+    for t in range(200):
+        n, m = rng.integers(1, 14, 2)
+        c = np.where(rng.random((n, m)) < rng.random(), rng.integers(1, 6, (n, m)) / 7 if t % 2 else rng.random((n, m)), 1e6)
+        a, b = np.nonzero(c < 1e6)
+        i, j, cost = matching.best_matching(int(n), int(m), lambda: ((a[p], b[p], c[a[p], b[p]]) for p in (a % 3 == k for k in range(3))))
+        rows, cols = signals.assignment(c)
+        ok = c[rows, cols] < 1e6
+        assert len(set(i)) == len(set(j)) == len(i) == ok.sum() and (cost == c[i, j]).all() and cost.sum() == pytest.approx(c[rows, cols][ok].sum(), abs=1e-9)
+
+
+def test_near_points_are_matched_without_a_table_of_pairs(spark, monkeypatch):
+    """Even and odd points within reach: as many pairs as can be, at least cost, once a key; nulls have none."""
+    from sparkloom.functions import places, signals
+
+    rng = np.random.default_rng(6)
+    y, x = rng.random(300), rng.random(300)
+    y[:20], x[:20] = y[20:40], x[20:40]
+    d = np.hypot(y[::2, None] - y[1::2], x[::2, None] - x[1::2])
+    pairs = {(int(i), int(j)) for part in places.near_pairs(y[::2], x[::2], y[1::2], x[1::2], 0.1) for i, j in zip(*part[:2])}
+    assert pairs == {(i, j) for i, j in zip(*np.nonzero(d <= 0.1))}
+    monkeypatch.setattr(graph, "stage", None)
+    df = spark.createDataFrame([(k, i, float(y[i]), float(x[i]), i % 2) for k in (1, 2) for i in range(300)] + [(1, 300, None, 0.5, 0), (None, 301, 0.5, 0.5, 0)], "k int, id long, y double, x double, odd int")
+    rows, cols = signals.assignment(np.where(d <= 0.1, d, 1e6))
+    want = d[rows, cols][d[rows, cols] <= 0.1]
+    found = graph.matched_near(df, "k", "id", 0.1, side="odd").collect()
+    for k in (1, 2):
+        own = [r for r in found if r.k == k]
+        assert len({r.a for r in own}) == len({r.b for r in own}) == len(own) == len(want) and all(r.a % 2 == 0 and r.b % 2 == 1 for r in own)
+        assert sum(r.cost for r in own) == pytest.approx(want.sum(), abs=1e-9)
+    assert len(found) == 2 * len(want)
