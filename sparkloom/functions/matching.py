@@ -49,10 +49,10 @@ def _least(end: np.ndarray, by: np.ndarray, limit: int) -> np.ndarray:
 def _once(pairs: list[Pairs]) -> Pairs:
     """Pairs put together, each once, at its least cost."""
     a, b, cost = (np.concatenate(c) for c in zip(*pairs))
-    order = np.lexsort((cost, b, a))
+    order = np.argsort(a * (np.int64(b.max(initial=0)) + 1) + b, kind="stable")
     a, b, cost = a[order], b[order], cost[order]
-    first = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) if len(a) else np.empty(0, dtype=bool)
-    return a[first], b[first], cost[first]
+    first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.empty(0, np.int64)
+    return (a, b, cost) if len(first) == len(a) else (a[first], b[first], np.minimum.reduceat(cost, first))
 
 
 def _begun(m: int, chunks: Callable[[], Iterable[Pairs]]) -> Pairs:
@@ -223,8 +223,9 @@ def best_matching(n: int, m: int, chunks: Callable[[], Iterable[Pairs]]) -> Pair
     if total <= HELD:
         kept = _once(held) if held else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         a, b, cost = kept
-        few = _least(a, cost, CHEAPEST // 8)
-        _enlarged(_Links(n, a[few], b[few], cost[few]), mate, owner)
+        for few in (CHEAPEST // 8, CHEAPEST // 2):
+            few = _least(a, cost, few)
+            _enlarged(_Links(n, a[few], b[few], cost[few]), mate, owner)
         chunks = list
     else:
         kept = _begun(m, chunks)

@@ -52,10 +52,8 @@ def spectrum_peaks(spark, sf):
 
 
 def assignment(spark, sf):
-    v = vectors(spark, sf)
-    pairs = spatial.range_pairs(v, ["grp"], "id", 0.1).where("a % 2 <> b % 2")
-    costs = pairs.select("grp", F.when(F.col("a") % 2 == 0, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("a") % 2 == 0, F.col("b")).otherwise(F.col("a")).alias("b"), F.col("dist").alias("cost"))
-    return rounded(graph.matched(costs, "grp"), "cost")
+    v = vectors(spark, sf).select("grp", "id", "y", "x", (F.col("id") % 2).alias("odd"))
+    return rounded(graph.matched_near(v, "grp", "id", 0.1, side="odd"), "cost")
 
 
 def communities(spark, sf):
